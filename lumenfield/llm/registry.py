@@ -5,17 +5,91 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality
-from .common import documents
+from . import near_dup, packing, quality, sharding, suffix, warc
+from .common import documents, shared_folder
+
+
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.resolve_revisits(warc.captures_of(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+
+
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(documents(spark, sf_dir))
 
 
 def op5_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(documents(spark, sf_dir))
 
 
+def op6_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeats(documents(spark, sf_dir))
+
+
+def op8_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = sharding.load_in_arrivals(documents(spark, sf_dir), shared_folder(spark))
+    return table.read().select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_revisits": op1_warc_revisits,
+    "op3_order_minhash": op3_order_minhash,
     "op5_quality_cascade": op5_quality_cascade,
+    "op6_suffix_repeats": op6_suffix_repeats,
+    "op8_tiered_shards": op8_tiered_shards,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
 
-ORACLES: dict[str, str] = {}
+_OP1 = r"""
+WITH p AS (
+  SELECT page_id AS p, url, sha256(html) AS digest, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS front,
+         '"' || substr(sha256(url || 'a'), 1, 16) || '"' AS tag_a, '"' || substr(sha256(url || 'b'), 1, 16) || '"' AS tag_b,
+         cast((page_id * 7919) % 365 AS varchar) AS day
+  FROM pages),
+records AS (
+  SELECT p * 4 AS record_id, 'response' AS kind, url, (p * 7919) % 31536000 AS ts, 200 AS status, digest,
+         ['content-type: text/html; charset=utf-8', 'etag: ' || tag_a, 'last-modified: day ' || day, 'server: a', 'date: day ' || (p * 31) % 365] AS head, tag_a AS tag, 'day ' || day AS modified FROM p
+  UNION ALL
+  SELECT p * 4 + 1, 'revisit', regexp_replace(url, '#.*$', '') || '#again', (p * 7919) % 31536000 + 60 + p % 7 * 86400, 304, NULL,
+         ['etag: ' || tag_a, 'date: day ' || (p * 31 + 1) % 365], tag_a, NULL FROM p
+  UNION ALL
+  SELECT p * 4 + 2, 'revisit', regexp_replace(url, '^https?://', 'HTTP://WWW.'), (p * 7919) % 31536000 + 5000 - p % 9 * 1000, 304, CASE WHEN p % 8 = 3 THEN digest END,
+         list_filter([CASE p % 4 WHEN 0 THEN 'etag: W/' || tag_a WHEN 1 THEN 'etag: ' || tag_b WHEN 2 THEN 'last-modified: day ' || day END, 'cache-control: max-age=60', 'server: b', 'date: day ' || (p * 31 + 2) % 365], lambda x: x IS NOT NULL),
+         CASE p % 4 WHEN 0 THEN tag_a WHEN 1 THEN tag_b END, CASE p % 4 WHEN 2 THEN 'day ' || day END FROM p
+  UNION ALL
+  SELECT p * 4 + 3, CASE WHEN p % 16 = 0 THEN 'response' ELSE 'revisit' END, front || '/', (p * 104729) % 31536000, CASE WHEN p % 16 = 0 THEN 200 ELSE 304 END, CASE WHEN p % 16 = 0 THEN digest END,
+         ['etag: "f' || p % 5 || '"', 'vary: accept', 'x-page: ' || p, 'date: day ' || (p * 31 + 3) % 365], '"f' || p % 5 || '"', NULL FROM p),
+parts AS (
+  SELECT *, regexp_replace(trim(url), '#.*$', '') AS whole FROM records),
+keyed AS (
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(whole, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?@]*@)?([^/?]*)', 1)), ':(80|443)?$', ''), '^www[0-9]*\.', '')
+         || regexp_replace(regexp_extract(whole, '^[^/?]*//[^/?]*([^?]*)', 1), '/+$', '')
+         || CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END AS key
+  FROM (SELECT *, list_sort(list_filter(string_split(regexp_extract(whole, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-zA-Z]+|gclid|fbclid|sessionid|ref)=', 'i'))) AS query FROM parts) t),
+full_ AS (SELECT key, ts, record_id, head, digest, tag, modified FROM keyed WHERE kind = 'response' QUALIFY row_number() OVER (PARTITION BY key, ts ORDER BY record_id DESC) = 1),
+met AS (
+  SELECT r.record_id, r.key, f.record_id AS base_id, r.head AS own, f.head AS stored, f.digest,
+         CASE WHEN f.record_id IS NULL THEN 'no_response'
+              WHEN r.tag IS NOT NULL AND f.tag IS NOT NULL THEN CASE WHEN r.tag = f.tag THEN 'resolved' ELSE 'validator_mismatch' END
+              WHEN r.modified IS NOT NULL AND f.modified IS NOT NULL THEN CASE WHEN r.modified = f.modified THEN 'resolved' ELSE 'validator_mismatch' END
+              WHEN r.digest IS NOT NULL AND f.digest IS NOT NULL THEN CASE WHEN r.digest = f.digest THEN 'resolved' ELSE 'validator_mismatch' END
+              ELSE 'unvalidated' END AS outcome
+  FROM (SELECT * FROM keyed WHERE kind = 'revisit') r ASOF LEFT JOIN full_ f ON r.key = f.key AND r.ts > f.ts),
+fresh AS (
+  SELECT *, list_filter(own, lambda x: split_part(x, ':', 1) IN ('cache-control', 'content-location', 'date', 'etag', 'expires', 'last-modified', 'vary')) AS new FROM met)
+SELECT record_id, key AS canonical_url, base_id, outcome,
+       CASE WHEN outcome IN ('resolved', 'unvalidated') THEN array_to_string(list_sort(list_concat(list_filter(stored, lambda s: NOT list_contains(list_transform(new, lambda n: split_part(n, ':', 1)), split_part(s, ':', 1))), new)), chr(10)) END AS merged_headers,
+       CASE WHEN outcome IN ('resolved', 'unvalidated') THEN digest END AS payload_digest
+FROM fresh
+"""
+
+_OP8 = """
+SELECT doc_id, octet_length(encode(text)) AS n_bytes, sha256(text) AS text_sha256 FROM documents
+"""
+
+ORACLES: dict[str, str] = {"op1_warc_revisits": _OP1, "op8_tiered_shards": _OP8}
