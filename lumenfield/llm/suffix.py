@@ -336,9 +336,10 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", leng
     texts = scanned.join(copies, "sha").select("id", "n_bytes", "sha", "rid", "copies", (F.col("rid") == F.col("lead")).alias("leads"))
     texts = stash(texts)
     leads = texts.where(F.col("leads") & (F.col("n_bytes") >= length)).select("rid").distinct()
-    runs = scanned.join(leads, "rid", "left_semi").select("rid", F.explode(F.arrays_zip("keys", "starts", "counts")).alias("r")).select("rid", "r.keys", "r.starts", "r.counts")
-    twice = runs.groupBy("keys").agg(F.count("*").alias("n")).where("n > 1").select("keys")
-    lists = runs.join(twice, "keys").groupBy("rid").agg(F.collect_list(F.struct("keys", "starts", "counts")).alias("runs"))
+    runs = scanned.select("rid", "sha", F.explode(F.arrays_zip("keys", "starts", "counts")).alias("r")).select("rid", "r.keys", "r.starts", "r.counts", F.xxhash64("sha", "r.starts").alias("where"))
+    # A key counts as repeated where different texts have it, or one text in two places; copies of a text do not count.
+    twice = runs.groupBy("keys").agg(F.min("where").alias("a"), F.max("where").alias("b")).where("a < b").select("keys")
+    lists = runs.select("rid", "keys", "starts", "counts").join(twice, "keys").groupBy("rid").agg(F.collect_list(F.struct("keys", "starts", "counts")).alias("runs")).join(leads, "rid", "left_semi")
     source = lean.select(_rid(F.col("id"), F.sha2("t", 256)).alias("rid"), "t").join(lists, "rid")
     source = stash(source)
     cut = stash(source.mapInArrow(_cut(length), "key bigint, one bigint, two bigint, rid bigint, start bigint, times bigint, fragment binary"))
