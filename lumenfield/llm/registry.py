@@ -7,18 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dup, packing, quality, sharding, suffix, warc
+from . import imatch, near_dup, packing, pii, quality, segment, sharding, suffix, toxicity, warc
 from .common import documents, shared_folder
 
+#: A public byte-fallback model that the box offers; any SentencePiece file of that kind does.
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolve_revisits(warc.captures_of(spark.read.parquet(f"{sf_dir}/pages.parquet")))
 
 
+def op2_pii_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(documents(spark, sf_dir))
+
+
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(documents(spark, sf_dir))
 
 
+def op4_gumbel_segments(spark: SparkSession, sf_dir: str, model_file: str = TOKENIZER) -> DataFrame:
+    """Three segmentations of every conversation turn, decoded again."""
+    vocabulary = segment.load_vocabulary(model_file)
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    drawn = segment.decode_pieces(segment.sample_segmentations(turns, vocabulary, key=("conv_id", "turn")), vocabulary)
+    return drawn.select("conv_id", "turn", "rank", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_probability", "perturbed", "inclusion", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op5_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(documents(spark, sf_dir))
 
@@ -27,6 +42,11 @@ def op6_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeats(documents(spark, sf_dir))
 
 
+def op7_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.scores(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op8_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = sharding.load_in_arrivals(documents(spark, sf_dir), shared_folder(spark))
     return table.read().select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
@@ -36,13 +56,21 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op10_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_revisits": op1_warc_revisits,
+    "op2_pii_boosted": op2_pii_boosted,
     "op3_order_minhash": op3_order_minhash,
+    "op4_gumbel_segments": op4_gumbel_segments,
     "op5_quality_cascade": op5_quality_cascade,
     "op6_suffix_repeats": op6_suffix_repeats,
+    "op7_ngram_toxicity": op7_ngram_toxicity,
     "op8_tiered_shards": op8_tiered_shards,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_imatch_fingerprints": op10_imatch_fingerprints,
 }
 
 _OP1 = r"""
