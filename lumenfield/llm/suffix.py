@@ -281,9 +281,12 @@ def _windows(length: int):
 def repeated_runs(fragments: DataFrame, *, length: int, batch_bytes: int, hot_fragments: int) -> DataFrame:
     """one, two (the fragment), begins, ends: its byte runs covered by strings that also start elsewhere."""
     shown = fragments.where("fragment is not null").select("key", "one", "two", "times", "fragment")
-    hot = fragments.groupBy("key").agg(F.approx_count_distinct("one").alias("n")).where(F.col("n") > hot_fragments).select("key")
-    plain = shown.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key", "one", "two")
+    hot = stash(shown.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot_fragments).select("key"))
+    any_hot = not hot.isEmpty()
+    plain = (shown.join(hot, "key", "left_anti") if any_hot else shown).repartition("key").sortWithinPartitions("key", "one", "two")
     runs = plain.mapInArrow(_expand(length, batch_bytes), "one bigint, two bigint, begins array<bigint>, ends array<bigint>")
+    if not any_hot:
+        return runs
     most = shown.join(hot, "key", "left_semi").groupBy("one", "two").agg(F.first("fragment").alias("fragment"), F.sum("times").alias("times"))
     rows = most.select("one", "two", "fragment").mapInArrow(_windows(length), "one bigint, two bigint, place bigint, w1 bigint, w2 bigint")
     twice = rows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
