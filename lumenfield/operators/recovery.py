@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from . import robust, scans
 from . import spatial as S
+from .rounds import settle
 
 LEAN_DET = ("field_id", "det_id", "x", "y")
 
@@ -145,9 +146,10 @@ def aligned(matches: DataFrame, *, rounds: int = 3, floor: float = 0.05) -> Data
 
 def measurement_metrics(matches: DataFrame, *, least_train: int = 10, least_test: int = 5, pixel_mas: float = 50.0) -> DataFrame:
     """Clipped one-dimensional position RMS and magnitude RMS of held-out matches, null where a field has too few."""
+    matches = settle(matches)
     sizes = matches.groupBy("field_id").agg(F.count_if(~F.col("test")).alias("n_train"), F.count_if("test").alias("n_test"))
     enough = sizes.where((F.col("n_train") >= least_train) & (F.col("n_test") >= least_test)).select("field_id")
-    used = matches.join(enough, "field_id", "left_semi")
+    used = settle(matches.join(enough, "field_id", "left_semi"))
     moved = aligned(used).where("test")
     radial = moved.withColumn("radial", F.sqrt(C.square(F.col("px") - F.col("rx")) + C.square(F.col("py") - F.col("ry"))))
     position = robust.clipped(radial, ["field_id"], "radial", 0.05, one_sided=True).groupBy("field_id").agg(F.sqrt(F.avg(C.square(F.col("radial"))) / 2.0).alias("rms_1d_px"))

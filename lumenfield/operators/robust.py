@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import square
+from .rounds import settle
 
 MAD = 1.4826
 
@@ -42,13 +43,12 @@ def fit_affine(pairs: DataFrame, keys: Sequence[str], *, rounds: int = 3, floor:
 
     Keys, ax, bx, cx, ay, by, cy with rx = ax + bx (x - ox) + cx (y - oy), and the origin (ox, oy), which keeps the
     normal equations well conditioned.  Below ``least`` pairs the map is the identity."""
-    good = pairs.select(*keys, "x", "y", "rx", "ry")
-    rows = good
+    good = rows = settle(pairs.select(*keys, "x", "y", "rx", "ry"))
     for _ in range(rounds):
         coeff = _solve(good, keys, least)
         residual = F.sqrt(square(F.col("px") - F.col("rx")) + square(F.col("py") - F.col("ry")))
-        good = _clip(apply_affine(rows, coeff, keys), residual, keys, floor)
-    return _solve(good, keys, least)
+        good = settle(_clip(apply_affine(rows, coeff, keys), residual, keys, floor))
+    return settle(_solve(good, keys, least))
 
 
 def _clip(predicted: DataFrame, residual: Column, keys: Sequence[str], floor: float) -> DataFrame:

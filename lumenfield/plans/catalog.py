@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import comparisons, matching, selections
+from . import comparisons, designs, matching, selections
 from .registry import ORACLES, QUERIES
 
-MODULES = (selections, matching, comparisons)
+MODULES = (selections, matching, comparisons, designs)
 __all__ = ["MODULES", "ORACLES", "QUERIES"]

@@ -21,7 +21,10 @@ def query(*needs: str, sql: str | None = None):
             body = sql.strip()
             if needs:
                 head = ctes(*needs)
-                body = f"{head},\n{body[5:].lstrip()}" if body[:5].upper() == "WITH " else f"{head}\n{body}"
+                if body.startswith("WITH RECURSIVE "):
+                    body = f"{head.replace('WITH', 'WITH RECURSIVE', 1)},\n{body[15:].lstrip()}"
+                else:
+                    body = f"{head},\n{body[5:].lstrip()}" if body.startswith("WITH ") else f"{head}\n{body}"
             ORACLES[f.__name__] = body
         return f
 
