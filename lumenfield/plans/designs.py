@@ -15,7 +15,7 @@ from .matching import _MATCH, _MATCHED, _QUAL, _QUALITY, _near
 from .registry import query
 
 _SELF = "(SELECT a.field_id, a.det_id, min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d2 FROM {0} a JOIN {0} b ON a.field_id = b.field_id AND a.det_id <> b.det_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {1} GROUP BY ALL)"
-_SOME = "some AS (SELECT *, flux / 1e1 AS snr FROM dets WHERE det_id % 11 = 0)"
+_SOME = "few AS (SELECT *, flux / 1e1 AS snr FROM dets WHERE det_id % 11 = 0)"
 
 
 def _some(t: Tables) -> DataFrame:
@@ -23,7 +23,7 @@ def _some(t: Tables) -> DataFrame:
 
 
 @query("dets", sql=f"""
-WITH {_SOME}, b AS (SELECT s.*, n.d2, row_number() OVER (PARTITION BY s.field_id ORDER BY snr DESC, s.det_id) = 1 AS first FROM some s LEFT JOIN {_SELF.format('some', 144)} n USING (field_id, det_id) WHERE snr >= 25),
+WITH {_SOME}, b AS (SELECT s.*, n.d2, row_number() OVER (PARTITION BY s.field_id ORDER BY snr DESC, s.det_id) = 1 AS first FROM few s LEFT JOIN {_SELF.format("few", 144)} n USING (field_id, det_id) WHERE snr >= 25),
 m AS (SELECT *, count(*) FILTER (WHERE d2 IS NULL OR d2 >= 144 OR first) OVER (PARTITION BY field_id) AS n_wide FROM b),
 c AS (SELECT * FROM m WHERE CASE WHEN n_wide < 5 THEN d2 IS NULL OR d2 >= 36 OR first ELSE d2 IS NULL OR d2 >= 144 OR first END)
 SELECT field_id, det_id, snr, row_number() OVER (PARTITION BY field_id ORDER BY snr DESC, det_id) AS place FROM c QUALIFY place <= 40""")
@@ -32,7 +32,7 @@ def isolated_bright_topk(t: Tables) -> DataFrame:
 
 
 @query("dets", sql=f"""
-WITH {_SOME} SELECT field_id, det_id, flux, row_number() OVER (PARTITION BY field_id ORDER BY flux DESC, det_id) AS place FROM some s LEFT JOIN {_SELF.format('some', 81)} n USING (field_id, det_id) WHERE d2 IS NULL OR d2 >= 81 QUALIFY place <= 80""")
+WITH {_SOME} SELECT field_id, det_id, flux, row_number() OVER (PARTITION BY field_id ORDER BY flux DESC, det_id) AS place FROM few s LEFT JOIN {_SELF.format("few", 81)} n USING (field_id, det_id) WHERE d2 IS NULL OR d2 >= 81 QUALIFY place <= 80""")
 def stamp_selection(t: Tables) -> DataFrame:
     return L.stamps(_some(t)).select("field_id", "det_id", "flux", "place")
 
@@ -70,7 +70,7 @@ def failure_cases(t: Tables) -> DataFrame:
 
 
 @query("refs", "dets", sql=f"""
-WITH some AS (SELECT * FROM refs WHERE ref_id % 3 = 0), n AS (SELECT d.field_id, d.det_id, min((d.x - r.x) * (d.x - r.x) + (d.y - r.y) * (d.y - r.y)) AS d2 FROM dets d JOIN some r ON d.field_id = r.field_id AND (d.x - r.x) * (d.x - r.x) + (d.y - r.y) * (d.y - r.y) <= 64 GROUP BY ALL),
+WITH few AS (SELECT * FROM refs WHERE ref_id % 3 = 0), n AS (SELECT d.field_id, d.det_id, min((d.x - r.x) * (d.x - r.x) + (d.y - r.y) * (d.y - r.y)) AS d2 FROM dets d JOIN few r ON d.field_id = r.field_id AND (d.x - r.x) * (d.x - r.x) + (d.y - r.y) * (d.y - r.y) <= 64 GROUP BY ALL),
 l AS (SELECT d.field_id, d.det_id, CASE WHEN d2 < 4 THEN 1 WHEN d2 IS NULL OR d2 > 64 THEN 0 END AS label FROM dets d LEFT JOIN n USING (field_id, det_id)),
 k AS (SELECT *, count(*) FILTER (WHERE label = 1) OVER (PARTITION BY field_id) AS pos, row_number() OVER (PARTITION BY field_id, label ORDER BY (det_id % 1000003 * 48271) % 2147483647, det_id) AS place FROM l WHERE label IS NOT NULL)
 SELECT field_id, det_id, label FROM k WHERE label = 1 OR place <= least(greatest(pos * 5, 400), 2000)""")
