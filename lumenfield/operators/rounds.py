@@ -60,7 +60,8 @@ def greedy_edges(dets: DataFrame, refs: DataFrame, radius: float = 2.0, *, choic
         b = F.row_number().over(W.partitionBy(*keys, "ref_id").orderBy("d2", "det_id", "ref_id"))
         now = settle(edges.withColumns({"a": a, "b": b}).where("a = 1 and b = 1").drop("a", "b"))
         taken = now if taken is None else taken.union(now)
-        edges = settle(edges.join(now.select(*keys, "det_id"), [*keys, "det_id"], "left_anti").join(now.select(*keys, "ref_id"), [*keys, "ref_id"], "left_anti"))
+        left = edges.join(now.select(*keys, "det_id"), [*keys, "det_id"], "left_anti").join(now.select(*keys, "ref_id"), [*keys, "ref_id"], "left_anti")
+        edges = settle(left.select(*edges.columns))  # joins put their keys first
     return edges if taken is None else taken
 
 
