@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import comparisons, designs, matching, selections
+from . import comparisons, designs, imaging, matching, selections
 from .registry import ORACLES, QUERIES
 
-MODULES = (selections, matching, comparisons, designs)
+MODULES = (selections, matching, comparisons, designs, imaging)
 __all__ = ["MODULES", "ORACLES", "QUERIES"]
