@@ -6,17 +6,14 @@ edit distance: shared shingles alone do not do, they must come as often and in t
 taken.  Texts that share a sketch are candidates, candidates that share three are aligned word by word within a
 band, and those with an edit similarity of 0.8 or more are linked.  Classes are the components of the links.
 
-Scale: equal texts collapse to one representative first, so a text with a million copies is one node.  A bucket (texts
-with one sketch in common) is not paired out: its members are held against the one whose sketches are the most common in
-the corpus, its center, which settles it if all match.  Otherwise, up to ``block`` members, those turned down are held against every other member.  In a larger bucket the
-triangle inequality says which of those turned down are too far from the center to match any text that matched it; the
-others are held against the members that matched with the most and the least common sketches as well.  Those turned down
-then go on among themselves, in buckets of two more shared sketches each time.  No bucket is dropped or cut.  Before any
-text is fetched, a lower bound on the edit distance from 256 counts of hashed words turns pairs down that cannot match.
-
-Recall: at a shingle similarity of 0.8 a pair fails to share three of sixteen sketches about once in 800.  Two texts that
-meet only in buckets above ``block`` can also be missed: if one matched and the other, turned down, matches none of the
-three members it was held against in any of its buckets; or if both were turned down and share fewer than five sketches.
+Scale: equal texts collapse to one representative first, so a text with a million copies is one node.  The members of a
+bucket (texts with one sketch in common) are first held against the one whose sketches are the most common in the
+corpus, its center, which settles it if all match.  In the buckets that are not settled all pairs of two classes are
+looked at, whatever the size of the bucket: those that share three sketches, have fitting lengths, and are not told apart
+by the triangle inequality (one matches the center, the other is too far from it to match any text that does) are
+aligned, a few of any two classes first.  A bucket of n texts costs up to n * n / 2 looks of some ten comparisons
+each; only pairs that pass become rows.  Before any text is fetched, a lower bound on the edit distance from 256
+counts of hashed words turns pairs down that cannot match.
 
 Defined results: words are runs without ASCII white space, without regard to ASCII case; a null or empty text has no
 words, and all texts without words are one class; a text of fewer than five words is one shingle; rows that share a
@@ -28,6 +25,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +39,7 @@ from .components import components
 SHINGLE = 5
 SKETCHES = 16
 SHARED = 3
-BLOCK = 64
+DEAL = 1024
 SIMILARITY = 0.8
 COUNTS = 256
 
@@ -327,73 +325,76 @@ def screen(pairs: DataFrame, keys: DataFrame, *, similarity: float, shared: int)
     return both.mapInArrow(_screener(similarity, shared), f"center {kind}, member {kind}, likely boolean, near boolean")
 
 
-def _split(rows: DataFrame) -> DataFrame:
-    """Rows (bucket, last, value, member, size, weight) dealt to buckets with two more sketches of those in which the member is still
-    at large; each set of sketches once.  ``last`` is the number of the last sketch of a bucket, ``value`` its value."""
-    live = rows.groupBy("member").agg(F.collect_set(F.struct(F.col("last").alias("k"), "value")).alias("live"))  # at most ``SKETCHES``
-    more = rows.join(live, "member")
-    more = more.select("*", F.explode(F.filter("live", lambda x: x["k"] > F.col("last"))).alias("x"))
-    more = more.select("bucket", "member", "size", "weight", "x", F.explode(F.filter("live", lambda y: y["k"] > F.col("x.k"))).alias("y"))
-    return more.select(F.xxhash64("bucket", "x", "y").alias("bucket"), F.col("y.k").alias("last"), F.col("y.value").alias("value"), "member", "size", "weight")
-
-
 def _stars(pairs: DataFrame) -> DataFrame:
     """Links (center, member) between each member of a class and its least, for those of the links ``pairs``."""
     return components(pairs, "center", "member").where("node <> label").select(F.col("label").alias("center"), F.col("node").alias("member"))
 
 
-def links(nodes: DataFrame, docs: DataFrame, *, doc_id: str, text: str, similarity: float = SIMILARITY, shared: int = SHARED, block: int = BLOCK) -> DataFrame:
+def _pairs(marked: DataFrame, *, similarity: float, shared: int) -> DataFrame:
+    """Pairs (center, member, one, two, common) of two parts that share ``shared`` sketches and may match, each once.
+
+    ``marked``: bucket, last, member, size, part, n, good, far, sketches.  A pair comes from the bucket of the first sketch that
+    it shares.  One side of a bucket is dealt to a task for each ``DEAL`` members, the other goes to all of them.
+    """
+    deals = F.ceil(F.col("n") / DEAL).cast("int")
+    left = marked.select("bucket", F.pmod(F.hash("member"), deals).alias("deal"), "last", *(F.col(c).alias(f"{c}_1") for c in ("member", "size", "part", "good", "far", "sketches")))
+    right = marked.select("bucket", F.explode(F.sequence(F.lit(0), deals - 1)).alias("deal"), *(F.col(c).alias(f"{c}_2") for c in ("member", "size", "part", "good", "far", "sketches")))
+    same = [F.get("sketches_1", F.lit(k)) == F.get("sketches_2", F.lit(k)) for k in range(SKETCHES)]
+    common = reduce(lambda x, y: x + y, (x.cast("int") for x in same))
+    lead = reduce(lambda x, k: x.when(same[k], k), range(1, SKETCHES), F.when(same[0], 0))
+    fits = (F.col("member_1") < F.col("member_2")) & (F.col("part_1") != F.col("part_2"))
+    fits &= F.least("size_1", "size_2") >= similarity * F.greatest("size_1", "size_2") - 1e-6
+    fits &= ~((F.col("good_1") & F.col("far_2")) | (F.col("far_1") & F.col("good_2")))
+    fits &= (lead == F.col("last")) & (common >= shared)
+    met = left.join(right, ["bucket", "deal"]).where(fits)
+    return met.select(F.col("member_1").alias("center"), F.col("member_2").alias("member"), F.col("part_1").alias("one"), F.col("part_2").alias("two"), common.alias("common"))
+
+
+def links(nodes: DataFrame, docs: DataFrame, *, doc_id: str, text: str, similarity: float = SIMILARITY, shared: int = SHARED) -> DataFrame:
     """Links (a, b) among ``nodes`` (id, n, sketches, bag)."""
     keys = nodes.select("id", "n", "sketches", "bag")
     rows = nodes.select(F.posexplode("sketches").alias("last", "value"), F.col("id").alias("member"), F.col("n").alias("size"))
-    rows = rows.select(F.xxhash64("last", "value").alias("bucket"), "last", "value", "member", "size")
+    rows = rows.select(F.xxhash64("last", "value").alias("bucket"), "last", "member", "size")
     rows = stash(rows.join(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket"))
+    if rows.isEmpty():
+        return nodes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
     weight = rows.groupBy("member").agg(F.sum(F.round(1000 * F.log2("n")).cast("bigint")).alias("weight"))
-    rows = rows.drop("n").join(weight, "member")
-    texts = found = None
-    while True:
-        sized = rows.groupBy("bucket").agg(F.max(F.struct("weight", "member")).alias("top"), F.count("*").alias("n")).where("n > 1")
-        met = stash(rows.join(sized.select("bucket", F.col("top.member").alias("center"), "n"), "bucket"))
-        if met.isEmpty():
+    top = rows.join(weight, "member").groupBy("bucket").agg(F.max(F.struct("weight", "member")).alias("top"))
+    met = stash(rows.join(top.select("bucket", F.col("top.member").alias("center")), "bucket"))
+    texts = stash(docs.select(F.col(doc_id).alias("id"), text_or_empty(text).alias("t")).join(met.select(F.col("member").alias("id")).distinct(), "id", "left_semi"))
+    first = stash(screen(met.where("member <> center").select("center", "member").distinct(), keys, similarity=similarity, shared=shared))
+    aligned = align(first.where("likely").select("center", "member"), texts, similarity=similarity)
+    judged = stash(aligned.union(first.where("near").select("center", "member", F.lit(False), "near")))
+    found = _stars(judged.where("good").select("center", "member"))
+    # Members known to be of one class need no further link; a bucket of one class is done.
+    part = found.select("member", F.col("center").alias("part"))
+    marked = met.join(judged.where("good or near"), ["center", "member"], "left").join(part, "member", "left")
+    good = F.coalesce("good", F.lit(False)) | (F.col("member") == F.col("center"))
+    marked = stash(marked.select("bucket", "last", "member", "size", "n", F.coalesce("part", "member").alias("part"), good.alias("good"), (~(good | F.coalesce("near", F.lit(False)))).alias("far")))
+    mixed = marked.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("bucket")
+    open_ = marked.join(mixed, "bucket", "left_semi").join(keys.select(F.col("id").alias("member"), "sketches"), "member")
+    tried = judged.select(F.least("center", "member").alias("center"), F.greatest("center", "member").alias("member"))
+    across = stash(_pairs(open_, similarity=similarity, shared=shared).join(tried, ["center", "member"], "left_anti"))
+    likely = screen(across.select("center", "member"), keys, similarity=similarity, shared=0).where("likely").select("center", "member")
+    waiting = stash(across.join(likely, ["center", "member"]))
+    # One pair, then sixteen, then all that are left of any two parts that are not linked yet.
+    for turns in (1, 16, None):
+        if waiting.isEmpty():
             break
-        if texts is None:
-            texts = stash(docs.select(F.col(doc_id).alias("id"), text_or_empty(text).alias("t")).join(met.select(F.col("member").alias("id")).distinct(), "id", "left_semi"))
-        first = stash(screen(met.where("member <> center").select("center", "member").distinct(), keys, similarity=similarity, shared=shared))
-        aligned = align(first.where("likely").select("center", "member"), texts, similarity=similarity)
-        judged = stash(aligned.union(first.where("near").select("center", "member", F.lit(False), "near")))
-        good = judged.where("good").select("center", "member")
-        if found is None:
-            found = _stars(good)
-            part = found.select(F.col("member").alias("node"), F.col("center").alias("part"))
-        else:
-            found = found.union(good)
-        verdict = judged.where("good or near")
-        marked = met.join(verdict, ["center", "member"], "left").join(part.withColumnsRenamed({"node": "member"}), "member", "left").join(part.withColumnsRenamed({"node": "center", "part": "main"}), "center", "left")
-        marked = stash(
-            marked.select(
-                "bucket", "center", "last", "value", "member", "size", "weight", "n",
-                F.coalesce("part", "member").alias("part"),
-                F.coalesce("main", "center").alias("main"),
-                (F.coalesce("good", F.lit(False)) | (F.col("member") == F.col("center"))).alias("good"),
-                F.coalesce("near", F.lit(False)).alias("near"),
-            )
-        )
-        # Up to ``block`` members: those turned down with all; above: the near ones with two that matched.  Members known to
-        # be of one class need no further link.
-        lost = marked.where(f"not good and (n <= {block} or near and part <> main)").select("bucket", "member", "size", "part")
-        one = F.struct("weight", F.col("member").alias("other"), F.col("size").alias("other_size"), F.col("part").alias("other_part"))
-        ends = marked.where(f"n > {block} and good and member <> center").groupBy("bucket").agg(F.array(F.min(one), F.max(one)).alias("both"))
-        others = marked.where(f"n <= {block}").select("bucket", one.alias("o")).union(ends.select("bucket", F.explode("both"))).select("bucket", "o.other", "o.other_size", "o.other_part")
-        close = F.least("size", "other_size") >= similarity * F.greatest("size", "other_size") - 1e-6
-        across = lost.join(others, "bucket").where((F.col("part") != F.col("other_part")) & close)
-        across = across.select(F.least("member", "other").alias("center"), F.greatest("member", "other").alias("member")).distinct()
-        across = across.join(judged.select(F.least("center", "member").alias("center"), F.greatest("center", "member").alias("member")), ["center", "member"], "left_anti")
-        second = screen(across, keys, similarity=similarity, shared=shared).where("likely").select("center", "member")
-        found = found.union(stash(align(second, texts, similarity=similarity).where("good").select("center", "member")))
-        rest = marked.where(f"not good and n > {block}").select("bucket", "last", "value", "member", "size", "weight")
-        rows = stash(_split(rest))
-    if found is None:
-        return nodes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+        picked = waiting
+        if turns:
+            best = F.max(F.struct("common", "center", "member", "one", "two"))
+            picked = waiting.groupBy("one", "two", F.pmod(F.hash("center", "member"), F.lit(turns)).alias("turn")).agg(best.alias("best")).select("best.*")
+        settled = stash(align(picked.select("center", "member"), texts, similarity=similarity))
+        fresh = settled.where("good").select("center", "member")
+        found = found.union(fresh)
+        if turns:
+            label = stash(components(waiting.join(fresh, ["center", "member"], "left_semi"), "one", "two"))
+            left = waiting.join(settled.select("center", "member"), ["center", "member"], "left_anti")
+            for side in ("one", "two"):
+                left = left.join(label.withColumnRenamed("node", side), side, "left").withColumn(side, F.coalesce("label", side)).drop("label")
+            ordered = left.where("one <> two").select("center", "member", F.least("one", "two").alias("one"), F.greatest("one", "two").alias("two"), "common")
+            waiting = stash(ordered)
     return found.select(F.col("center").alias("a"), F.col("member").alias("b"))
 
 

@@ -128,6 +128,40 @@ def test_a_large_family_and_a_shared_passage(spark):
     assert all(named[i] == i for i in range(1000, 1120))
 
 
+def plain_classes(spark, rows):
+    """Classes of the link rule, every pair of texts looked at: three sketches in common and an edit similarity of 0.8."""
+    sketches = {r["id"]: r["sketches"] for r in near_dup.sketch(frame(spark, rows)).collect()}
+    label = {i: i for i, _ in rows}
+    words = {i: np.array([hash(w) for w in t.split()], np.int64).view(np.uint64) for i, t in rows}
+    for i, j in itertools.combinations(sorted(label), 2):
+        if sum(x == y for x, y in zip(sketches[i], sketches[j])) >= 3 and near_dup.similar(words[i], words[j]):
+            old, new = max(label[i], label[j]), min(label[i], label[j])
+            label = {k: new if v == old else v for k, v in label.items()}
+    return label
+
+
+def edited(words, places, tag):
+    w = list(words)
+    for k in places:
+        w[k] = f"{tag}w{k}"
+    return w
+
+
+def test_a_match_of_one_member_of_a_large_class(spark):
+    # All share a passage of 80 words. 100 texts match the center; each of 40 others matches only its own one of them.
+    passage, tail = prose(80, 70).split(), prose(40, 71).split()
+    rows = []
+    for i in range(100):
+        own = edited(tail, random.Random(i).sample(range(40), 18 if i < 40 else 1), f"a{i}")
+        rows.append((i, " ".join(passage + own)))
+        if i < 40:
+            kept = [k for k in range(40) if own[k] == tail[k]]
+            rows.append((1000 + i, " ".join(passage + edited(own, random.Random(i).sample(kept, 20), f"b{i}"))))
+    named = {x["doc_id"]: x["class_id"] for x in near_dup.near_duplicates(frame(spark, rows)).collect()}
+    assert named == plain_classes(spark, rows)
+    assert sum(named[1000 + i] == 0 for i in range(40)) > 20
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(40)] + [(100, 100), (200, 201), (None, 3)]
     got = {r["node"]: r["label"] for r in components.components(spark.createDataFrame(pairs, "a int, b int")).collect()}
