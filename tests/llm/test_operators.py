@@ -162,6 +162,18 @@ def test_a_match_of_one_member_of_a_large_class(spark):
     assert sum(named[1000 + i] == 0 for i in range(40)) > 20
 
 
+def test_pairs_that_meet_in_large_buckets_only(spark):
+    # Of 200 texts with one passage, two each match: all five-word shingles outside of the passage differ.
+    passage = prose(110, 80).split()
+    rows = []
+    for i in range(100):
+        tail = rich(40, 900 + i).split()
+        rows += [(2 * i, " ".join(passage + tail)), (2 * i + 1, " ".join(passage + edited(tail, range(0, 40, 4), f"c{i}")))]
+    named = {x["doc_id"]: x["class_id"] for x in near_dup.near_duplicates(frame(spark, rows)).collect()}
+    assert named == plain_classes(spark, rows)
+    assert sum(named[2 * i + 1] == 2 * i for i in range(100)) > 80
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(40)] + [(100, 100), (200, 201), (None, 3)]
     got = {r["node"]: r["label"] for r in components.components(spark.createDataFrame(pairs, "a int, b int")).collect()}
