@@ -26,12 +26,19 @@ def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(documents(spark, sf_dir))
 
 
-def op4_gumbel_segments(spark: SparkSession, sf_dir: str, model_file: str = TOKENIZER) -> DataFrame:
-    """Three segmentations of every conversation turn, decoded again."""
+def _segments(rows: DataFrame, key: tuple[str, ...], model_file: str) -> DataFrame:
+    """Three segmentations of every row, decoded again."""
     vocabulary = segment.load_vocabulary(model_file)
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    drawn = segment.decode_pieces(segment.sample_segmentations(turns, vocabulary, key=("conv_id", "turn")), vocabulary)
-    return drawn.select("conv_id", "turn", "rank", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_probability", "perturbed", "inclusion", F.sha2("decoded", 256).alias("decoded_sha256"))
+    drawn = segment.decode_pieces(segment.sample_segmentations(rows, vocabulary, key=key), vocabulary)
+    return drawn.select(*key, "rank", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_probability", "perturbed", "inclusion", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op4_gumbel_segments(spark: SparkSession, sf_dir: str, model_file: str = TOKENIZER) -> DataFrame:
+    return _segments(documents(spark, sf_dir), ("doc_id",), model_file)
+
+
+def op4_gumbel_segments_turns(spark: SparkSession, sf_dir: str, model_file: str = TOKENIZER) -> DataFrame:
+    return _segments(spark.read.parquet(f"{sf_dir}/conversations.parquet"), ("conv_id", "turn"), model_file)
 
 
 def op5_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii_boosted": op2_pii_boosted,
     "op3_order_minhash": op3_order_minhash,
     "op4_gumbel_segments": op4_gumbel_segments,
+    "op4_gumbel_segments_turns": op4_gumbel_segments_turns,
     "op5_quality_cascade": op5_quality_cascade,
     "op6_suffix_repeats": op6_suffix_repeats,
     "op7_ngram_toxicity": op7_ngram_toxicity,

@@ -401,6 +401,15 @@ def test_segments_of_odd_rows(spark, odd, none, vocabulary):
     assert segment.sample_segmentations(none, vocabulary, key=("doc_id",)).count() == 0
 
 
+def test_segments_query_covers_documents(odd, spark):
+    folder = shared_folder(spark)
+    docs = odd.where("doc_id in (1, 3, 8, 9)").select("doc_id", "text")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    got = registry.QUERIES["op4_gumbel_segments"](spark, folder).where("rank = 0").collect()
+    want = Counter((i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in ODD if i in (1, 3, 8, 9))
+    assert Counter((r["doc_id"], r["decoded_sha256"]) for r in got) == want
+
+
 # --- 1 -----------------------------------------------------------------------------------------------------------------
 
 
