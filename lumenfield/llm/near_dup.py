@@ -2,22 +2,22 @@
 
 A sketch keeps, of all occurrence-labelled five-word shingles of a text, the two that a random order ranks lowest, in
 the order in which they stand in the text.  Two texts have a sketch in common with a probability that falls with their
-edit distance: shared shingles alone do not do, they must come as often and in the same order.  Sixteen sketches are
-taken.  Texts that share a sketch are candidates, candidates that share three are aligned word by word within a
-band, and those with an edit similarity of 0.8 or more are linked.  Classes are the components of the links.
+edit distance: shared shingles alone do not do, they must come as often and in the same order.  Eighty sketches are
+taken, and of texts of up to eighty words, in which few five-word shingles outlive an edit, 24 more of two-word shingles.
+Texts that share any sketch are candidates; those that align word by word within a band with an edit similarity of 0.8 or
+more are linked.  Classes are the components of the links.
 
 Scale: equal texts collapse to one representative first, so a text with a million copies is one node.  The members of a
-bucket (texts with one sketch in common) are first held against the one whose sketches are the most common in the
-corpus, its center, which settles it if all match.  In the buckets that are not settled all pairs of two classes are
-looked at, whatever the size of the bucket: those that share three sketches, have fitting lengths, and are not told apart
-by the triangle inequality (one matches the center, the other is too far from it to match any text that does) are
-aligned, a few of any two classes first.  A bucket of n texts costs up to n * n / 2 looks of some ten comparisons
-each; only pairs that pass become rows.  Before any text is fetched, a lower bound on the edit distance from 256
-counts of hashed words turns pairs down that cannot match.
-
-Recall: at a shingle similarity of 0.8 a pair fails to share three of sixteen sketches about once in 800; a pair that shares
-three is found in buckets of any size.  Edits that are scattered destroy five shingles each, so pairs with an edit
-similarity near 0.8 often share fewer than three.
+bucket (texts with one sketch in common) are first held against one of them, its center, the same one in all buckets where
+it is: a row for each member.  A center has then met all others and leaves.  A bucket of which the rest is not known to be
+of one class goes on to tasks that hold it in blocks of at most ``BLOCK`` members and look at the pairs of two classes that
+fit in length and are not told apart by the triangle inequality (one matches the center, the other is too far from it to
+match any text that does).  A lower bound on the edit distance, from 256 counts of hashed words, turns pairs down there,
+and only what it leaves becomes rows: pairs that match or nearly do.  No bucket is cut and no pair of two classes that
+share a sketch is left out.  What is quadratic are the comparisons of counts within a bucket of texts that share a passage and
+little else, some 20 ns a pair.
+
+Recall: the sketches are the one place where links are lost, see the README for figures by edit similarity.
 
 Defined results: words are runs without ASCII white space, without regard to ASCII case; a null or empty text has no
 words, and all texts without words are one class; a text of fewer than five words is one shingle; rows that share a
@@ -28,8 +28,7 @@ through ``keep_one`` untouched.
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +40,14 @@ from .common import free_name, stash, text_or_empty
 from .components import components
 
 SHINGLE = 5
-SKETCHES = 16
-SHARED = 3
-DEAL = 1024
+SKETCHES = 80
+SHORT_SHINGLE = 2
+SHORT_SKETCHES = 24
+SHORT_WORDS = 80
+BLOCK = 8192
 SIMILARITY = 0.8
 COUNTS = 256
+COARSE = 32
 
 
 def shingle_hashes(words: np.ndarray, at: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -88,19 +90,15 @@ def order_sketches(labelled: np.ndarray, at: np.ndarray, sketches: int = SKETCHE
     out = np.empty((len(counts), sketches), np.uint64)
     seeds = tokens.mix(np.arange(101, 101 + 2 * sketches, dtype=np.uint64))
     top = np.uint64(2**64 - 1)
-
-    def lowest(x: np.ndarray) -> np.ndarray:
-        hit = np.flatnonzero(x == np.repeat(np.minimum.reduceat(x, starts), counts))
-        if len(hit) != len(counts):  # equal values: the first in the text
-            hit = hit[np.searchsorted(hit, starts)]
-        return hit
-
+    low = np.uint64((1 << max(22, len(labelled).bit_length())) - 1)
+    place = np.arange(len(labelled), dtype=np.uint64)
     for k in range(sketches):
+        # The rank of each shingle, and in the low bits its place: the least value tells where it is.
         x = (labelled ^ seeds[2 * k]) * (seeds[2 * k + 1] | np.uint64(1))
-        x ^= x >> np.uint64(32)
-        one = lowest(x)
+        x = (x & ~low) | place
+        one = (np.minimum.reduceat(x, starts) & low).astype(np.int64)
         x[one] = top
-        two = np.where(counts > 1, lowest(x), one)
+        two = np.where(counts > 1, np.minimum.reduceat(x, starts) & low, one.astype(np.uint64)).astype(np.int64)
         out[:, k] = tokens.mix(labelled[np.minimum(one, two)] + np.uint64(3) * tokens.mix(labelled[np.maximum(one, two)] + np.uint64(k)))
     return out
 
@@ -112,6 +110,24 @@ def word_counts(words: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount(cell, minlength=texts * COUNTS), 255).astype(np.uint8)
 
 
+def sketch_lists(words: np.ndarray, at: np.ndarray) -> pa.ListArray:
+    """All sketches of each text."""
+    counts = np.diff(at)
+    sizes, parts = np.zeros(len(counts), np.int64), []
+    for size, sketches, some in ((SHINGLE, SKETCHES, counts > 0), (SHORT_SHINGLE, SHORT_SKETCHES, (counts > 0) & (counts <= SHORT_WORDS))):
+        if not some.any():
+            continue
+        begin = np.concatenate([[0], np.cumsum(counts[some])])
+        shingles, edges = shingle_hashes(words[tokens.ranges(at[:-1][some], counts[some])], begin, size)
+        parts.append((some, sizes[some], order_sketches(label_occurrences(shingles, edges), edges, sketches) ^ tokens.mix(np.array([size], np.uint64))))
+        sizes[some] += sketches
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    out = np.zeros(int(offsets[-1]), np.uint64)
+    for some, before, rows in parts:
+        out[tokens.ranges(offsets[:-1][some] + before, np.full(len(rows), rows.shape[1]))] = rows.reshape(-1)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(out.view(np.int64)))
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = tokens.text_buffer(batch.column(1))
@@ -121,12 +137,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             squares = np.concatenate([[0], np.cumsum(tokens.mix(words) * tokens.powers(0xA24BAED4963EE407, len(words)))]).astype(np.uint64) if len(words) else np.zeros(1, np.uint64)
             one = tokens.mix((sums[at[1:]] - sums[at[:-1]]) * tokens.powers(pow(int(tokens.BASE), -1, 1 << 64), len(words) + 1)[at[:-1]])
             two = tokens.mix((squares[at[1:]] - squares[at[:-1]]) * tokens.powers(pow(0xA24BAED4963EE407, -1, 1 << 64), len(words) + 1)[at[:-1]])
-            full = np.diff(at) > 0
-            shingles, begin = shingle_hashes(words, at)
-            some = np.concatenate([begin[:-1][full], begin[-1:]])
-            rows = order_sketches(label_occurrences(shingles, begin), some) if full.any() else np.zeros((0, SKETCHES), np.uint64)
-            width = np.where(full, SKETCHES, 0)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(width)]), pa.int32()), pa.array(rows.reshape(-1).view(np.int64)))
+            lists = sketch_lists(words, at)
             bags = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(np.arange(j - i + 1, dtype=np.int32) * COUNTS), pa.py_buffer(word_counts(words, at))])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(i, j - i), pa.array(np.diff(at), pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists, bags],
@@ -276,8 +287,13 @@ def _aligner(similarity: float):
         for batch in batches:
             good, near = np.zeros(batch.num_rows, bool), np.zeros(batch.num_rows, bool)
             one, two = (tokens.text_buffer(batch.column(k)) for k in (2, 3))
+            last, a = None, np.zeros(0, np.uint64)
             for r in range(batch.num_rows):
-                a, b = (tokens.word_hashes(d[o[r] : o[r + 1]], np.array([0, o[r + 1] - o[r]]))[0] for d, o in (one, two))
+                (d, o), (e, p) = one, two
+                raw = d[o[r] : o[r + 1]].tobytes()
+                if raw != last:  # rows come by center
+                    last, a = raw, tokens.word_hashes(d[o[r] : o[r + 1]], np.array([0, o[r + 1] - o[r]]))[0]
+                b = tokens.word_hashes(e[p[r] : p[r + 1]], np.array([0, p[r + 1] - p[r]]))[0]
                 good[r] = similar(a, b, similarity)
                 near[r] = not good[r] and not too_far(bag_distance(a, b), len(a), len(b), similarity)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good), pa.array(near)], ["center", "member", "good", "near"])
@@ -287,7 +303,8 @@ def _aligner(similarity: float):
 
 def align(pairs: DataFrame, texts: DataFrame, *, similarity: float) -> DataFrame:
     """``pairs`` (center, member) with ``good``: whether their ``texts`` (id, t) align within the band, and ``near``: whether
-    a text that matches one could match the other although they do not match."""
+    a text that matches one could match the other although they do not match.  The text of a member travels once for each
+    of its pairs, that of a center once for all of them."""
     both = pairs.join(texts.withColumnsRenamed({"id": "member", "t": "b"}), "member").join(texts.withColumnsRenamed({"id": "center", "t": "a"}), "center")
     kind = dict(pairs.dtypes)["center"]
     return both.select("center", "member", "a", "b").mapInArrow(_aligner(similarity), f"center {kind}, member {kind}, good boolean, near boolean")
@@ -296,110 +313,154 @@ def align(pairs: DataFrame, texts: DataFrame, *, similarity: float) -> DataFrame
 # --- candidates ------------------------------------------------------------------------------------------------------
 
 
-def _matrix(column: pa.Array, kind: type, width: int) -> np.ndarray:
-    """A column of lists or bytes of one length as a matrix."""
-    if pa.types.is_list(column.type):
-        return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, width)
-    return tokens.text_buffer(column)[0].view(kind).reshape(-1, width)
+def _bags(column: pa.Array) -> np.ndarray:
+    return tokens.text_buffer(column)[0].reshape(-1, COUNTS)
 
 
-def _screener(similarity: float, shared: int):
+def _screener(similarity: float):
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sc, sm = (_matrix(batch.column(k), np.int64, SKETCHES) for k in (2, 3))
-            more = _matrix(batch.column(4), np.uint8, COUNTS).astype(np.int16) - _matrix(batch.column(5), np.uint8, COUNTS)
-            one, two = (batch.column(k).to_numpy() for k in (6, 7))
+            more = _bags(batch.column(3)).astype(np.int16) - _bags(batch.column(4))
+            one, two = (batch.column(k).to_numpy() for k in (5, 6))
             bound = np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1))
-            likely = ((sc == sm).sum(1) >= shared) & (bound <= np.floor((1 - similarity) * np.maximum(one, two) + 1e-9))
+            likely = bound <= np.floor((1 - similarity) * np.maximum(one, two) + 1e-9)
             near = ~likely & ~too_far(bound, one, two, similarity)
-            keep = pa.array(likely | near)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(likely), pa.array(near)], ["center", "member", "likely", "near"]).filter(keep)
+            columns = [*batch.columns[:3], pa.array(likely), pa.array(near)]
+            yield pa.RecordBatch.from_arrays(columns, ["turn", "center", "member", "likely", "near"]).filter(pa.array(likely | near))
 
     return screen
 
 
-def screen(pairs: DataFrame, keys: DataFrame, *, similarity: float, shared: int) -> DataFrame:
-    """``pairs`` (center, member) that are ``likely`` to match, or else ``near`` (see ``align``); the others go."""
-    member = keys.select(F.col("id").alias("member"), F.col("sketches").alias("sm"), F.col("bag").alias("bm"), F.col("n").alias("nm"))
-    center = keys.select(F.col("id").alias("center"), F.col("sketches").alias("sc"), F.col("bag").alias("bc"), F.col("n").alias("nc"))
-    kind = dict(pairs.dtypes)["center"]
-    both = pairs.join(member, "member").join(center, "center").select("center", "member", "sc", "sm", "bc", "bm", "nc", "nm")
-    return both.mapInArrow(_screener(similarity, shared), f"center {kind}, member {kind}, likely boolean, near boolean")
-
-
-def _stars(pairs: DataFrame) -> DataFrame:
-    """Links (center, member) between each member of a class and its least, for those of the links ``pairs``."""
-    return components(pairs, "center", "member").where("node <> label").select(F.col("label").alias("center"), F.col("node").alias("member"))
-
-
-def _pairs(marked: DataFrame, *, similarity: float, shared: int) -> DataFrame:
-    """Pairs (center, member, one, two, common) of two parts that share ``shared`` sketches and may match, each once.
-
-    ``marked``: bucket, last, member, size, part, n, good, far, sketches.  A pair comes from the bucket of the first sketch that
-    it shares.  One side of a bucket is dealt to a task for each ``DEAL`` members, the other goes to all of them.
-    """
-    deals = F.ceil(F.col("n") / DEAL).cast("int")
-    left = marked.select("bucket", F.pmod(F.hash("member"), deals).alias("deal"), "last", *(F.col(c).alias(f"{c}_1") for c in ("member", "size", "part", "good", "far", "sketches")))
-    right = marked.select("bucket", F.explode(F.sequence(F.lit(0), deals - 1)).alias("deal"), *(F.col(c).alias(f"{c}_2") for c in ("member", "size", "part", "good", "far", "sketches")))
-    same = [F.get("sketches_1", F.lit(k)) == F.get("sketches_2", F.lit(k)) for k in range(SKETCHES)]
-    common = reduce(lambda x, y: x + y, (x.cast("int") for x in same))
-    lead = reduce(lambda x, k: x.when(same[k], k), range(1, SKETCHES), F.when(same[0], 0))
-    fits = (F.col("member_1") < F.col("member_2")) & (F.col("part_1") != F.col("part_2"))
-    fits &= F.least("size_1", "size_2") >= similarity * F.greatest("size_1", "size_2") - 1e-6
-    fits &= ~((F.col("good_1") & F.col("far_2")) | (F.col("far_1") & F.col("good_2")))
-    fits &= (lead == F.col("last")) & (common >= shared)
-    met = left.join(right, ["bucket", "deal"]).where(fits)
-    return met.select(F.col("member_1").alias("center"), F.col("member_2").alias("member"), F.col("part_1").alias("one"), F.col("part_2").alias("two"), common.alias("common"))
-
-
-def links(nodes: DataFrame, docs: DataFrame, *, doc_id: str, text: str, similarity: float = SIMILARITY, shared: int = SHARED) -> DataFrame:
+def screen(pairs: DataFrame, keys: DataFrame, *, similarity: float) -> DataFrame:
+    """``pairs`` (turn, member) of a text and the center of the hash ``turn`` that are ``likely`` to match, or else ``near``
+    (see ``align``), with the center; the others go."""
+    member = keys.select(F.col("id").alias("member"), F.col("bag").alias("bm"), F.col("n").alias("nm"))
+    center = keys.select("turn", F.col("id").alias("center"), F.col("bag").alias("bc"), F.col("n").alias("nc"))
+    kind = dict(keys.dtypes)["id"]
+    both = pairs.join(member, "member").join(center, "turn").select("turn", "center", "member", "bc", "bm", "nc", "nm")
+    return both.mapInArrow(_screener(similarity), f"turn bigint, center {kind}, member {kind}, likely boolean, near boolean")
+
+
+def close_pairs(n_one: np.ndarray, one: np.ndarray, n_two: np.ndarray, two: np.ndarray, open_: Callable[[slice, slice], np.ndarray], similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of the pairs of two lists of texts, each in order of their numbers of words ``n``, that fit in length, that
+    ``open_`` lets through, and that the counts of words do not tell apart: first 32 of them, then all 256."""
+    coarse = [x.reshape(-1, COARSE, COUNTS // COARSE).sum(2).astype(np.int32).T.copy() for x in (one, two)]
+    found = []
+    for i in range(0, len(n_one), 64):
+        rows = slice(i, min(i + 64, len(n_one)))
+        low = np.searchsorted(n_two, np.ceil(similarity * n_one[i] - 1e-6))
+        high = np.searchsorted(n_two, np.floor(n_one[rows.stop - 1] / similarity + 1e-6), "right")
+        for j in range(int(low), int(high), 2048):
+            columns = slice(j, min(j + 2048, int(high)))
+            ok = open_(rows, columns)
+            if not ok.any():
+                continue
+            a, b = n_one[rows, None], n_two[None, columns]
+            spare = 2 * np.floor((1 - similarity) * np.maximum(a, b) + 1e-9) - np.abs(a - b)
+            apart = np.zeros(ok.shape, np.int32)
+            for c in range(COARSE):
+                apart += np.abs(coarse[0][c, rows, None] - coarse[1][c, None, columns])
+            x, y = np.nonzero(ok & (apart <= spare))
+            for k in range(0, len(x), 4096):
+                p, q = x[k : k + 4096], y[k : k + 4096]
+                fine = np.abs(one[p + i].astype(np.int16) - two[q + j]).sum(1, dtype=np.int64) <= spare[p, q]
+                found.append(np.stack([p[fine] + i, q[fine] + j]))
+    both = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
+    return both[0], both[1]
+
+
+def _blocks(similarity: float):
+    """Rows in order of (bucket, low, high): members of two blocks, or of one where these are equal -> pairs to align."""
+
+    def pairs(group: pa.Table) -> pa.RecordBatch:
+        n = group.column("n").to_numpy()
+        order = np.argsort(n, kind="stable")
+        group, n = group.take(pa.array(order)).combine_chunks(), n[order]
+        bags = _bags(group.column("bag").combine_chunks() if isinstance(group.column("bag"), pa.ChunkedArray) else group.column("bag"))
+        part = np.asarray(group.column("part").combine_chunks().dictionary_encode().indices)
+        good, far, own = (group.column(c).to_numpy() for c in ("good", "far", "own"))
+        low = group.column("low")[0].as_py()
+        sides = [np.arange(len(n))] * 2 if low == group.column("high")[0].as_py() else [np.flatnonzero(own == low), np.flatnonzero(own != low)]
+
+        def open_(rows: slice, columns: slice) -> np.ndarray:
+            i, j = sides[0][rows, None], sides[1][None, columns]
+            ok = (part[i] != part[j]) & ~(good[i] & far[j]) & ~(far[i] & good[j])
+            return ok & (i < j) if sides[0] is sides[1] else ok
+
+        x, y = close_pairs(n[sides[0]], bags[sides[0]], n[sides[1]], bags[sides[1]], open_, similarity)
+        names = [group.column(c).combine_chunks() for c in ("member", "part")]
+        columns = [names[k].take(pa.array(side[at])) for k in (0, 1) for side, at in zip(sides, (x, y), strict=True)]
+        return pa.RecordBatch.from_arrays(columns, ["center", "member", "one", "two"])
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(k).to_numpy() for k in range(3)])
+            cuts = np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1, [batch.num_rows]])
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if last is not None and tuple(keys[:, i]) != last and held:
+                    yield pairs(pa.Table.from_batches(held))
+                    held = []
+                last = tuple(keys[:, i])
+                held.append(batch.slice(i, j - i))
+        if held:
+            yield pairs(pa.Table.from_batches(held))
+
+    return blocks
+
+
+def _pairs(rest: DataFrame, keys: DataFrame, *, similarity: float, block: int) -> DataFrame:
+    """Pairs (center, member, one, two) of texts of two parts that have a bucket in common and that their counts do not tell apart.
+
+    ``rest``: bucket, size, member, part, good, far.  A bucket is dealt into blocks, and two of them at a time meet in a task."""
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    dealt = rest.select("bucket", "member", "part", "good", "far", F.pmod(F.hash("member"), blocks).alias("own"), blocks.alias("blocks"))
+    dealt = dealt.join(keys.select(F.col("id").alias("member"), "n", "bag"), "member")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    spread = dealt.where("blocks = 1").select("*", F.lit(0).alias("other")).union(dealt.where("blocks > 1").select("*", other))
+    rows = spread.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "member", "n", "part", "good", "far", "bag")
+    met = rows.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+    kind = dict(keys.dtypes)["id"]
+    return met.mapInArrow(_blocks(similarity), f"center {kind}, member {kind}, one {kind}, two {kind}")
+
+
+def links(nodes: DataFrame, docs: DataFrame, *, doc_id: str, text: str, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """Links (a, b) among ``nodes`` (id, n, sketches, bag)."""
-    keys = nodes.select("id", "n", "sketches", "bag")
-    rows = nodes.select(F.posexplode("sketches").alias("last", "value"), F.col("id").alias("member"), F.col("n").alias("size"))
-    rows = rows.select(F.xxhash64("last", "value").alias("bucket"), "last", "member", "size")
-    rows = stash(rows.join(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket"))
-    if rows.isEmpty():
-        return nodes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    weight = rows.groupBy("member").agg(F.sum(F.round(1000 * F.log2("n")).cast("bigint")).alias("weight"))
-    top = rows.join(weight, "member").groupBy("bucket").agg(F.max(F.struct("weight", "member")).alias("top"))
-    met = stash(rows.join(top.select("bucket", F.col("top.member").alias("center")), "bucket"))
+    keys = nodes.select("id", "n", "bag", F.xxhash64("id").alias("turn"))
+    rows = nodes.select(F.explode("sketches").alias("bucket"), F.col("id").alias("member"), F.xxhash64("id").alias("own"))
+    # The center of a bucket is the member with the least hash.  Should two have one hash, both are centers.
+    met = stash(rows.join(rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("own").alias("turn")).where("size > 1"), "bucket"))
+    others = met.where("own <> turn")
+    judged = stash(screen(others.select("turn", "member").distinct(), keys, similarity=similarity))
+    # Texts are needed of those that may match their center or a text of the same bucket.
     texts = stash(docs.select(F.col(doc_id).alias("id"), text_or_empty(text).alias("t")).join(met.select(F.col("member").alias("id")).distinct(), "id", "left_semi"))
-    first = stash(screen(met.where("member <> center").select("center", "member").distinct(), keys, similarity=similarity, shared=shared))
-    aligned = align(first.where("likely").select("center", "member"), texts, similarity=similarity)
-    judged = stash(aligned.union(first.where("near").select("center", "member", F.lit(False), "near")))
-    found = _stars(judged.where("good").select("center", "member"))
-    # Members known to be of one class need no further link; a bucket of one class is done.
-    part = found.select("member", F.col("center").alias("part"))
-    marked = met.join(judged.where("good or near"), ["center", "member"], "left").join(part, "member", "left")
-    good = F.coalesce("good", F.lit(False)) | (F.col("member") == F.col("center"))
-    marked = stash(marked.select("bucket", "last", "member", "size", "n", F.coalesce("part", "member").alias("part"), good.alias("good"), (~(good | F.coalesce("near", F.lit(False)))).alias("far")))
+    aligned = align(judged.where("likely").select("center", "member").distinct(), texts, similarity=similarity)
+    seen = stash(judged.select("turn", "center", "member", "likely").join(aligned, ["center", "member"], "left").select("turn", "center", "member", F.coalesce("good", F.lit(False)).alias("good"), (F.coalesce("near", F.lit(False)) | ~F.col("likely")).alias("near")))
+    found = seen.where("good").select("center", "member")
+    # Texts with one part are of one class: both match a center, or centers that match one.
+    once = found.groupBy("member").agg(F.min("center").alias("part"))
+    part = once.join(once.select(F.col("member").alias("part"), F.col("part").alias("further")), "part", "left").select("member", F.coalesce("further", "part").alias("part"))
+    state = seen.groupBy("turn", "member").agg(F.max("good").alias("good"), F.max("near").alias("near"))
+    good = F.coalesce("good", F.lit(False))
+    marked = others.where("size > 2").join(state, ["turn", "member"], "left").join(part, "member", "left")
+    marked = stash(marked.select("bucket", "size", "member", F.coalesce("part", "member").alias("part"), good.alias("good"), (~(good | F.coalesce("near", F.lit(False)))).alias("far")))
     mixed = marked.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("bucket")
-    open_ = marked.join(mixed, "bucket", "left_semi").join(keys.select(F.col("id").alias("member"), "sketches"), "member")
-    tried = judged.select(F.least("center", "member").alias("center"), F.greatest("center", "member").alias("member"))
-    across = stash(_pairs(open_, similarity=similarity, shared=shared).join(tried, ["center", "member"], "left_anti"))
-    likely = screen(across.select("center", "member"), keys, similarity=similarity, shared=0).where("likely").select("center", "member")
-    waiting = stash(across.join(likely, ["center", "member"]))
-    # One pair, then sixteen, then all that are left of any two parts that are not linked yet.
-    for turns in (1, 16, None):
-        if waiting.isEmpty():
-            break
-        picked = waiting
-        if turns:
-            best = F.max(F.struct("common", "center", "member", "one", "two"))
-            picked = waiting.groupBy("one", "two", F.pmod(F.hash("center", "member"), F.lit(turns)).alias("turn")).agg(best.alias("best")).select("best.*")
-        settled = stash(align(picked.select("center", "member"), texts, similarity=similarity))
-        fresh = settled.where("good").select("center", "member")
-        found = found.union(fresh)
-        if turns:
-            label = stash(components(waiting.join(fresh, ["center", "member"], "left_semi"), "one", "two"))
-            left = waiting.join(settled.select("center", "member"), ["center", "member"], "left_anti")
-            for side in ("one", "two"):
-                left = left.join(label.withColumnRenamed("node", side), side, "left").withColumn(side, F.coalesce("label", side)).drop("label")
-            ordered = left.where("one <> two").select("center", "member", F.least("one", "two").alias("one"), F.greatest("one", "two").alias("two"), "common")
-            waiting = stash(ordered)
-    return found.select(F.col("center").alias("a"), F.col("member").alias("b"))
+    across = _pairs(marked.join(mixed, "bucket", "left_semi"), keys, similarity=similarity, block=block)
+    across = across.select(F.least("center", "member").alias("center"), F.greatest("center", "member").alias("member"), F.least("one", "two").alias("one"), F.greatest("one", "two").alias("two")).distinct()
+    tried = seen.select(F.least("center", "member").alias("center"), F.greatest("center", "member").alias("member")).distinct()
+    across = stash(across.join(tried, ["center", "member"], "left_anti"))
+    # One pair of any two parts, then all pairs of those that it does not link.
+    lead = across.groupBy("one", "two").agg(F.min(F.struct("center", "member")).alias("pair")).select("one", "two", "pair.*")
+    tested = stash(lead.join(align(lead.select("center", "member"), texts, similarity=similarity), ["center", "member"]).select("one", "two", "center", "member", "good"))
+    left = across.join(tested.where("good").select("one", "two"), ["one", "two"], "left_anti").join(tested.select("center", "member"), ["center", "member"], "left_anti")
+    more = align(left.select("center", "member"), texts, similarity=similarity)
+    all_ = found.union(tested.where("good").select("center", "member")).union(more.where("good").select("center", "member"))
+    return all_.select(F.col("center").alias("a"), F.col("member").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:

@@ -128,13 +128,26 @@ def test_a_large_family_and_a_shared_passage(spark):
     assert all(named[i] == i for i in range(1000, 1120))
 
 
+def plain_links(rows):
+    """All pairs with an edit similarity of 0.8: a bound from counts of words, then the alignment."""
+    words = [np.array([hash(w) for w in t.split()], np.int64).view(np.uint64) for _, t in rows]
+    n = np.array([len(w) for w in words])
+    counts = np.stack([np.bincount((w % np.uint64(509)).astype(np.int64), minlength=509) for w in words]).astype(np.int32)
+    out = []
+    for i in range(len(rows)):
+        apart = np.abs(counts[i + 1 :] - counts[i]).sum(1) + np.abs(n[i + 1 :] - n[i])
+        for j in np.flatnonzero(apart <= 2 * np.floor(0.2 * np.maximum(n[i + 1 :], n[i]) + 1e-9)) + i + 1:
+            if near_dup.similar(words[i], words[j]):
+                out.append((rows[i][0], rows[j][0]))
+    return out
+
+
 def plain_classes(spark, rows):
-    """Classes of the link rule, every pair of texts looked at: three sketches in common and an edit similarity of 0.8."""
-    sketches = {r["id"]: r["sketches"] for r in near_dup.sketch(frame(spark, rows)).collect()}
+    """Classes of the link rule, every pair of texts looked at: a sketch in common and an edit similarity of 0.8."""
+    sketches = {r["id"]: set(r["sketches"]) for r in near_dup.sketch(frame(spark, rows)).collect()}
     label = {i: i for i, _ in rows}
-    words = {i: np.array([hash(w) for w in t.split()], np.int64).view(np.uint64) for i, t in rows}
-    for i, j in itertools.combinations(sorted(label), 2):
-        if sum(x == y for x, y in zip(sketches[i], sketches[j])) >= 3 and near_dup.similar(words[i], words[j]):
+    for i, j in plain_links(rows):
+        if sketches[i] & sketches[j]:
             old, new = max(label[i], label[j]), min(label[i], label[j])
             label = {k: new if v == old else v for k, v in label.items()}
     return label
@@ -174,6 +187,44 @@ def test_pairs_that_meet_in_large_buckets_only(spark):
     assert sum(named[2 * i + 1] == 2 * i for i in range(100)) > 80
 
 
+def test_blocks_of_one_bucket(spark):
+    # One passage in 500 texts, and pairs of them that match each other but not the center, in blocks of 50.
+    passage = prose(100, 81).split()
+    rows = []
+    for i in range(250):
+        tail = rich(60, 2000 + i).split()
+        rows += [(2 * i, " ".join(passage + tail)), (2 * i + 1, " ".join(passage + edited(tail, range(0, 60, 4), f"d{i}")))]
+    docs = frame(spark, rows)
+    nodes = near_dup.sketch(docs).select("id", "n", "sketches", "bag").persist()
+    assert max(r["count"] for r in nodes.select(F.explode("sketches").alias("s")).groupBy("s").count().collect()) > 400
+    got = {tuple(sorted(r)) for r in near_dup.links(nodes, docs, doc_id="doc_id", text="text", block=50).collect()}
+    assert got == {(2 * i, 2 * i + 1) for i in range(250)}
+
+
+def test_recall_by_edit_similarity(spark):
+    # 1,000 planted pairs: substitutions, omissions and insertions in random places.  Links by brute force over all pairs.
+    r = random.Random(12)
+    rows, band = [], {}
+    for i in range(1000):
+        n, similarity = r.choice((30, 80, 150, 400)), (0.80, 0.82, 0.85, 0.90, 0.95, 0.99)[i % 6]
+        a = rich(n, 5000 + i).split()
+        b = list(a)
+        for k in r.sample(range(n), int((1 - similarity) * n + 1e-9)):
+            kind = r.random()
+            b[k] = "" if kind < 0.15 else b[k] + f" i{k}" if kind < 0.3 else f"s{k}"
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+        band[2 * i] = similarity
+    found = {x["doc_id"]: x["class_id"] for x in near_dup.near_duplicates(frame(spark, rows)).collect()}
+    real = plain_links(rows)
+    assert len(real) >= 950
+    recall = {s: np.mean([found[i] == found[j] for i, j in real if band[i - i % 2] == s]) for s in sorted(set(band.values()))}
+    print({s: round(float(v), 3) for s, v in recall.items()})
+    assert min(recall.values()) >= 0.9
+    linked = {frozenset(p) for p in real}
+    assert all(frozenset((2 * i, 2 * i + 1)) in linked for i in range(1000) if found[2 * i] == found[2 * i + 1])
+    assert all(found[i] in (i, i - i % 2) for i, _ in rows)
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(40)] + [(100, 100), (200, 201), (None, 3)]
     got = {r["node"]: r["label"] for r in components.components(spark.createDataFrame(pairs, "a int, b int")).collect()}
