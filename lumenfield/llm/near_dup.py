@@ -12,10 +12,11 @@ bucket (texts with one sketch in common) are first held against one of them, its
 it is: a row for each member.  A center has then met all others and leaves.  A bucket of which the rest is not known to be
 of one class goes on to tasks that hold it in blocks of at most ``BLOCK`` members and look at the pairs of two classes that
 fit in length and are not told apart by the triangle inequality (one matches the center, the other is too far from it to
-match any text that does).  A lower bound on the edit distance, from 256 counts of hashed words, turns pairs down there,
-and only what it leaves becomes rows: pairs that match or nearly do.  No bucket is cut and no pair of two classes that
-share a sketch is left out.  What is quadratic are the comparisons of counts within a bucket of texts that share a passage and
-little else, some 20 ns a pair.
+match any text that does).  A lower bound on the edit distance, from counts of hashed words, turns pairs down there.  Of what
+it leaves, a block gives in two rounds only the pairs of a forest, as if all of them matched: a row for each member at most.
+Members that match become one class, and after the rounds all pairs of two classes that are still open are aligned.  No
+bucket is cut and no pair of two classes that share a sketch is left out.  What is quadratic are the comparisons of counts
+within a bucket of texts that share a passage and little else, some 20 ns a pair.
 
 Recall: the sketches are the one place where links are lost, see the README for figures by edit similarity.
 
@@ -44,9 +45,11 @@ SKETCHES = 80
 SHORT_SHINGLE = 2
 SHORT_SKETCHES = 24
 SHORT_WORDS = 80
-BLOCK = 8192
+BLOCK = 4096
+FOREST_ROUNDS = 2
 SIMILARITY = 0.8
 COUNTS = 256
+MOST_COUNTS = 8192
 COARSE = 32
 
 
@@ -103,11 +106,26 @@ def order_sketches(labelled: np.ndarray, at: np.ndarray, sketches: int = SKETCHE
     return out
 
 
-def word_counts(words: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """For each text how many of its words fall to each of 256 values of a hash; counts above 255 are 255."""
-    texts = len(at) - 1
-    cell = np.repeat(np.arange(texts) * COUNTS, np.diff(at)) + (tokens.mix(words) >> np.uint64(56)).astype(np.int64)
-    return np.minimum(np.bincount(cell, minlength=texts * COUNTS), 255).astype(np.uint8)
+def widths(n: np.ndarray) -> np.ndarray:
+    """How many counts a text of ``n`` words has: a power of two, from 256 up to half the words or more, at most 8192."""
+    half = np.ceil(np.log2(np.maximum(n, 2) / 2)).astype(np.int64)
+    return 1 << np.clip(half, COUNTS.bit_length() - 1, MOST_COUNTS.bit_length() - 1)
+
+
+def word_counts(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each text how many of its words fall to each value of the high bits of a hash, and where the counts of each
+    text begin; counts above 255 are 255."""
+    n = np.diff(at)
+    width = widths(n)
+    begin = np.concatenate([[0], np.cumsum(width)])
+    shift = (64 - np.log2(width).astype(np.int64)).astype(np.uint64)
+    cell = np.repeat(begin[:-1], n) + (tokens.mix(words) >> np.repeat(shift, n)).astype(np.int64)
+    return np.minimum(np.bincount(cell, minlength=int(begin[-1])), 255).astype(np.uint8), begin
+
+
+def folded(counts: np.ndarray, width: int) -> np.ndarray:
+    """Rows of counts with neighbours added up to ``width`` of them."""
+    return counts.reshape(len(counts), width, -1).sum(2, dtype=np.int16)
 
 
 def sketch_lists(words: np.ndarray, at: np.ndarray) -> pa.ListArray:
@@ -138,7 +156,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             one = tokens.mix((sums[at[1:]] - sums[at[:-1]]) * tokens.powers(pow(int(tokens.BASE), -1, 1 << 64), len(words) + 1)[at[:-1]])
             two = tokens.mix((squares[at[1:]] - squares[at[:-1]]) * tokens.powers(pow(0xA24BAED4963EE407, -1, 1 << 64), len(words) + 1)[at[:-1]])
             lists = sketch_lists(words, at)
-            bags = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(np.arange(j - i + 1, dtype=np.int32) * COUNTS), pa.py_buffer(word_counts(words, at))])
+            counts, edges = word_counts(words, at)
+            bags = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(counts)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(i, j - i), pa.array(np.diff(at), pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists, bags],
                 ["id", "n", "one", "two", "sketches", "bag"],
@@ -313,8 +332,39 @@ def align(pairs: DataFrame, texts: DataFrame, *, similarity: float) -> DataFrame
 # --- candidates ------------------------------------------------------------------------------------------------------
 
 
-def _bags(column: pa.Array) -> np.ndarray:
-    return tokens.text_buffer(column)[0].reshape(-1, COUNTS)
+class Bags:
+    """Counts of words of many texts, folded to what two of them have in common."""
+
+    def __init__(self, column: pa.Array):
+        data, at = tokens.text_buffer(column)
+        self.width = np.diff(at)
+        self.base = np.zeros((len(self.width), COUNTS), np.int16)
+        self.levels: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        wider = {}
+        for w in np.unique(self.width).tolist():
+            rows = np.flatnonzero(self.width == w)
+            counts = data[tokens.ranges(at[:-1][rows], np.full(len(rows), w))].reshape(-1, w)
+            self.base[rows] = folded(counts, COUNTS)
+            wider[w] = rows, counts
+        for w in wider:
+            if w > COUNTS:
+                parts = [wider[w], *((wider[2 * w],) if 2 * w in wider else ())]
+                place = np.zeros(len(self.width), np.int64)
+                rows = np.concatenate([r for r, _ in parts])
+                place[rows] = np.arange(len(rows))
+                self.levels[w] = place, np.concatenate([folded(c, w) for _, c in parts])
+
+    def apart(self, x: np.ndarray, other: Bags, y: np.ndarray) -> np.ndarray:
+        """Twice a lower bound on the edit distance, less the difference in length, for pairs of rows that fit in length."""
+        out = np.zeros(len(x), np.int64)
+        level = np.minimum(self.width[x], other.width[y])
+        for w in np.unique(level).tolist():
+            own = np.flatnonzero(level == w)
+            mine, theirs = (b.levels.get(w, (np.arange(len(b.base)), b.base)) for b in (self, other))
+            for k in range(0, len(own), max(1, (1 << 21) // w)):
+                part = own[k : k + max(1, (1 << 21) // w)]
+                out[part] = np.abs(mine[1][mine[0][x[part]]] - theirs[1][theirs[0][y[part]]]).sum(1, dtype=np.int64)
+        return out
 
 
 def _screener(similarity: float):
@@ -322,10 +372,14 @@ def _screener(similarity: float):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            more = _bags(batch.column(3)).astype(np.int16) - _bags(batch.column(4))
+            bags = Bags(batch.column(3)), Bags(batch.column(4))
             one, two = (batch.column(k).to_numpy() for k in (5, 6))
+            more = bags[0].base - bags[1].base
             bound = np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1))
-            likely = bound <= np.floor((1 - similarity) * np.maximum(one, two) + 1e-9)
+            most = np.floor((1 - similarity) * np.maximum(one, two) + 1e-9)
+            fine = np.flatnonzero((bound <= most) & (np.abs(one - two) <= most))
+            bound[fine] = (bags[0].apart(fine, bags[1], fine) + np.abs(one - two)[fine] + 1) // 2
+            likely = bound <= most
             near = ~likely & ~too_far(bound, one, two, similarity)
             columns = [*batch.columns[:3], pa.array(likely), pa.array(near)]
             yield pa.RecordBatch.from_arrays(columns, ["turn", "center", "member", "likely", "near"]).filter(pa.array(likely | near))
@@ -343,11 +397,11 @@ def screen(pairs: DataFrame, keys: DataFrame, *, similarity: float) -> DataFrame
     return both.mapInArrow(_screener(similarity), f"turn bigint, center {kind}, member {kind}, likely boolean, near boolean")
 
 
-def close_pairs(n_one: np.ndarray, one: np.ndarray, n_two: np.ndarray, two: np.ndarray, open_: Callable[[slice, slice], np.ndarray], similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+def close_pairs(n_one: np.ndarray, one: Bags, n_two: np.ndarray, two: Bags, open_: Callable[[slice, slice], np.ndarray], similarity: float = SIMILARITY) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places (i, j) of the pairs of two lists of texts, each in order of their numbers of words ``n``, that fit in length, that
-    ``open_`` lets through, and that the counts of words do not tell apart: first 32 of them, then all 256."""
-    coarse = [x.reshape(-1, COARSE, COUNTS // COARSE).sum(2).astype(np.int32).T.copy() for x in (one, two)]
-    found = []
+    ``open_`` lets through, and that the counts of words do not tell apart: 32 of them, then 256, then all.  Rows of the first
+    list come a few at a time, and ``open_`` is asked again for each."""
+    coarse = [folded(x.base, COARSE).T.astype(np.int32).copy() for x in (one, two)]
     for i in range(0, len(n_one), 64):
         rows = slice(i, min(i + 64, len(n_one)))
         low = np.searchsorted(n_two, np.ceil(similarity * n_one[i] - 1e-6))
@@ -365,34 +419,54 @@ def close_pairs(n_one: np.ndarray, one: np.ndarray, n_two: np.ndarray, two: np.n
             x, y = np.nonzero(ok & (apart <= spare))
             for k in range(0, len(x), 4096):
                 p, q = x[k : k + 4096], y[k : k + 4096]
-                fine = np.abs(one[p + i].astype(np.int16) - two[q + j]).sum(1, dtype=np.int64) <= spare[p, q]
-                found.append(np.stack([p[fine] + i, q[fine] + j]))
-    both = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
-    return both[0], both[1]
+                near = np.abs(one.base[p + i] - two.base[q + j]).sum(1, dtype=np.int64) <= spare[p, q]
+                p, q = p[near], q[near]
+                near = one.apart(p + i, two, q + j) <= spare[p, q]
+                yield p[near] + i, q[near] + j
 
 
-def _blocks(similarity: float):
-    """Rows in order of (bucket, low, high): members of two blocks, or of one where these are equal -> pairs to align."""
+def _blocks(similarity: float, forest: bool, backwards: bool):
+    """Rows in order of (bucket, low, high): members of two blocks, or of one where these are equal -> pairs to align, with
+    ``forest`` no more than link their parts if all match."""
 
     def pairs(group: pa.Table) -> pa.RecordBatch:
         n = group.column("n").to_numpy()
         order = np.argsort(n, kind="stable")
         group, n = group.take(pa.array(order)).combine_chunks(), n[order]
-        bags = _bags(group.column("bag").combine_chunks() if isinstance(group.column("bag"), pa.ChunkedArray) else group.column("bag"))
-        part = np.asarray(group.column("part").combine_chunks().dictionary_encode().indices)
+        column = lambda c: x.combine_chunks() if isinstance(x := group.column(c), pa.ChunkedArray) else x
+        part, bag, member = column("part").to_numpy(), column("bag"), column("member")
+        label = np.unique(part, return_inverse=True)[1]
         good, far, own = (group.column(c).to_numpy() for c in ("good", "far", "own"))
         low = group.column("low")[0].as_py()
         sides = [np.arange(len(n))] * 2 if low == group.column("high")[0].as_py() else [np.flatnonzero(own == low), np.flatnonzero(own != low)]
+        if backwards:
+            sides = sides[::-1]
 
         def open_(rows: slice, columns: slice) -> np.ndarray:
             i, j = sides[0][rows, None], sides[1][None, columns]
-            ok = (part[i] != part[j]) & ~(good[i] & far[j]) & ~(far[i] & good[j])
-            return ok & (i < j) if sides[0] is sides[1] else ok
-
-        x, y = close_pairs(n[sides[0]], bags[sides[0]], n[sides[1]], bags[sides[1]], open_, similarity)
-        names = [group.column(c).combine_chunks() for c in ("member", "part")]
-        columns = [names[k].take(pa.array(side[at])) for k in (0, 1) for side, at in zip(sides, (x, y), strict=True)]
-        return pa.RecordBatch.from_arrays(columns, ["center", "member", "one", "two"])
+            ok = (label[i] != label[j]) & ~(good[i] & far[j]) & ~(far[i] & good[j])
+            if sides[0] is sides[1]:
+                ok &= (i > j) if backwards else (i < j)
+            return ok
+
+        bags = [Bags(bag)] * 2 if sides[0] is sides[1] else [Bags(bag.take(pa.array(s))) for s in sides]
+        out: list[list[np.ndarray]] = [[], []]
+        for x, y in close_pairs(n[sides[0]], bags[0], n[sides[1]], bags[1], open_, similarity):
+            x, y = sides[0][x], sides[1][y]
+            if forest:
+                kept = []
+                for i in np.unique(x).tolist():
+                    met = np.flatnonzero(x == i)
+                    met = met[label[y[met]] != label[i]]
+                    values, first = np.unique(label[y[met]], return_index=True)
+                    kept.append(met[first])
+                    label[np.isin(label, values)] = label[i]
+                keep = np.concatenate(kept) if kept else np.zeros(0, np.int64)
+                x, y = x[keep], y[keep]
+            out[0].append(x)
+            out[1].append(y)
+        x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in out)
+        return pa.RecordBatch.from_arrays([member.take(pa.array(x)), member.take(pa.array(y)), pa.array(part[x]), pa.array(part[y])], ["center", "member", "one", "two"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -414,22 +488,29 @@ def _blocks(similarity: float):
     return blocks
 
 
-def _pairs(rest: DataFrame, keys: DataFrame, *, similarity: float, block: int) -> DataFrame:
+def _pairs(rest: DataFrame, keys: DataFrame, *, similarity: float, block: int, forest: bool, backwards: bool) -> DataFrame:
     """Pairs (center, member, one, two) of texts of two parts that have a bucket in common and that their counts do not tell apart.
 
     ``rest``: bucket, size, member, part, good, far.  A bucket is dealt into blocks, and two of them at a time meet in a task."""
     blocks = F.ceil(F.col("size") / block).cast("int")
     dealt = rest.select("bucket", "member", "part", "good", "far", F.pmod(F.hash("member"), blocks).alias("own"), blocks.alias("blocks"))
     dealt = dealt.join(keys.select(F.col("id").alias("member"), "n", "bag"), "member")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    spread = dealt.where("blocks = 1").select("*", F.lit(0).alias("other")).union(dealt.where("blocks > 1").select("*", other))
+    spread = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = spread.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "member", "n", "part", "good", "far", "bag")
     met = rows.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
     kind = dict(keys.dtypes)["id"]
-    return met.mapInArrow(_blocks(similarity), f"center {kind}, member {kind}, one {kind}, two {kind}")
+    found = met.mapInArrow(_blocks(similarity, forest, backwards), f"center {kind}, member {kind}, one bigint, two bigint")
+    return found.select(F.least("center", "member").alias("center"), F.greatest("center", "member").alias("member"), F.least("one", "two").alias("one"), F.greatest("one", "two").alias("two")).distinct()
+
 
+def _merged(links_: DataFrame) -> DataFrame:
+    """(part, label): for each part that has a link (one, two) to another, the least part within two links of it."""
+    both = links_.select(F.col("one").alias("part"), F.col("two").alias("beside")).union(links_.select("two", "one"))
+    first = both.groupBy("part").agg(F.min("beside").alias("m")).select("part", F.least("part", "m").alias("label"))
+    return both.join(first.withColumnRenamed("part", "beside"), "beside").groupBy("part").agg(F.min("label").alias("m")).select("part", F.least("part", "m").alias("label"))
 
-def links(nodes: DataFrame, docs: DataFrame, *, doc_id: str, text: str, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+
+def links(nodes: DataFrame, docs: DataFrame, *, doc_id: str, text: str, similarity: float = SIMILARITY, block: int = BLOCK, forest_rounds: int = FOREST_ROUNDS) -> DataFrame:
     """Links (a, b) among ``nodes`` (id, n, sketches, bag)."""
     keys = nodes.select("id", "n", "bag", F.xxhash64("id").alias("turn"))
     rows = nodes.select(F.explode("sketches").alias("bucket"), F.col("id").alias("member"), F.xxhash64("id").alias("own"))
@@ -443,24 +524,30 @@ def links(nodes: DataFrame, docs: DataFrame, *, doc_id: str, text: str, similari
     seen = stash(judged.select("turn", "center", "member", "likely").join(aligned, ["center", "member"], "left").select("turn", "center", "member", F.coalesce("good", F.lit(False)).alias("good"), (F.coalesce("near", F.lit(False)) | ~F.col("likely")).alias("near")))
     found = seen.where("good").select("center", "member")
     # Texts with one part are of one class: both match a center, or centers that match one.
-    once = found.groupBy("member").agg(F.min("center").alias("part"))
-    part = once.join(once.select(F.col("member").alias("part"), F.col("part").alias("further")), "part", "left").select("member", F.coalesce("further", "part").alias("part"))
+    once = seen.where("good").groupBy("member").agg(F.min("turn").alias("part"))
+    further = once.select(F.xxhash64("member").alias("part"), F.col("part").alias("further")).groupBy("part").agg(F.min("further").alias("further"))
+    part = once.join(further, "part", "left").select("member", F.coalesce("further", "part").alias("part"))
     state = seen.groupBy("turn", "member").agg(F.max("good").alias("good"), F.max("near").alias("near"))
     good = F.coalesce("good", F.lit(False))
     marked = others.where("size > 2").join(state, ["turn", "member"], "left").join(part, "member", "left")
-    marked = stash(marked.select("bucket", "size", "member", F.coalesce("part", "member").alias("part"), good.alias("good"), (~(good | F.coalesce("near", F.lit(False)))).alias("far")))
-    mixed = marked.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("bucket")
-    across = _pairs(marked.join(mixed, "bucket", "left_semi"), keys, similarity=similarity, block=block)
-    across = across.select(F.least("center", "member").alias("center"), F.greatest("center", "member").alias("member"), F.least("one", "two").alias("one"), F.greatest("one", "two").alias("two")).distinct()
-    tried = seen.select(F.least("center", "member").alias("center"), F.greatest("center", "member").alias("member")).distinct()
-    across = stash(across.join(tried, ["center", "member"], "left_anti"))
-    # One pair of any two parts, then all pairs of those that it does not link.
-    lead = across.groupBy("one", "two").agg(F.min(F.struct("center", "member")).alias("pair")).select("one", "two", "pair.*")
-    tested = stash(lead.join(align(lead.select("center", "member"), texts, similarity=similarity), ["center", "member"]).select("one", "two", "center", "member", "good"))
-    left = across.join(tested.where("good").select("one", "two"), ["one", "two"], "left_anti").join(tested.select("center", "member"), ["center", "member"], "left_anti")
-    more = align(left.select("center", "member"), texts, similarity=similarity)
-    all_ = found.union(tested.where("good").select("center", "member")).union(more.where("good").select("center", "member"))
-    return all_.select(F.col("center").alias("a"), F.col("member").alias("b"))
+    marked = marked.select("bucket", "size", "member", F.coalesce("part", "own").alias("part"), good.alias("good"), (~(good | F.coalesce("near", F.lit(False)))).alias("far"))
+    tried = seen.select(F.least("center", "member").alias("center"), F.greatest("center", "member").alias("member"))
+    for k in range(forest_rounds + 1):
+        # Buckets of one class are done.
+        marked = stash(marked)
+        mixed = marked.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("bucket")
+        rest = marked.join(mixed, "bucket", "left_semi")
+        across = _pairs(rest, keys, similarity=similarity, block=block, forest=k < forest_rounds, backwards=k % 2 == 1)
+        across = stash(across.join(tried, ["center", "member"], "left_anti"))
+        if across.isEmpty():
+            break
+        judged = align(across.select("center", "member").distinct(), texts, similarity=similarity)
+        tested = stash(across.join(judged, ["center", "member"]).select("center", "member", "one", "two", "good"))
+        found = found.union(tested.where("good").select("center", "member"))
+        tried = tried.union(tested.select("center", "member"))
+        renamed = _merged(tested.where("good").select("one", "two").distinct())
+        marked = rest.join(renamed, "part", "left").select("bucket", "size", "member", F.coalesce("label", "part").alias("part"), "good", "far")
+    return found.select(F.col("center").alias("a"), F.col("member").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
