@@ -14,7 +14,8 @@ of one class goes on to tasks that hold it in blocks of at most ``BLOCK`` member
 fit in length and are not told apart by the triangle inequality (one matches the center, the other is too far from it to
 match any text that does).  A lower bound on the edit distance, from counts of hashed words, turns pairs down there.  Of what
 it leaves, a block gives in two rounds only the pairs of a forest, as if all of them matched: a row for each member at most.
-Members that match become one class, and after the rounds all pairs of two classes that are still open are aligned.  No
+Members that match become one class, and after the rounds (one, if few match) all pairs of two classes
+that are still open are aligned, each once.  No
 bucket is cut and no pair of two classes that share a sketch is left out.  What is quadratic are the comparisons of counts
 within a bucket of texts that share a passage and little else, some 20 ns a pair.
 
@@ -47,6 +48,7 @@ SHORT_SKETCHES = 24
 SHORT_WORDS = 80
 BLOCK = 4096
 FOREST_ROUNDS = 2
+FOREST_GAIN = 0.25
 SIMILARITY = 0.8
 COUNTS = 256
 MOST_COUNTS = 8192
@@ -146,6 +148,12 @@ def sketch_lists(words: np.ndarray, at: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(out.view(np.int64)))
 
 
+def _marks(lists: pa.ListArray) -> pa.Array:
+    at = lists.offsets.to_numpy() * 4
+    low = lists.values.to_numpy().view(np.uint64).astype(np.uint32)
+    return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(low)])
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = tokens.text_buffer(batch.column(1))
@@ -159,15 +167,16 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts, edges = word_counts(words, at)
             bags = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(counts)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, j - i), pa.array(np.diff(at), pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists, bags],
-                ["id", "n", "one", "two", "sketches", "bag"],
+                [batch.column(0).slice(i, j - i), pa.array(np.diff(at), pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists, bags, _marks(lists)],
+                ["id", "n", "one", "two", "sketches", "bag", "marks"],
             )
 
 
 def sketch(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, n (words), one and two (a 128-bit hash of the words), sketches (empty for a text without words), bag (``word_counts``)."""
+    """id, n (words), one and two (a 128-bit hash of the words), sketches (empty for a text without words), bag
+    (``word_counts``), marks (the low 32 bits of the sketches)."""
     lean = docs.select(F.col(doc_id).alias("id"), text_or_empty(text).alias("t"))
-    return lean.mapInArrow(_sketch, f"id {dict(lean.dtypes)['id']}, n bigint, one bigint, two bigint, sketches array<bigint>, bag binary")
+    return lean.mapInArrow(_sketch, f"id {dict(lean.dtypes)['id']}, n bigint, one bigint, two bigint, sketches array<bigint>, bag binary, marks binary")
 
 
 # --- alignment -------------------------------------------------------------------------------------------------------
@@ -176,8 +185,8 @@ def sketch(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Da
 def within_band(a: np.ndarray, b: np.ndarray, most: int) -> bool:
     """Whether the edit distance of two sequences of word hashes is at most ``most``.
 
-    Only diagonals within the band are kept.  For each number of edits the furthest place on each diagonal is found by
-    comparing hashes of stretches, all diagonals at once.
+    The band of cells at most that far from the diagonal is worked out column by column with bit vectors (one bit for each row
+    of the band, Hyyro's form of the algorithm of Myers), after a common head and tail and a bound from counts of words.
     """
     if abs(len(a) - len(b)) > most:
         return False
@@ -188,48 +197,37 @@ def within_band(a: np.ndarray, b: np.ndarray, most: int) -> bool:
     differ = np.flatnonzero(a[len(a) - n :][::-1] != b[len(b) - n :][::-1])
     tail = int(differ[0]) if len(differ) else n
     a, b = a[: len(a) - tail], b[: len(b) - tail]
-    if not len(a) or not len(b):
-        return max(len(a), len(b)) <= most
-    values, which = np.unique(np.concatenate([a, b]), return_inverse=True)
-    shared = np.minimum(np.bincount(which[: len(a)], minlength=len(values)), np.bincount(which[len(a) :], minlength=len(values))).sum()
-    if max(len(a), len(b)) - shared > most:  # that many words have no partner
+    if len(a) < len(b):
+        a, b = b, a
+    if len(a) <= most:
+        return True
+    if not len(b) or bag_distance(a, b) > most:  # that many words have no partner
         return False
-    la, lb = len(a), len(b)
-    up = tokens.powers(int(tokens.BASE), max(la, lb) + 1)
-    ha = np.concatenate([np.zeros(1, np.uint64), np.cumsum(a * up[:la])])
-    hb = np.concatenate([np.zeros(1, np.uint64), np.cumsum(b * up[:lb])])
-
-    def slide(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """How far a[x:] and b[y:] agree."""
-        low, high = np.zeros(len(x), np.int64), np.minimum(la - x, lb - y)
-        while (low < high).any():
-            mid = (low + high + 1) >> 1
-            same = (ha[x + mid] - ha[x]) * up[y] == (hb[y + mid] - hb[y]) * up[x]
-            low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
-        return low
-
-    shift = np.arange(-most - 1, most + 2)  # diagonal: place in a less place in b
-    far = np.full(len(shift), -1, np.int64)  # furthest place in a; -1: not reached
-    mid = most + 1
-    far[mid] = slide(np.zeros(1, np.int64), np.zeros(1, np.int64))[0]
-    goal = la - lb + mid
-    for edits in range(most + 1):
-        if far[goal] >= la:
-            return True
-        if edits == most:
-            break
-        lo, hi = max(1, mid - edits - 1), min(len(shift) - 1, mid + edits + 2)
-        k = shift[lo:hi]
-        swap = np.where(far[lo:hi] >= 0, far[lo:hi] + 1, -1)
-        drop = np.where(far[lo - 1 : hi - 1] >= 0, far[lo - 1 : hi - 1] + 1, -1)
-        best = np.maximum(np.maximum(swap, drop), far[lo + 1 : hi + 1])
-        best = np.minimum(best, np.minimum(la, lb + k))
-        ok = (best >= 0) & (best - k >= 0)
-        new = np.where(ok, best, -1)
-        x = new[ok]
-        new[ok] = x + slide(x, x - k[ok])
-        far[lo:hi] = new
-    return False
+    which = np.unique(np.concatenate([a, b]), return_inverse=True)[1].tolist()
+    rows, columns = which[: len(a)], which[len(a) :]
+    places: dict[int, int] = {}
+    for i, w in enumerate(rows):
+        places[w] = places.get(w, 0) | 1 << i
+    full = (1 << 2 * most + 1) - 1
+    up, down = full ^ ((1 << most) - 1), 0  # where a cell is one more, one less than the cell above it
+    lowest, bit = 1 << 2 * most, 1 << 2 * most
+    edits, turn = most, len(rows) - most  # of the lowest cell of the band; from ``turn`` on, of the last row
+    worst = most + len(columns) - turn
+    for j, w in enumerate(columns):
+        match = places.get(w, 0)
+        match = (match >> j - most if j > most else match << most - j) & full
+        same = ((((match & up) + up) ^ up) | match | down) & full  # no more than the cell before it in the diagonal
+        plus, minus = down | full & ~(same | up), same & up
+        if j < turn:
+            edits += not same & lowest
+        else:
+            bit >>= 1
+            edits += bool(plus & bit) - bool(minus & bit)
+        if edits > worst:
+            return False
+        after = same >> 1
+        up, down = minus | full & ~(after | plus), after & plus
+    return edits <= most
 
 
 def chained_distance(a: np.ndarray, b: np.ndarray) -> int:
@@ -427,7 +425,7 @@ def close_pairs(n_one: np.ndarray, one: Bags, n_two: np.ndarray, two: Bags, open
 
 def _blocks(similarity: float, forest: bool, backwards: bool):
     """Rows in order of (bucket, low, high): members of two blocks, or of one where these are equal -> pairs to align, with
-    ``forest`` no more than link their parts if all match."""
+    ``forest`` no more than link their parts if all match, else each pair in the first bucket that it shares only."""
 
     def pairs(group: pa.Table) -> pa.RecordBatch:
         n = group.column("n").to_numpy()
@@ -449,6 +447,12 @@ def _blocks(similarity: float, forest: bool, backwards: bool):
                 ok &= (i > j) if backwards else (i < j)
             return ok
 
+        if not forest:
+            data, at = tokens.text_buffer(column("marks"))
+            size = np.diff(at) // 4
+            marks = np.zeros((len(n), int(size.max())), np.uint32)
+            marks[np.repeat(np.arange(len(n)), size), tokens.ranges(np.zeros(len(n), np.int64), size)] = data.view(np.uint32)
+            bucket = np.uint32(group.column("bucket")[0].as_py() & 0xFFFFFFFF)
         bags = [Bags(bag)] * 2 if sides[0] is sides[1] else [Bags(bag.take(pa.array(s))) for s in sides]
         out: list[list[np.ndarray]] = [[], []]
         for x, y in close_pairs(n[sides[0]], bags[0], n[sides[1]], bags[1], open_, similarity):
@@ -462,7 +466,10 @@ def _blocks(similarity: float, forest: bool, backwards: bool):
                     kept.append(met[first])
                     label[np.isin(label, values)] = label[i]
                 keep = np.concatenate(kept) if kept else np.zeros(0, np.int64)
-                x, y = x[keep], y[keep]
+            else:
+                both = (marks[x] == marks[y]) & (marks[x] != 0)
+                keep = marks[x, np.argmax(both, 1)] == bucket
+            x, y = x[keep], y[keep]
             out[0].append(x)
             out[1].append(y)
         x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in out)
@@ -494,9 +501,9 @@ def _pairs(rest: DataFrame, keys: DataFrame, *, similarity: float, block: int, f
     ``rest``: bucket, size, member, part, good, far.  A bucket is dealt into blocks, and two of them at a time meet in a task."""
     blocks = F.ceil(F.col("size") / block).cast("int")
     dealt = rest.select("bucket", "member", "part", "good", "far", F.pmod(F.hash("member"), blocks).alias("own"), blocks.alias("blocks"))
-    dealt = dealt.join(keys.select(F.col("id").alias("member"), "n", "bag"), "member")
+    dealt = dealt.join(keys.select(F.col("id").alias("member"), "n", "bag", *(() if forest else ("marks",))), "member")
     spread = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = spread.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "member", "n", "part", "good", "far", "bag")
+    rows = spread.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "member", "n", "part", "good", "far", "bag", *(() if forest else ("marks",)))
     met = rows.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
     kind = dict(keys.dtypes)["id"]
     found = met.mapInArrow(_blocks(similarity, forest, backwards), f"center {kind}, member {kind}, one bigint, two bigint")
@@ -511,8 +518,8 @@ def _merged(links_: DataFrame) -> DataFrame:
 
 
 def links(nodes: DataFrame, docs: DataFrame, *, doc_id: str, text: str, similarity: float = SIMILARITY, block: int = BLOCK, forest_rounds: int = FOREST_ROUNDS) -> DataFrame:
-    """Links (a, b) among ``nodes`` (id, n, sketches, bag)."""
-    keys = nodes.select("id", "n", "bag", F.xxhash64("id").alias("turn"))
+    """Links (a, b) among ``nodes`` (id, n, sketches, bag, marks)."""
+    keys = nodes.select("id", "n", "bag", F.xxhash64("id").alias("turn"), "marks")
     rows = nodes.select(F.explode("sketches").alias("bucket"), F.col("id").alias("member"), F.xxhash64("id").alias("own"))
     # The center of a bucket is the member with the least hash.  Should two have one hash, both are centers.
     met = stash(rows.join(rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("own").alias("turn")).where("size > 1"), "bucket"))
@@ -532,21 +539,26 @@ def links(nodes: DataFrame, docs: DataFrame, *, doc_id: str, text: str, similari
     marked = others.where("size > 2").join(state, ["turn", "member"], "left").join(part, "member", "left")
     marked = marked.select("bucket", "size", "member", F.coalesce("part", "own").alias("part"), good.alias("good"), (~(good | F.coalesce("near", F.lit(False)))).alias("far"))
     tried = seen.select(F.least("center", "member").alias("center"), F.greatest("center", "member").alias("member"))
-    for k in range(forest_rounds + 1):
+    rounds = [k < forest_rounds for k in range(forest_rounds + 1)]
+    while rounds:
+        forest = rounds.pop(0)
         # Buckets of one class are done.
         marked = stash(marked)
         mixed = marked.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("bucket")
         rest = marked.join(mixed, "bucket", "left_semi")
-        across = _pairs(rest, keys, similarity=similarity, block=block, forest=k < forest_rounds, backwards=k % 2 == 1)
+        across = _pairs(rest, keys, similarity=similarity, block=block, forest=forest, backwards=len(rounds) % 2 == 1)
         across = stash(across.join(tried, ["center", "member"], "left_anti"))
-        if across.isEmpty():
-            break
         judged = align(across.select("center", "member").distinct(), texts, similarity=similarity)
         tested = stash(across.join(judged, ["center", "member"]).select("center", "member", "one", "two", "good"))
         found = found.union(tested.where("good").select("center", "member"))
+        if not rounds:
+            break
         tried = tried.union(tested.select("center", "member"))
         renamed = _merged(tested.where("good").select("one", "two").distinct())
         marked = rest.join(renamed, "part", "left").select("bucket", "size", "member", F.coalesce("label", "part").alias("part"), "good", "far")
+        hits, all_ = tested.agg(F.count_if("good"), F.count("*")).collect()[0]
+        if hits <= FOREST_GAIN * all_:  # another forest would merge little
+            rounds = rounds[-1:]
     return found.select(F.col("center").alias("a"), F.col("member").alias("b"))
 
 
@@ -554,7 +566,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     """One row for each row of ``docs``: doc_id and class_id, the least doc_id of its class."""
     sketched = stash(sketch(docs, doc_id=doc_id, text=text))
     same = ["one", "two", "n"]
-    nodes = stash(sketched.groupBy(*same).agg(F.min("id").alias("id"), F.first("sketches").alias("sketches"), F.first("bag").alias("bag")).where("id is not null"))
+    nodes = stash(sketched.groupBy(*same).agg(F.min("id").alias("id"), F.first("sketches").alias("sketches"), F.first("bag").alias("bag"), F.first("marks").alias("marks")).where("id is not null"))
     joined = components(links(nodes, docs, doc_id=doc_id, text=text, similarity=similarity))
     named = nodes.select(*same, "id").join(joined.withColumnRenamed("node", "id"), "id", "left").select(*same, F.coalesce("label", "id").alias("class_id"))
     out = sketched.select("id", *same).join(named, same, "left")

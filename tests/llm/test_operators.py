@@ -195,7 +195,7 @@ def test_blocks_of_one_bucket(spark):
         tail = rich(60, 2000 + i).split()
         rows += [(2 * i, " ".join(passage + tail)), (2 * i + 1, " ".join(passage + edited(tail, range(0, 60, 4), f"d{i}")))]
     docs = frame(spark, rows)
-    nodes = near_dup.sketch(docs).select("id", "n", "sketches", "bag").persist()
+    nodes = near_dup.sketch(docs).select("id", "n", "sketches", "bag", "marks").persist()
     assert max(r["count"] for r in nodes.select(F.explode("sketches").alias("s")).groupBy("s").count().collect()) > 400
     got = {tuple(sorted(r)) for r in near_dup.links(nodes, docs, doc_id="doc_id", text="text", block=50).collect()}
     assert got == {(2 * i, 2 * i + 1) for i in range(250)}
