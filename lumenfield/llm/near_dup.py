@@ -148,6 +148,14 @@ def sketch_lists(words: np.ndarray, at: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(out.view(np.int64)))
 
 
+def whole_hashes(words: np.ndarray, at: np.ndarray, base: int) -> np.ndarray:
+    """A hash of the sequence of words of each text."""
+    if not len(words):
+        return np.zeros(len(at) - 1, np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * tokens.powers(base, len(words)))])
+    return tokens.mix((sums[at[1:]] - sums[at[:-1]]) * tokens.powers(pow(base, -1, 1 << 64), len(words) + 1)[at[:-1]])
+
+
 def _marks(lists: pa.ListArray) -> pa.Array:
     at = lists.offsets.to_numpy() * 4
     low = lists.values.to_numpy().view(np.uint64).astype(np.uint32)
@@ -159,10 +167,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = tokens.text_buffer(batch.column(1))
         for i, j in tokens.chunks(offsets):
             words, at = tokens.word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            sums = np.concatenate([[0], np.cumsum(words * tokens.powers(int(tokens.BASE), len(words)))]).astype(np.uint64) if len(words) else np.zeros(1, np.uint64)
-            squares = np.concatenate([[0], np.cumsum(tokens.mix(words) * tokens.powers(0xA24BAED4963EE407, len(words)))]).astype(np.uint64) if len(words) else np.zeros(1, np.uint64)
-            one = tokens.mix((sums[at[1:]] - sums[at[:-1]]) * tokens.powers(pow(int(tokens.BASE), -1, 1 << 64), len(words) + 1)[at[:-1]])
-            two = tokens.mix((squares[at[1:]] - squares[at[:-1]]) * tokens.powers(pow(0xA24BAED4963EE407, -1, 1 << 64), len(words) + 1)[at[:-1]])
+            one = whole_hashes(words, at, int(tokens.BASE))
+            two = whole_hashes(tokens.mix(words), at, 0xA24BAED4963EE407)
             lists = sketch_lists(words, at)
             counts, edges = word_counts(words, at)
             bags = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(counts)])

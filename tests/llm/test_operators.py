@@ -101,6 +101,13 @@ def test_band_and_chain_against_dynamic_programming():
         assert near_dup.chained_distance(x, y) >= d
 
 
+def test_equal_texts_have_one_node(spark):
+    texts = [prose(n, n) for n in (3, 50, 200)]
+    rows = [(k, texts[k % 3] if k % 2 else f"  {texts[k % 3]} \n") for k in range(60)]
+    got = near_dup.sketch(frame(spark, rows).repartition(1)).select("n", "one", "two").distinct().count()
+    assert got == 3
+
+
 def test_near_duplicates(spark, odd, none):
     got = [(r["doc_id"], r["class_id"]) for r in near_dup.near_duplicates(odd).collect()]
     assert len(got) == len(ODD)
