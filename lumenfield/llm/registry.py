@@ -26,19 +26,19 @@ def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(documents(spark, sf_dir))
 
 
-def _segments(rows: DataFrame, key: tuple[str, ...], model_file: str) -> DataFrame:
+def _segments(spark: SparkSession, rows: DataFrame, key: tuple[str, ...]) -> DataFrame:
     """Three segmentations of every row, decoded again."""
-    vocabulary = segment.load_vocabulary(model_file)
-    drawn = segment.decode_pieces(segment.sample_segmentations(rows, vocabulary, key=key), vocabulary)
-    return drawn.select(*key, "rank", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_probability", "perturbed", "inclusion", F.sha2("decoded", 256).alias("decoded_sha256"))
+    vocabulary = segment.load_vocabulary(spark.conf.get(segment.SETTING, TOKENIZER))
+    drawn = segment.sample_segmentations(rows, vocabulary, key=key, decoded=True)
+    return drawn.select(*key, "rank", "ids", F.size("ids").alias("n_pieces"), "log_probability", "perturbed", "inclusion", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-def op4_gumbel_segments(spark: SparkSession, sf_dir: str, model_file: str = TOKENIZER) -> DataFrame:
-    return _segments(documents(spark, sf_dir), ("doc_id",), model_file)
+def op4_gumbel_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segments(spark, documents(spark, sf_dir), ("doc_id",))
 
 
-def op4_gumbel_segments_turns(spark: SparkSession, sf_dir: str, model_file: str = TOKENIZER) -> DataFrame:
-    return _segments(spark.read.parquet(f"{sf_dir}/conversations.parquet"), ("conv_id", "turn"), model_file)
+def op4_gumbel_segments_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segments(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet"), ("conv_id", "turn"))
 
 
 def op5_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ or empty text has one segmentation, of no pieces; a text with fewer than k segme
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -30,10 +31,12 @@ from pyspark.sql import functions as F
 from . import tokens
 from .common import text_or_empty
 
+#: The session setting that names the vocabulary file of the registered queries.
+SETTING = "spark.lumenfield.tokenizer"
 MARK = 0x2581
 LITERAL_MARK = 0x110000
-CHUNK_CHARS = 600_000
-CACHED_UNITS = 150_000
+CHUNK_CHARS = 160_000
+CACHED_UNITS = 60_000
 SAMPLES = 3
 ZIPF_SHIFT = 8.0
 FALLBACK_RANK = 40_000.0
@@ -55,6 +58,8 @@ class Vocabulary:
 def load_vocabulary(model_file: str, *, power: float = 1.0) -> Vocabulary:
     import sentencepiece
 
+    if not os.path.exists(model_file):
+        raise FileNotFoundError(f"no SentencePiece model at {model_file}: name one with the setting {SETTING}")
     model = sentencepiece.SentencePieceProcessor(model_file=model_file)
     n = model.get_piece_size()
     kept = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
@@ -370,14 +375,18 @@ def _encode(vocabulary, samples: int):
     return encode
 
 
-def sample_segmentations(rows: DataFrame, vocabulary: Vocabulary, *, key: Sequence[str], text: str = "text", samples: int = SAMPLES, seed: int = 1) -> DataFrame:
-    """For each row its key columns and up to ``samples`` rows: rank (from 0), ids, log_probability, perturbed, inclusion."""
+def sample_segmentations(rows: DataFrame, vocabulary: Vocabulary, *, key: Sequence[str], text: str = "text", samples: int = SAMPLES, seed: int = 1, decoded: bool = False) -> DataFrame:
+    """For each row its key columns and up to ``samples`` rows: rank (from 0), ids, log_probability, perturbed, inclusion;
+    with ``decoded`` also the text of the pieces, as ``decode_pieces`` gives it, worked out by the same Python worker."""
     spark: SparkSession = rows.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary)
     lean = rows.select(F.xxhash64(F.lit(seed), *key).alias("lattice_seed"), text_or_empty(text).alias("lattice_text"), *key)
     kinds = dict(lean.dtypes)
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in key) + ", rank int, ids array<int>, log_probability double, perturbed double, inclusion double"
-    return lean.mapInArrow(_encode(shared, samples), schema)
+    encode, decode = _encode(shared, samples), _decode(shared, "ids")
+    if decoded:
+        return lean.mapInArrow(lambda batches: decode(encode(batches)), schema + ", decoded string")
+    return lean.mapInArrow(encode, schema)
 
 
 def _decode(vocabulary, column: str):
