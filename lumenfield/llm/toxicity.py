@@ -1,22 +1,23 @@
 """Toxicity scores from character n-grams: a logistic model on presences scaled by naive Bayes log-count ratios.
 
-Features are the runs of three, four and five bytes of a text in lower case, hashed into 2**20 buckets; a feature is there
-or not.  From labelled texts come the log ratios r of how often a bucket occurs in toxic and in other texts, a logistic
+Features are the runs of three, four and five characters (code points) of a text in lower case, white space as blanks,
+hashed into 2**20 buckets; a feature is there or not.  From labelled texts come the log ratios r of how often a bucket occurs in toxic and in other texts, a logistic
 model is fitted on presences times r for the buckets that tell the classes apart best, and the two are folded into one
 weight for each bucket.  A text's score adds the weights of its buckets once each.
 
-The fit takes at most ``sample_rows`` labelled rows (a documented bound), chosen by a hash of their ids, in one task;
+The fit takes at most ``sample_rows`` labelled documents (a documented bound), chosen by a hash of their ids, one row of
+each, in one task;
 what leaves it is one weight for each bucket, whatever the size of the corpus.  Scoring is a scan with no shuffle.
 
 Defined results: a null or empty text has no features and gets the score of the intercept; without any labelled row of
-either class every score is 0.5; labels that repeat a document count once, as toxic if any says so; a null label does not
+either class every score is 0.5; of documents that share an id the fit sees the least text; labels that repeat a document count once, as toxic if any says so; a null label does not
 count; rows that repeat are scored one by one; a row with null doc_id is scored and not held out; an empty table gives an
 empty table; other columns take no part.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -32,20 +33,33 @@ BITS = 20
 SAMPLE_ROWS = 8000
 KEPT_BUCKETS = 1 << 14
 
-_TABLE = tokens.LOWER.copy()
-_TABLE[[9, 10, 11, 12, 13]] = 32
+CHUNK_CHARS = 1 << 20
 
 
-def buckets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bucket of each run of ``size`` bytes, and which of them lie inside one text."""
-    n = len(data) - size + 1
+def _lowered(text: str) -> str:
+    """Lower case, character by character, and white space as blanks."""
+    low = text.lower()
+    low = low if len(low) == len(text) else "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
+    return low.translate(_BLANKS)
+
+
+_BLANKS = dict.fromkeys((9, 10, 11, 12, 13), 32)
+
+
+def code_points(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of all texts, and where each text begins."""
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    return np.frombuffer(_lowered("".join(texts)).encode("utf-32-le", "surrogatepass"), np.uint32), offsets
+
+
+def buckets(codes: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each run of ``size`` characters, and which of them lie inside one text."""
+    n = len(codes) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, bool)
-    low = _TABLE[data].astype(np.uint64)
-    value = low[:n].copy()
-    for k in range(1, size):
-        value |= low[k : n + k] << np.uint64(8 * k)
-    value = (value + np.uint64(size)) * np.uint64(0x9E3779B97F4A7C15)
+    value = np.full(n, size, np.uint64)
+    for k in range(size):
+        value = value * np.uint64(0x9E3779B97F4A7C15) + codes[k : n + k]
     value ^= value >> np.uint64(29)
     value *= np.uint64(0xBF58476D1CE4E5B9)
     inside = np.ones(n, bool)
@@ -56,11 +70,11 @@ def buckets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarra
     return (value >> np.uint64(64 - BITS)).astype(np.int64), inside
 
 
-def present(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def present(codes: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(text, bucket) pairs without repeats; of buckets with ``wanted`` only."""
     pairs = []
     for size in SIZES:
-        bucket, inside = buckets(data, offsets, size)
+        bucket, inside = buckets(codes, offsets, size)
         at = np.flatnonzero(inside if wanted is None else inside & wanted[bucket])
         text = np.searchsorted(offsets, at, "right") - 1
         pairs.append(text << BITS | bucket[at])
@@ -68,16 +82,19 @@ def present(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = N
     return both >> BITS, both & ((1 << BITS) - 1)
 
 
+def _runs(sizes: Sequence[int]) -> Iterator[tuple[int, int]]:
+    return tokens.chunks(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), CHUNK_CHARS)
+
+
 def fit(texts: list[str], toxic: np.ndarray, *, steps: int = 300, penalty: float = 1.0) -> tuple[np.ndarray, float]:
     """A weight for each bucket, and the intercept."""
     weights = np.zeros(1 << BITS, np.float32)
     n_bad, n = int(toxic.sum()), len(toxic)
     if not 0 < n_bad < n:
         return weights, 0.0
-    data, offsets = tokens.text_buffer(pa.array(texts, pa.string()))
     rows, cols = [], []
-    for i, j in tokens.chunks(offsets):
-        r, c = present(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+    for i, j in _runs([len(t) for t in texts]):
+        r, c = present(*code_points(texts[i:j]))
         rows.append((r + i).astype(np.int32))
         cols.append(c.astype(np.int32))
     row, col = np.concatenate(rows), np.concatenate(cols)
@@ -122,7 +139,8 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     """Fit on at most ``sample_rows`` labelled documents that are not held out."""
     marks = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id))).groupBy(doc_id).agg(F.max(label).alias("y"))
     chosen = marks.orderBy(F.xxhash64(doc_id), doc_id).limit(sample_rows).select(F.col(doc_id).alias("key"), F.col("y").cast("int").alias("y"))
-    rows = docs.select(F.col(doc_id).alias("key"), text_or_empty(text).alias("t")).join(F.broadcast(chosen), "key")
+    rows = docs.select(F.col(doc_id).alias("key"), text_or_empty(text).alias("t")).join(F.broadcast(chosen), "key")  # at most ``sample_rows`` short rows
+    rows = rows.groupBy("key").agg(F.min("t").alias("t"), F.first("y").alias("y"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["key", "t"])
@@ -138,9 +156,9 @@ def _score(model):
         weights, intercept = model.value
         wanted = weights != 0
         for batch in batches:
-            data, offsets = tokens.text_buffer(batch.column(1))
-            for i, j in tokens.chunks(offsets):
-                text, bucket = present(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], wanted)
+            sizes = np.diff(tokens.text_buffer(batch.column(1))[1])
+            for i, j in _runs(sizes):
+                text, bucket = present(*code_points(batch.column(1).slice(i, j - i).to_pylist()), wanted)
                 z = np.bincount(text, weights[bucket].astype(float), j - i) + intercept
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], ["doc_id", "score"])
 

@@ -403,6 +403,53 @@ def test_toxicity(spark, odd, none):
     assert {r["score"] for r in toxicity.scores(odd, blank).collect()} == {0.5}
 
 
+def plain_toxicity(texts, toxic, unseen, penalty=1.0):
+    """The same model with dictionaries of character runs and Newton steps over dense rows."""
+
+    def runs(t):
+        low = re.sub("[\t-\r]", " ", t.lower())
+        return {low[k : k + n] for n in (3, 4, 5) for k in range(len(low) - n + 1)}
+
+    sets = [runs(t) for t in texts]
+    bad, good = (Counter(x for s, y in zip(sets, toxic) if y == v for x in s) for v in (1, 0))
+    names = sorted(x for x in bad | good if bad[x] + good[x] >= 3)
+    every = set(bad) | set(good)
+    empty = (1 << toxicity.BITS) - len(every)
+    all_bad, all_good = (sum(c.values()) + len(every) + empty for c in (bad, good))
+    ratio = np.array([math.log((bad[x] + 1) / all_bad) - math.log((good[x] + 1) / all_good) for x in names])
+    rows = lambda ss: np.array([[x in s for x in names] for s in ss], float) * ratio
+    x, y = rows(sets), np.array(toxic, float)
+    n, w, b = len(y), np.zeros(len(names)), 0.0
+    for _ in range(60):
+        e = 1 / (1 + np.exp(-(x @ w + b)))
+        s = e * (1 - e) + 1e-12
+        full = np.hstack([x, np.ones((n, 1))])
+        hess = full.T @ (full * s[:, None]) / n + np.diag([penalty / n] * len(names) + [0.0])
+        step = np.linalg.solve(hess, np.append(x.T @ (e - y) / n + penalty / n * w, (e - y).mean()))
+        w, b = w - step[:-1], b - step[-1]
+    return 1 / (1 + np.exp(-(rows([runs(t) for t in unseen]) @ w + b)))
+
+
+def test_toxicity_against_a_plain_twin():
+    r = random.Random(3)
+    pick = lambda: " ".join(r.choice(("ÄRGER", "да", "нет", "漢字", "kar", "Mist", "x")) for _ in range(4))
+    texts = [pick() + (" schön" if k % 3 else " grübel\tЗло") for k in range(60)]
+    toxic = np.array([int(k % 3 == 0 and k % 7 != 0) for k in range(60)])
+    weights, intercept = toxicity.fit(texts, toxic, steps=4000)
+    unseen = [pick() + end for end in (" schön", " GRÜBEL злО", "") for _ in range(4)]
+    text, bucket = toxicity.present(*toxicity.code_points(unseen))
+    got = 1 / (1 + np.exp(-(np.bincount(text, weights[bucket].astype(float), len(unseen)) + intercept)))
+    assert np.abs(got - plain_toxicity(texts, toxic, unseen)).max() < 0.01
+
+
+def test_toxicity_of_repeated_ids(spark):
+    rows = [(1, "bad zzgrub text")] * 500 + [(i, "zzgrub" if i % 2 else "fine words here") for i in range(2, 60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, toxic int")
+    model = toxicity.train(frame(spark, rows), labels)
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.scores(frame(spark, rows), model).collect()}
+    assert all(got[i] == i % 2 for i in got)
+
+
 # --- 4 -----------------------------------------------------------------------------------------------------------------
 
 
