@@ -1,9 +1,11 @@
 """Quality rules as a short-circuit cascade, in DataFrame expressions only.
 
-A rule is a predicate over named features of a text.  Costs and selectivities are measured on a bounded
-sample, rules are put in order of rejections per second, and the verdict is one CASE expression, so a
-document that an early rule rejects never pays for the later ones.  The order changes the work, and the
-rule that is named for a rejection, but never the verdict.
+A rule is a predicate over named features of a text.  On a bounded sample (``sample_rows`` rows on average, drawn from
+the whole table) each rule is timed against an empty one, and rules are put in order greedily: next comes the rule that
+rejects most per second of the sample's rows that the rules before it let through, where features already at hand cost
+nothing.  The verdict is nested: each step works out the features that its rule is the first to need, and only
+where no earlier rule has rejected.  The split into words is shared by all features that need it.  The order changes the
+work, and the rule that is named for a rejection, but never the verdict.
 
 Defined results: a null text counts as empty (0 words: rejected as too short); an empty table gives an empty
 table; repeated rows are judged one by one; other columns pass through untouched.
@@ -63,19 +65,18 @@ def full_lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
 
 
-def duplicate_lines(text: Column) -> Column:
-    return let(full_lines(text), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("bigint"))
+#: Values that several features are made of, from a text.
+SHARED: dict[str, Callable[[Column], Column]] = {"words": words_of, "lines": full_lines}
 
-
-#: Features worked out from a text alone, each by itself: what a cascade pays when a rule is reached.
-FEATURES: dict[str, Callable[[Column], Column]] = {
-    "n_words": lambda t: F.regexp_count(t, F.lit(WORD)).cast("bigint"),
-    "word_chars": lambda t: F.length(F.regexp_replace(t, f"[{SPACE}]+", "")).cast("bigint"),
-    "n_symbols": lambda t: F.regexp_count(t, F.lit(SYMBOLS)).cast("bigint"),
-    "n_shouts": lambda t: F.regexp_count(t, F.lit("!!")).cast("bigint"),
-    "n_lines": lambda t: F.size(full_lines(t)).cast("bigint"),
-    "n_dup_lines": duplicate_lines,
-    "n_repeat_words": lambda t: repeated_words(window_hashes(words_of(t))),
+#: Features: the shared value they are made of (or the text itself) and what they make of it.
+FEATURES: dict[str, tuple[str, Callable[[Column], Column]]] = {
+    "n_words": ("words", lambda w: F.size(w).cast("bigint")),
+    "word_chars": ("words", lambda w: F.length(F.array_join(w, "")).cast("bigint")),
+    "n_symbols": ("text", lambda t: F.regexp_count(t, F.lit(SYMBOLS)).cast("bigint")),
+    "n_shouts": ("text", lambda t: F.regexp_count(t, F.lit("!!")).cast("bigint")),
+    "n_lines": ("lines", lambda x: F.size(x).cast("bigint")),
+    "n_dup_lines": ("lines", lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("bigint")),
+    "n_repeat_words": ("words", lambda w: repeated_words(window_hashes(w))),
 }
 
 
@@ -103,6 +104,8 @@ RULES = (
 
 @dataclass(frozen=True)
 class RuleCost:
+    """A rule in its place: what it costs there, and the share of the rows before it that it rejects."""
+
     rule: Rule
     seconds: float
     rejected: float
@@ -116,73 +119,103 @@ def _fails(rule: Rule, values: Mapping[str, Column]) -> Column:
     return F.coalesce(rule.fails(*(values[f] for f in rule.features)), F.lit(False))
 
 
-def measure_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, *, text: str = "text", sample_rows: int = 2000, seed: int = 7) -> list[RuleCost]:
-    """Cost and selectivity of each rule by itself, on about ``sample_rows`` rows drawn from the whole table."""
+def _bind(names: Sequence[str], text: Column, known: Mapping[str, Column], body: Callable[[Mapping[str, Column]], Column]) -> Column:
+    """``body`` of ``known`` and the features ``names``; each of them, and each shared value under them, is worked out once."""
+    missing = [n for n in names if n not in known]
+    if not missing:
+        return body(known)
+    source, make = FEATURES[missing[0]]
+    if source != "text" and source not in known:
+        return let(SHARED[source](text), lambda x: _bind(missing, text, {**known, source: x}, body))
+    return let(make(text if source == "text" else known[source]), lambda x: _bind(missing[1:], text, {**known, missing[0]: x}, body))
+
+
+def first_failure(rules: Sequence[Rule], text: Column, known: Mapping[str, Column] | None = None) -> Column:
+    """The name of the first rule that rejects, null if none does; features are worked out when a rule is reached."""
+    known = {} if known is None else known
+    if not rules:
+        return F.lit(None).cast("string")
+    return _bind(rules[0].features, text, known, lambda v: F.when(_fails(rules[0], v), F.lit(rules[0].name)).otherwise(first_failure(rules[1:], text, v)))
+
+
+REPEATS = 3
+
+
+def measure_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, *, text: str = "text", sample_rows: int = 2000, seed: int = 7) -> tuple[dict[str, float], list[dict[str, bool]]]:
+    """On about ``sample_rows`` rows: seconds of each feature and shared value, net of what any job costs; and for each row
+    of the sample which rules reject it."""
+    names = [*dict.fromkeys(f for r in rules for f in r.features)]
+    shared = [s for s in dict.fromkeys(FEATURES[n][0] for n in names) if s != "text"]
     total = docs.count()
     if not total:
-        return [RuleCost(r, 1.0, 0.0) for r in rules]
-    sample = docs.select(text_or_empty(text).alias("t")).sample(fraction=min(1.0, sample_rows / total), seed=seed).coalesce(4).persist()
+        return dict.fromkeys([*names, *shared], 1.0), []
+    drawn = docs.select(text_or_empty(text).alias("t")).sample(fraction=min(1.0, sample_rows / total), seed=seed)
+    sample = drawn.repartition(2).persist()  # the scan keeps its own tasks; only the sample moves
     try:
-        rows = max(1, sample.count())
-        sample.agg(F.sum(F.length("t"))).collect()  # the first read of the cache is not any rule's cost
-        out = []
-        for rule in rules:
-            values = {f: FEATURES[f](F.col("t")) for f in rule.features}
-            began = time.perf_counter()
-            hit = sample.agg(F.count_if(_fails(rule, values)).alias("n")).collect()[0]["n"]
-            out.append(RuleCost(rule, time.perf_counter() - began, hit / rows))
-        return out
+        sample.agg(F.sum(F.length("t"))).collect()
+        t = F.col("t")
+        made = {s: SHARED[s](t) for s in shared} | {n: let(SHARED[FEATURES[n][0]](t), FEATURES[n][1]) if FEATURES[n][0] != "text" else FEATURES[n][1](t) for n in names}
+        spent = {}
+        for name, value in {"": F.length(t), **made}.items():
+            took = []
+            for _ in range(REPEATS):  # the first run compiles; the fastest counts
+                began = time.perf_counter()
+                sample.agg(F.sum(F.hash(value).cast("bigint"))).collect()
+                took.append(time.perf_counter() - began)
+            spent[name] = min(took)
+        empty = spent.pop("")
+        net = {k: max(v - empty, 1e-4) for k, v in spent.items()}
+        cost = {n: max(net[n] - net.get(FEATURES[n][0], 0.0), 1e-4) for n in names} | {s: net[s] for s in shared}
+        verdicts = sample.select(*(_bind(r.features, t, {}, lambda v, r=r: _fails(r, v)).alias(r.name) for r in rules))
+        return cost, [row.asDict() for row in verdicts.collect()]  # a bounded sample of truth values
     finally:
         sample.unpersist()
 
 
-def order_rules(costs: Sequence[RuleCost]) -> list[Rule]:
-    """Most rejections per second first; equal ones by name."""
-    return [c.rule for c in sorted(costs, key=lambda c: (-c.rank, c.rule.name))]
+def order_rules(rules: Sequence[Rule], cost: Mapping[str, float], verdicts: Sequence[Mapping[str, bool]]) -> list[RuleCost]:
+    """Greedily by rejections per second among the rows still there; equal ones by name."""
+    left, known, rows, out = list(rules), set(), list(verdicts), []
+    while left:
+        ranked = []
+        for r in left:
+            new = {f for f in r.features} | {FEATURES[f][0] for f in r.features} - {"text"}
+            seconds = sum(cost.get(x, 0.0) for x in new - known)
+            ranked.append(RuleCost(r, seconds, sum(v[r.name] for v in rows) / max(1, len(rows))))
+        best = min(ranked, key=lambda c: (-c.rank, c.seconds, c.rule.name))
+        out.append(best)
+        left.remove(best.rule)
+        known |= {f for f in best.rule.features} | {FEATURES[f][0] for f in best.rule.features}
+        rows = [v for v in rows if not v[best.rule.name]]
+    return out
 
 
-def first_failure(rules: Sequence[Rule], values: Mapping[str, Column]) -> Column:
-    """The name of the first rule that rejects, null if none does.  CASE stops at the first match."""
-    out = None
-    for rule in rules:
-        out = (F if out is None else out).when(_fails(rule, values), F.lit(rule.name))
-    return F.lit(None).cast("string") if out is None else out
+def ordered_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, *, text: str = "text", sample_rows: int = 2000) -> list[Rule]:
+    return [c.rule for c in order_rules(rules, *measure_rules(docs, rules, text=text, sample_rows=sample_rows))]
 
 
 def cascade(docs: DataFrame, rules: Sequence[Rule] = RULES, *, text: str = "text", sample_rows: int = 2000) -> DataFrame:
     """``docs`` and a column ``failed_rule`` (``failed_rule_1`` ... if taken): null for documents to keep."""
-    ordered = order_rules(measure_rules(docs, rules, text=text, sample_rows=sample_rows))
-    t = text_or_empty(text)
-    return docs.withColumn(free_name(docs, "failed_rule"), first_failure(ordered, {f: FEATURES[f](t) for r in ordered for f in r.features}))
+    ordered = ordered_rules(docs, rules, text=text, sample_rows=sample_rows)
+    return docs.withColumn(free_name(docs, "failed_rule"), first_failure(ordered, text_or_empty(text)))
 
 
 def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES, *, text: str = "text", sample_rows: int = 2000) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, with their own columns."""
-    judged = cascade(docs, rules, text=text, sample_rows=sample_rows)
-    return judged.where(F.col(judged.columns[-1]).isNull()).select(*docs.columns)
+    ordered = ordered_rules(docs, rules, text=text, sample_rows=sample_rows)
+    return docs.where(first_failure(ordered, text_or_empty(text)).isNull())
 
 
-def measures(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """All features of every text, sharing one split into words."""
+def quality_report(docs: DataFrame, rules: Sequence[Rule] = RULES, *, doc_id: str = "doc_id", text: str = "text", sample_rows: int = 2000) -> DataFrame:
+    """One row per document: its base measures, the base verdict and the cascade's.  The base measures are wanted of every
+    text; what else the rules need is worked out as far as the cascade goes, and not at all where the base has rejected."""
+    ordered = ordered_rules(docs, rules, text=text, sample_rows=sample_rows)
     t = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("t"))
-    w = t.select("doc_id", "t", words_of(F.col("t")).alias("w"))
-    return w.select(
-        "doc_id",
-        F.size("w").cast("bigint").alias("n_words"),
-        F.aggregate("w", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x)).alias("word_chars"),
-        FEATURES["n_symbols"](F.col("t")).alias("n_symbols"),
-        FEATURES["n_dup_lines"](F.col("t")).alias("n_dup_lines"),
-        repeated_words(window_hashes(F.col("w"))).alias("n_repeat_words"),
-        FEATURES["n_lines"](F.col("t")).alias("n_lines"),
-        FEATURES["n_shouts"](F.col("t")).alias("n_shouts"),
-    )
-
-
-def quality_report(docs: DataFrame, rules: Sequence[Rule] = RULES, *, sample_rows: int = 2000) -> DataFrame:
-    """One row per document: its measures, the base verdict and the cascade's."""
-    ordered = order_rules(measure_rules(docs, rules, sample_rows=sample_rows))
-    m = measures(docs)
-    values = {c: F.col(c) for c in m.columns}
-    base = F.coalesce(_fails(BASE_RULES[0], values) | _fails(BASE_RULES[1], values), F.lit(False))
-    judged = m.select("*", base.alias("base_failed"), first_failure(ordered, values).alias("failed_rule"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("failed_rule").isNull()).alias("kept"))
+    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+    def verdicts(v: Mapping[str, Column]) -> Column:
+        failed = F.coalesce(_fails(BASE_RULES[0], v) | _fails(BASE_RULES[1], v), F.lit(False))
+        kept = let(failed, lambda f: F.struct(f.alias("base_failed"), F.when(f, F.lit(False)).otherwise(first_failure(ordered, F.col("t"), v).isNull()).alias("kept")))
+        return F.struct(*(v[b].alias(b) for b in base), kept.alias("verdict"))
+
+    judged = t.select("doc_id", F.explode(F.array(_bind(base, F.col("t"), {}, verdicts))).alias("m"))
+    return judged.select("doc_id", *(f"m.{b}" for b in base), "m.verdict.base_failed", "m.verdict.kept")

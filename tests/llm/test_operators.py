@@ -73,8 +73,28 @@ def test_quality(spark, odd, none):
 
 
 def test_rule_order():
-    costs = [quality.RuleCost(r, s, x) for r, s, x in zip(quality.RULES, (1, 2, 1, 4, 1, 1), (0.1, 0.8, 0.2, 0.8, 0.0, 0.2), strict=True)]
-    assert [r.name for r in quality.order_rules(costs)][:2] == ["repeated_windows", "shouting"]  # equal ranks go by name
+    cost = {"words": 4.0, "lines": 1.0, "n_words": 0.1, "n_repeat_words": 9.0, "n_symbols": 1.0, "n_shouts": 1.0, "n_lines": 0.1, "n_dup_lines": 0.5, "word_chars": 0.5}
+    hits = {"duplicate_lines": range(0, 30), "symbols": range(0, 25), "too_short": range(40, 60), "repeated_windows": range(30, 45)}
+    verdicts = [{r.name: k in hits.get(r.name, ()) for r in quality.RULES} for k in range(100)]
+    got = quality.order_rules(quality.RULES, cost, verdicts)
+    # Lines first (30 for 1.6 s); the symbols' rejections are all among those, so words are bound for the short ones.
+    assert [c.rule.name for c in got][:3] == ["duplicate_lines", "too_short", "repeated_windows"]
+    assert abs(got[0].rejected - 0.3) < 1e-9 and abs(got[1].seconds - 4.1) < 1e-9 and abs(got[2].rejected - 10 / 50) < 1e-9
+
+
+def test_quality_verdict_against_a_plain_one(spark):
+    r = random.Random(8)
+    pieces = (prose(60, 1), "!! !! !!", "# $ % #", "a b c d e f", "same line\nsame line\n", "x" * 90, prose(15, 2) + "\n", " ")
+    rows = [(i, "".join(r.choice(pieces) + " " for _ in range(r.randrange(1, 9)))) for i in range(300)]
+
+    def keeps(t):
+        n, chars, symbols, dup, _, failed = base_measures(t)
+        lines = len([x for x in t.split("\n") if x.strip(" \t\n\x0b\x0c\r")])
+        return not (failed or 10 * symbols > 3 * n or 10 * t.count("!!") > 3 * n or 100 * dup > 50 * lines or chars < 2 * n or chars > 20 * n)
+
+    got = {x["doc_id"]: x["kept"] for x in quality.quality_report(frame(spark, rows)).collect()}
+    assert got == {i: keeps(t) for i, t in rows} and 20 < sum(got.values()) < 280
+    assert {x["doc_id"] for x in quality.keep_good(frame(spark, rows)).collect()} == {i for i, k in got.items() if k}
 
 
 # --- 3 -----------------------------------------------------------------------------------------------------------------
