@@ -1,10 +1,10 @@
 """I-Match fingerprints over a band of inverse document frequency, with randomised lexicon subsets.
 
 The lexicon is made of the terms that occur in at least ``least`` and at most ``most`` of all documents.  Each of a
-ladder of random subsets of it (sixteen seeds; rates 1, 1/2, 1/4 ...) gives one hash of a text: of the sorted distinct terms
-that text and subset share.  A fingerprint is the list of these hashes.  Two texts are as alike as the share of equal
-hashes among the subsets that hold about one term of either text: denser subsets change with every edit, sparser ones are
-empty.
+ladder of random subsets of it (eight seeds; shares 1, 1/2, 1/4 ... 1/1024 of the lexicon) gives one signature of a text: a
+hash of the sorted distinct terms that text and subset share.  A fingerprint is the list of these signatures.  Two texts are as
+alike as the share of equal signatures among all subsets that hold a term of either text: large subsets agree for texts with
+the same terms only, smaller ones bear more and more edits.
 
 Document frequencies are exact for every term of the band: a term in a share p of all documents is in a share p of the
 documents of some partition, so partitions propose what is frequent in them, and a second pass counts the proposed
@@ -13,7 +13,7 @@ from the size of the corpus; above ``broadcast_terms`` they are counted by a pla
 
 Defined results: terms are runs without ASCII white space, without regard to ASCII case; a null text is empty; a text without a term of
 the lexicon is known by a hash of all its terms, and is alike (1.0) only to a text with the same; equal texts have equal
-fingerprints; documents with one doc_id come in descending order of their texts; a null doc_id comes last; a table of
+fingerprints; documents with one doc_id come in descending order of their texts; ids of any type that can be sorted do, and a null doc_id comes last; a table of
 one document is its own successor; an empty table gives an empty table; other columns take no part.
 """
 
@@ -26,16 +26,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import tokens
 from .common import text_or_empty
 
 LEAST, MOST = 0.002, 0.2
-SEEDS, LEVELS = 16, 11
+SEEDS, LEVELS = 8, 11
 BROADCAST_TERMS = 2_000_000
 PART_BYTES = 32 << 20
+MOST_PARTS = 50_000
 
 
 def distinct_terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,10 +134,10 @@ def lexicon(docs: DataFrame, *, text: str = "text", least: float = LEAST, most:
 
 
 def subset_hashes(data: np.ndarray, offsets: np.ndarray, words: np.ndarray, seeds: int = SEEDS, levels: int = LEVELS) -> tuple[np.ndarray, np.ndarray]:
-    """A row of 16-bit hashes for each text, 0 for a subset without a term of it; and a hash of all terms where a text
+    """A row of 32-bit signatures for each text, 0 for a subset without a term of it; and a hash of all terms where a text
     has none of the lexicon, else 0."""
     n = len(offsets) - 1
-    out = np.zeros((n, seeds, levels), np.uint16)
+    out = np.zeros((n, seeds, levels), np.uint32)
     term, text = distinct_terms(data, offsets)
     order = np.argsort(text, kind="stable")  # by text, and within it by term
     term, text = term[order], text[order]
@@ -145,43 +147,32 @@ def subset_hashes(data: np.ndarray, offsets: np.ndarray, words: np.ndarray, seed
     bare = (counts == 0)[text]
     np.add.at(rest, text[bare], tokens.mix(term[bare]))
     rest[counts == 0] = tokens.mix(rest[counts == 0]) | np.uint64(1)
-    term, text = term[inside], text[inside]
-    if len(term):
-        starts = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
-        rows = text[starts]
-        for s in range(seeds):
-            u = tokens.mix(term ^ tokens.mix(np.array([977 + s], np.uint64)))
-            value = tokens.mix(u)
-            for level in range(levels):
-                held = u < np.uint64(2 ** (64 - level) - 1)
-                if level:
-                    value = np.where(held, value, np.uint64(0))
-                total = np.add.reduceat(value, starts)  # of distinct terms, so their order is settled
-                out[rows, s, level] = np.where(total == 0, 0, (total >> np.uint64(48)) | np.uint64(1))
+    for s in range(seeds):
+        held, of = term[inside], text[inside]
+        for level in range(levels):  # each subset is half of the one before
+            if level:
+                stays = tokens.mix(held ^ tokens.mix(np.array([977 + s], np.uint64))) < np.uint64(1 << (64 - level))
+                held, of = held[stays], of[stays]
+            if not len(held):
+                break
+            starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            rank = np.arange(len(held)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(held)]])))
+            signature = tokens.mix(np.add.reduceat(tokens.mix(held) * tokens.powers(int(tokens.BASE), int(rank.max()) + 1)[rank], starts))
+            out[of[starts], s, level] = (signature >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
     return out, rest
 
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The share of equal hashes, row by row, over the sparsest level at which half of the subsets hold a term of either
-    text, and the next sparser one."""
+    """The share of equal signatures, row by row, among the subsets that hold a term of either text."""
     (x, rx), (y, ry) = a, b
-    some = (x != 0) | (y != 0)
-    filled = some.sum(1)
-    equal = ((x == y) & some).sum(1)
-    busy = filled * 2 >= x.shape[1]
-    level = np.where(busy.any(1), x.shape[2] - 1 - np.argmax(busy[:, ::-1], 1), 0)
-    r = np.arange(len(x))
-    beside = np.minimum(level + 1, x.shape[2] - 1)
-    good, all_ = equal[r, level], filled[r, level]
-    extra = beside > level
-    good, all_ = good + np.where(extra, equal[r, beside], 0), all_ + np.where(extra, filled[r, beside], 0)
-    same = (x == y).all((1, 2)) & (rx == ry)
-    return np.where(same, 1.0, np.where(all_ > 0, good / np.maximum(all_, 1), 0.0))
+    filled = ((x != 0) | (y != 0)).sum((1, 2))
+    equal = ((x == y) & (x != 0)).sum((1, 2))
+    return np.where(filled > 0, equal / np.maximum(filled, 1), (rx == ry).astype(float))
 
 
 def names(prints: tuple[np.ndarray, np.ndarray]) -> list[str]:
     out, rest = prints
-    raw = np.ascontiguousarray(out.reshape(len(out), -1).astype(">u2"))
+    raw = np.ascontiguousarray(out.reshape(len(out), -1).astype(">u4"))
     return [a.tobytes().hex() + (f"{int(b):016x}" if b else "") for a, b in zip(raw, rest, strict=True)]
 
 
@@ -234,6 +225,17 @@ def _compare(words):
     return compare
 
 
+def _place(docs: DataFrame, doc_id: str) -> Column:
+    """A number that never falls as the id rises; different ids may share one."""
+    kind = docs.schema[doc_id].dataType
+    if isinstance(kind, T.NumericType):
+        return F.col(doc_id).cast("double")
+    if isinstance(kind, (T.DateType, T.TimestampType)):
+        return F.unix_micros(F.col(doc_id).cast("timestamp")).cast("double")
+    head = F.rpad(F.hex(F.substring(F.col(doc_id).cast("string").cast("binary"), 1, 6)), 12, "0")
+    return F.conv(head, 16, 10).cast("double")
+
+
 def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: float = LEAST, most: float = MOST, part_bytes: int = PART_BYTES) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
     near_next.  The successor is the next document in descending order of doc_id, after the last one the first.
@@ -242,15 +244,15 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     shuffle of the texts brings every document next to its successor."""
     spark = docs.sparkSession
     words, rows, size = lexicon(docs, text=text, least=least, most=most)
-    order = F.coalesce(F.col(doc_id).cast("double"), F.lit(float("-inf")))
+    order = F.coalesce(_place(docs, doc_id), F.lit(float("-inf")))
     lean = docs.select(F.col(doc_id).alias("id"), order.alias("at"), text_or_empty(text).alias("t"))
-    parts = max(2, -(-size // part_bytes))
+    parts = min(MOST_PARTS, max(2, -(-size // part_bytes)))
     cuts = lean.select("at").where("at is not null").stat.approxQuantile("at", [k / parts for k in range(1, parts)], 0.1 / parts) if rows else []
     cuts = sorted({c for c in cuts if math.isfinite(c)})
     dealt = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="at", outputCol="part", handleInvalid="keep").transform(lean) if cuts else lean.withColumn("part", F.lit(0.0))
     tops = dealt.groupBy("part").agg(F.max("at").alias("at")).orderBy(F.desc("part")).collect()  # one row for each range
     above = [(low["at"], high["part"]) for high, low in zip(tops, [*tops[1:], *tops[:1]], strict=True)]
-    guests = F.broadcast(spark.createDataFrame(above, "at double, host double"))
+    guests = F.broadcast(spark.createDataFrame(above, "at double, host double"))  # at most ``MOST_PARTS`` rows
     all_ = dealt.select("id", "at", "t", "part", F.lit(0).alias("guest")).union(dealt.join(guests, "at").select("id", "at", "t", F.col("host").alias("part"), F.lit(1)))
     table = spark.sparkContext.broadcast(words)
     by = [F.asc("part"), F.asc("guest"), F.desc("at"), F.desc_nulls_last("id"), F.desc("t")]

@@ -408,6 +408,44 @@ def test_document_frequencies_are_exact(spark):
     assert n == 200 and len(words) == sum(40 <= c <= 100 for c in count.values())
 
 
+def test_likeness_against_sets_of_terms():
+    texts = [rich(n, 70 + n) for n in (5, 40, 200)] + ["", "kar lond", rich(200, 270)]
+    texts += [" ".join(rich(120, 7).split()[:80] + rich(40, k).split()) for k in (8, 9)] + [texts[1].upper()]
+    terms = [set(t.lower().split()) for t in texts]
+    number = lambda w: imatch.tokens.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0][0]
+    lexicon = {w for t in terms for w in t if number(w) % 3}
+    words = np.sort(np.array([number(w) for w in lexicon], np.uint64))
+    prints = imatch._prints(texts, words)
+    named = imatch.names(prints)
+
+    def subsets(own):
+        for s in range(imatch.SEEDS):
+            for level in range(imatch.LEVELS):
+                mix = imatch.tokens.mix
+                yield frozenset(w for w in own & lexicon if int(mix(np.array([number(w)]) ^ mix(np.array([977 + s], np.uint64)))[0]) < 1 << (64 - level))
+
+    held = [list(subsets(t)) for t in terms]
+    for i, j in itertools.product(range(len(texts)), repeat=2):
+        some = [(x, y) for x, y in zip(held[i], held[j]) if x or y]
+        want = sum(x == y for x, y in some) / len(some) if some else float(terms[i] == terms[j])
+        one, two = (tuple(p[[k]] for p in prints) for k in (i, j))
+        assert math.isclose(imatch.likeness(one, two)[0], want)
+        assert (named[i] == named[j]) == (held[i] == held[j] and (bool(some) or terms[i] == terms[j]))
+
+
+def test_fingerprints_of_ids_that_are_no_numbers(spark, odd):
+    named = odd.withColumn("doc_id", F.concat(F.lit("document-"), F.col("doc_id").cast("string")))
+    got = imatch.fingerprints(named, part_bytes=4000).collect()
+    assert len(got) == len(ODD)
+    order = sorted([(f"document-{i}", t or "") for i, t in ODD if i is not None], reverse=True)
+    after = {i: t for (i, _), (_, t) in itertools.pairwise(order)}
+    texts = dict(order)
+    for r in got:
+        if r["doc_id"] in after and r["doc_id"] != "document-8":
+            t = texts[r["doc_id"]]
+            assert r["edited_sha256"] == hashlib.sha256(imatch.edited(t, after[r["doc_id"]]).encode()).hexdigest()
+
+
 # --- 7 -----------------------------------------------------------------------------------------------------------------
 
 
