@@ -332,6 +332,28 @@ def test_pii_learns_and_redacts(spark, odd, none):
     assert pii.report(none).count() == pii.redact(none).count() == 0
 
 
+def test_pii_proposals_overlap(spark):
+    texts = ["555 123 4567 555 987 6543", "2024-05-01 555-123-4567", "4111.1111.1111.1111 555-123-4567", "10:0:0:1", "who (AT) mail (DOT) org", "x555-123-4567"]
+    got = {}
+    for r in pii.candidates(frame(spark, list(enumerate(texts)))).where("not base").join(frame(spark, list(enumerate(texts))).select(pii.row_key("doc_id", "text").alias("rid"), "doc_id"), "rid").collect():
+        got.setdefault(r["doc_id"], set()).add((r["kind"], r["match"]))
+        assert texts[r["doc_id"]][r["start"] : r["end"]] == r["match"]
+    assert {("phone", "555 123 4567"), ("phone", "555 987 6543")} <= got[0]
+    assert ("phone", "555-123-4567") in got[1]
+    assert {("card", "4111.1111.1111.1111"), ("phone", "555-123-4567")} <= got[2]
+    assert got[3] == {("ip", "10:0:0:1")} and ("email", "who (AT) mail (DOT) org") in got[4]
+    assert ("phone", "555-123-4567") not in got.get(5, set())  # glued to a letter
+
+
+def test_pii_apart_leaves_no_overlap(spark):
+    r = random.Random(2)
+    rows = [("a" if i % 3 else "b", "phone", s := r.randrange(400), s + r.randrange(1, 30), r.random()) for i in range(300)]
+    kept = pii.apart(spark.createDataFrame(rows, "rid string, kind string, start int, end int, score double")).collect()
+    for rid in "ab":
+        own = sorted((x["start"], x["end"]) for x in kept if x["rid"] == rid)
+        assert len(own) >= 8 and all(a[1] <= b[0] for a, b in itertools.pairwise(own))
+
+
 # --- 9 -----------------------------------------------------------------------------------------------------------------
 
 
