@@ -9,8 +9,9 @@ One transform cannot span a corpus, so the suffixes are dealt out such that equa
 200 bytes is keyed by the least hash of the 32-byte grams in it; neighbouring windows with one key form a fragment.
 Fragments whose key occurs once in the corpus cannot repeat and never travel.  The rest are shuffled by key, and each
 task runs the transform over a few MB of whole keys at a time.  A text with copies is represented once; a fragment with
-copies collapses before the shuffle.  A key with more distinct fragments than ``hot_fragments`` is split exactly: its
-windows are shuffled by 128-bit hashes of themselves instead.
+copies collapses before the shuffle.  Where a key has more distinct fragments than ``hot_fragments``, as under a very frequent
+passage, each of them is cut again by the least hash of the longer grams (96, 160, at last 200 bytes) in its windows: windows that
+are equal still meet, and each part goes through the transform like any other.
 
 Defined results: texts are their UTF-8 bytes, null is empty; windows never cross texts; a text shorter than the length
 loses nothing; of a text with an equal copy every window repeats; rows that repeat are copies of each other; a null doc_id is a value like any other; an empty table
@@ -34,6 +35,7 @@ LENGTH = 200
 GRAM = 32
 BATCH_BYTES = 3 << 19
 HOT_FRAGMENTS = 4000
+LONGER_GRAMS = (96, 160)
 LONGEST_RUN = 512
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
@@ -113,6 +115,20 @@ def gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, total.buffers()[1], pa.py_buffer(data[tokens.ranges(starts, sizes)].tobytes())])
 
 
+def _cells(data: np.ndarray, first: np.ndarray, size: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Of slices of ``data``: a 128-bit hash in two parts, the summed weight of all equal ones, and the bytes, which only the
+    first of equal ones has."""
+    one = tokens.span_hashes(data, first, first + size)
+    two = tokens.span_hashes(data, first, first + size, base=0xA24BAED4963EE407)
+    _, lead, back = np.unique(one ^ tokens.mix(two), return_index=True, return_inverse=True)
+    shown = np.zeros(len(first), bool)
+    shown[lead] = True
+    raw = gather(data, first, np.where(shown, size, 0))
+    if len(first):
+        raw = pa.Array.from_buffers(pa.binary(), len(first), [pa.array(shown).buffers()[1], *raw.buffers()[1:]])
+    return one.view(np.int64), two.view(np.int64), np.bincount(back, weight, len(lead)).astype(np.int64)[back], raw
+
+
 def _cut(length: int):
     """rid, text, runs -> fragments; the bytes only at the first of equal ones in a chunk."""
 
@@ -124,29 +140,35 @@ def _cut(length: int):
             runs = lists.values
             key, start, count = (runs.field(k).to_numpy(zero_copy_only=False) for k in range(3))
             for i, j in tokens.chunks(offsets):
-                part = data[offsets[i] : offsets[j]]
                 own = slice(at[i], at[j])
                 row = np.repeat(np.arange(i, j), np.diff(at[i : j + 1]))
-                k, s, c = key[own], start[own].astype(np.int64), count[own].astype(np.int64)
-                first = s + offsets[row] - offsets[i]
-                size = c + length - 1
-                one = tokens.span_hashes(part, first, first + size)
-                two = tokens.span_hashes(part, first, first + size, base=0xA24BAED4963EE407)
-                _, lead, back, times = np.unique(one ^ tokens.mix(two), return_index=True, return_inverse=True, return_counts=True)
-                shown = np.zeros(len(k), bool)
-                shown[lead] = True
-                held = np.where(shown, size, 0)
-                bytes_ = gather(part, first, held)
-                bytes_ = pa.Array.from_buffers(pa.binary(), len(k), [pa.array(shown).buffers()[1], *bytes_.buffers()[1:]]) if len(k) else bytes_
-                ids = batch.column(0).to_numpy()[row]
+                s = start[own].astype(np.int64)
+                one, two, times, raw = _cells(data[offsets[i] : offsets[j]], s + offsets[row] - offsets[i], count[own] + length - 1, np.ones(len(s)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(k), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(ids), pa.array(s), pa.array(times[back], pa.int64()), bytes_],
+                    [pa.array(key[own]), pa.array(one), pa.array(two), pa.array(batch.column(0).to_numpy()[row]), pa.array(s), pa.array(times), raw],
                     ["key", "one", "two", "rid", "start", "times", "fragment"],
                 )
 
     return cut
 
 
+def _cut_again(length: int, gram: int):
+    """up_one, up_two, up_times, fragment -> the parts of each fragment by the least hash of the ``gram`` bytes in its windows."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = tokens.text_buffer(batch.column(3))
+            for i, j in tokens.chunks(offsets, 1 << 19):
+                part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                keys, starts, counts, at = window_runs(part, own, length, gram)
+                row = np.repeat(np.arange(j - i), np.diff(at))
+                one, two, times, raw = _cells(part, starts + own[row], counts + length - 1, batch.column(2).to_numpy()[i:j][row])
+                up = (pa.array(batch.column(k).to_numpy()[i:j][row]) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(one), pa.array(two), *up, pa.array(starts), pa.array(times), raw], ["key", "one", "two", "up_one", "up_two", "start", "times", "fragment"])
+
+    return cut
+
+
 # --- the transform -------------------------------------------------------------------------------------------------------
 
 
@@ -258,41 +280,23 @@ def _expand(length: int, batch_bytes: int):
     return expand
 
 
-def _windows(length: int):
-    """Fragments of a hot key -> one row for each window."""
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, offsets, raw = batch.column(2).buffers()
-            at = np.frombuffer(offsets, np.int32)[batch.column(2).offset : batch.column(2).offset + batch.num_rows + 1].astype(np.int64)
-            data = np.frombuffer(raw, np.uint8)[at[0] : at[-1]]
-            at -= at[0]
-            for i, j in tokens.chunks(at, 1 << 19):
-                part, own = data[at[i] : at[j]], at[i : j + 1] - at[i]
-                n = np.diff(own) - length + 1
-                first = tokens.ranges(own[:-1], n)
-                row = np.repeat(np.arange(i, j), n)
-                w1, w2 = (tokens.span_hashes(part, first, first + length, base=b).view(np.int64) for b in (int(tokens.BASE), 0xA24BAED4963EE407))
-                yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[row]), pa.array(batch.column(1).to_numpy()[row]), pa.array(tokens.ranges(np.zeros(j - i, np.int64), n)), pa.array(w1), pa.array(w2)], ["one", "two", "place", "w1", "w2"])
-
-    return windows
-
-
-def repeated_runs(fragments: DataFrame, *, length: int, batch_bytes: int, hot_fragments: int) -> DataFrame:
+def repeated_runs(fragments: DataFrame, *, length: int, batch_bytes: int, hot_fragments: int, grams: tuple[int, ...] | None = None) -> DataFrame:
     """one, two (the fragment), begins, ends: its byte runs covered by strings that also start elsewhere."""
+    grams = (*(g for g in LONGER_GRAMS if g < length), length) if grams is None else grams
     shown = fragments.where("fragment is not null").select("key", "one", "two", "times", "fragment")
     hot = stash(shown.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot_fragments).select("key"))
-    any_hot = not hot.isEmpty()
+    any_hot = bool(grams) and not hot.isEmpty()
     plain = (shown.join(hot, "key", "left_anti") if any_hot else shown).repartition("key").sortWithinPartitions("key", "one", "two")
     runs = plain.mapInArrow(_expand(length, batch_bytes), "one bigint, two bigint, begins array<bigint>, ends array<bigint>")
     if not any_hot:
         return runs
-    most = shown.join(hot, "key", "left_semi").groupBy("one", "two").agg(F.first("fragment").alias("fragment"), F.sum("times").alias("times"))
-    rows = most.select("one", "two", "fragment").mapInArrow(_windows(length), "one bigint, two bigint, place bigint, w1 bigint, w2 bigint")
-    twice = rows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    places = rows.join(twice, ["w1", "w2"]).select("one", "two", "place").union(most.where("times > 1").select("one", "two", F.explode(F.sequence(F.lit(0).cast("bigint"), F.length("fragment") - length)).alias("place")))
-    split = places.groupBy("one", "two").agg(F.array_sort(F.collect_set("place")).alias("begins"))
-    return runs.union(split.select("one", "two", "begins", F.transform("begins", lambda x: x + length).alias("ends")))
+    most = shown.join(hot, "key", "left_semi").groupBy("one", "two").agg(F.sum("times").alias("times"), F.first("fragment").alias("fragment"))
+    parts = stash(most.mapInArrow(_cut_again(length, grams[0]), "key bigint, one bigint, two bigint, up_one bigint, up_two bigint, start bigint, times bigint, fragment binary"))
+    deeper = repeated_runs(parts, length=length, batch_bytes=batch_bytes, hot_fragments=hot_fragments, grams=grams[1:])
+    met = parts.select("one", "two", "up_one", "up_two", "start").join(deeper, ["one", "two"])
+    move = lambda c: F.transform(c, lambda x: x + F.col("start")).alias(c)
+    back = met.select("up_one", "up_two", move("begins"), move("ends")).groupBy("up_one", "up_two").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("begins", "ends")))
+    return runs.union(back)
 
 
 # --- whole texts ---------------------------------------------------------------------------------------------------------
