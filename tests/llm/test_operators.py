@@ -401,10 +401,35 @@ def test_sharding(spark, odd, none):
     version = table.append(odd.limit(2))
     assert table.read(version - 1).count() == len(ODD) and table.read().count() == len(ODD) + 2
     with pytest.raises(sharding.CommitConflict):
-        table._publish([], version)
+        table._publish(table.manifest().limit(0).withColumn("gone", F.lit(False)), version)
     assert sharding.load_in_arrivals(none, shared_folder(spark)).read().count() == 0
 
 
+def test_tiers_sizes_and_lost_writers(spark):
+    docs = frame(spark, [(i, rich(400, i)) for i in range(240)])
+    table = sharding.ShardTable(spark, shared_folder(spark), docs.schema, 400 << 10, 4)
+    files = lambda: {r["path"]: (r["bytes"], r["version"]) for r in table.manifest().collect()}
+    seen = {}
+    for k in range(12):
+        table.append(docs.where(F.col("doc_id") % 12 == k).repartition(2))
+        table.compact()
+        now = files()
+        assert all(seen[p] == v for p, v in now.items() if p in seen)  # no shard is changed
+        seen |= now
+        tiers = Counter(r["tier"] for r in table.manifest().collect() if r["bytes"] < 200 << 10)
+        assert all(n < 4 for n in tiers.values())
+        assert table.read().count() == 20 * (k + 1)
+    assert len(files()) < 10 < len(seen) and max(b for b, _ in files().values()) < 800 << 10
+    # A writer that is lost before its commit leaves files that no reader sees.
+    before = table.latest()
+    docs.write.parquet(f"{table.root}/shards/lost")
+    table.manifest().limit(1).write.json(f"{table.root}/staged/lost")
+    assert table.latest() == before and table.read().count() == 240
+    old = table.read(before - 1).count()
+    assert table.vacuum(keep_versions=2) > 0 and table.read().count() == 240 and table.read(before - 1).count() == old
+    assert not table._fs().exists(table._path(f"{table.root}/shards/lost"))
+
+
 # --- 10 ----------------------------------------------------------------------------------------------------------------
 
 
