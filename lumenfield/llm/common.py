@@ -21,7 +21,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder that the driver and all executors can reach."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:  # tests on one machine
+    if not base:  # tests on one machine; elsewhere executors would each write to a disk of their own
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/lumenfield-{uuid.uuid4().hex}"

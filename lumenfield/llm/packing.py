@@ -1,7 +1,7 @@
 """Best-fit packing into several permitted sequence lengths.
 
-Every document is cut into pieces of at most the longest permitted length.  Pieces are dealt by a hash of the document
-id to as many shards as the number of pieces asks for, and each shard is packed by itself: only (id, piece, length)
+Every document is cut into pieces of at most the longest permitted length.  Pieces are dealt by a hash of document id, text
+and piece to as many shards as the number of pieces asks for, and each shard is packed by itself: only (id, piece, length)
 rows travel, the shard count grows with the table, and no shard holds more than a fixed number of pieces on average.
 
 Within a shard, pieces go in decreasing order into the open bin that they fill best.  Where none has room, a bin is
@@ -9,7 +9,8 @@ opened whose length has the least cost for each token it can be expected to hold
 how full a long bin can get.  At the end each bin is cut down to the shortest permitted length that holds its contents.
 
 Defined results: a null or empty text has one piece of one token (its end mark); an empty table gives an empty table;
-rows that repeat a document id are packed one by one under that id; a null id is dealt like any other value.  Other columns do not take part.
+rows that repeat a document id are packed one by one under that id, and rows of one id or of none lie in many shards unless
+their texts are the same.  Other columns do not take part.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, text_or_empty
+from .common import WORD, stash, text_or_empty
 
 CAPACITIES = (512, 1024, 2048, 4096)
 PIECES_PER_SHARD = 20_000
@@ -82,17 +83,18 @@ def _pack_shard(capacities: Sequence[int], cost: Callable[[int], float]) -> Call
     return pack
 
 
-def pack(docs: DataFrame, *, doc_id: str = "doc_id", length: Column | None = None, capacities: Sequence[int] = CAPACITIES, cost: Callable[[int], float] = attention_cost, pieces_per_shard: int = PIECES_PER_SHARD) -> DataFrame:
+def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: Column | None = None, capacities: Sequence[int] = CAPACITIES, cost: Callable[[int], float] = attention_cost, pieces_per_shard: int = PIECES_PER_SHARD) -> DataFrame:
     """One row for each piece: doc_id, piece, start (first token of the piece in its document), n_tokens, shard, bin,
     bin_offset, capacity.  (shard, bin) names a bin."""
     most = max(capacities)
-    n = (token_count() if length is None else length).cast("bigint")
+    n = (token_count(text) if length is None else length).cast("bigint")
     kind = dict(docs.dtypes)[doc_id]
-    items = docs.select(F.col(doc_id).cast("string").alias("item"), F.greatest(F.coalesce(n, F.lit(1)), F.lit(1)).alias("n"))
+    salt = F.xxhash64(doc_id, *((text,) if text in docs.columns else ()))
+    items = stash(docs.select(F.col(doc_id).cast("string").alias("item"), salt.alias("salt"), F.greatest(F.coalesce(n, F.lit(1)), F.lit(1)).alias("n")))
     total = items.agg(F.sum(F.ceil(F.col("n") / most)).alias("p")).collect()[0]["p"] or 0
     shards = max(1, -(-int(total) // pieces_per_shard))
-    pieces = items.select("item", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("n") / most) - 1)).alias("piece")).select(
-        "item", "piece", F.least(F.lit(most).cast("bigint"), F.col("n") - F.col("piece") * most).alias("length"), F.pmod(F.xxhash64("item", "piece"), F.lit(shards)).alias("shard")
+    pieces = items.select("item", "salt", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("n") / most) - 1)).alias("piece")).select(
+        "item", "piece", F.least(F.lit(most).cast("bigint"), F.col("n") - F.col("piece") * most).alias("length"), F.pmod(F.xxhash64("salt", "piece"), F.lit(shards)).alias("shard")
     )
     packed = pieces.groupBy("shard").applyInPandas(_pack_shard(tuple(capacities), cost), "item string, piece bigint, length bigint, shard bigint, bin bigint, bin_offset bigint, capacity bigint")
     return packed.select(F.col("item").cast(kind).alias("doc_id"), "piece", (F.col("piece") * most).alias("start"), F.col("length").alias("n_tokens"), "shard", "bin", "bin_offset", "capacity")

@@ -14,7 +14,7 @@ Defined results (column outcome):
  resolved            a validator of the revisit equals the response's
  unvalidated         there is an earlier response, and the revisit names no validator that the response has too
  validator_mismatch  the first comparable validator differs: no payload and no merged headers
- no_response         no earlier full response, or the revisit has no URL or no time
+ no_response         no earlier full response, or the revisit has no URL or no time (one that does not parse is none)
 Null header blocks count as empty.  Records of other types are left out.  An empty table gives an empty table; rows
 that repeat a record are resolved one by one; further columns of the input do not take part.
 """
@@ -76,7 +76,7 @@ def _tag(headers: Column) -> Column:
 
 
 def _instant(column: str) -> Column:
-    return F.unix_micros(F.col(column).cast("timestamp"))
+    return F.unix_micros(F.col(column).try_cast("timestamp"))
 
 
 def latest_earlier(records: DataFrame, *, segment_seconds: int = SEGMENT_SECONDS) -> DataFrame:

@@ -392,6 +392,21 @@ def test_packing(spark, odd, none):
     assert packing.pack(none).count() == 0
 
 
+def test_packing_several_lengths_cost_less_than_one():
+    r = random.Random(11)
+    for _ in range(10):
+        lengths = sorted((min(4096, int(r.lognormvariate(5.5, 1.2)) + 1) for _ in range(400)), reverse=True)
+        together = sum(packing.attention_cost(c) for c in packing.pack_lengths(lengths)[2])
+        single = [sum(packing.attention_cost(c) for c in packing.pack_lengths(lengths, (c,))[2]) for c in packing.CAPACITIES if c >= lengths[0]]
+        assert together <= min(single)
+
+
+def test_packing_of_one_id(spark):
+    rows = [(None if i % 2 else 7, prose(30, i)) for i in range(2000)]
+    got = packing.pack(frame(spark, rows), pieces_per_shard=200).groupBy("shard").count().collect()
+    assert len(got) == 10 and max(r["count"] for r in got) < 300
+
+
 # --- 8 -----------------------------------------------------------------------------------------------------------------
 
 
@@ -634,3 +649,6 @@ def test_revisits(spark):
     assert got[5] == (4, "validator_mismatch", None) and got[8] == (4, "unvalidated", 'etag: "v2"')
     assert {got[k][1] for k in (3, 6, 7)} == {"no_response"} and set(got) == {2, 3, 5, 6, 7, 8}
     assert warc.resolve_revisits(records.where("1 = 0")).count() == 0
+    odd_times = records.withColumn("ts", F.when(F.col("record_id") == 2, "no time").otherwise(F.col("ts").cast("string")))
+    got = {r["record_id"]: r["outcome"] for r in warc.resolve_revisits(odd_times).collect()}
+    assert got[2] == "no_response" and got[5] == "validator_mismatch"
