@@ -546,12 +546,12 @@ def links(nodes: DataFrame, docs: DataFrame, *, doc_id: str, text: str, similari
     marked = marked.select("bucket", "size", "member", F.coalesce("part", "own").alias("part"), good.alias("good"), (~(good | F.coalesce("near", F.lit(False)))).alias("far"))
     tried = seen.select(F.least("center", "member").alias("center"), F.greatest("center", "member").alias("member"))
     rounds = [k < forest_rounds for k in range(forest_rounds + 1)]
+    marked = stash(marked)
     while rounds:
         forest = rounds.pop(0)
         # Buckets of one class are done.
-        marked = stash(marked)
         mixed = marked.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("bucket")
-        rest = marked.join(mixed, "bucket", "left_semi")
+        rest = stash(marked.join(mixed, "bucket", "left_semi"))
         across = _pairs(rest, keys, similarity=similarity, block=block, forest=forest, backwards=len(rounds) % 2 == 1)
         across = stash(across.join(tried, ["center", "member"], "left_anti"))
         judged = align(across.select("center", "member").distinct(), texts, similarity=similarity)
