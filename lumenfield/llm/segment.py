@@ -35,8 +35,8 @@ from .common import text_or_empty
 SETTING = "spark.lumenfield.tokenizer"
 MARK = 0x2581
 LITERAL_MARK = 0x110000
-CHUNK_CHARS = 160_000
-CACHED_UNITS = 60_000
+CHUNK_CHARS = 320_000
+CACHED_UNITS = 120_000
 SAMPLES = 3
 ZIPF_SHIFT = 8.0
 FALLBACK_RANK = 40_000.0
@@ -276,9 +276,11 @@ def sample_paths(lat: Lattices, node: np.ndarray, text: np.ndarray, place: np.nd
     while True:
         best, owner, which = np.full(n, -np.inf), np.zeros(n, np.int64), np.zeros(n, np.int64)
         for k, p in enumerate(paths):
-            order = np.argsort(p.bound, kind="stable")
+            top = np.full(n, -np.inf)
+            np.maximum.at(top, p.other_text, p.bound)
+            hit = np.flatnonzero(p.bound == top[p.other_text])
             greatest = np.full(n, -1, np.int64)
-            greatest[p.other_text[order]] = order  # the last one written is the greatest
+            greatest[p.other_text[hit]] = hit
             has = np.flatnonzero(greatest >= 0)
             better = has[p.bound[greatest[has]] > best[has]]
             best[better], owner[better], which[better] = p.bound[greatest[better]], k, greatest[better]
