@@ -88,18 +88,18 @@ def tile_role(tile: Column) -> Column:
 
 
 def magnitude_bin(mag: Column) -> Column:
-    """(lo, hi] bins."""
-    return F.when(mag <= 18, "V<=18").when(mag <= 20, "18<V<=20").when(mag <= 21, "20<V<=21").when(mag <= 22, "21<V<=22").otherwise("V>22")
+    """(lo, hi] bins; null and NaN have none."""
+    return F.when(mag.isNull() | F.isnan(mag), None).when(mag <= 18, "V<=18").when(mag <= 20, "18<V<=20").when(mag <= 21, "20<V<=21").when(mag <= 22, "21<V<=22").otherwise("V>22")
 
 
 def density_bin(n: Column) -> Column:
     """[lo, hi] bins of a neighbour count."""
-    return F.when(n <= 1, "0-1 neighbours").when(n == 2, "2 neighbours").otherwise(">=3 neighbours")
+    return F.when(n.isNull(), None).when(n <= 1, "0-1 neighbours").when(n == 2, "2 neighbours").otherwise(">=3 neighbours")
 
 
 def snr_bin(snr: Column) -> Column:
     """[lo, hi) bins."""
-    return F.when(snr < 5, "SNR<5").when(snr < 10, "5<=SNR<10").when(snr < 20, "10<=SNR<20").when(snr < 50, "20<=SNR<50").otherwise("SNR>=50")
+    return F.when(snr.isNull() | F.isnan(snr), None).when(snr < 5, "SNR<5").when(snr < 10, "5<=SNR<10").when(snr < 20, "10<=SNR<20").when(snr < 50, "20<=SNR<50").otherwise("SNR>=50")
 
 
 def scene_magnitude_bin(mag: Column) -> Column:

@@ -114,3 +114,20 @@ def pairwise(runs: DataFrame, a: int, b: int, values: Sequence[str], on: str = "
 def union_tiers(tiers: dict[str, DataFrame]) -> DataFrame:
     """Rows of several tiers together, with their tier and without any pooling; absent columns are null."""
     return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), (d.withColumn("tier", F.lit(k)) for k, d in tiers.items()))
+
+
+def residual_bootstrap(matches: DataFrame, squared: str, row: str, keys: Sequence[str], replicates: int) -> DataFrame:
+    """2.5 and 97.5 percentiles of the root of the mean of ``squared`` under Poisson resampling of matches that stay fixed.
+
+    Defined results: a null square counts for nothing, a key without any has no row; equal rows are drawn alike."""
+    drawn = matches.where(F.col(squared).isNotNull()).withColumn("rep", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(replicates).cast("bigint"))))
+    drawn = drawn.withColumn("w", poisson_one(hash_uniform(F.col("rep"), F.col(row))))
+    each = drawn.groupBy(*keys, "rep").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col(squared)).alias("s")).where("w > 0").withColumn("rms", F.sqrt(F.col("s") / F.col("w")))
+    return each.groupBy(*keys).agg(F.percentile("rms", F.lit(0.025)).alias("lo"), F.percentile("rms", F.lit(0.975)).alias("hi"), F.count("*").alias("replicates"))
+
+
+def difference(trials: DataFrame, a: int, b: int, keys: Sequence[str]) -> DataFrame:
+    """n, recovery_difference and runtime_difference, a less b, over the trials that are eligible under both methods."""
+    side = lambda m, tag: trials.where((F.col("method_no") == m) & (F.col("status") == "eligible")).select("trial_id", *keys, F.col("recovered").cast("int").alias(f"r_{tag}"), F.col("runtime_s").alias(f"s_{tag}"))
+    both = side(a, "a").join(side(b, "b").drop(*keys), "trial_id")
+    return both.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(F.col("r_a") - F.col("r_b")).alias("recovery_difference"), F.avg(F.col("s_a") - F.col("s_b")).alias("runtime_difference"))

@@ -17,9 +17,10 @@ def good(v: Column) -> Column:
 
 
 def fill_bad(pixels: DataFrame) -> DataFrame:
-    """Bad and missing pixels take the median of the field's good ones."""
-    middle = pixels.where(good(F.col("v"))).groupBy("field_id").agg(F.percentile("v", F.lit(0.5)).alias("middle"))
-    return pixels.join(middle, "field_id").withColumn("v", F.when(good(F.col("v")), F.col("v")).otherwise(F.col("middle"))).drop("middle")
+    """Bad and missing pixels take the median of the field's good ones; in a field without a good one, or without an id,
+    they become null.  Every row stays."""
+    middle = pixels.where(good(F.col("v"))).groupBy("field_id").agg(F.percentile("v", F.lit(0.5)).alias("field_median"))
+    return pixels.join(middle, "field_id", "left").withColumn("v", F.when(good(F.col("v")), F.col("v")).otherwise(F.col("field_median"))).drop("field_median")
 
 
 def crop(pixels: DataFrame, x0: int, y0: int, width: int, height: int) -> DataFrame:

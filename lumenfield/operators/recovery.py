@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from . import robust, scans
 from . import spatial as S
-from .rounds import settle
+from .shared import settle
 
 LEAN_DET = ("field_id", "det_id", "x", "y")
 
@@ -155,3 +155,23 @@ def measurement_metrics(matches: DataFrame, *, least_train: int = 10, least_test
     position = robust.clipped(radial, ["field_id"], "radial", 0.05, one_sided=True).groupBy("field_id").agg(F.sqrt(F.avg(C.square(F.col("radial"))) / 2.0).alias("rms_1d_px"))
     magnitude = robust.clipped(magnitude_residuals(used).where("test"), ["field_id"], "mag_residual", 0.03).groupBy("field_id").agg(F.stddev_pop("mag_residual").alias("mag_rms"))
     return sizes.join(position, "field_id", "left").join(magnitude, "field_id", "left").withColumn("rms_1d_mas", F.col("rms_1d_px") * pixel_mas)
+
+
+def new_candidates(dets: DataFrame, known: DataFrame, *, separation: float, most: int) -> DataFrame:
+    """Detections farther than ``separation`` from all known sources, with ``place`` by flux, the first ``most`` of a field.
+
+    Defined results: a detection without a place is far from all; a null flux comes last; an empty table gives none."""
+    far = S.has_neighbour(dets, known, separation, left_id="det_id", negate=True)
+    place = F.row_number().over(W.partitionBy("field_id").orderBy(F.desc_nulls_last("flux"), "det_id"))
+    return far.withColumn("place", place).where(F.col("place") <= most)
+
+
+def threshold_scan(dets: DataFrame, refs: DataFrame, score: str, thresholds: Sequence[float], radius: float = 2.0) -> DataFrame:
+    """field_id, threshold, n_detection and matched references, for detections at or above each threshold.  Pairs are
+    found once; detections below the least threshold and null scores take no part."""
+    cuts = F.explode(F.array(*(F.lit(float(c)) for c in thresholds)))
+    own = dets.select("field_id", "det_id", "x", "y", F.col(score).alias("level"))
+    near = S.nearest(own, refs.select("field_id", "ref_id", "x", "y"), radius, left_id="det_id", right_id="ref_id").select("field_id", "ref_id", "level")
+    hit = near.withColumn("threshold", cuts).where("level >= threshold").groupBy("field_id", "threshold").agg(F.countDistinct("ref_id").alias("matched"))
+    seen = own.withColumn("threshold", cuts).where("level >= threshold").groupBy("field_id", "threshold").agg(F.count("*").alias("n_detection"))
+    return seen.join(hit, ["field_id", "threshold"], "left").fillna(0, ["matched"])

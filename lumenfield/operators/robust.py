@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import square
-from .rounds import settle
+from .shared import settle
 
 MAD = 1.4826
 
@@ -90,3 +90,18 @@ def translation_peak(pairs: DataFrame, keys: Sequence[str], *, reach: float = 30
     peak = total.select(*keys, "pairs", center("bx").alias("peak_x"), center("by").alias("peak_y"))
     near = offsets.join(peak, list(keys)).where((F.abs(F.col("dx") - F.col("peak_x")) <= around) & (F.abs(F.col("dy") - F.col("peak_y")) <= around))
     return near.groupBy(*keys).agg(F.first("pairs").alias("pairs"), median("dx").alias("dx"), median("dy").alias("dy"), F.count("*").alias("n_near"))
+
+
+def precision_by(matches: DataFrame, keys: Sequence[str], *, least: int = 5, floor: float = 0.05) -> DataFrame:
+    """By ``keys``: n, position_rms_px (null for fewer than ``least`` matches), and the RMS about the median of the
+    ``mag_residual`` within three scaled deviations or ``floor`` of it.  ``matches``: d2 and mag_residual.
+
+    Defined results: null residuals take no part in the latter; keys that are null form groups of their own and have no
+    magnitude RMS; an empty table gives none."""
+    values = matches.where("mag_residual is not null").select(*keys, "mag_residual")
+    mid = values.groupBy(*keys).agg(median("mag_residual").alias("mid"))
+    off = values.join(mid, list(keys)).withColumn("off", F.abs(F.col("mag_residual") - F.col("mid")))
+    mad = off.groupBy(*keys).agg((F.lit(1.4826) * median("off")).alias("mad"))
+    rms = off.join(mad, list(keys)).where(F.col("off") <= F.greatest(3.0 * F.col("mad"), F.lit(floor))).groupBy(*keys).agg(F.sqrt(F.avg(F.col("off") * F.col("off"))).alias("magnitude_rms"))
+    place = matches.groupBy(*keys).agg(F.count("*").alias("n"), F.when(F.count("*") >= least, F.sqrt(F.avg("d2"))).alias("position_rms_px"))
+    return place.join(rms, list(keys), "left")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -11,19 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import spatial as S
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the folder that driver and executors share and read it back: a short plan, and no state that is
-    lost with an executor."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:  # one machine
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/rounds-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from .shared import settle
 
 
 def thin(points: DataFrame, separation: float, *, point_id: str, order: str, keys: Sequence[str] = S.FIELD) -> DataFrame:

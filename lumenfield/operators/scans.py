@@ -55,11 +55,15 @@ def dolphot_quality(rows: DataFrame) -> DataFrame:
 
 
 def interior_of_all(trials: DataFrame, exposures: DataFrame, *, size: float, margin: float) -> DataFrame:
-    """trial_id and reason: admitted if it lies inside every exposure.  Exposures are few; each shifts by (dx, dy)."""
-    x, y = F.col("x") + F.col("dx"), F.col("y") + F.col("dy")
-    off = lambda c: (c < margin) | (c >= size - margin)
-    seen = trials.crossJoin(exposures).groupBy("trial_id").agg(F.bool_or(off(x)).alias("off_x"), F.bool_or(off(y)).alias("off_y"))
-    return seen.select("trial_id", F.when(~F.col("off_x") & ~F.col("off_y"), "admitted").when(F.col("off_x"), "outside_x").otherwise("outside_y").alias("reason"))
+    """trial_id and reason: admitted if it lies inside every exposure.  Each exposure shifts by (dx, dy), and only the extremes
+    of the shifts matter: one row, whatever the number of exposures.
+
+    Defined results: without an exposure every trial is admitted; a trial without a place has no reason."""
+    ends = exposures.agg(*(f(c).alias(f"{n}_{c}") for c in ("dx", "dy") for n, f in (("low", F.min), ("high", F.max))))
+    off = lambda c, d: F.coalesce(F.col(c) + F.col(f"low_{d}") < margin, F.lit(False)) | F.coalesce(F.col(c) + F.col(f"high_{d}") >= size - margin, F.lit(False))
+    placed = F.col("x").isNotNull() & F.col("y").isNotNull()
+    reason = F.when(off("x", "dx"), "outside_x").when(off("y", "dy"), "outside_y").otherwise("admitted")
+    return trials.crossJoin(F.broadcast(ends)).select("trial_id", F.when(placed, reason).alias("reason"))
 
 
 def admit_exposures(exposures: DataFrame, wanted: str, *, least: int, keys: Sequence[str]) -> DataFrame:
@@ -91,3 +95,9 @@ def standardised(rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) -
 def design_grid(*dimensions: DataFrame) -> DataFrame:
     """All combinations of a few small tables."""
     return reduce(DataFrame.crossJoin, dimensions)
+
+
+def positive_flux(sources: DataFrame, flux: str = "flux") -> DataFrame:
+    """Sources whose flux is a finite number above zero; null, NaN and infinite ones go."""
+    f = F.col(flux)
+    return sources.where(f.isNotNull() & ~F.isnan(f) & (f > 0) & (f < float("inf")))

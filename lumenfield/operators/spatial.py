@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import cell, square
+from .shared import settle
 
 FIELD = ("field_id",)
 
@@ -26,16 +27,36 @@ def distance2(x: str | Column = "x", y: str | Column = "y", rx: str | Column = "
 
 def pairs_within(left: DataFrame, right: DataFrame, radius: float, *, keys: Sequence[str] = FIELD) -> DataFrame:
     """All pairs at most ``radius`` apart: the columns of ``left``, those of ``right`` with x and y renamed to rx and
-    ry, and the squared distance d2.  Other columns must not clash."""
+    ry, and the squared distance d2.
+
+    Defined results: a null or NaN coordinate or a null key pairs with nothing; repeated rows pair one by one; an empty side gives
+    no rows; columns of ``left`` named rx, ry or d2 give way, and so do those of ``right`` that ``left`` or the result has."""
+    a = left.drop(*(c for c in left.columns if c.lower() in ("rx", "ry", "d2")))
+    taken = {c.lower() for c in (*a.columns, "rx", "ry", "d2")} - {k.lower() for k in keys}
+    b = right.drop(*(c for c in right.columns if c.lower() in taken - {"x", "y"})).withColumnsRenamed({"x": "rx", "y": "ry"})
+    own = [free_name(a, n, b) for n in ("bucket_x", "bucket_y")]
     near = F.array(*(F.lit(d).cast("bigint") for d in (-1, 0, 1)))
-    a = left.withColumns({"bucket_x": cell(F.col("x"), radius), "bucket_y": cell(F.col("y"), radius)})
-    b = right.withColumnsRenamed({"x": "rx", "y": "ry"})
-    b = b.withColumn("bucket_x", F.explode(F.transform(near, lambda d: cell(F.col("rx"), radius) + d)))
-    b = b.withColumn("bucket_y", F.explode(F.transform(near, lambda d: cell(F.col("ry"), radius) + d)))
-    met = a.join(b, [*keys, "bucket_x", "bucket_y"]).drop("bucket_x", "bucket_y")
+    a = a.where(~(F.isnan("x") | F.isnan("y"))).withColumns({n: cell(F.col(c), radius) for n, c in zip(own, "xy", strict=True)})
+    b = b.where(~(F.isnan("rx") | F.isnan("ry")))
+    for n, c in zip(own, ("rx", "ry"), strict=True):
+        b = b.withColumn(n, F.explode(_shifted(c, radius, near)))
+    met = a.join(b, [*keys, *own]).drop(*own)
     return met.withColumn("d2", distance2()).where(F.col("d2") <= radius * radius)
 
 
+def _shifted(column: str, radius: float, steps: Column) -> Column:
+    return F.transform(steps, lambda d: cell(F.col(column), radius) + d)
+
+
+def free_name(df: DataFrame, base: str, *others: DataFrame) -> str:
+    """``base``, or the first of base_1, base_2, ... that no table has as a column."""
+    taken, name, n = {c.lower() for t in (df, *others) for c in t.columns}, base, 0
+    while name.lower() in taken:
+        n += 1
+        name = f"{base}_{n}"
+    return name
+
+
 def nearest(left: DataFrame, right: DataFrame, radius: float, *, left_id: str, right_id: str, keys: Sequence[str] = FIELD, within: Sequence[str] = ()) -> DataFrame:
     """For each row of ``left`` its nearest row of ``right`` within the radius; with ``within``, the nearest in each
     group of those columns of ``right``."""
@@ -76,13 +97,22 @@ def has_neighbour(left: DataFrame, right: DataFrame, radius: float, *, left_id:
 
 def nearest_distance(left: DataFrame, right: DataFrame, *, left_id: str, start: float = 32.0, keys: Sequence[str] = FIELD, other_id: str | None = None) -> DataFrame:
     """``left`` with ``nearest_px``, the distance to the nearest row of ``right`` however far it is (null if the keys have
-    none).  Two rings settle nearly all; the lonely rest is held against all rows of its keys."""
+    none, or the place is null or NaN).  Rings double until all are settled whose keys have a row: a ring twice the extent of
+    both tables reaches everything.  Each is written to the shared folder, so that no ring is worked out twice."""
     right = right.select(*keys, "x", "y", *([F.col(other_id).alias("neighbour_id")] if other_id else []))
     own = F.col(left_id) != F.col("neighbour_id") if other_id else F.lit(True)
-    todo, found = left.select(*keys, left_id, "x", "y"), None
-    for radius in (start, 4 * start):
-        ring = pairs_within(todo, right, radius, keys=keys).where(own).groupBy(*keys, left_id).agg(F.min("d2").alias("d2")).persist()
+    there = right.select(*keys).distinct()
+    todo = left.select(*keys, left_id, "x", "y").where(~(F.isnan("x") | F.isnan("y"))).join(there, list(keys), "left_semi")
+    span = left.select("x", "y").union(right.select("x", "y")).where(~(F.isnan("x") | F.isnan("y")))
+    extent = span.agg(F.max("x") - F.min("x") + F.max("y") - F.min("y")).collect()[0][0] or 0.0
+    found, radius = None, start
+    while True:
+        ring = settle(pairs_within(todo, right, radius, keys=keys).where(own).groupBy(*keys, left_id).agg(F.min("d2").alias("d2")))
         found = ring if found is None else found.union(ring)
-        todo = todo.join(ring, [*keys, left_id], "left_anti")
-    rest = todo.join(right.withColumnsRenamed({"x": "rx", "y": "ry"}), list(keys)).where(own).groupBy(*keys, left_id).agg(F.min(distance2()).alias("d2"))
-    return left.join(found.union(rest).select(*keys, left_id, F.sqrt("d2").alias("nearest_px")), [*keys, left_id], "left")
+        if radius > extent:
+            break
+        todo = settle(todo.join(ring, [*keys, left_id], "left_anti"))
+        if todo.isEmpty():
+            break
+        radius *= 2
+    return left.join(found.select(*keys, left_id, F.sqrt("d2").alias("nearest_px")), [*keys, left_id], "left")

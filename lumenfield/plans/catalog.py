@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import comparisons, designs, imaging, matching, selections
+from . import comparisons, designs, imaging, matching, residuals, selections
 from .registry import ORACLES, QUERIES
 
-MODULES = (selections, matching, comparisons, designs, imaging)
+MODULES = (selections, matching, comparisons, designs, imaging, residuals)
 __all__ = ["MODULES", "ORACLES", "QUERIES"]

@@ -114,15 +114,14 @@ def common_denominator_recovery(t: Tables) -> DataFrame:
 
 _DISCORDANT = """
 d AS (SELECT density_band, count(*) AS n, count(*) FILTER (WHERE a.recovered AND NOT b.recovered) AS a_only, count(*) FILTER (WHERE b.recovered AND NOT a.recovered) AS b_only
-      FROM (SELECT * FROM trials WHERE method_no = 0 AND status = 'eligible' AND trial_id % 40 = 1) a JOIN (SELECT trial_id, recovered FROM trials WHERE method_no = 1 AND status = 'eligible') b USING (trial_id) GROUP BY ALL)"""
+      FROM (SELECT * FROM trials WHERE method_no = 0 AND status = 'eligible') a JOIN (SELECT trial_id, recovered FROM trials WHERE method_no = 1 AND status = 'eligible') b USING (trial_id) GROUP BY ALL)"""
 
 
 @query("trials", sql=f"""
 WITH {_DISCORDANT}, g AS (SELECT density_band, sum(exp(lgamma(a_only + b_only + 1) - lgamma(i + 1) - lgamma(a_only + b_only - i + 1) - (a_only + b_only) * ln(2.0))) AS tail FROM (SELECT d.*, unnest(range(0, least(a_only, b_only) + 1)) AS i FROM d) t GROUP BY ALL)
 SELECT density_band, n, a_only, b_only, round(CASE WHEN a_only + b_only = 0 THEN 1.0 ELSE least(1.0, 2.0 * tail) END, 6) AS p_value FROM d JOIN g USING (density_band)""")
 def mcnemar_exact(t: Tables) -> DataFrame:
-    some = t.trials.where("method_no <> 0 or trial_id % 40 = 1")
-    d = X.discordant(some, 0, 1, ["density_band"])
+    d = X.discordant(t.trials, 0, 1, ["density_band"])
     return d.withColumn("p_value", C.r6(X.mcnemar_p(F.col("a_only"), F.col("b_only"))))
 
 

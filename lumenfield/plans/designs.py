@@ -11,18 +11,18 @@ from ..operators import recovery, robust, rounds, scans
 from ..operators import selection as L
 from ..operators import spatial as S
 from ..sources.derived import Tables
-from .matching import _MATCH, _MATCHED, _QUAL, _QUALITY, _near
+from .matching import _CLEAN, _MATCH, _MATCHED, _QUAL, _QUALITY, _near, clean_refs
 from .registry import query
 
 _SELF = "(SELECT a.field_id, a.det_id, min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d2 FROM {0} a JOIN {0} b ON a.field_id = b.field_id AND a.det_id <> b.det_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {1} GROUP BY ALL)"
-_SOME = "few AS (SELECT *, flux / 1e1 AS snr FROM dets WHERE det_id % 11 = 0)"
+_SOME = "few AS (SELECT field_id, ref_id AS det_id, x, y, (26e0 - mag) * 1e3 AS flux, (26e0 - mag) * 1e2 AS snr FROM refs)"
 
 
 def _some(t: Tables) -> DataFrame:
-    return t.dets.where("det_id % 11 = 0").withColumn("snr", F.col("flux") / 10.0)
+    return t.refs.selectExpr("field_id", "ref_id as det_id", "x", "y", "(26d - mag) * 1e3 as flux", "(26d - mag) * 1e2 as snr")
 
 
-@query("dets", sql=f"""
+@query("refs", sql=f"""
 WITH {_SOME}, b AS (SELECT s.*, n.d2, row_number() OVER (PARTITION BY s.field_id ORDER BY snr DESC, s.det_id) = 1 AS first FROM few s LEFT JOIN {_SELF.format("few", 144)} n USING (field_id, det_id) WHERE snr >= 25),
 m AS (SELECT *, count(*) FILTER (WHERE d2 IS NULL OR d2 >= 144 OR first) OVER (PARTITION BY field_id) AS n_wide FROM b),
 c AS (SELECT * FROM m WHERE CASE WHEN n_wide < 5 THEN d2 IS NULL OR d2 >= 36 OR first ELSE d2 IS NULL OR d2 >= 144 OR first END)
@@ -31,7 +31,7 @@ def isolated_bright_topk(t: Tables) -> DataFrame:
     return L.isolated_bright(_some(t), separation=12.0, most=40).select("field_id", "det_id", "snr", "place")
 
 
-@query("dets", sql=f"""
+@query("refs", sql=f"""
 WITH {_SOME} SELECT field_id, det_id, flux, row_number() OVER (PARTITION BY field_id ORDER BY flux DESC, det_id) AS place FROM few s LEFT JOIN {_SELF.format("few", 81)} n USING (field_id, det_id) WHERE d2 IS NULL OR d2 >= 81 QUALIFY place <= 80""")
 def stamp_selection(t: Tables) -> DataFrame:
     return L.stamps(_some(t)).select("field_id", "det_id", "flux", "place")
@@ -70,12 +70,12 @@ def failure_cases(t: Tables) -> DataFrame:
 
 
 @query("refs", "dets", sql=f"""
-WITH few AS (SELECT * FROM refs WHERE ref_id % 3 = 0), n AS (SELECT d.field_id, d.det_id, min((d.x - r.x) * (d.x - r.x) + (d.y - r.y) * (d.y - r.y)) AS d2 FROM dets d JOIN few r ON d.field_id = r.field_id AND (d.x - r.x) * (d.x - r.x) + (d.y - r.y) * (d.y - r.y) <= 64 GROUP BY ALL),
+WITH {_QUAL}, few AS (SELECT * FROM quality), n AS (SELECT d.field_id, d.det_id, min((d.x - r.x) * (d.x - r.x) + (d.y - r.y) * (d.y - r.y)) AS d2 FROM dets d JOIN few r ON d.field_id = r.field_id AND (d.x - r.x) * (d.x - r.x) + (d.y - r.y) * (d.y - r.y) <= 64 GROUP BY ALL),
 l AS (SELECT d.field_id, d.det_id, CASE WHEN d2 < 4 THEN 1 WHEN d2 IS NULL OR d2 > 64 THEN 0 END AS label FROM dets d LEFT JOIN n USING (field_id, det_id)),
 k AS (SELECT *, count(*) FILTER (WHERE label = 1) OVER (PARTITION BY field_id) AS pos, row_number() OVER (PARTITION BY field_id, label ORDER BY (det_id % 1000003 * 48271) % 2147483647, det_id) AS place FROM l WHERE label IS NOT NULL)
 SELECT field_id, det_id, label FROM k WHERE label = 1 OR place <= least(greatest(pos * 5, 400), 2000)""")
 def training_labels(t: Tables) -> DataFrame:
-    return L.training_labels(t.dets, t.refs.where("ref_id % 3 = 0"))
+    return L.training_labels(t.dets, scans.quality_refs(t.refs).select("field_id", "ref_id", "x", "y"))
 
 
 @query("refs", "dets", sql=f"""
@@ -117,20 +117,20 @@ def budget_design(t: Tables) -> DataFrame:
     return L.budget_design(tiles, (1, 2, 4, 8), 3)
 
 
-@query("dets", sql="""
-WITH c AS (SELECT * FROM dets WHERE det_id % 13 = 0), p AS (SELECT * FROM dets WHERE det_id % 3 = 1),
+@query("refs", "dets", sql="""
+WITH c AS (SELECT * FROM dets WHERE NOT deblend_flag), p AS (SELECT field_id, ref_id AS det_id, x, y FROM refs),
 n AS (SELECT a.field_id, a.det_id, a.x, a.y, count(b.det_id) AS own FROM p a LEFT JOIN p b ON a.field_id = b.field_id AND a.det_id <> b.det_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 100 GROUP BY ALL),
 m AS (SELECT c.field_id, c.det_id, own FROM c JOIN n ON c.field_id = n.field_id AND (c.x - n.x) * (c.x - n.x) + (c.y - n.y) * (c.y - n.y) <= 4 QUALIFY row_number() OVER (PARTITION BY c.field_id, c.det_id ORDER BY (c.x - n.x) * (c.x - n.x) + (c.y - n.y) * (c.y - n.y), n.det_id) = 1),
 d AS (SELECT c.field_id, c.det_id, count(p.det_id) AS direct FROM c LEFT JOIN p ON c.field_id = p.field_id AND (c.x - p.x) * (c.x - p.x) + (c.y - p.y) * (c.y - p.y) <= 100 GROUP BY ALL)
 SELECT field_id, det_id, coalesce(own, direct) AS neighbours, CASE WHEN coalesce(own, direct) >= 3 THEN 'joint' ELSE 'conservative' END AS route FROM d LEFT JOIN m USING (field_id, det_id)""")
 def density_route(t: Tables) -> DataFrame:
-    return L.route_density(t.dets.where("det_id % 13 = 0"), t.dets.where("det_id % 3 = 1").select("field_id", "det_id", "x", "y"))
+    return L.route_density(t.dets.where("not deblend_flag"), t.refs.select("field_id", F.col("ref_id").alias("det_id"), "x", "y"))
 
 
 @query("refs", "dets", sql=f"""
-WITH r AS (SELECT * FROM refs WHERE ref_id % 4 = 0) SELECT r.field_id, r.ref_id, EXISTS (SELECT 1 FROM dets d WHERE d.field_id = r.field_id AND (d.x - r.x) * (d.x - r.x) + (d.y - r.y) * (d.y - r.y) <= 4) AS recovered FROM r""")
+WITH r AS (SELECT * FROM refs) SELECT r.field_id, r.ref_id, EXISTS (SELECT 1 FROM dets d WHERE d.field_id = r.field_id AND (d.x - r.x) * (d.x - r.x) + (d.y - r.y) * (d.y - r.y) <= 4) AS recovered FROM r""")
 def injection_recovery(t: Tables) -> DataFrame:
-    sites = t.refs.where("ref_id % 4 = 0").select("field_id", "ref_id", "x", "y")
+    sites = t.refs.select("field_id", "ref_id", "x", "y")
     found = S.has_neighbour(sites, t.dets, 2.0, left_id="ref_id").select("field_id", "ref_id", F.lit(True).alias("hit"))
     return sites.join(found, ["field_id", "ref_id"], "left").select("field_id", "ref_id", F.coalesce("hit", F.lit(False)).alias("recovered"))
 
@@ -176,10 +176,10 @@ def measurement_metrics(t: Tables) -> DataFrame:
     return _metrics(recovery.matched_catalogue(t.dets, t.refs))
 
 
-@query("refs", "dets", sql=f"WITH {_QUALITY}, {_MATCHED.replace('j AS (', 'j0 AS (', 1)}, j AS (SELECT j0.* FROM j0 JOIN dens USING (field_id, ref_id) WHERE n >= 1), {_METRICS}")
+@query("refs", "dets", sql=f"WITH {_CLEAN}, {_QUALITY.replace('FROM refs', 'FROM clean')}, {_MATCHED.replace('j AS (', 'j0 AS (', 1)}, j AS (SELECT j0.* FROM j0 JOIN dens USING (field_id, ref_id) WHERE n >= 3), {_METRICS}")
 def dense_measurement_metrics(t: Tables) -> DataFrame:
-    dense = S.local_density(scans.quality_refs(t.refs).select("field_id", "ref_id", "x", "y")).where("neighbours >= 1").select("field_id", "ref_id")
-    return _metrics(recovery.matched_catalogue(t.dets, t.refs).join(dense, ["field_id", "ref_id"], "left_semi"))
+    dense = S.local_density(scans.quality_refs(clean_refs(t)).select("field_id", "ref_id", "x", "y")).where("neighbours >= 3").select("field_id", "ref_id")
+    return _metrics(recovery.matched_catalogue(t.dets, clean_refs(t)).join(dense, ["field_id", "ref_id"], "left_semi"))
 
 
 @query("refs", "dets", sql="""
@@ -224,11 +224,11 @@ def psf_grid_interpolate(t: Tables) -> DataFrame:
 
 
 @query("refs", sql="""
-WITH RECURSIVE picked AS (SELECT * FROM refs WHERE ref_id % 2 = 0 AND field_id < 10), e AS (SELECT a.field_id, a.ref_id AS i, b.ref_id AS j FROM picked a JOIN picked b ON a.field_id = b.field_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 49),
+WITH RECURSIVE e AS (SELECT a.field_id, a.ref_id AS i, b.ref_id AS j FROM refs a JOIN refs b ON a.field_id = b.field_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 49),
 reach AS (SELECT field_id, i, j FROM e UNION SELECT r.field_id, r.i, e.j FROM reach r JOIN e ON r.field_id = e.field_id AND r.j = e.i)
 SELECT field_id, i AS ref_id, min(j) AS group_id FROM reach GROUP BY field_id, i""")
 def blend_groups(t: Tables) -> DataFrame:
-    return rounds.groups(t.refs.where("ref_id % 2 = 0 and field_id < 10").select("field_id", "ref_id", "x", "y"), 7.0, point_id="ref_id").select("field_id", "ref_id", "group_id")
+    return rounds.groups(t.refs.select("field_id", "ref_id", "x", "y"), 7.0, point_id="ref_id").select("field_id", "ref_id", "group_id")
 
 
 @query()

@@ -10,7 +10,7 @@ from ..operators import pixels as P
 from ..sources.derived import Tables
 from .registry import query
 
-_STARS = "stars AS (SELECT * FROM refs WHERE field_id = 0 AND x < 200 AND y < 200), img AS (SELECT field_id, px, py, CASE WHEN v > -700 THEN v - 100 ELSE 0.0 END AS v FROM pixels)"
+_STARS = "stars AS (SELECT * FROM refs WHERE x < 200 AND y < 200), img AS (SELECT field_id, px, py, CASE WHEN v > -700 THEN v - 100 ELSE 0.0 END AS v FROM pixels)"
 
 
 def _near(half: int) -> str:
@@ -18,7 +18,7 @@ def _near(half: int) -> str:
 
 
 def _stars(t: Tables) -> DataFrame:
-    return t.refs.where("field_id = 0 and x < 200 and y < 200").select("field_id", "ref_id", "x", "y")
+    return t.refs.where("x < 200 and y < 200").select("field_id", "ref_id", "x", "y")
 
 
 def _image(t: Tables) -> DataFrame:
@@ -26,11 +26,11 @@ def _image(t: Tables) -> DataFrame:
 
 
 @query("pixels", sql="""
-WITH tx AS (SELECT unnest(range(4)) AS t), h AS (SELECT a.t AS tile_x, b.t AS tile_y, px, py, v FROM pixels JOIN tx a ON px >= a.t * 50 - 5 AND px < a.t * 50 + 55 JOIN tx b ON py >= b.t * 50 - 5 AND py < b.t * 50 + 55)
-SELECT tile_x, tile_y, count(*) AS n, count(*) FILTER (WHERE px // 50 = tile_x AND py // 50 = tile_y) AS n_owned FROM h GROUP BY ALL""")
+WITH tx AS (SELECT unnest(range(4)) AS t), h AS (SELECT field_id, a.t AS tile_x, b.t AS tile_y, px, py, v FROM pixels JOIN tx a ON px >= a.t * 50 - 5 AND px < a.t * 50 + 55 JOIN tx b ON py >= b.t * 50 - 5 AND py < b.t * 50 + 55)
+SELECT field_id, tile_x, tile_y, count(*) AS n, count(*) FILTER (WHERE px // 50 = tile_x AND py // 50 = tile_y) AS n_owned FROM h GROUP BY ALL""")
 def halo_tiles(t: Tables) -> DataFrame:
     tiles = P.halo_tiles(t.pixels, 50, 5).where("tile_x < 4 and tile_y < 4")
-    return tiles.groupBy("tile_x", "tile_y").agg(F.count("*").alias("n"), F.count_if("owned").alias("n_owned"))
+    return tiles.groupBy("field_id", "tile_x", "tile_y").agg(F.count("*").alias("n"), F.count_if("owned").alias("n_owned"))
 
 
 @query("refs", "pixels", sql=f"""

@@ -190,14 +190,14 @@ def balanced_trials(t: Tables) -> DataFrame:
 
 
 @query("trials", sql="""
-WITH e AS (SELECT trial_id, nearest_px, runtime_s, extension, density_band FROM trials WHERE method_no = 0),
-m AS (SELECT extension, density_band, median(nearest_px) AS mx, median(runtime_s) AS my FROM e GROUP BY ALL)
-SELECT extension, density_band, trial_id FROM (
-  SELECT e.*, row_number() OVER (PARTITION BY extension, density_band ORDER BY (nearest_px - mx) * (nearest_px - mx) + (runtime_s - my) * (runtime_s - my), trial_id) AS place FROM e JOIN m USING (extension, density_band)) t
+WITH e AS (SELECT trial_id, method_no, nearest_px, runtime_s, extension, density_band FROM trials),
+m AS (SELECT method_no, extension, density_band, median(nearest_px) AS mx, median(runtime_s) AS my FROM e GROUP BY ALL)
+SELECT method_no, extension, density_band, trial_id FROM (
+  SELECT e.*, row_number() OVER (PARTITION BY method_no, extension, density_band ORDER BY (nearest_px - mx) * (nearest_px - mx) + (runtime_s - my) * (runtime_s - my), trial_id) AS place FROM e JOIN m USING (method_no, extension, density_band)) t
 WHERE place = 1""")
 def representative_row(t: Tables) -> DataFrame:
-    rows = t.trials.where("method_no = 0").withColumnsRenamed({"nearest_px": "x", "runtime_s": "y"})
-    return scans.representative(rows, ["extension", "density_band"], "trial_id").select("extension", "density_band", "trial_id")
+    rows = t.trials.withColumnsRenamed({"nearest_px": "x", "runtime_s": "y"})
+    return scans.representative(rows, ["method_no", "extension", "density_band"], "trial_id").select("method_no", "extension", "density_band", "trial_id")
 
 
 @query("dets", sql="""
@@ -219,7 +219,7 @@ def normalize_by_group(t: Tables) -> DataFrame:
 
 @query(sql="""
 WITH e AS (SELECT n_nationkey AS extension FROM nation WHERE n_nationkey IN (1, 2)), d AS (SELECT CASE r_regionkey WHEN 0 THEN 'low' ELSE 'high' END AS band FROM region WHERE r_regionkey < 2),
-i AS (SELECT DISTINCT o_orderkey AS k FROM orders WHERE o_orderkey < 200)
+i AS (SELECT DISTINCT o_orderkey AS k FROM orders)
 SELECT extension, band AS density_band, 245e-1 + 2 * m.n_nationkey AS input_mag, k AS trial_no,
        15 + ((k * 104729 + extension * 7919 + m.n_nationkey * 31) % 1170000) / 1e3 AS x, 15 + ((k * 49979687 + extension * 104729 + m.n_nationkey * 17) % 1170000) / 1e3 AS y
 FROM e CROSS JOIN d CROSS JOIN (SELECT n_nationkey FROM nation WHERE n_nationkey < 2) m CROSS JOIN i""")
@@ -227,7 +227,7 @@ def trial_design(t: Tables) -> DataFrame:
     extensions = t.nation.where("n_nationkey in (1, 2)").select(F.col("n_nationkey").alias("extension"))
     bands = t.region.where("r_regionkey < 2").select(F.when(F.col("r_regionkey") == 0, "low").otherwise("high").alias("density_band"))
     magnitudes = t.nation.where("n_nationkey < 2").select(F.col("n_nationkey").alias("step"), (F.lit(24.5) + 2 * F.col("n_nationkey")).alias("input_mag"))
-    numbers = t.orders.where("o_orderkey < 200").select(F.col("o_orderkey").alias("trial_no")).distinct()
+    numbers = t.orders.select(F.col("o_orderkey").alias("trial_no")).distinct()
     place = lambda a, b, c: F.expr(f"15 + ((trial_no * {a} + extension * {b} + step * {c}) % 1170000) / 1e3")
     grid = scans.design_grid(extensions, bands, magnitudes, numbers)
     return grid.select("extension", "density_band", "input_mag", "trial_no", place(104729, 7919, 31).alias("x"), place(49979687, 104729, 17).alias("y"))

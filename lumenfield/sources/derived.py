@@ -44,16 +44,28 @@ select s_suppkey as field_no, n_nationkey as method_no, (s_suppkey*31+n_nationke
        ((s_suppkey*11+n_nationkey*29)%9000)/1e2 as runtime_s_per_mpix, 50+(s_suppkey*13)%200 as test_references
 from supplier cross join nation where n_nationkey < 5 and (s_suppkey*3+n_nationkey)%7 <> 0""",
     "pixels": """
-select cast(0 as bigint) as field_id, g.px, g.py,
+select g.field_id, g.px, g.py,
        case when (g.px*7+g.py*13)%997=0 and g.px>0 then -999e0 else 1e2+g.px/2e1+((g.px*31+g.py*17)%100)/1e2+coalesce(m.v,0e0) end as v
-from (select a.i as px, b.i as py from (select distinct o_orderkey as i from orders where o_orderkey<200) a
-      cross join (select distinct o_orderkey as i from orders where o_orderkey<200) b) g
-left join (select h.px, h.py, sum(s.f*exp(-((h.px-s.x)*(h.px-s.x)+(h.py-s.y)*(h.py-s.y))/288e-2)/9.04778684e0) as v
-           from (select a.i as px, b.i as py from (select distinct o_orderkey as i from orders where o_orderkey<200) a
-                 cross join (select distinct o_orderkey as i from orders where o_orderkey<200) b) h
-           join (select x, y, power(1e1, -4e-1*(mag-25e0)) as f from refs where field_id=0 and x<206e0 and y<206e0) s
-           on abs(h.px-s.x)<=6e0 and abs(h.py-s.y)<=6e0 group by h.px, h.py) m on g.px=m.px and g.py=m.py""",
+from (select field_id, px, {Y} as py from (select field_id, {X} as px from (select distinct field_id from refs) f) h) g
+left join (select field_id, px, py, sum(f*exp(-((px-x)*(px-x)+(py-y)*(py-y))/288e-2)/9.04778684e0) as v
+           from (select field_id, x, y, f, px, {SY} as py from (select field_id, x, y, power(1e1, -4e-1*(mag-25e0)) as f, {SX} as px from refs where x<206e0 and y<206e0) s) n
+           group by field_id, px, py) m on g.field_id=m.field_id and g.px=m.px and g.py=m.py""",
 }
+#: Whole numbers from a to b as rows, in either engine.
+_RANGES = {
+    "spark": lambda a, b: f"explode(sequence(cast({a} as bigint), cast({b} as bigint)))",
+    "duckdb": lambda a, b: f"unnest(range(cast({a} as bigint), cast({b} as bigint) + 1))",
+}
+
+
+def text_of(name: str, engine: str) -> str:
+    """The SQL of a derived table.  Each field has an image of 200 x 200 pixels; a star shines on those within 6 of it."""
+    rows, text = _RANGES[engine], SQL[name]
+    for mark, value in {"{X}": rows("0", "199"), "{Y}": rows("0", "199"), "{SX}": rows("ceil(x-6e0)", "floor(x+6e0)"), "{SY}": rows("ceil(y-6e0)", "floor(y+6e0)")}.items():
+        text = text.replace(mark, value)
+    return text
+
+
 #: The order in which they can be defined, and what each one needs.
 NEEDS: dict[str, tuple[str, ...]] = {"refs": (), "dets": (), "scored": ("dets",), "trials": (), "method_runs": (), "pixels": ("refs",)}
 
@@ -64,7 +76,7 @@ def ctes(*names: str) -> str:
     for n in reversed(list(NEEDS)):
         if n in wanted:
             wanted |= set(NEEDS[n])
-    return "WITH " + ",\n".join(f"{n} AS ({SQL[n]})" for n in NEEDS if n in wanted)
+    return "WITH " + ",\n".join(f"{n} AS ({text_of(n, 'duckdb')})" for n in NEEDS if n in wanted)
 
 
 class Tables:
@@ -80,7 +92,7 @@ class Tables:
             frame = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         elif name in SQL:
             words = [t for t in (*self.RAW, *SQL) if t != name and f" {t}" in SQL[name].replace("\n", " ")]
-            text = SQL[name]
+            text = text_of(name, "spark")
             for t in words:
                 for lead in ("from ", "join "):
                     text = text.replace(f"{lead}{t} ", f"{lead}{{{t}}} ").replace(f"{lead}{t}\n", f"{lead}{{{t}}}\n").replace(f"{lead}{t})", f"{lead}{{{t}}})")
