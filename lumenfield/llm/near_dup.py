@@ -392,12 +392,15 @@ def _screener(similarity: float):
 
 
 def screen(pairs: DataFrame, keys: DataFrame, *, similarity: float) -> DataFrame:
-    """``pairs`` (turn, member) of a text and the center of the hash ``turn`` that are ``likely`` to match, or else ``near``
-    (see ``align``), with the center; the others go."""
-    member = keys.select(F.col("id").alias("member"), F.col("bag").alias("bm"), F.col("n").alias("nm"))
+    """``pairs`` (turn, member, nm: its words) of a text and the center of the hash ``turn`` that are ``likely`` to match, or else
+    ``near`` (see ``align``), with the center; the others go, those of unlike lengths before their counts are fetched."""
+    member = keys.select(F.col("id").alias("member"), F.col("bag").alias("bm"))
     center = keys.select("turn", F.col("id").alias("center"), F.col("bag").alias("bc"), F.col("n").alias("nc"))
     kind = dict(keys.dtypes)["id"]
-    both = pairs.join(member, "member").join(center, "turn").select("turn", "center", "member", "bc", "bm", "nc", "nm")
+    least = F.least("nm", "nc") / similarity
+    reach = (1 - similarity) * (F.greatest(F.col("nm"), least) + F.greatest(F.col("nc"), least)) + 1e-6  # as in ``too_far``
+    met = pairs.join(center, "turn").where(F.abs(F.col("nm") - F.col("nc")) <= reach)
+    both = met.join(member, "member").select("turn", "center", "member", "bc", "bm", "nc", "nm")
     return both.mapInArrow(_screener(similarity), f"turn bigint, center {kind}, member {kind}, likely boolean, near boolean")
 
 
@@ -526,11 +529,11 @@ def _merged(links_: DataFrame) -> DataFrame:
 def links(nodes: DataFrame, docs: DataFrame, *, doc_id: str, text: str, similarity: float = SIMILARITY, block: int = BLOCK, forest_rounds: int = FOREST_ROUNDS) -> DataFrame:
     """Links (a, b) among ``nodes`` (id, n, sketches, bag, marks)."""
     keys = nodes.select("id", "n", "bag", F.xxhash64("id").alias("turn"), "marks")
-    rows = nodes.select(F.explode("sketches").alias("bucket"), F.col("id").alias("member"), F.xxhash64("id").alias("own"))
+    rows = nodes.select(F.explode("sketches").alias("bucket"), F.col("id").alias("member"), F.xxhash64("id").alias("own"), F.col("n").alias("nm"))
     # The center of a bucket is the member with the least hash.  Should two have one hash, both are centers.
     met = stash(rows.join(rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("own").alias("turn")).where("size > 1"), "bucket"))
     others = met.where("own <> turn")
-    judged = stash(screen(others.select("turn", "member").distinct(), keys, similarity=similarity))
+    judged = stash(screen(others.select("turn", "member", "nm").distinct(), keys, similarity=similarity))
     # Texts are needed of those that may match their center or a text of the same bucket.
     texts = stash(docs.select(F.col(doc_id).alias("id"), text_or_empty(text).alias("t")).join(met.select(F.col("member").alias("id")).distinct(), "id", "left_semi"))
     aligned = align(judged.where("likely").select("center", "member").distinct(), texts, similarity=similarity)
