@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import comparisons, designs, imaging, matching, photometry, residuals, selections
+from . import comparisons, designs, imaging, matching, photometry, protocols, residuals, selections
 from .registry import ORACLES, QUERIES
 
-MODULES = (selections, matching, comparisons, designs, imaging, residuals, photometry)
+MODULES = (selections, matching, comparisons, designs, imaging, residuals, photometry, protocols)
 __all__ = ["MODULES", "ORACLES", "QUERIES"]
