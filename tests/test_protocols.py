@@ -14,7 +14,7 @@ def test_injection_plan_follows_the_sequential_rule(spark):
     refs = [(0, i, r.uniform(0, 100), r.uniform(0, 100), 20.0) for i in range(120)]
     bands = {"low": (0, 1), "high": (3, 10_000)}
     plan = lambda each, apart: protocols.injection_plan(spark.createDataFrame(refs, REFS), (20.0,), bands, batches=1, each=each, attempts=200, size=130.0, separation=apart).collect()
-    tried = plan(10**6, 0.0)
+    tried = plan(10**6, 1e-6)
     assert all(t["neighbours"] == sum(math.dist((t["x"], t["y"]), p[2:4]) <= 10 for p in refs) - 1 for t in tried)
     want = []
     for band in bands:
