@@ -74,3 +74,11 @@ def blind_quality_catalogue(fitted: DataFrame, initial: DataFrame, pixels: DataF
     rows = rows.withColumns({"snr": C.source_snr(F.col("flux"), rms), "deblend": F.col("gap").isNull() | (F.col("gap") > 1.0), "core": F.coalesce("core", F.lit(False)), "neighbours": F.coalesce("neighbours", F.lit(0))})
     mask = C.quality_bitmask(F.col("snr"), F.col("psf_fit_quality"), F.col("neighbours"), F.col("core"), F.col("deblend"), F.col("p"))
     return rows.select(*keys, "snr", "neighbours", F.col("deblend").alias("deblend_flag"), F.col("core").alias("saturation_neighbour_flag"), F.col("p").alias("classifier_probability"), mask.alias("quality_bitmask"))
+
+
+def common_matches(dets: DataFrame, wanted: DataFrame, refs: DataFrame, *, methods: int, radius: float = 2.0) -> DataFrame:
+    """The rows of ``wanted`` in test cells that are the nearest of all ``refs`` to a detection of each of ``methods``
+    methods (column ``method`` of ``dets``).  Null keys and places match nothing; repeated rows of ``wanted`` stay."""
+    near = S.nearest(dets, refs.select("field_id", "ref_id", "x", "y"), radius, left_id="det_id", right_id="ref_id", keys=("field_id",))
+    common = near.groupBy("field_id", "ref_id").agg(F.countDistinct("method").alias("n")).where(F.col("n") == methods)
+    return wanted.where(C.checkerboard(F.col("x"), F.col("y")) == 2).join(common, ["field_id", "ref_id"], "left_semi")

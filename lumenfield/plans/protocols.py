@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import protocols as O
 from ..operators import recovery, robust
+from ..operators import spatial as S
 from ..sources.derived import Tables
 from .designs import _affine_sql, _clip_sql
 from .imaging import _image
@@ -56,3 +57,15 @@ def blind_quality_catalogue(t: Tables) -> DataFrame:
     """Every detection with its image-only quality columns and bits."""
     q = O.blind_quality_catalogue(t.dets, t.refs, _image(t), rms=50.0, probability=F.col("qfit") * 2)
     return q.select("field_id", "det_id", C.r6(F.col("snr")).alias("snr"), "neighbours", "deblend_flag", "saturation_neighbour_flag", C.r6(F.col("classifier_probability")).alias("classifier_probability"), "quality_bitmask")
+
+
+@query("refs", "dets", sql="""
+WITH q AS (SELECT * FROM refs WHERE nv >= 1), crowd AS (SELECT a.field_id, a.ref_id, count(*) AS n FROM q a JOIN q b ON a.field_id = b.field_id AND a.ref_id <> b.ref_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 100 GROUP BY ALL),
+p AS (SELECT d.det_id % 3 AS method, d.field_id, d.det_id, q.ref_id FROM dets d JOIN q ON d.field_id = q.field_id AND (d.x - q.x) * (d.x - q.x) + (d.y - q.y) * (d.y - q.y) <= 4 QUALIFY row_number() OVER (PARTITION BY d.field_id, d.det_id ORDER BY (d.x - q.x) * (d.x - q.x) + (d.y - q.y) * (d.y - q.y), q.ref_id) = 1),
+c AS (SELECT field_id, ref_id FROM p GROUP BY ALL HAVING count(DISTINCT method) = 3)
+SELECT field_id, ref_id, n AS neighbours FROM c JOIN crowd USING (field_id, ref_id) JOIN q USING (field_id, ref_id) WHERE n >= 3 AND ((cast(floor(q.x / 200) AS bigint) + cast(floor(q.y / 200) AS bigint)) % 3 + 3) % 3 = 2""")
+def common_match_held_out(t: Tables) -> DataFrame:
+    """Crowded references of the test cells that every one of three methods matches."""
+    refs = t.refs.where("nv >= 1").select("field_id", "ref_id", "x", "y")
+    dets = t.dets.select("field_id", "det_id", "x", "y", F.expr("det_id % 3").alias("method"))
+    return O.common_matches(dets, S.local_density(refs).where("neighbours >= 3"), refs, methods=3).select("field_id", "ref_id", "neighbours")
