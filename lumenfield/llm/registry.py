@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import imatch, near_dup, packing, pii, quality, segment, sharding, suffix, toxicity, warc
+from . import hard_negatives, imatch, near_dup, packing, pii, quality, segment, sharding, suffix, toxicity, warc
 from .common import documents, shared_folder
 
 #: A public byte-fallback model that the box offers; any SentencePiece file of that kind does.
@@ -67,6 +67,12 @@ def op10_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(documents(spark, sf_dir))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
+    moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(moved, F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_revisits": op1_warc_revisits,
     "op2_pii_boosted": op2_pii_boosted,
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tiered_shards": op8_tiered_shards,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_imatch_fingerprints": op10_imatch_fingerprints,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 _OP1 = r"""
@@ -128,4 +135,18 @@ _OP8 = """
 SELECT doc_id, octet_length(encode(text)) AS n_bytes, sha256(text) AS text_sha256 FROM documents
 """
 
-ORACLES: dict[str, str] = {"op1_warc_revisits": _OP1, "op8_tiered_shards": _OP8}
+_OP12 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * cast(x AS double))) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, cast(list_dot_product(a.e, b.e) AS bigint) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, cast(row_number() OVER w AS integer) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)
+QUALIFY row_number() OVER w <= 3
+"""
+
+ORACLES: dict[str, str] = {"op1_warc_revisits": _OP1, "op8_tiered_shards": _OP8, "op12_hard_negatives": _OP12}
