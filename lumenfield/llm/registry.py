@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hard_negatives, imatch, near_dup, packing, pii, quality, segment, sharding, suffix, toxicity, warc
+from . import context_tree, hard_negatives, imatch, near_dup, packing, pii, quality, segment, sharding, suffix, toxicity, warc
 from .common import documents, shared_folder
 
 #: A public byte-fallback model that the box offers; any SentencePiece file of that kind does.
@@ -73,6 +73,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(moved, F.col("vec_id") % 50 == 0)
 
 
+def op13_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.scores(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_revisits": op1_warc_revisits,
     "op2_pii_boosted": op2_pii_boosted,
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_imatch_fingerprints": op10_imatch_fingerprints,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_context_tree": op13_context_tree,
 }
 
 _OP1 = r"""
