@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import context_tree, hard_negatives, imatch, near_dup, packing, pii, quality, segment, sharding, suffix, toxicity, warc
+from . import collocations, context_tree, hard_negatives, imatch, near_dup, packing, pii, quality, segment, sharding, suffix, toxicity, warc
 from .common import documents, shared_folder
 
 #: A public byte-fallback model that the box offers; any SentencePiece file of that kind does.
@@ -67,6 +67,10 @@ def op10_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(documents(spark, sf_dir))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(documents(spark, sf_dir))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
     moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tiered_shards": op8_tiered_shards,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_imatch_fingerprints": op10_imatch_fingerprints,
+    "op11_collocations": op11_collocations,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_context_tree": op13_context_tree,
 }
@@ -140,6 +145,29 @@ _OP8 = """
 SELECT doc_id, octet_length(encode(text)) AS n_bytes, sha256(text) AS text_sha256 FROM documents
 """
 
+_OP11 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+spread AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i, k FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) ks),
+f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS a FROM spread WHERE i + k - 1 <= len(w) GROUP BY ALL),
+n AS (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 30),
+cuts AS (SELECT c.*, unnest(range(1, k)) AS cut FROM c),
+scored AS (
+  SELECT c.lang, c.k, c.phrase, c.a, cut, l.a AS l, r.a AS r, cast(2000000::hugeint * c.a // (l.a + r.a) AS bigint) AS score
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:cut], ' ') AND l.k = cut
+       JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[cut + 1:], ' ') AND r.k = c.k - cut
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, cut) = 1),
+gone AS (
+  SELECT s.lang, s.phrase FROM c s JOIN (SELECT lang, array_to_string(w[x:x + y - 1], ' ') AS part, a FROM c, (SELECT unnest([1, 2, 3]) AS x) xs, (SELECT unnest([2, 3]) AS y) ys WHERE y < k AND x + y - 1 <= k) g
+  ON g.lang = s.lang AND g.part = s.phrase WHERE 100 * g.a >= 80 * s.a)
+SELECT lang, row_number() OVER w AS rank, phrase, a, l, r, cast(n AS bigint) AS n, score
+FROM scored s JOIN n USING (lang) WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.lang = s.lang AND g.phrase = s.phrase)
+WINDOW w AS (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase))
+QUALIFY row_number() OVER w <= 2000
+"""
+
 _OP12 = """
 WITH v AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * cast(x AS double))) AS e
@@ -154,4 +182,4 @@ WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)
 QUALIFY row_number() OVER w <= 3
 """
 
-ORACLES: dict[str, str] = {"op1_warc_revisits": _OP1, "op8_tiered_shards": _OP8, "op12_hard_negatives": _OP12}
+ORACLES: dict[str, str] = {"op1_warc_revisits": _OP1, "op8_tiered_shards": _OP8, "op11_collocations": _OP11, "op12_hard_negatives": _OP12}

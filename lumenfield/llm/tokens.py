@@ -62,11 +62,11 @@ def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int,
         i = j
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, spaces: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words, and for each text the number of words before it (and the number of all)."""
     n = len(data)
     solid = np.zeros(n + 2, bool)
-    solid[1:-1] = ~SPACES[data]
+    solid[1:-1] = ~spaces[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True  # a word ends with its text
     starts = np.flatnonzero(solid[1:-1] & (~solid[:-2] | edge[:-1]))
