@@ -24,6 +24,15 @@ def square(x: Column) -> Column:
     return x * x
 
 
+def log_gamma(z: Column) -> Column:
+    """ln of the gamma function for z > 0: Stirling's series at z + 7."""
+    y = z + 7.0
+    y3 = y * y * y
+    series = 1 / (12 * y) - 1 / (360 * y3) + 1 / (1260 * y3 * y * y) - 1 / (1680 * y3 * y3 * y)
+    below = z * (z + 1) * (z + 2) * (z + 3) * (z + 4) * (z + 5) * (z + 6)
+    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + series - F.log(below)
+
+
 def wilson_low(k: Column, n: Column, z: float = 1.96, *, clip: bool = True) -> Column:
     return _wilson(k, n, z, -1.0, clip)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -16,11 +17,14 @@ def thin(points: DataFrame, separation: float, *, point_id: str, order: str, key
     """Keep points in the order of (``order``, id) that are at least ``separation`` away from all kept before them.
 
     A point that precedes all its undecided neighbours is kept, and its neighbours go.  Each round decides every such
-    point at once; the number of rounds is the longest chain of neighbours in descending order, not the number of points."""
-    own = points.select(*keys, F.col(point_id).alias("i"), F.col(order).alias("o"), "x", "y")
+    point at once; the number of rounds is the longest chain of neighbours in descending order, not the number of points.
+
+    Defined results: rows with a null key or id go; a null order comes last, NaN before it; a point with a null or NaN place
+    has no neighbours and stays; rows that repeat an id stay or go together; an empty table stays empty; other columns stay."""
+    own = _known(points, *keys, point_id).select(*keys, F.col(point_id).alias("i"), F.col(order).alias("o"), "x", "y")
     other = own.select(*keys, F.col("i").alias("j"), F.col("o").alias("p"), "x", "y")
     met = S.pairs_within(own, other, separation, keys=keys).where((F.col("i") != F.col("j")) & (F.col("d2") < separation * separation))
-    edges = settle(met.select(*keys, "i", "j", F.expr("(p < o) or (p = o and j < i)").alias("after")))
+    edges = settle(met.select(*keys, "i", "j", F.expr("coalesce(p < o, p is not null) or (p <=> o and j < i)").alias("after")))
     alive = settle(own.select(*keys, "i"))
     kept = None
     while not alive.isEmpty():
@@ -36,8 +40,12 @@ def thin(points: DataFrame, separation: float, *, point_id: str, order: str, key
 def greedy_edges(dets: DataFrame, refs: DataFrame, radius: float = 2.0, *, choices: int = 8, keys: Sequence[str] = S.FIELD) -> DataFrame:
     """One-to-one matching with further choices: of the edges from each detection to its nearest ``choices`` references,
     the shortest goes first, both its ends are taken, and so on.  Each round takes every edge that is the shortest at
-    both ends, which is what the sequential rule would do with it."""
-    met = S.pairs_within(dets.select(*keys, "det_id", "x", "y"), refs.select(*keys, "ref_id", "x", "y"), radius, keys=keys)
+    both ends, which is what the sequential rule would do with it.
+
+    Defined results: rows with a null key, id or place match nothing; equal distances go by det_id, then ref_id; rows that repeat an id
+    count as one at their nearest place; empty tables give no rows; other columns take no part."""
+    met = S.pairs_within(_known(dets, *keys, "det_id").select(*keys, "det_id", "x", "y"), _known(refs, *keys, "ref_id").select(*keys, "ref_id", "x", "y"), radius, keys=keys)
+    met = met.groupBy(*keys, "det_id", "ref_id").agg(F.min("d2").alias("d2"))
     near = F.row_number().over(W.partitionBy(*keys, "det_id").orderBy("d2", "ref_id"))
     edges = settle(met.withColumn("place", near).where(F.col("place") <= choices).select(*keys, "det_id", "ref_id", "d2"))
     taken = None
@@ -51,14 +59,23 @@ def greedy_edges(dets: DataFrame, refs: DataFrame, radius: float = 2.0, *, choic
     return edges if taken is None else taken
 
 
+def _known(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows without a null among the columns: a null key meets nothing, so it would never leave a round."""
+    return rows.where(reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in columns)))
+
+
 def groups(points: DataFrame, radius: float, *, point_id: str, keys: Sequence[str] = S.FIELD) -> DataFrame:
     """``points`` with ``group_id``: the least id of the points that chains of steps up to ``radius`` connect.
 
-    Labels fall to the least one around, and then to the label of their label, so chains shorten by half in a round."""
-    own = points.select(*keys, F.col(point_id).alias("i"), "x", "y")
+    Labels fall to the least one around, and then to the label of their label, so chains shorten by half in a round.
+
+    Defined results: every row stays; a null key or id has a null group, a null or NaN place a group of its own; rows that
+    repeat an id are one point at all their places; a column ``group_id`` of the input gives way; an empty table stays empty."""
+    points = points.drop("group_id")
+    own = _known(points, *keys, point_id).select(*keys, F.col(point_id).alias("i"), "x", "y")
     met = S.pairs_within(own, own.withColumnRenamed("i", "j"), radius, keys=keys).where("i <> j")
     edges = settle(met.select(*keys, "i", "j"))
-    labels = settle(own.select(*keys, "i", F.col("i").alias("label")))
+    labels = settle(own.select(*keys, "i", F.col("i").alias("label")).distinct())
     while True:
         around = edges.join(labels.select(*keys, F.col("i").alias("j"), "label"), [*keys, "j"]).groupBy(*keys, "i").agg(F.min("label").alias("seen"))
         lower = labels.join(around, [*keys, "i"], "left").select(*keys, "i", "label", F.least("label", F.coalesce("seen", "label")).alias("low"))
@@ -67,4 +84,4 @@ def groups(points: DataFrame, radius: float, *, point_id: str, keys: Sequence[st
         changed = not new.where("old <> label").isEmpty()
         labels = new.drop("old")
         if not changed:
-            return points.join(labels.withColumnsRenamed({"i": point_id, "label": "group_id"}), [*keys, point_id])
+            return points.join(labels.withColumnsRenamed({"i": point_id, "label": "group_id"}), [*keys, point_id], "left")

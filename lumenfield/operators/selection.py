@@ -13,24 +13,27 @@ from . import recovery, scans
 from . import spatial as S
 
 
-def nearest_other(points: DataFrame, reach: float, *, point_id: str, keys: Sequence[str] = S.FIELD) -> DataFrame:
-    """``points`` with ``nearest_d2``, the squared distance to the nearest other point within ``reach`` (else null)."""
+def nearest_other(points: DataFrame, reach: float, *, point_id: str, keys: Sequence[str] = S.FIELD, name: str = "nearest_d2") -> DataFrame:
+    """``points`` with ``name``, the squared distance to the nearest other point within ``reach`` (else null)."""
     met = S.pairs_within(points.select(*keys, point_id, "x", "y"), points.select(*keys, F.col(point_id).alias("other"), "x", "y"), reach, keys=keys).where(F.col(point_id) != F.col("other"))
-    return points.join(met.groupBy(*keys, point_id).agg(F.min("d2").alias("nearest_d2")), [*keys, point_id], "left")
+    return points.join(met.groupBy(*keys, point_id).agg(F.min("d2").alias(name)), [*keys, point_id], "left")
 
 
 def isolated_bright(points: DataFrame, *, separation: float, most: int, least: int = 5, brightness: str = "snr", point_id: str = "det_id", min_snr: float = 25.0) -> DataFrame:
     """The brightest isolated points of each field.  Where fewer than ``least`` are ``separation`` apart from all others,
-    max(6, half of it) does; the brightest point always stays."""
-    bright = nearest_other(points, separation, point_id=point_id).where(F.col(brightness) >= min_snr)
-    first = F.row_number().over(W.partitionBy("field_id").orderBy(F.desc(brightness), point_id)) == 1
+    max(6, half of it) does; the brightest point always stays.
+
+    Defined results: a null or NaN place is isolated; a null brightness goes; ties go to the least id; ``place`` of the input gives way."""
+    names = {n: S.free_name(points, n) for n in ("nearest_d2", "first", "wide", "close", "n_wide")}
+    near, first, wide, close, n_wide = names.values()
+    bright = nearest_other(points.drop("place"), separation, point_id=point_id, name=near).where(F.col(brightness) >= min_snr)
+    order = W.partitionBy("field_id").orderBy(F.desc(brightness), point_id)
     relaxed = max(6.0, separation * 0.5)
-    apart = lambda s: F.col("nearest_d2").isNull() | (F.col("nearest_d2") >= s * s) | F.col("first")
-    marked = bright.withColumn("first", first).withColumns({"wide": apart(separation), "close": apart(relaxed)})
-    marked = marked.withColumn("n_wide", F.count_if("wide").over(W.partitionBy("field_id")))
-    chosen = marked.where(F.when(F.col("n_wide") < least, F.col("close")).otherwise(F.col("wide")))
-    place = F.row_number().over(W.partitionBy("field_id").orderBy(F.desc(brightness), point_id))
-    return chosen.withColumn("place", place).where(F.col("place") <= most).drop("first", "wide", "close", "n_wide", "nearest_d2")
+    apart = lambda s: F.col(near).isNull() | (F.col(near) >= s * s) | F.col(first)
+    marked = bright.withColumn(first, F.row_number().over(order) == 1).withColumns({wide: apart(separation), close: apart(relaxed)})
+    marked = marked.withColumn(n_wide, F.count_if(wide).over(W.partitionBy("field_id")))
+    chosen = marked.where(F.when(F.col(n_wide) < least, F.col(close)).otherwise(F.col(wide)))
+    return chosen.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop(*names.values())
 
 
 def stamps(points: DataFrame, *, separation: float = 9.0, most: int = 80, point_id: str = "det_id") -> DataFrame:
@@ -66,8 +69,7 @@ def failure_cases(dets: DataFrame, refs: DataFrame, radius: float = 2.0, *, brig
     missed = quality.join(recovery.proposed(dets, quality, radius), ["field_id", "ref_id"], "left_anti")
     densest = missed.groupBy("field_id").agg(F.max_by("ref_id", F.struct("neighbours", (-F.col("ref_id")).alias("i"))).alias("densest_missed"), F.count("*").alias("n_missed"))
     stars = quality.where(F.col("mag") <= bright).select("field_id", F.col("ref_id").alias("bright_id"), "x", "y")
-    met = missed.join(stars.withColumnsRenamed({"x": "rx", "y": "ry"}), "field_id").withColumn("d2", S.distance2()).where("ref_id <> bright_id")
-    close = met.groupBy("field_id").agg(F.min_by("ref_id", F.struct("d2", "ref_id")).alias("missed_near_bright"))
+    close = S.closest_pair(missed, stars, left_id="ref_id", right_id="bright_id").select("field_id", F.col("ref_id").alias("missed_near_bright"))
     return densest.join(close, "field_id", "left")
 
 

@@ -59,18 +59,25 @@ def free_name(df: DataFrame, base: str, *others: DataFrame) -> str:
 
 def nearest(left: DataFrame, right: DataFrame, radius: float, *, left_id: str, right_id: str, keys: Sequence[str] = FIELD, within: Sequence[str] = ()) -> DataFrame:
     """For each row of ``left`` its nearest row of ``right`` within the radius; with ``within``, the nearest in each
-    group of those columns of ``right``."""
-    order = W.partitionBy(*keys, *within, left_id).orderBy("d2", right_id)
-    met = pairs_within(left, right, radius, keys=keys)
-    return met.withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
+    group of those columns of ``right``.
+
+    Defined results: rows with a null id are one row to choose for; ties go to the least right id; else as ``pairs_within``."""
+    return _first(pairs_within(left, right, radius, keys=keys), [*keys, *within, left_id], "d2", right_id)
+
+
+def _first(rows: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
+    """The first row of each key; no column of the input is lost."""
+    place = free_name(rows, "place")
+    return rows.withColumn(place, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col(place) == 1).drop(place)
 
 
 def match_one_to_one(dets: DataFrame, refs: DataFrame, radius: float = 2.0, *, det_id: str = "det_id", ref_id: str = "ref_id", keys: Sequence[str] = FIELD, within: Sequence[str] = ()) -> DataFrame:
     """Each detection proposes its nearest reference; of the proposals to a reference the closest one wins, and a loser
-    has no second choice.  As every detection owns one proposal, this is the greedy rule by (distance, det, ref)."""
+    has no second choice.  As every detection owns one proposal, this is the greedy rule by (distance, det, ref).
+
+    Defined results: as ``nearest``; equal distances go to the least detection."""
     proposals = nearest(dets, refs, radius, left_id=det_id, right_id=ref_id, keys=keys, within=within)
-    order = W.partitionBy(*keys, *within, ref_id).orderBy("d2", det_id)
-    return proposals.withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
+    return _first(proposals, [*keys, *within, ref_id], "d2", det_id)
 
 
 def neighbour_counts(points: DataFrame, others: DataFrame, radii: dict[str, float], *, point_id: str, other_id: str | None = None, keys: Sequence[str] = FIELD) -> DataFrame:
@@ -95,6 +102,29 @@ def has_neighbour(left: DataFrame, right: DataFrame, radius: float, *, left_id:
     return left.join(met, [*keys, left_id], "left_anti" if negate else "left_semi")
 
 
+def closest_pair(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str, start: float = 32.0, keys: Sequence[str] = FIELD) -> DataFrame:
+    """For each key the closest two rows of different id: keys, ``left_id``, ``right_id``, d2; ties go to the least ids.
+
+    Rings double until every key that both sides have has a pair or a ring holds everything.  Defined results: null keys and null or NaN
+    places pair with nothing; keys without a pair have no row."""
+    a, b = (t.select(*keys, i, "x", "y").where(~(F.isnan("x") | F.isnan("y"))) for t, i in ((left, left_id), (right.withColumnRenamed(right_id, f"{right_id}_met"), f"{right_id}_met")))
+    there = b.select(*keys).distinct()
+    todo = a.join(there, list(keys), "left_semi")
+    extent = a.select("x", "y").union(b.select("x", "y")).agg(F.max("x") - F.min("x") + F.max("y") - F.min("y")).collect()[0][0] or 0.0
+    found, radius = None, start
+    while True:
+        met = pairs_within(todo, b, radius, keys=keys).where(F.col(left_id) != F.col(f"{right_id}_met"))
+        best = met.groupBy(*keys).agg(F.min(F.struct("d2", left_id, f"{right_id}_met")).alias("best"))
+        ring = settle(best.select(*keys, F.col(f"best.{left_id}").alias(left_id), F.col(f"best.{right_id}_met").alias(f"{right_id}_met"), F.col("best.d2").alias("d2")))
+        found = ring if found is None else found.union(ring)
+        if radius > extent:
+            return found
+        todo = settle(todo.join(ring, list(keys), "left_anti"))
+        if todo.isEmpty():
+            return found
+        radius *= 2
+
+
 def nearest_distance(left: DataFrame, right: DataFrame, *, left_id: str, start: float = 32.0, keys: Sequence[str] = FIELD, other_id: str | None = None) -> DataFrame:
     """``left`` with ``nearest_px``, the distance to the nearest row of ``right`` however far it is (null if the keys have
     none, or the place is null or NaN).  Rings double until all are settled whose keys have a row: a ring twice the extent of
