@@ -354,9 +354,31 @@ def test_pii_apart_leaves_no_overlap(spark):
         assert len(own) >= 8 and all(a[1] <= b[0] for a, b in itertools.pairwise(own))
 
 
+@pytest.mark.parametrize("case", ["falling", "rising", "random", "equal"])
+def test_pii_apart_takes_the_best_first(spark, case):
+    r = random.Random(4)
+    if case in ("falling", "rising"):  # a chain in which each span overlaps the next only
+        rows = [("a", "phone", 10 * i, 10 * i + 12, (i if case == "rising" else 24 - i) / 30) for i in range(24)]
+    else:
+        rows = [(r.choice("ab"), r.choice(("phone", "card")), s := r.randrange(600), s + r.randrange(1, 30), 0.5 if case == "equal" else r.random()) for _ in range(300)]
+    want = []
+    for x in sorted(set(rows), key=lambda x: (x[4], x[3] - x[2], -x[2], x[1]), reverse=True):
+        if not any(y[0] == x[0] and y[2] < x[3] and x[2] < y[3] for y in want):
+            want.append(x)
+    kept = pii.apart(spark.createDataFrame(rows, "rid string, kind string, start int, end int, score double"))
+    assert sorted(tuple(x) for x in kept.collect()) == sorted(want)
+    assert case not in ("falling", "rising") or len(want) == 12
+
+
 # --- 9 -----------------------------------------------------------------------------------------------------------------
 
 
+def test_pack_spreads_equal_rows(spark):
+    rows = spark.range(60_000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    sizes = [x["count"] for x in packing.pack(rows).groupBy("shard").count().collect()]
+    assert len(sizes) == 3 and sum(sizes) == 60_000 and max(sizes) < 1.2 * min(sizes)
+
+
 def plain_pack(lengths, sizes, cost):
     bins, where, left = [], [], sum(lengths)
     for n in lengths:
