@@ -145,7 +145,7 @@ def _cut(length: int):
                 s = start[own].astype(np.int64)
                 one, two, times, raw = _cells(data[offsets[i] : offsets[j]], s + offsets[row] - offsets[i], count[own] + length - 1, np.ones(len(s)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[own]), pa.array(one), pa.array(two), pa.array(batch.column(0).to_numpy()[row]), pa.array(s), pa.array(times), raw],
+                    [pa.array(key[own]), pa.array(one), pa.array(two), batch.column(0).take(pa.array(row)), pa.array(s), pa.array(times), raw],
                     ["key", "one", "two", "rid", "start", "times", "fragment"],
                 )
 
@@ -330,7 +330,8 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rid(doc_id: Column, sha: Column) -> Column:
-    return F.xxhash64(doc_id, sha)
+    """128 bits that stand for an id and its content."""
+    return F.unhex(F.md5(F.concat(sha, F.lit(":"), F.coalesce(doc_id.cast("string"), F.lit("\0"))).cast("binary")))
 
 
 def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, batch_bytes: int = BATCH_BYTES, hot_fragments: int = HOT_FRAGMENTS, with_text: bool = False) -> DataFrame:
@@ -349,11 +350,11 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", leng
     lists = runs.select("rid", "keys", "starts", "counts").join(twice, "keys").groupBy("rid").agg(F.collect_list(F.struct("keys", "starts", "counts")).alias("runs")).join(leads, "rid", "left_semi")
     source = lean.select(_rid(F.col("id"), F.sha2("t", 256)).alias("rid"), "t").join(lists, "rid")
     source = stash(source)
-    cut = stash(source.mapInArrow(_cut(length), "key bigint, one bigint, two bigint, rid bigint, start bigint, times bigint, fragment binary"))
+    cut = stash(source.mapInArrow(_cut(length), "key bigint, one bigint, two bigint, rid binary, start bigint, times bigint, fragment binary"))
     found = stash(repeated_runs(cut, length=length, batch_bytes=batch_bytes, hot_fragments=hot_fragments))
     spans = cut.select("one", "two", "rid", "start").join(found, ["one", "two"]).select("rid", F.explode(F.arrays_zip("begins", "ends")).alias("s"), "start")
     per_text = spans.groupBy("rid").agg(F.collect_list(F.struct((F.col("s.begins") + F.col("start")).alias("b"), (F.col("s.ends") + F.col("start")).alias("e"))).alias("spans"))
-    done = source.select("rid", "t").join(per_text, "rid").select("rid", "t", "spans").mapInArrow(_remove, "rid bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string")
+    done = source.select("rid", "t").join(per_text, "rid").select("rid", "t", "spans").mapInArrow(_remove, "rid binary, n_removed bigint, n_spans bigint, kept_sha256 string, kept string")
     done = done if with_text else done.drop("kept")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     out = texts.join(done.dropDuplicates(["rid"]), "rid", "left")
