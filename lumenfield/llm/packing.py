@@ -1,7 +1,7 @@
 """Best-fit packing into several permitted sequence lengths.
 
-Every document is cut into pieces of at most the longest permitted length.  Pieces are dealt by a hash of document id, text
-and piece to as many shards as the number of pieces asks for, and each shard is packed by itself: only (id, piece, length)
+Every document is cut into pieces of at most the longest permitted length.  Pieces are dealt by a hash of document id, text,
+piece and place among equal rows to as many shards as the number of pieces asks for, and each shard is packed by itself: only (id, piece, length)
 rows travel, the shard count grows with the table, and no shard holds more than a fixed number of pieces on average.
 
 Within a shard, pieces go in decreasing order into the open bin that they fill best.  Where none has room, a bin is
@@ -9,8 +9,8 @@ opened whose length has the least cost for each token it can be expected to hold
 how full a long bin can get.  At the end each bin is cut down to the shortest permitted length that holds its contents.
 
 Defined results: a null or empty text has one piece of one token (its end mark); an empty table gives an empty table;
-rows that repeat a document id are packed one by one under that id, and rows of one id or of none lie in many shards unless
-their texts are the same.  Other columns do not take part.
+rows that repeat a document id are packed one by one under that id; rows of one id or of none lie in many shards, and so do rows that
+are equal in all.  Other columns do not take part.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from .common import WORD, stash, text_or_empty
 
 CAPACITIES = (512, 1024, 2048, 4096)
 PIECES_PER_SHARD = 20_000
+#: Equal rows travel as one with a count, and are told apart again in blocks of so many.
+COPIES = 1000
 
 
 def attention_cost(capacity: int) -> float:
@@ -90,9 +92,13 @@ def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length:
     n = (token_count(text) if length is None else length).cast("bigint")
     kind = dict(docs.dtypes)[doc_id]
     salt = F.xxhash64(doc_id, *((text,) if text in docs.columns else ()))
-    items = stash(docs.select(F.col(doc_id).cast("string").alias("item"), salt.alias("salt"), F.greatest(F.coalesce(n, F.lit(1)), F.lit(1)).alias("n")))
-    total = items.agg(F.sum(F.ceil(F.col("n") / most)).alias("p")).collect()[0]["p"] or 0
+    rows = docs.select(F.col(doc_id).cast("string").alias("item"), salt.alias("salt"), F.greatest(F.coalesce(n, F.lit(1)), F.lit(1)).alias("n"))
+    items = stash(rows.groupBy("item", "salt", "n").agg(F.count("*").alias("copies")))
+    total = items.agg(F.sum(F.ceil(F.col("n") / most) * F.col("copies")).alias("p")).collect()[0]["p"] or 0
     shards = max(1, -(-int(total) // pieces_per_shard))
+    blocks = items.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("copies") / COPIES) - 1)).alias("block")).repartition("item", "salt", "n", "block")
+    last = F.least(F.lit(COPIES), F.col("copies") - F.col("block") * COPIES) - 1
+    items = blocks.select("item", "salt", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("copy"), "block").select("item", "n", F.xxhash64("salt", "block", "copy").alias("salt"))
     pieces = items.select("item", "salt", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("n") / most) - 1)).alias("piece")).select(
         "item", "piece", F.least(F.lit(most).cast("bigint"), F.col("n") - F.col("piece") * most).alias("length"), F.pmod(F.xxhash64("salt", "piece"), F.lit(shards)).alias("shard")
     )
