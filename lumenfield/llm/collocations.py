@@ -10,8 +10,9 @@ what follows open pairs, another what follows open triples.  Candidates above th
 them are counted as well, and rarely a third pass counts the last three words of a four-word phrase.  Where fewer than the asked
 number of phrases survive above the threshold, it falls; it is settled once all that is left scores less, ties included.
 
-A pass counts exactly by chunk of texts, and a shuffle adds up.  Which phrases it counts is told by bitmaps of a fixed size
-(Bloom filters): a false hit counts one phrase more, and no count ever misses a part.
+A pass counts exactly by chunk of texts, and a shuffle adds up.  Which phrases it counts is told by bitmaps of a fixed size: Bloom
+filters of the frontier, and buckets of hashed pairs that hold enough pairs in all for one of them to be frequent (counted in
+a pass of their own).  A false hit counts one phrase more, and no count ever misses a part.
 
 Defined results: null texts are empty; a null language is ``und``; rows that repeat count; languages with fewer phrases return what
 they have; an empty table gives an empty table; other columns take no part.
@@ -19,6 +20,7 @@ they have; an empty table gives an empty table; other columns take no part.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -38,7 +40,9 @@ TOP = 2000
 ABSORBED = 80
 SCALE = 2_000_000
 BLOOM_BITS = 25
-CHUNK_BYTES = 1 << 23
+#: Buckets that pairs are counted in before they are counted by name, and how they are cut for the shuffle.
+BUCKET_BITS, SLICE_BITS = 24, 16
+CHUNK_BYTES = 1 << 22
 
 _CUTS = np.zeros(256, bool)
 _CUTS[[*b".,;:!?", 10, 11, 12, 13]] = True
@@ -52,7 +56,7 @@ _FOLD = np.uint64(0xD6E8FEB86659FD93)
 class Wanted(NamedTuple):
     """Bitmaps that say what a pass counts; None counts nothing of the kind."""
 
-    words: np.ndarray | None = None
+    full: np.ndarray | None = None  # buckets of hashed pairs, one of which may be frequent
     pairs: np.ndarray | None = None  # prefixes of triples
     pairs_after: np.ndarray | None = None  # last two words of triples
     triples: np.ndarray | None = None  # triples as such
@@ -116,7 +120,7 @@ def bitmap(phrases: DataFrame) -> np.ndarray | None:
 
 
 def _count(words: int, wanted) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Counts by chunk of (lang, phrase): all words (and a null phrase: how many), all pairs of wanted words, or longer phrases."""
+    """Counts by chunk of (lang, phrase): all words (and a null phrase: how many), pairs in full buckets, or longer phrases."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,21 +130,86 @@ def _count(words: int, wanted) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     return count
 
 
-def _counted(part: pa.RecordBatch, words: int, wanted: Wanted) -> Iterator[pa.RecordBatch]:
+def _full(wanted: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes >> np.uint64(64 - BUCKET_BITS)
+    return wanted[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
+
+
+def _split(part: pa.RecordBatch) -> tuple:
+    """The words of a chunk, their languages, and which stand beside the next one: in one piece of one text."""
     data, offsets = tokens.text_buffer(part.column(1))
     data = tokens.LOWER[data]
     starts, ends, at = tokens.word_spans(data, offsets, _GAPS)
-    n = len(starts)
     langs = part.column(0).dictionary_encode()
-    lang = np.repeat(langs.indices.to_numpy().astype(np.int64), np.diff(at))
+    lang = np.repeat(langs.indices.to_numpy(), np.diff(at))
+    passed = np.concatenate([[0], np.cumsum(_CUTS[data], dtype=np.int32)])
+    beside = passed[ends[:-1]] == passed[starts[1:]]
+    inner = at[1:-1]
+    beside[inner[(inner > 0) & (inner < len(starts))] - 1] = False  # a text ends
+    return data, starts, ends, langs.dictionary, lang, beside
+
+
+def _buckets(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """How many pairs fall into each bucket, up to ``least``: packed slices, once a task."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(1 << BUCKET_BITS, np.uint8)
+        for batch in batches:
+            for i, j in tokens.chunks(tokens.text_buffer(batch.column(1))[1], CHUNK_BYTES):
+                data, starts, ends, langs, lang, beside = _split(batch.slice(i, j - i))
+                if len(starts) < 2:
+                    continue
+                hashed = tokens.span_hashes(data, starts, ends)
+                two = _folded(_folded(_whole(langs)[lang[:-1]], hashed[:-1]), hashed[1:])[beside]
+                bucket, n = np.unique(two >> np.uint64(64 - BUCKET_BITS), return_counts=True)
+                held[bucket] = np.minimum(held[bucket] + np.minimum(n, least), least)
+        parts = [(k, part) for k, part in enumerate(held.reshape(-1, 1 << SLICE_BITS)) if part.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for _, p in parts], pa.binary())], ["slice", "counts"])
+
+    return count
+
+
+def _bucket_totals(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Slices in order -> for each the bits of the buckets with ``least`` pairs or more; one slice is held at a time."""
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, np.zeros(0, np.uint8)
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([np.packbits(held >= least, bitorder="little").tobytes()], pa.binary())], ["slice", "bits"])
+        for batch in batches:
+            for k, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if k != last:
+                    if last is not None:
+                        yield row()
+                    last, held = k, np.zeros(1 << SLICE_BITS, np.uint8)
+                held = np.minimum(held + np.frombuffer(zlib.decompress(counts.as_py()), np.uint8), least)
+        if last is not None:
+            yield row()
+
+    return total
+
+
+def full_buckets(texts: DataFrame, least: int) -> np.ndarray:
+    """A bit for each of 2**BUCKET_BITS buckets: whether ``least`` pairs or more fall into it."""
+    least = min(least, 127)  # counters are bytes, and a lower bar only lets more pairs be counted by name
+    slices = texts.mapInArrow(_buckets(least), "slice int, counts binary").repartition("slice").sortWithinPartitions("slice")
+    out = np.zeros(1 << (BUCKET_BITS - 3), np.uint8)
+    for row in slices.mapInArrow(_bucket_totals(least), "slice int, bits binary").collect():  # of a fixed size in all
+        size = 1 << (SLICE_BITS - 3)
+        out[row["slice"] * size : (row["slice"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def _counted(part: pa.RecordBatch, words: int, wanted: Wanted) -> Iterator[pa.RecordBatch]:
+    data, starts, ends, langs, lang, beside = _split(part)
+    n = len(starts)
     sizes = ends - starts
     cuts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     coded = pa.LargeStringArray.from_buffers(n, pa.py_buffer(cuts), pa.py_buffer(data[tokens.ranges(starts, sizes)].tobytes())).dictionary_encode()
-    spelled, code = coded.dictionary.cast(pa.string()), coded.indices.to_numpy().astype(np.int64)
+    spelled, code = coded.dictionary.cast(pa.string()), coded.indices.to_numpy()
     v = max(1, len(spelled))
 
     def rows(chosen: np.ndarray, size: int) -> pa.RecordBatch:
-        key = lang[chosen]
+        key = lang[chosen].astype(np.int64)
         for k in range(size):
             if k == 2:  # two more would pass 64 bits
                 key = np.unique(key, return_inverse=True)[1]
@@ -149,28 +218,22 @@ def _counted(part: pa.RecordBatch, words: int, wanted: Wanted) -> Iterator[pa.Re
         first = chosen[first]
         phrase = [spelled.take(pa.array(code[first + k])) for k in range(size)]
         phrase = phrase[0] if size == 1 else pc.binary_join_element_wise(*phrase, " ")
-        return pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(lang[first])), phrase, pa.array(counts.astype(np.int64))], ["lang", "phrase", "n"])
+        return pa.RecordBatch.from_arrays([langs.take(pa.array(lang[first])), phrase, pa.array(counts.astype(np.int64))], ["lang", "phrase", "n"])
 
     if words == 1:
         yield rows(np.arange(n), 1)
-        total = np.bincount(lang, minlength=len(langs.dictionary)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([langs.dictionary, pa.nulls(len(total), pa.string()), pa.array(total)], ["lang", "phrase", "n"])
+        total = np.bincount(lang, minlength=len(langs)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([langs, pa.nulls(len(total), pa.string()), pa.array(total)], ["lang", "phrase", "n"])
         return
     if n < 2:
         return
-    # Neighbours within a piece: no cut between them and one text.
-    passed = np.concatenate([[0], np.cumsum(_CUTS[data])])
-    text = np.repeat(np.arange(part.num_rows), np.diff(at))
-    beside = (passed[ends[:-1]] == passed[starts[1:]]) & (text[:-1] == text[1:])
+    # What begins at a place is hashed from there on, so that a phrase has one hash wherever it stands.
     hashed = _whole(coded.dictionary)[code]
-    one = _folded(_whole(langs.dictionary)[lang], hashed)
-    frequent = _has(wanted.words, one)
-    two_ok = beside & frequent[:-1] & frequent[1:]
+    two = _folded(_folded(_whole(langs)[lang[:-1]], hashed[:-1]), hashed[1:])
+    two_ok = beside & _full(wanted.full, two)
     if words == 2:
         yield rows(np.flatnonzero(two_ok), 2)
         return
-    # What begins at a place is hashed from there on, so that a phrase has one hash wherever it stands.
-    two = _folded(one[:-1], hashed[1:])
     three = _folded(two[:-1], hashed[2:])
     three_ok = two_ok[:-1] & two_ok[1:]
     yield rows(np.flatnonzero(three_ok & (_has(wanted.pairs, two[:-1]) | _has(wanted.pairs_after, two[1:]) | _has(wanted.triples, three))), 3)
@@ -229,8 +292,8 @@ def mine(docs: DataFrame, *, text: str = "text", lang: str = "lang", least: int
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), text_or_empty(text).alias("t"))
     ones = stash(_pass(texts, 1).where((F.col("a") >= least) | F.col("phrase").isNull()))
     words = ones.where("phrase is not null")
-    frequent = bitmap(words)
-    pairs = stash(_pass(texts, 2, Wanted(words=frequent)).where(F.col("a") >= least))
+    full = full_buckets(texts, least)
+    pairs = stash(_pass(texts, 2, Wanted(full)).where(F.col("a") >= least))
     twos = stash(scored(pairs, words))
     nothing = spark.createDataFrame([], pairs.schema)
     threes, fours, grown = nothing, nothing, nothing
@@ -240,18 +303,18 @@ def mine(docs: DataFrame, *, text: str = "text", lang: str = "lang", least: int
         met = twos.join(levels, "lang")
         open_pairs = met.where("bound >= level and bound < before")
         tops = met.where("score >= level and score < before")
-        new = _pass(texts, 3, Wanted(frequent, pairs=bitmap(open_pairs), pairs_after=bitmap(tops))).where((F.col("a") >= least) & (_size() == 3))
+        new = _pass(texts, 3, Wanted(full, pairs=bitmap(open_pairs), pairs_after=bitmap(tops))).where((F.col("a") >= least) & (_size() == 3))
         threes = stash(threes.union(new).groupBy("lang", "phrase").agg(F.max("a").alias("a")))
         triples = stash(scored(threes, words.union(pairs)))
         met = triples.join(levels, "lang").join(grown.select("lang", "phrase"), ["lang", "phrase"], "left_anti")
         frontier = met.where("bound >= level")
-        new = _pass(texts, 3, Wanted(frequent, prefixes=bitmap(frontier), triples_after=bitmap(met.where("score >= level")))).where((F.col("a") >= least) & (_size() == 4))
+        new = _pass(texts, 3, Wanted(full, prefixes=bitmap(frontier), triples_after=bitmap(met.where("score >= level")))).where((F.col("a") >= least) & (_size() == 4))
         fours = stash(fours.union(new).groupBy("lang", "phrase").agg(F.max("a").alias("a")))
         grown = stash(grown.union(frontier.select("lang", "phrase", "a")))
         last = scored(fours, words.union(pairs).union(threes))
         missing = bitmap(last.join(levels, "lang").where("open and score >= level").select("lang", F.expr("substr(phrase, instr(phrase, ' ') + 1)").alias("phrase")).distinct())
         if missing is not None:
-            new = _pass(texts, 3, Wanted(frequent, triples=missing)).where((F.col("a") >= least) & (_size() == 3))
+            new = _pass(texts, 3, Wanted(full, triples=missing)).where((F.col("a") >= least) & (_size() == 3))
             threes = stash(threes.union(new).groupBy("lang", "phrase").agg(F.max("a").alias("a")))
             last = scored(fours, words.union(pairs).union(threes))
         candidates = stash(twos.union(triples).union(last))
