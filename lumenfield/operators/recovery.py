@@ -121,13 +121,13 @@ def matched_catalogue(dets: DataFrame, refs: DataFrame, radius: float = 2.0) ->
     return m.withColumns({"inst": C.instrumental_mag(F.col("flux")), "test": C.checkerboard(F.col("rx"), F.col("ry")) == 2})
 
 
-def zero_points(matches: DataFrame) -> DataFrame:
-    return matches.where("not test").groupBy("field_id").agg(robust.median(F.col("mag") - F.col("inst")).alias("zero_point"), F.count("*").alias("n"))
+def zero_points(matches: DataFrame, keys: Sequence[str] = S.FIELD) -> DataFrame:
+    return matches.where("not test").groupBy(*keys).agg(robust.median(F.col("mag") - F.col("inst")).alias("zero_point"), F.count("*").alias("n"))
 
 
-def magnitude_residuals(matches: DataFrame) -> DataFrame:
-    zero = zero_points(matches).select("field_id", "zero_point")
-    return matches.join(zero, "field_id").withColumn("mag_residual", F.col("inst") + F.col("zero_point") - F.col("mag"))
+def magnitude_residuals(matches: DataFrame, keys: Sequence[str] = S.FIELD) -> DataFrame:
+    zero = zero_points(matches, keys).select(*keys, "zero_point")
+    return matches.join(zero, list(keys)).withColumn("mag_residual", F.col("inst") + F.col("zero_point") - F.col("mag"))
 
 
 def route_zero_points(matches: DataFrame, route: str, least: int = 10) -> DataFrame:
@@ -138,23 +138,41 @@ def route_zero_points(matches: DataFrame, route: str, least: int = 10) -> DataFr
     return each.join(whole, "field_id").withColumn("zero_point", F.when(F.col("training_matches") >= least, F.col("route_zero")).otherwise(F.col("field_zero"))).drop("route_zero", "field_zero")
 
 
-def aligned(matches: DataFrame, *, rounds: int = 3, floor: float = 0.05) -> DataFrame:
+def aligned(matches: DataFrame, *, rounds: int = 3, floor: float = 0.05, keys: Sequence[str] = S.FIELD) -> DataFrame:
     """``matches`` with px and py: positions after an affine fit on the part that is not held out."""
-    fit = robust.fit_affine(matches.where("not test").select("field_id", "x", "y", "rx", "ry"), ["field_id"], rounds=rounds, floor=floor)
-    return robust.apply_affine(matches, fit, ["field_id"])
+    fit = robust.fit_affine(matches.where("not test").select(*keys, "x", "y", "rx", "ry"), keys, rounds=rounds, floor=floor)
+    return robust.apply_affine(matches, fit, keys)
 
 
-def measurement_metrics(matches: DataFrame, *, least_train: int = 10, least_test: int = 5, pixel_mas: float = 50.0) -> DataFrame:
-    """Clipped one-dimensional position RMS and magnitude RMS of held-out matches, null where a field has too few."""
+def measurement_metrics(matches: DataFrame, *, least_train: int = 10, least_test: int = 5, pixel_mas: float = 50.0, keys: Sequence[str] = S.FIELD) -> DataFrame:
+    """Clipped one-dimensional position RMS and magnitude RMS of held-out matches, null where a key has too few."""
     matches = settle(matches)
-    sizes = matches.groupBy("field_id").agg(F.count_if(~F.col("test")).alias("n_train"), F.count_if("test").alias("n_test"))
-    enough = sizes.where((F.col("n_train") >= least_train) & (F.col("n_test") >= least_test)).select("field_id")
-    used = settle(matches.join(enough, "field_id", "left_semi"))
-    moved = aligned(used).where("test")
+    sizes = matches.groupBy(*keys).agg(F.count_if(~F.col("test")).alias("n_train"), F.count_if("test").alias("n_test"))
+    enough = sizes.where((F.col("n_train") >= least_train) & (F.col("n_test") >= least_test)).select(*keys)
+    used = settle(matches.join(enough, list(keys), "left_semi"))
+    moved = aligned(used, keys=keys).where("test")
     radial = moved.withColumn("radial", F.sqrt(C.square(F.col("px") - F.col("rx")) + C.square(F.col("py") - F.col("ry"))))
-    position = robust.clipped(radial, ["field_id"], "radial", 0.05, one_sided=True).groupBy("field_id").agg(F.sqrt(F.avg(C.square(F.col("radial"))) / 2.0).alias("rms_1d_px"))
-    magnitude = robust.clipped(magnitude_residuals(used).where("test"), ["field_id"], "mag_residual", 0.03).groupBy("field_id").agg(F.stddev_pop("mag_residual").alias("mag_rms"))
-    return sizes.join(position, "field_id", "left").join(magnitude, "field_id", "left").withColumn("rms_1d_mas", F.col("rms_1d_px") * pixel_mas)
+    position = robust.clipped(radial, keys, "radial", 0.05, one_sided=True).groupBy(*keys).agg(F.sqrt(F.avg(C.square(F.col("radial"))) / 2.0).alias("rms_1d_px"))
+    magnitude = robust.clipped(magnitude_residuals(used, keys).where("test"), keys, "mag_residual", 0.03).groupBy(*keys).agg(F.stddev_pop("mag_residual").alias("mag_rms"))
+    return sizes.join(position, list(keys), "left").join(magnitude, list(keys), "left").withColumn("rms_1d_mas", F.col("rms_1d_px") * pixel_mas)
+
+
+def common_match_metrics(dets: DataFrame, refs: DataFrame, *, methods: int, radius: float = 2.0, faintest: float = 20.0, least: int = 3) -> DataFrame:
+    """``measurement_metrics`` of each (field_id, method): registered and calibrated by the method's own matches, and measured on the crowded
+    held-out references that every one of ``methods`` methods matches (column ``method`` of ``dets``).
+
+    Defined results: a null field, method, id or place matches nothing; a method without a match has no row; a reference that repeats
+    counts once for each row; too few matches give null metrics."""
+    keys = ("field_id", "method")
+    lean = dets.where("method is not null").select(*keys, "det_id", "x", "y", "flux")
+    crowd = S.local_density(refs.select("field_id", "ref_id", "x", "y", "mag"))
+    dense = crowd.where((F.col("mag") <= faintest) & (F.col("neighbours") >= least)).select("field_id", "ref_id").distinct()
+    near = S.nearest(lean, refs.select("field_id", "ref_id", "x", "y", "mag"), radius, left_id="det_id", right_id="ref_id", keys=("field_id",), within=("method",))
+    first = near.withColumn("place", F.row_number().over(W.partitionBy(*keys, "ref_id").orderBy("d2", "det_id"))).where("place = 1")
+    rows = settle(first.select(*keys, "ref_id", "x", "y", "rx", "ry", "mag", C.instrumental_mag(F.col("flux")).alias("inst"), (C.checkerboard(F.col("rx"), F.col("ry")) == 2).alias("test")))
+    shared = rows.where("test").groupBy("field_id", "ref_id").agg(F.countDistinct("method").alias("n")).where(F.col("n") == methods).join(dense, ["field_id", "ref_id"], "left_semi")
+    kept = rows.where("not test").unionByName(rows.where("test").join(shared, ["field_id", "ref_id"], "left_semi"))
+    return measurement_metrics(kept, keys=keys)
 
 
 def new_candidates(dets: DataFrame, known: DataFrame, *, separation: float, most: int) -> DataFrame:

@@ -13,8 +13,9 @@ from . import spatial as S
 from .shared import settle
 
 
-def thin(points: DataFrame, separation: float, *, point_id: str, order: str, keys: Sequence[str] = S.FIELD) -> DataFrame:
-    """Keep points in the order of (``order``, id) that are at least ``separation`` away from all kept before them.
+def thin(points: DataFrame, separation: float, *, point_id: str, order: str, keys: Sequence[str] = S.FIELD, inclusive: bool = False) -> DataFrame:
+    """Keep points in the order of (``order``, id) that are at least ``separation`` (``inclusive``: more than that) away from all
+    kept before them.
 
     A point that precedes all its undecided neighbours is kept, and its neighbours go.  Each round decides every such
     point at once; the number of rounds is the longest chain of neighbours in descending order, not the number of points.
@@ -23,7 +24,8 @@ def thin(points: DataFrame, separation: float, *, point_id: str, order: str, key
     has no neighbours and stays; rows that repeat an id stay or go together; an empty table stays empty; other columns stay."""
     own = _known(points, *keys, point_id).select(*keys, F.col(point_id).alias("i"), F.col(order).alias("o"), "x", "y")
     other = own.select(*keys, F.col("i").alias("j"), F.col("o").alias("p"), "x", "y")
-    met = S.pairs_within(own, other, separation, keys=keys).where((F.col("i") != F.col("j")) & (F.col("d2") < separation * separation))
+    near = F.lit(True) if inclusive else F.col("d2") < separation * separation
+    met = S.pairs_within(own, other, separation, keys=keys).where((F.col("i") != F.col("j")) & near)
     edges = settle(met.select(*keys, "i", "j", F.expr("coalesce(p < o, p is not null) or (p <=> o and j < i)").alias("after")))
     alive = settle(own.select(*keys, "i"))
     kept = None

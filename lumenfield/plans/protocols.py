@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import protocols as O
-from ..operators import recovery, robust
+from ..operators import recovery, robust, routing
 from ..operators import spatial as S
 from ..sources.derived import Tables
-from .designs import _affine_sql, _clip_sql
+from .designs import _METRICS, _affine_sql, _clip_sql
 from .imaging import _image
 from .matching import _MATCHED, _QUALITY
 from .registry import query
@@ -69,3 +69,26 @@ def common_match_held_out(t: Tables) -> DataFrame:
     refs = t.refs.where("nv >= 1").select("field_id", "ref_id", "x", "y")
     dets = t.dets.select("field_id", "det_id", "x", "y", F.expr("det_id % 3").alias("method"))
     return O.common_matches(dets, S.local_density(refs).where("neighbours >= 3"), refs, methods=3).select("field_id", "ref_id", "neighbours")
+
+
+@query("refs", "dets", sql=f"""
+WITH q AS (SELECT * FROM refs WHERE nv >= 1), crowd AS (SELECT a.field_id, a.ref_id FROM q a JOIN q b ON a.field_id = b.field_id AND a.ref_id <> b.ref_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 100 WHERE a.mag <= 22 GROUP BY ALL HAVING count(*) >= 3),
+p AS (SELECT d.det_id % 3 AS method, d.field_id, d.det_id, d.flux, d.x, d.y, q.ref_id, q.x AS rx, q.y AS ry, q.mag, (d.x - q.x) * (d.x - q.x) + (d.y - q.y) * (d.y - q.y) AS d2 FROM dets d JOIN q ON d.field_id = q.field_id AND (d.x - q.x) * (d.x - q.x) + (d.y - q.y) * (d.y - q.y) <= 4 QUALIFY row_number() OVER (PARTITION BY d.field_id, d.det_id ORDER BY d2, q.ref_id) = 1),
+m AS (SELECT *, ((cast(floor(rx / 200) AS bigint) + cast(floor(ry / 200) AS bigint)) % 3 + 3) % 3 = 2 AS test FROM p QUALIFY row_number() OVER (PARTITION BY field_id, method, ref_id ORDER BY d2, det_id) = 1),
+c AS (SELECT field_id, ref_id FROM m JOIN crowd USING (field_id, ref_id) WHERE test GROUP BY ALL HAVING count(DISTINCT method) = 3),
+j AS (SELECT m.field_id * 3 + method AS field_id, x, y, rx, ry, mag, -2.5 * log10(greatest(flux, 1e-6)) AS inst, test FROM m LEFT JOIN c USING (field_id, ref_id) WHERE NOT test OR c.ref_id IS NOT NULL),
+{_METRICS.replace("SELECT sz.field_id, n_train", "SELECT sz.field_id // 3 AS field_id, sz.field_id % 3 AS method, n_train")}""")
+def common_match_metrics(t: Tables) -> DataFrame:
+    """Position and magnitude RMS of three methods over the crowded references that all of them match."""
+    dets = t.dets.withColumn("method", F.expr("det_id % 3"))
+    m = recovery.common_match_metrics(dets, t.refs.where("nv >= 1"), methods=3, faintest=22.0)
+    return m.select("field_id", "method", "n_train", "n_test", C.r6(F.col("rms_1d_px")).alias("rms_1d_px"), F.round("rms_1d_mas", 4).alias("rms_1d_mas"), C.r6(F.col("mag_rms")).alias("mag_rms"))
+
+
+@query()
+def router_merge(t: Tables) -> DataFrame:
+    """Catalogue of crowded places from joint fits and of the others from conservative detections, without doubles."""
+    proposals = t.refs.select("field_id", F.col("ref_id").alias("det_id"), "x", "y")
+    fits = t.refs.selectExpr("field_id", "ref_id as det_id", "x + (ref_id % 7 - 3) / 10d as x", "y + (ref_id % 5 - 2) / 10d as y", "case when ref_id % 11 = 0 then null else (26d - mag) * 1e3 end as flux")
+    merged = routing.merge(proposals, fits, t.dets.where("not deblend_flag").select("field_id", "det_id", "x", "y", "flux"))
+    return merged.select("field_id", "det_id", C.r6(F.col("x")).alias("x"), C.r6(F.col("y")).alias("y"), C.r6(F.col("flux")).alias("flux"), "route")
