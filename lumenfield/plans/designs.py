@@ -231,12 +231,43 @@ def blend_groups(t: Tables) -> DataFrame:
     return rounds.groups(t.refs.select("field_id", "ref_id", "x", "y"), 7.0, point_id="ref_id").select("field_id", "ref_id", "group_id")
 
 
-@query()
+def _thin_sql(rows: str, separation: float, count: int) -> str:
+    """Rounds of thinning ``rows`` (field_id, i, o, x, y) as tables n0, n1, ...; the last round must leave nothing."""
+    near = f"(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) < {separation * separation}"
+    out = f"te AS MATERIALIZED (SELECT a.field_id, a.i, b.i AS j, b.o < a.o OR (b.o = a.o AND b.i < a.i) AS after FROM {rows} a JOIN {rows} b ON a.field_id = b.field_id AND a.i <> b.i AND {near}), a0 AS MATERIALIZED (SELECT field_id, i FROM {rows})"
+    for k in range(count):
+        out += f""",
+h{k} AS MATERIALIZED (SELECT DISTINCT te.field_id, te.i FROM te JOIN a{k} b ON b.field_id = te.field_id AND b.i = te.j WHERE after), n{k} AS MATERIALIZED (SELECT a.* FROM a{k} a ANTI JOIN h{k} USING (field_id, i)),
+g{k} AS MATERIALIZED (SELECT te.field_id, te.j AS i FROM te JOIN n{k} n ON n.field_id = te.field_id AND n.i = te.i UNION SELECT field_id, i FROM n{k}), a{k + 1} AS MATERIALIZED (SELECT a.* FROM a{k} a ANTI JOIN g{k} USING (field_id, i))"""
+    return out
+
+
+def _greedy_sql(dets: str, refs: str, count: int, name: str = "") -> str:
+    """Rounds of greedy matching within 2 px as tables {name}t0, {name}t1, ..."""
+    d2 = "(d.x - r.x) * (d.x - r.x) + (d.y - r.y) * (d.y - r.y)"
+    out = f"{name}e0 AS MATERIALIZED (SELECT d.field_id, d.det_id, r.ref_id, {d2} AS d2 FROM {dets} d JOIN {refs} r ON d.field_id = r.field_id AND {d2} <= 4 QUALIFY row_number() OVER (PARTITION BY d.field_id, d.det_id ORDER BY d2, r.ref_id) <= 8)"
+    for k in range(count):
+        first = "row_number() OVER (PARTITION BY field_id, {} ORDER BY d2, det_id, ref_id) = 1"
+        e, t = f"{name}e{k}", f"{name}t{k}"
+        out += f""",
+{t} AS MATERIALIZED (SELECT * FROM {e} QUALIFY {first.format("det_id")} AND {first.format("ref_id")}), {name}e{k + 1} AS MATERIALIZED (SELECT * FROM (SELECT * FROM {e} ANTI JOIN {t} USING (field_id, det_id)) q ANTI JOIN {t} USING (field_id, ref_id))"""
+    return out
+
+
+def _all_rounds(name: str, count: int) -> str:
+    return " UNION ALL ".join(f"SELECT * FROM {name}{k}" for k in range(count))
+
+
+#: Rounds that the longest chains of the small tables ask for, and some more.
+_THIN_ROUNDS, _GREEDY_ROUNDS = 24, 16
+
+
+@query("dets", sql=f"WITH pts AS (SELECT field_id, det_id AS i, -flux AS o, x, y FROM dets), {_thin_sql('pts', 3.0, _THIN_ROUNDS)} SELECT field_id, i AS det_id FROM ({_all_rounds('n', _THIN_ROUNDS)}) t")
 def min_separation_thin(t: Tables) -> DataFrame:
     points = t.dets.select("field_id", "det_id", "x", "y", (-F.col("flux")).alias("faintness"))
     return rounds.thin(points, 3.0, point_id="det_id", order="faintness").select("field_id", "det_id")
 
 
-@query()
+@query("refs", "dets", sql=f"WITH {_greedy_sql('dets', 'refs', _GREEDY_ROUNDS)} SELECT field_id, det_id, ref_id, round(sqrt(d2), 6) AS dist FROM ({_all_rounds('t', _GREEDY_ROUNDS)}) t")
 def match_greedy_edges(t: Tables) -> DataFrame:
     return rounds.greedy_edges(t.dets, t.refs).select("field_id", "det_id", "ref_id", C.r6(F.sqrt("d2")).alias("dist"))

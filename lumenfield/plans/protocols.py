@@ -10,13 +10,23 @@ from ..operators import protocols as O
 from ..operators import recovery, robust, routing
 from ..operators import spatial as S
 from ..sources.derived import Tables
-from .designs import _METRICS, _affine_sql, _clip_sql
+from .designs import _GREEDY_ROUNDS, _METRICS, _affine_sql, _all_rounds, _clip_sql, _greedy_sql
 from .imaging import _image
 from .matching import _MATCHED, _QUALITY
 from .registry import query
 
 
-@query()
+@query("refs", "dets", sql=f"""
+WITH {_greedy_sql("dets", "refs", _GREEDY_ROUNDS)}, marked AS MATERIALIZED (SELECT field_id, ref_id, x, y, mag, ((cast(floor(x / 200) AS bigint) + cast(floor(y / 200) AS bigint)) % 3 + 3) % 3 = 2 AS test FROM refs),
+one AS MATERIALIZED (SELECT m.field_id, d.x, d.y, d.flux, r.x AS rx, r.y AS ry, r.mag, r.test FROM ({_all_rounds("t", _GREEDY_ROUNDS)}) m JOIN dets d USING (field_id, det_id) JOIN marked r ON r.field_id = m.field_id AND r.ref_id = m.ref_id),
+base AS (SELECT field_id, x, y, rx, ry FROM one WHERE NOT test), {_affine_sql("f0", "base")},
+moved AS MATERIALIZED (SELECT d.field_id, det_id, flux, CASE WHEN n >= 3 THEN mx + bx * (x - ox) + cx * (y - oy) ELSE x END AS x, CASE WHEN n >= 3 THEN my + by_ * (x - ox) + cy * (y - oy) ELSE y END AS y FROM dets d LEFT JOIN f0 USING (field_id)),
+tests AS MATERIALIZED (SELECT * FROM marked WHERE test), {_greedy_sql("moved", "tests", _GREEDY_ROUNDS, "s")},
+zero AS (SELECT field_id, median(mag + 2.5 * log10(greatest(flux, 1e-6))) AS zero FROM one WHERE NOT test AND flux > 0 GROUP BY field_id HAVING count(*) >= 5),
+again AS (SELECT m.field_id, m.d2, -2.5 * log10(greatest(d.flux, 1e-6)) + zero - r.mag AS off FROM ({_all_rounds("st", _GREEDY_ROUNDS)}) m JOIN dets d USING (field_id, det_id) JOIN marked r ON r.field_id = m.field_id AND r.ref_id = m.ref_id LEFT JOIN zero z ON z.field_id = m.field_id),
+scored AS (SELECT field_id, count(*) AS hits, sqrt(avg(d2)) AS rms, stddev_pop(off) FILTER (WHERE abs(off) < 2) AS mag_rms FROM again GROUP BY field_id)
+SELECT k.field_id, candidates, test_references, coalesce(hits, 0) AS test_recovered, round(coalesce(hits, 0) / cast(test_references AS double), 6) AS test_recovery, round(rms * 74.0, 6) AS test_position_rms_mas, round(mag_rms, 6) AS test_magnitude_rms, all_catalogue_matches
+FROM (SELECT field_id, count(*) FILTER (WHERE test) AS test_references FROM marked GROUP BY field_id) k LEFT JOIN (SELECT field_id, count(*) AS candidates FROM dets GROUP BY field_id) c USING (field_id) LEFT JOIN (SELECT field_id, count(*) AS all_catalogue_matches FROM one GROUP BY field_id) o USING (field_id) LEFT JOIN scored USING (field_id)""")
 def score_realigned(t: Tables) -> DataFrame:
     """Scores after a plain affine realignment, with greedy matches."""
     s = O.score_realigned(t.dets, t.refs)
