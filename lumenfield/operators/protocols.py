@@ -41,15 +41,32 @@ def score_realigned(dets: DataFrame, refs: DataFrame, *, radius: float = 2.0, pi
     return out.select("field_id", "candidates", "test_references", "test_recovered", C.ratio(F.col("test_recovered"), F.col("test_references")).alias("test_recovery"), (F.col("rms") * pixel_mas).alias("test_position_rms_mas"), F.col("mag_rms").alias("test_magnitude_rms"), "all_catalogue_matches")
 
 
-def injection_plan(refs: DataFrame, mags: Sequence[float], bands: dict[str, tuple[int, int]], *, batches: int = 2, each: int = 20, attempts: int = 2000, size: float = 1200.0, margin: float = 15.0, reach: float = 10.0, separation: float = 12.0) -> DataFrame:
-    """Places for artificial stars: for each field, magnitude, density band and batch the first ``each`` of ``attempts``
-    places, dealt by a hash, whose number of references within ``reach`` less one lies in the band and that are at least
-    ``separation`` from those taken before.  A field without references has no rows; a band may stay short of ``each``."""
-    span = size - 2 * margin
+def injection_plan(refs: DataFrame, mags: Sequence[float], bands: dict[str, tuple[int, int]], *, batches: int = 2, each: int = 20, attempts: int = 2000, most_attempts: int = 0, size: float = 1200.0, margin: float = 15.0, reach: float = 10.0, separation: float = 12.0) -> DataFrame:
+    """Places for artificial stars: for each field, magnitude, density band and batch the first ``each`` places, of those that a hash
+    deals one after another, whose number of references within ``reach`` less one lies in the band and that are at least
+    ``separation`` from those taken before.  Groups that ``attempts`` places do not fill get ten times as many, and again, up to
+    ``most_attempts`` (0: none); a longer row of places begins with the shorter one, so that full groups are what they would be with all.
+
+    Defined results: a field without references has no rows, and neither has a null one; a band with too few places on the sky stays short of ``each``."""
     listed = lambda values: F.explode(F.array(*(F.lit(v) for v in values)))
-    tries = refs.where("field_id is not null").select("field_id").distinct().select("field_id", listed(mags).alias("mag")).select("*", listed(bands).alias("band")).select("*", listed(range(batches)).alias("batch")).select("*", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("attempt"))
+    keys = ["field_id", "mag", "band", "batch"]
+    groups = settle(refs.where("field_id is not null").select("field_id").distinct().select("field_id", listed(mags).alias("mag")).select("*", listed(bands).alias("band")).select("*", listed(range(batches)).alias("batch")))
+    done = None
+    while True:
+        plan = settle(_places(groups, refs, bands, keys, each=each, attempts=attempts, size=size, margin=margin, reach=reach, separation=separation))
+        full = plan.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= each).select(*keys)
+        short = settle(groups.join(full, keys, "left_anti"))
+        if attempts >= most_attempts or short.isEmpty():
+            return plan if done is None else done.union(plan)
+        met = plan.join(full, keys, "left_semi").select(*plan.columns)
+        done = met if done is None else done.union(met)
+        groups, attempts = short, min(10 * attempts, most_attempts)
+
+
+def _places(groups: DataFrame, refs: DataFrame, bands: dict[str, tuple[int, int]], keys: Sequence[str], *, each: int, attempts: int, size: float, margin: float, reach: float, separation: float) -> DataFrame:
+    span = size - 2 * margin
+    tries = groups.select("*", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("attempt"))
     drawn = lambda axis: margin + span * F.pmod(F.xxhash64("field_id", "mag", "band", "batch", "attempt", F.lit(axis)), F.lit(1 << 30)) / float(1 << 30)
-    keys = ("field_id", "mag", "band", "batch")
     tried = tries.select(*keys, "attempt", drawn("x").alias("x"), drawn("y").alias("y")).withColumn("site", F.xxhash64(*keys[1:], "attempt"))
     counted = S.neighbour_counts(tried, refs, {"near": reach}, point_id="site")
     density = F.col("near") - 1

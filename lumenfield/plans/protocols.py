@@ -50,7 +50,7 @@ def affine_converged(t: Tables) -> DataFrame:
 @query()
 def injection_plan(t: Tables) -> DataFrame:
     """Twenty places each for two magnitudes, two density bands and two batches of a field."""
-    p = O.injection_plan(t.refs, (20.0, 22.0), {"low": (0, 1), "high": (3, 10_000)})
+    p = O.injection_plan(t.refs, (20.0, 22.0), {"low": (0, 1), "high": (3, 10_000)}, most_attempts=200_000)
     return p.select("field_id", "mag", "band", "batch", "place", C.r6(F.col("x")).alias("x"), C.r6(F.col("y")).alias("y"), "neighbours")
 
 

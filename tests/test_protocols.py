@@ -27,6 +27,14 @@ def test_injection_plan_follows_the_sequential_rule(spark):
     assert protocols.injection_plan(spark.createDataFrame([], REFS), (20.0,), bands).count() == 0
 
 
+def test_injection_plan_fills_rare_bands(spark):
+    r = random.Random(4)
+    refs = [(f, 100 * f + i, 30 + r.uniform(0, 12), 30 + r.uniform(0, 12), 20.0) for f in (0, 1) for i in range(9)] + [(None, 999, 1.0, 1.0, 20.0)]
+    plan = lambda **tries: sorted(tuple(x) for x in protocols.injection_plan(spark.createDataFrame(refs, REFS), (20.0,), {"low": (-1, 1), "high": (3, 10_000)}, each=2, size=150.0, separation=6.0, **tries).collect())
+    few, grown, all_ = plan(attempts=20), plan(attempts=20, most_attempts=2000), plan(attempts=2000)
+    assert len(few) < len(grown) == len(all_) == 2 * 2 * 2 * 2 and grown == all_
+
+
 def test_score_realigned_undoes_a_shift(spark):
     places = [(20.0 + 37 * (i % 15), 20.0 + 41 * (i // 15)) for i in range(150)]
     refs = [(0, i, x, y, 20.0 + i % 3) for i, (x, y) in enumerate(places)] + [(1, 0, 5.0, 5.0, 20.0)]
