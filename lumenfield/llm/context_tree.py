@@ -7,9 +7,10 @@ depths along a path give the probability of a bit, those of a text's bits its co
 no text holds and end in another, so that the probabilities of all texts add up to one.
 
 The tree is a set of tables, a row a node, built from all training documents: runs of depth + 1 bytes are counted by chunk, added
-up by a shuffle, and folded upwards and then downwards level by level.  Its size follows the corpus and nothing of it is broadcast.
+up by a shuffle, and folded upwards and then downwards level by level.  Its size follows the corpus.
 Scoring works by chunk too: each chunk of documents fetches what it needs, one value for each of its distinct runs
-and words, and adds up the whole texts.  Words of the base score (add-one counts) go the same way.
+and words, and adds up the whole texts.  Words of the base score (add-one counts) go the same way.  Up to ``broadcast_runs`` distinct runs
+in all, which is checked, the values of runs are broadcast instead; the results are the same.
 
 Defined results: a null text is empty and has an end mark only; documents with a null id are learned from and not held
 out; rows that repeat count and are scored one by one; without training documents each bit has probability one half and the
@@ -33,6 +34,8 @@ from .common import stash, text_or_empty
 
 DEPTH = 4
 CHUNK_BYTES = 1 << 23
+#: 16 bytes each.
+BROADCAST_RUNS = 1 << 20
 #: Bytes that UTF-8 never has: before a text, and after it.
 BEFORE, AFTER = 0xFE, 0xFF
 
@@ -52,22 +55,32 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarr
     return runs, np.concatenate([[0], np.cumsum(sizes + 1)])
 
 
+def _runs_coded(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    runs, begins = runs_of(data, offsets, depth)
+    return *coded(pa.array(runs)), begins
+
+
+def coded(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """For each value its place among the sorted distinct ones, and those."""
+    got = values.dictionary_encode()
+    order = pc.sort_indices(got.dictionary)
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    return rank[got.indices.to_numpy()], got.dictionary.take(order)
+
+
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """For each word and each text's end (an empty word), its place in the sorted distinct words; those; where the texts begin."""
     starts, ends, at = tokens.word_spans(data, offsets)
     sizes = ends - starts
     text = data[tokens.ranges(starts, sizes)].tobytes()
     cuts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    coded = pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(cuts), pa.py_buffer(text)).dictionary_encode()
-    order = pc.sort_indices(coded.dictionary).to_numpy()
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(1, len(order) + 1)
+    places, distinct = coded(pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(cuts), pa.py_buffer(text)))
     per_text = np.diff(at) + 1
     begins = np.concatenate([[0], np.cumsum(per_text)])
     codes = np.zeros(begins[-1], np.int64)
-    codes[tokens.ranges(begins[:-1], per_text - 1)] = rank[coded.indices.to_numpy()]
-    distinct = pa.concat_arrays([pa.array([""], pa.large_string()), coded.dictionary.take(pa.array(order))])
-    return codes, distinct, begins
+    codes[tokens.ranges(begins[:-1], per_text - 1)] = places + 1
+    return codes, pa.concat_arrays([pa.array([""], pa.large_string()), distinct]).cast(pa.string()), begins
 
 
 def _lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -76,27 +89,21 @@ def _lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _chunks(depth: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Documents with the number of their chunk, and for each chunk a row with its runs and words and how often training texts have them."""
+    """A row for each chunk of documents: its number, ids, marks and packed texts, and its runs and words with how often training texts
+    have them."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        names = ["chunk", "id", "held", "t", "runs", "run_counts", "words", "word_counts"]
         for batch in batches:
-            _, all_offsets = tokens.text_buffer(batch.column(2))
-            for i, j in tokens.chunks(all_offsets, most):
+            for i, j in tokens.chunks(tokens.text_buffer(batch.column(2))[1], most):
                 part = batch.slice(i, j - i)
                 data, offsets = _lowered(part.column(2))
                 learned = ~part.column(1).to_numpy(zero_copy_only=False)
-                none = [pa.nulls(j - i, pa.list_(k)) for k in (pa.int64(), pa.int64(), pa.string(), pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(j - i, number)), *part.columns, *none], names)
-                runs, begins = runs_of(data, offsets, depth)
-                marked = np.sort(runs << 1 | np.repeat(learned, np.diff(begins)))
-                cut = np.flatnonzero(np.concatenate([[True], marked[1:] >> 1 != marked[:-1] >> 1]))
-                counts = np.add.reduceat(marked & 1, cut)
-                codes, distinct, begins = words_of(data, offsets)
-                seen = np.bincount(codes[np.repeat(learned, np.diff(begins))], minlength=len(distinct))
-                lists = [_one_list(x) for x in (pa.array(marked[cut] >> 1), pa.array(counts), distinct.cast(pa.string()), pa.array(seen))]
-                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.nulls(1, part.column(0).type), pa.nulls(1, pa.bool_()), pa.nulls(1, part.column(2).type), *lists], names)
+                lists = [part.column(0), part.column(1), pa.array(np.diff(offsets))]
+                for values, distinct, begins in (_runs_coded(data, offsets, depth), words_of(data, offsets)):
+                    lists += [distinct, pa.array(np.bincount(values[np.repeat(learned, np.diff(begins))], minlength=len(distinct)))]
+                packed = pa.compress(data.tobytes(), "zstd", asbytes=True)
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([packed], pa.binary()), *map(_one_list, lists)], ["chunk", "texts", "ids", "held", "sizes", "runs", "run_counts", "words", "word_counts"])
                 number += 1
 
     return deal
@@ -154,28 +161,35 @@ def log_probabilities(runs: DataFrame, depth: int) -> DataFrame:
     return _bits(runs).join(path.select("context", "node", "p"), ["context", "node"]).groupBy("run").agg(F.sum(chosen).alias("value"))
 
 
-def _score(depth: int, learned: int, distinct: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """Documents of one chunk with the values of its runs (key from 0 on) and the counts of its words (-1, -2, ...)."""
+def _score(depth: int, learned: int, known_words: int, model) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """One chunk with the values of its runs (keys 0, 1, ... in order) and the counts of its words (-1, -2, ...), those left out that no other
+    chunk has learned.  ``model``: broadcast runs in order and their values, or nothing."""
 
-    def score(docs: pa.Table, values: pa.Table) -> pa.Table:
-        n = docs.num_rows
-        docs = docs.combine_chunks()
+    def score(chunk: pa.Table, values: pa.Table) -> pa.Table:
+        chunk = chunk.combine_chunks()
+        ids, held, sizes = (chunk.column(c).chunk(0).flatten() for c in ("ids", "held", "sizes"))
+        offsets = np.concatenate([[0], np.cumsum(sizes.to_numpy())]).astype(np.int64)
+        packed = chunk.column("texts")[0].as_buffer()
+        data = np.frombuffer(pa.decompress(packed, int(offsets[-1]), "zstd", asbytes=True), np.uint8) if offsets[-1] else np.zeros(0, np.uint8)
+        n = len(ids)
         key, value = values.column("key").to_numpy(), values.column("value").to_numpy()
-        texts = docs.column("t").combine_chunks()
-        texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) and texts.num_chunks else texts
-        data, offsets = _lowered(texts if n else pa.array([], pa.string()))
-        order = np.argsort(key)
-        key, value = key[order], value[order]
-        first = int(np.searchsorted(key, 0))
-        runs, begins = runs_of(data, offsets, depth)
+        run, word = key >= 0, key < 0
+        codes, distinct, begins = _runs_coded(data, offsets, depth)
         size = np.diff(begins)
-        total = np.bincount(np.repeat(np.arange(n), size), value[first:][np.searchsorted(key[first:], runs)], n) if n else np.zeros(0)
-        codes, _, begins = words_of(data, offsets)
-        count = value[:first][::-1][codes] if n else np.zeros(0)
+        if model is not None:
+            log_p = model.value[1][np.searchsorted(model.value[0], distinct.to_numpy())]
+        else:
+            log_p = np.zeros(len(distinct))
+            log_p[key[run]] = value[run]
+        total = np.bincount(np.repeat(np.arange(n), size), log_p[codes], n)
+        codes, distinct, begins = words_of(data, offsets)
         owner = np.repeat(np.arange(n), np.diff(begins))
-        base = np.bincount(owner, np.log10((count + 1) / (learned + distinct + 1)), n)
+        met = np.bincount(codes[~held.to_numpy(zero_copy_only=False)[owner]], minlength=len(distinct)).astype(float)
+        met[-1 - key[word]] = value[word]
+        count = met[codes]
+        base = np.bincount(owner, np.log10((count + 1) / (learned + known_words + 1)), n)
         known = np.bincount(owner[count > 0], minlength=n)
-        columns = [docs.column("id"), docs.column("held"), pa.array(np.diff(begins)), pa.array(known), pa.array(np.full(n, learned, np.int64)), pa.array(base), pa.array(total / math.log(10)), pa.array(size - 1), pa.array(-total / math.log(2) / size)]
+        columns = [ids, held, pa.array(np.diff(begins)), pa.array(known), pa.array(np.full(n, learned, np.int64)), pa.array(base), pa.array(total / math.log(10)), pa.array(size - 1), pa.array(-total / math.log(2) / size)]
         return pa.Table.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"])
 
     return score
@@ -185,22 +199,25 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
 
 
-def scores(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", held: Column | None = None, depth: int = DEPTH, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def scores(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", held: Column | None = None, depth: int = DEPTH, chunk_bytes: int = CHUNK_BYTES, broadcast_runs: int = BROADCAST_RUNS) -> DataFrame:
     """One row for each row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the
     text's probability), n_bytes, bits_per_byte (code length, the end mark counted as a byte); texts count in lower case (A-Z).
     ``depth`` is from 1 to 6."""
     kind = dict(docs.dtypes)[doc_id]
     lean = docs.select(F.col(doc_id).alias("id"), (held_out(F.col(doc_id)) if held is None else held).alias("held"), text_or_empty(text).alias("t"))
-    dealt = stash(lean.mapInArrow(_chunks(depth, chunk_bytes), f"chunk bigint, id {kind}, held boolean, t string, runs array<bigint>, run_counts array<bigint>, words array<string>, word_counts array<bigint>"))
-    chunks = dealt.where("runs is not null")
-    pairs = chunks.select("chunk", F.explode(F.arrays_zip("runs", "run_counts")).alias("p")).select("chunk", F.col("p.runs").alias("run"), F.col("p.run_counts").alias("n"))
-    known = log_probabilities(stash(pairs.groupBy("run").agg(F.sum("n").alias("n"))), depth)
-    asked = chunks.select("chunk", F.explode("runs").alias("run")).join(known, "run").select("chunk", F.col("run").alias("key"), "value")
+    chunks = stash(lean.mapInArrow(_chunks(depth, chunk_bytes), f"chunk bigint, texts binary, ids array<{kind}>, held array<boolean>, sizes array<bigint>, runs array<bigint>, run_counts array<bigint>, words array<string>, word_counts array<bigint>"))
+    listed = lambda values, counts: chunks.select("chunk", F.posexplode(F.arrays_zip(values, counts)).alias("at", "p")).select("chunk", "at", f"p.{values}", F.col(f"p.{counts}").alias("n"))
+    runs = listed("runs", "run_counts").withColumnRenamed("runs", "run")
+    totals = stash(runs.groupBy("run").agg(F.sum("n").alias("n")))
+    known, model = log_probabilities(totals, depth), None
+    if totals.count() <= broadcast_runs:
+        small = known.toArrow().sort_by("run")
+        model = docs.sparkSession.sparkContext.broadcast((small.column("run").to_numpy(), small.column("value").to_numpy()))
     # A word has one row a chunk, however often it occurs.
-    words = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "word_counts")).alias("at", "p")).select("chunk", "at", F.col("p.words").alias("word"), F.col("p.word_counts").alias("n"))
-    counted = stash(words.selectExpr("chunk", "at", "n", "sum(n) over (partition by word) as c", "row_number() over (partition by word order by chunk) = 1 as first"))
-    learned, distinct = counted.agg(F.sum("n"), F.count_if(F.col("first") & (F.col("c") > 0))).collect()[0]
-    values = asked.union(counted.select("chunk", (-1 - F.col("at")).cast("bigint"), F.col("c").cast("double"))).withColumnRenamed("chunk", "of")
-    rows = dealt.where("runs is null").select("chunk", "id", "held", "t")
-    scored = rows.groupBy("chunk").cogroup(values.groupBy("of")).applyInArrow(_score(depth, learned or 0, distinct or 0), f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_bytes bigint, bits_per_byte double")
-    return scored
+    counted = stash(listed("words", "word_counts").selectExpr("chunk", "at", "n", "sum(n) over (partition by words) as c", "row_number() over (partition by words order by chunk) = 1 as first"))
+    learned, distinct = counted.where("first and c > 0").agg(F.sum("c"), F.count("*")).collect()[0]
+    elsewhere = counted.where("c <> n").select("chunk", -1 - F.col("at"), F.col("c").cast("double"))
+    values = elsewhere if model else elsewhere.union(runs.join(known, "run").select("chunk", "at", "value"))
+    values = values.toDF("of", "key", "value")
+    rows = chunks.select("chunk", "texts", "ids", "held", "sizes")
+    return rows.groupBy("chunk").cogroup(values.groupBy("of")).applyInArrow(_score(depth, learned or 0, distinct or 0, model), f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_bytes bigint, bits_per_byte double")

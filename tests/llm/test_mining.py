@@ -179,6 +179,8 @@ def test_conditionals_are_ratios_of_weighted_probabilities(spark):
     rows = [(k, t.decode(), False) for k, t in enumerate(learned)] + [(9, other.decode(), True)]
     frame = spark.createDataFrame(rows, "doc_id bigint, text string, h boolean")
     got = {r.doc_id: r for r in context_tree.scores(frame, held=F.col("h"), depth=depth, chunk_bytes=9).collect()}
+    shuffled = {r.doc_id: r for r in context_tree.scores(frame, held=F.col("h"), depth=depth, chunk_bytes=9, broadcast_runs=0).collect()}
+    assert all(got[k].score == pytest.approx(shuffled[k].score, rel=1e-12) and got[k].base_score == pytest.approx(shuffled[k].base_score) for k in got)
     assert got[9].score == pytest.approx(total / math.log(10), rel=1e-9)
     assert got[9].bits_per_byte == pytest.approx(-total / math.log(2) / (len(other) + 1))
 
