@@ -10,13 +10,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from .robust import median
+from .robust import quantiles
 
 
 def interval(rows: DataFrame, k: str, n: str, z: float = 1.96, *, clip: bool = True) -> DataFrame:
     return rows.withColumns({"ci_lo": C.r6(C.wilson_low(F.col(k), F.col(n), z, clip=clip)), "ci_hi": C.r6(C.wilson_high(F.col(k), F.col(n), z, clip=clip))})
 
 
+def by_keys(one: DataFrame, two: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of two summaries with one row for each key side by side; null keys meet."""
+    other = two.withColumnsRenamed({k: f"other_{k}" for k in keys})
+    return one.join(other, reduce(lambda a, b: a & b, (one[k].eqNullSafe(other[f"other_{k}"]) for k in keys)), "left").drop(*(f"other_{k}" for k in keys))
+
+
 def recovery_aggregate(trials: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Eligible trials, those recovered, their share and its Wilson interval."""
     rows = trials.where("status = 'eligible'").groupBy(*keys).agg(F.count("*").alias("injected"), F.count_if("recovered").alias("recovered"))
@@ -39,11 +45,48 @@ def common_ids(trials: DataFrame, method: str = "method_no", trial: str = "trial
     return seen.join(F.broadcast(methods), F.col("n") == F.col("methods")).select(trial)
 
 
+def id_sets(trials: DataFrame, methods: DataFrame, method: str = "method_no", trial: str = "trial_id") -> DataFrame:
+    """Each trial once, with the number of methods it is eligible with and ``kind``: in all of ``methods`` (intersection), in some
+    (union only) or in none (difference: excluded everywhere).
+
+    Defined results: rows with a null trial or method do not count; without methods every trial is in none."""
+    all_ = methods.agg(F.countDistinct(method).alias("methods"))
+    seen = trials.where(F.col(trial).isNotNull()).groupBy(trial).agg(F.countDistinct(F.when(F.col("status") == "eligible", F.col(method))).alias("n"))
+    kind = F.when(F.col("n") == 0, "none").when(F.col("n") == F.col("methods"), "all").otherwise("some")
+    return seen.crossJoin(F.broadcast(all_)).select(trial, F.col("n").alias("eligible_methods"), kind.alias("kind"))
+
+
+def join_results(left: DataFrame, right: DataFrame, on: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Two result sets by their exact keys: keys, each value of both sides (``left_``, ``right_``) and where the key was found.
+
+    Defined results: a null in a key meets a null; a key that one side repeats gives a row for each; values of a side without
+    the key are null."""
+    side = lambda d, p: d.select(*(F.col(k).alias(f"{p}_key_{k}") for k in on), *(F.col(v).alias(f"{p}_{v}") for v in values), F.lit(True).alias(f"{p}_there"))
+    same = reduce(lambda x, y: x & y, (F.col(f"left_key_{k}").eqNullSafe(F.col(f"right_key_{k}")) for k in on))
+    met = side(left, "left").join(side(right, "right"), same, "full")
+    where = F.when(F.col("left_there") & F.col("right_there"), "both").when(F.col("left_there"), "left").otherwise("right")
+    key = lambda k: F.when(F.col("left_there"), F.col(f"left_key_{k}")).otherwise(F.col(f"right_key_{k}")).alias(k)
+    return met.select(*(key(k) for k in on), *(f"{p}_{v}" for v in values for p in ("left", "right")), where.alias("found"))
+
+
+def labelled(rows: DataFrame, labels: DataFrame, name: str = "method") -> DataFrame:
+    """``rows`` with ``label`` and the canonical name for the aliases in ``labels`` (alias, canonical, label).  Aliases match without regard
+    to case and to blanks, hyphens and underscores; a name without an alias keeps itself as its canonical name and label.
+
+    Defined results: a null name stays null; of an alias that repeats the least (canonical, label) counts; columns canonical and
+    label of ``rows`` give way."""
+    plain = lambda c: F.regexp_replace(F.lower(c), "[ _-]+", "")
+    known = labels.select(plain("alias").alias("alias_key"), F.struct("canonical", "label").alias("to")).groupBy("alias_key").agg(F.min("to").alias("to"))
+    lean = rows.drop(*(c for c in rows.columns if c.lower() in ("canonical", "label")))
+    met = lean.join(known, plain(lean[name]) == F.col("alias_key"), "left")
+    return met.select(*lean.columns, F.coalesce("to.canonical", name).alias("canonical"), F.coalesce("to.label", name).alias("label"))
+
+
 def common_denominator(trials: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Recovery over the trials that all methods share, with the unclipped radial RMS of what was recovered."""
-    rows = trials.join(common_ids(trials), "trial_id", "left_semi").groupBy(*keys).agg(
-        F.count("*").alias("n"), F.count_if("recovered").alias("recovered"), F.sqrt(F.avg(F.when(F.col("recovered"), C.square(F.col("nearest_px"))))).alias("rms"), median("runtime_s").alias("runtime_median_s")
-    )
+    shared = trials.join(common_ids(trials), "trial_id", "left_semi")
+    rows = shared.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if("recovered").alias("recovered"), F.sqrt(F.avg(F.when(F.col("recovered"), C.square(F.col("nearest_px"))))).alias("rms"))
+    rows = by_keys(rows, quantiles(shared, keys, {"runtime_median_s": ("runtime_s", 0.5)}), keys)
     out = rows.withColumns({"recovery": C.r6(F.col("recovered") / F.col("n")), "radial_rms_px": C.r6(F.col("rms")), "runtime_median_s": C.r6(F.col("runtime_median_s"))}).drop("rms")
     return interval(out, "recovered", "n")
 
@@ -101,7 +144,7 @@ def paired_bootstrap(trials: DataFrame, a: int, b: int, keys: Sequence[str], rep
 
 def method_medians(runs: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Medians of each method within a tier; blanks do not count."""
-    return runs.groupBy(*keys).agg(F.count("*").alias("n"), *(median(v).alias(f"{v}_median") for v in values))
+    return by_keys(runs.groupBy(*keys).agg(F.count("*").alias("n")), quantiles(runs, keys, {f"{v}_median": (v, 0.5) for v in values}), keys)
 
 
 def evidence_matrix(fields: DataFrame, methods: DataFrame, runs: DataFrame, status: Column) -> DataFrame:

@@ -105,7 +105,7 @@ def radius_scan(dets: DataFrame, refs: DataFrame, radii: Sequence[float]) -> Dat
 def sky_match(a: DataFrame, b: DataFrame, *, radius_arcsec: float) -> DataFrame:
     """Nearest row of ``b`` for each row of ``a`` (ra, dec in degrees) in a plane that is flat around b's median
     declination; several rows of ``a`` may share one."""
-    scale = b.agg(F.cos(F.radians(robust.median("dec"))).alias("scale"))
+    scale = robust.quantiles(b, [], {"mid": ("dec", 0.5)}).select(F.cos(F.radians("mid")).alias("scale"))
     flat = lambda d: d.crossJoin(F.broadcast(scale)).withColumns({"x": F.col("ra") * F.col("scale") * 3600.0, "y": F.col("dec") * 3600.0}).drop("ra", "dec", "scale")
     near = S.nearest(flat(a), flat(b), radius_arcsec, left_id="det_id", right_id="ref_id", keys=())
     return near.withColumn("sep_arcsec", F.sqrt("d2"))

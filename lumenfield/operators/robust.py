@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import square
@@ -17,24 +18,65 @@ def median(c: str | Column) -> Column:
     return F.percentile(c, F.lit(0.5))
 
 
-def with_center(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """``rows`` with ``mid``, the median of ``value`` in each group, and ``mad``, its scaled median absolute deviation."""
+def quantiles(rows: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """Keys, and for each name in ``wanted`` the exact quantile (column, share), for a few keys that hold most rows each.
+
+    ``percentile`` would gather all distinct values of a key in one task.  Here values become (key, value, count) rows, which are
+    cut into ranges of key and value; the sums of the ranges tell where each begins, running counts within a range place its
+    values, and only values next to a wanted place travel on.
+
+    Defined results: nulls do not count, NaN is above all numbers; a quantile between two values is blended linearly; a
+    column without values gives null; null keys are a group; no rows give no groups, but for no keys one row of nulls."""
+    columns = list(dict.fromkeys(c for c, _ in wanted.values()))
+    key = F.struct(F.lit(0).alias("all"), *(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)))
+    each = F.posexplode(F.array(*(F.col(c).cast("double") for c in columns))).alias("which", "value")
+    tally = rows.select(key.alias("key"), each).groupBy("key", "which", "value").agg(F.count("*").alias("n"))
+    ranged = settle(tally.repartitionByRange("key", "which", "value").withColumn("part", F.spark_partition_id()))
+    known = ranged.where("value is not null")
+    sums = known.groupBy("key", "which", "part").agg(F.sum("n").alias("s"))
+    every = W.partitionBy("key", "which")
+    begins = sums.select("key", "which", "part", (F.sum("s").over(every.orderBy("part")) - F.col("s")).alias("begin"), F.sum("s").over(every).alias("total"))
+    running = F.sum("n").over(W.partitionBy("key", "which", "part").orderBy("value"))
+    placed = known.withColumn("end", running).join(begins, ["key", "which", "part"]).withColumn("end", F.col("begin") + F.col("end"))
+    at = {name: (columns.index(c), share * (F.col("total") - 1)) for name, (c, share) in wanted.items()}
+    held = lambda place: (place < F.col("end")) & (place >= F.col("end") - F.col("n"))
+    sides = {}
+    for i, (which, place) in enumerate(at.values()):
+        sides[f"low_{i}"] = F.when((F.col("which") == which) & held(F.floor(place)), F.col("value"))
+        sides[f"high_{i}"] = F.when((F.col("which") == which) & held(F.ceil(place)), F.col("value"))
+        sides[f"share_{i}"] = F.when(F.col("which") == which, place - F.floor(place))
+    met = placed.select("key", *(c.alias(n) for n, c in sides.items())).where(" or ".join(f"low_{i} is not null or high_{i} is not null" for i in range(len(at))))
+    found = met.groupBy("key").agg(*(F.max(n).alias(n) for n in sides))
+    blend = lambda i: F.when(F.col(f"low_{i}") == F.col(f"high_{i}"), F.col(f"low_{i}")).otherwise(F.col(f"low_{i}") * (1 - F.col(f"share_{i}")) + F.col(f"high_{i}") * F.col(f"share_{i}"))
+    named = found.select(F.col("key").alias("found"), *(blend(i).alias(f"q_{i}") for i in range(len(at))))
+    groups = ranged.select("key").distinct() if keys else rows.sparkSession.range(1).select(key.alias("key"))
+    out = groups.join(named, F.col("key") == F.col("found"), "left")
+    return out.select(*(F.col(f"key.k{i}").alias(k) for i, k in enumerate(keys)), *(F.col(f"q_{i}").alias(n) for i, n in enumerate(at)))
+
+
+def with_center(rows: DataFrame, keys: Sequence[str], value: str, *, few: bool = False) -> DataFrame:
+    """``rows`` with ``mid``, the median of ``value`` in each group, and ``mad``, its scaled median absolute deviation; with
+    ``few`` keys medians come from ``quantiles``."""
+    if few:
+        mid = quantiles(rows, keys, {"mid": (value, 0.5)})
+        off = quantiles(rows.join(mid, list(keys)).withColumn("off", F.abs(F.col(value) - F.col("mid"))), keys, {"mad": ("off", 0.5)})
+        return rows.join(mid, list(keys)).join(off.withColumn("mad", MAD * F.col("mad")), list(keys))
     mid = rows.groupBy(*keys).agg(median(value).alias("mid"))
     dev = rows.join(mid, list(keys)).groupBy(*keys).agg(F.first("mid").alias("mid"), (MAD * median(F.abs(F.col(value) - F.col("mid")))).alias("mad"))
     return rows.join(dev, list(keys))
 
 
-def clipped(rows: DataFrame, keys: Sequence[str], value: str, floor: float, *, one_sided: bool = False) -> DataFrame:
+def clipped(rows: DataFrame, keys: Sequence[str], value: str, floor: float, *, one_sided: bool = False, few: bool = False) -> DataFrame:
     """Rows whose ``value`` lies within max(3 mad, floor) of the median; one-sided: not above that."""
     d = F.col(value) - F.col("mid")
-    return with_center(rows, keys, value).where((d if one_sided else F.abs(d)) <= F.greatest(3.0 * F.col("mad"), F.lit(floor))).drop("mid", "mad")
+    return with_center(rows, keys, value, few=few).where((d if one_sided else F.abs(d)) <= F.greatest(3.0 * F.col("mad"), F.lit(floor))).drop("mid", "mad")
 
 
-def robust_rms(rows: DataFrame, keys: Sequence[str], value: str, floor: float = 1e-5, *, least: int = 5, name: str = "rms") -> DataFrame:
+def robust_rms(rows: DataFrame, keys: Sequence[str], value: str, floor: float = 1e-5, *, least: int = 5, name: str = "rms", few: bool = False) -> DataFrame:
     """Keys, ``name`` (null below ``least`` rows before or after clipping) and the number of inliers."""
     counted = rows.where(F.col(value).isNotNull() & ~F.isnan(value))
     all_ = counted.groupBy(*keys).agg(F.count("*").alias("n_all"))
-    kept = clipped(counted, keys, value, floor).groupBy(*keys).agg(F.count("*").alias("inliers"), F.stddev_pop(value).alias("dev"))
+    kept = clipped(counted, keys, value, floor, few=few).groupBy(*keys).agg(F.count("*").alias("inliers"), F.stddev_pop(value).alias("dev"))
     return all_.join(kept, list(keys)).select(*keys, F.when((F.col("n_all") >= least) & (F.col("inliers") >= least), F.col("dev")).alias(name), "inliers")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .robust import quantiles
 
 
 def crop_catalogue(catalogue: DataFrame, x0: float, y0: float, width: float, height: float) -> DataFrame:
@@ -43,9 +44,14 @@ def quality_refs(refs: DataFrame) -> DataFrame:
     return with_subsets(refs).where("quality").drop("inside", "measured", "quality", "calibration")
 
 
+def phat_flag(err: str, snr: str, sharp: str, crowd: str, flag: str) -> Column:
+    """Whether the columns of a filter pass the cuts; null where one is null and none fails."""
+    return (F.col(err) <= 0.10) & (F.col(snr) >= 10) & (F.abs(F.col(sharp)) <= 0.30) & (F.col(crowd) <= 1) & (F.col(flag) <= 2)
+
+
 def phat_quality(rows: DataFrame, *, err: str = "mag_err", snr: str = "snr", sharp: str = "sharp", crowd: str = "crowd", flag: str = "flag") -> DataFrame:
-    """The same cuts for every filter of a survey: name its columns."""
-    return rows.where((F.col(err) <= 0.10) & (F.col(snr) >= 10) & (F.abs(F.col(sharp)) <= 0.30) & (F.col(crowd) <= 1) & (F.col(flag) <= 2))
+    """The same cuts for every filter of a survey: name its columns.  Rows with a null among them go."""
+    return rows.where(phat_flag(err, snr, sharp, crowd, flag))
 
 
 def dolphot_quality(rows: DataFrame) -> DataFrame:
@@ -72,8 +78,10 @@ def admit_exposures(exposures: DataFrame, wanted: str, *, least: int, keys: Sequ
 
 
 def representative(rows: DataFrame, keys: Sequence[str], row_id: str) -> DataFrame:
-    """The row of each group that is closest to the median of x and of y."""
-    middle = rows.groupBy(*keys).agg(F.percentile("x", F.lit(0.5)).alias("mx"), F.percentile("y", F.lit(0.5)).alias("my"))
+    """The row of each group that is closest to the median of x and of y.
+
+    Defined results: rows with a null key go; ties go to the least id."""
+    middle = quantiles(rows, keys, {"mx": ("x", 0.5), "my": ("y", 0.5)})
     order = W.partitionBy(*keys).orderBy(C.square(F.col("x") - F.col("mx")) + C.square(F.col("y") - F.col("my")), row_id)
     return rows.join(middle, list(keys)).withColumn("place", F.row_number().over(order)).where("place = 1").drop("place", "mx", "my")
 

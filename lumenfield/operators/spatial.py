@@ -80,6 +80,19 @@ def match_one_to_one(dets: DataFrame, refs: DataFrame, radius: float = 2.0, *, d
     return _first(proposals, [*keys, *within, ref_id], "d2", det_id)
 
 
+def match_masks(dets: DataFrame, refs: DataFrame, radius: float = 2.0, *, det_id: str = "det_id", ref_id: str = "ref_id", keys: Sequence[str] = FIELD) -> DataFrame:
+    """Every row of both sides of a one-to-one match: keys, side ("detection" or "reference"), id and whether it is matched.
+
+    Defined results: repeated rows of one id share their flag and stay apart; rows with a null id are never matched."""
+    pairs = match_one_to_one(dets.select(*keys, det_id, "x", "y"), refs.select(*keys, ref_id, "x", "y"), radius, det_id=det_id, ref_id=ref_id, keys=keys)
+    sides = []
+    for rows, name, side in ((dets, det_id, "detection"), (refs, ref_id, "reference")):
+        hit = pairs.select(*keys, F.col(name).alias("id"), F.lit(True).alias("hit")).where("id is not null").distinct()
+        marked = rows.select(*keys, F.col(name).alias("id")).join(hit, [*keys, "id"], "left")
+        sides.append(marked.select(*keys, F.lit(side).alias("side"), "id", F.coalesce("hit", F.lit(False)).alias("matched")))
+    return sides[0].unionByName(sides[1])
+
+
 def neighbour_counts(points: DataFrame, others: DataFrame, radii: dict[str, float], *, point_id: str, other_id: str | None = None, keys: Sequence[str] = FIELD) -> DataFrame:
     """``points`` with one count for each name in ``radii``.  With ``other_id``, rows of equal id do not count."""
     most = max(radii.values())

@@ -104,6 +104,41 @@ def common_trials(t: Tables) -> DataFrame:
     return X.common_ids(t.trials)
 
 
+@query("trials", sql="""
+WITH m AS (SELECT count(DISTINCT method_no) AS m FROM trials), s AS (SELECT trial_id, count(DISTINCT method_no) FILTER (WHERE status = 'eligible') AS n FROM trials GROUP BY ALL)
+SELECT trial_id, n AS eligible_methods, CASE WHEN n = 0 THEN 'none' WHEN n = m THEN 'all' ELSE 'some' END AS kind FROM s CROSS JOIN m""")
+def eligible_id_sets(t: Tables) -> DataFrame:
+    """Intersection, union and difference of the methods' eligible trials."""
+    return X.id_sets(t.trials, t.trials.select("method_no").distinct())
+
+
+@query("trials", "method_runs", sql="""
+WITH a AS (SELECT trial_id % 1000 AS field_no, method_no, count(*) AS n, sum(CASE WHEN recovered THEN 1 ELSE 0 END)::bigint AS k FROM trials GROUP BY ALL),
+b AS (SELECT field_no, method_no, count(*) AS n, count(astrometric_rms_mas) AS k FROM method_runs GROUP BY ALL)
+SELECT field_no, method_no, a.n AS left_n, b.n AS right_n, a.k AS left_k, b.k AS right_k, CASE WHEN a.n IS NOT NULL AND b.n IS NOT NULL THEN 'both' WHEN a.n IS NOT NULL THEN 'left' ELSE 'right' END AS found FROM a FULL JOIN b USING (field_no, method_no)""")
+def result_set_join(t: Tables) -> DataFrame:
+    """Two result sets joined by (field, method)."""
+    stars = t.trials.groupBy(F.expr("trial_id % 1000").alias("field_no"), "method_no").agg(F.count("*").alias("n"), F.sum(F.when(F.col("recovered"), 1).otherwise(0)).alias("k"))
+    fields = t.method_runs.groupBy("field_no", "method_no").agg(F.count("*").alias("n"), F.count("astrometric_rms_mas").alias("k"))
+    return X.join_results(stars, fields, ["field_no", "method_no"], ["n", "k"])
+
+
+_ALIASES = "SELECT n_name AS alias, 'method-' || n_regionkey AS canonical, 'Method ' || r_name AS label FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey < 20"
+
+
+@query(sql=f"""
+WITH l AS (SELECT regexp_replace(lower(alias), '[ _-]+', '', 'g') AS k, min({{'canonical': canonical, 'label': label}}) AS t FROM ({_ALIASES}) a GROUP BY ALL),
+r AS (SELECT CASE WHEN s_suppkey % 2 = 0 THEN lower(n_name) ELSE replace(n_name, ' ', '_') END AS method FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+SELECT method, coalesce(t.canonical, method) AS canonical, coalesce(t.label, method) AS label, count(*) AS n FROM r LEFT JOIN l ON regexp_replace(lower(method), '[ _-]+', '', 'g') = k GROUP BY ALL""")
+def method_labels(t: Tables) -> DataFrame:
+    """Spellings of method names brought to canonical names and labels by a dimension table."""
+    n, r = t.nation, t.region
+    labels = n.where("n_nationkey < 20").join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_name").alias("alias"), F.concat(F.lit("method-"), "n_regionkey").alias("canonical"), F.concat(F.lit("Method "), "r_name").alias("label"))
+    spelt = F.when(F.expr("s_suppkey % 2 = 0"), F.lower("n_name")).otherwise(F.replace("n_name", F.lit(" "), F.lit("_")))
+    rows = t.supplier.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(spelt.alias("method"))
+    return X.labelled(rows, labels).groupBy("method", "canonical", "label").agg(F.count("*").alias("n"))
+
+
 @query("trials", sql=f"""
 WITH ids AS (SELECT trial_id FROM trials WHERE status = 'eligible' GROUP BY trial_id HAVING count(DISTINCT method_no) = 5),
 c AS (SELECT density_band, input_mag, method_no, count(*) AS n, count(*) FILTER (WHERE recovered) AS k, sqrt(avg(nearest_px * nearest_px) FILTER (WHERE recovered)) AS rms, median(runtime_s) AS rt FROM trials JOIN ids USING (trial_id) GROUP BY ALL)
@@ -141,8 +176,9 @@ def paired_bootstrap(t: Tables) -> DataFrame:
 @query("trials", sql="""
 SELECT density_band, method_no, count(*) AS n, round(median(runtime_s), 6) AS p50, round(quantile_cont(runtime_s, 0.025), 6) AS p025, round(quantile_cont(runtime_s, 0.975), 6) AS p975 FROM trials GROUP BY ALL""")
 def runtime_percentiles(t: Tables) -> DataFrame:
-    p = F.percentile("runtime_s", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
-    return t.trials.groupBy("density_band", "method_no").agg(F.count("*").alias("n"), p.alias("p")).select("density_band", "method_no", "n", C.r6(F.col("p")[1]).alias("p50"), C.r6(F.col("p")[0]).alias("p025"), C.r6(F.col("p")[2]).alias("p975"))
+    keys, shares = ["density_band", "method_no"], {"p50": 0.5, "p025": 0.025, "p975": 0.975}
+    p = robust.quantiles(t.trials, keys, {n: ("runtime_s", s) for n, s in shares.items()})
+    return X.by_keys(t.trials.groupBy(*keys).agg(F.count("*").alias("n")), p, keys).select(*keys, "n", *(C.r6(F.col(n)).alias(n) for n in shares))
 
 
 @query("trials", sql="""
@@ -151,7 +187,8 @@ s AS (SELECT workers, median(wall_s) AS wall, min(wall_s) AS lo, max(wall_s) AS
 SELECT workers, round(wall, 6) AS wall_s_median, round(lo, 6) AS wall_s_min, round(hi, 6) AS wall_s_max, round(base / wall, 6) AS speedup, round(base / wall / workers, 6) AS efficiency, totals AS candidate_totals FROM s CROSS JOIN one""")
 def scaling_summary(t: Tables) -> DataFrame:
     runs = t.trials.select(F.pow(F.lit(2.0), F.col("method_no")).cast("bigint").alias("workers"), (F.col("runtime_s") / F.pow(F.lit(2.0), F.col("method_no")) + 1).alias("wall_s"), F.expr("trial_id % 3").alias("total"))
-    s = runs.groupBy("workers").agg(robust.median("wall_s").alias("wall"), F.min("wall_s").alias("lo"), F.max("wall_s").alias("hi"), F.array_join(F.array_sort(F.collect_set("total")).cast("array<string>"), ";").alias("candidate_totals"))
+    s = runs.groupBy("workers").agg(F.min("wall_s").alias("lo"), F.max("wall_s").alias("hi"), F.array_join(F.array_sort(F.collect_set("total")).cast("array<string>"), ";").alias("candidate_totals"))
+    s = X.by_keys(s, robust.quantiles(runs, ["workers"], {"wall": ("wall_s", 0.5)}), ["workers"])
     one = s.where("workers = 1").select(F.col("wall").alias("base"))
     speed = F.col("base") / F.col("wall")
     return s.crossJoin(F.broadcast(one)).select("workers", C.r6(F.col("wall")).alias("wall_s_median"), C.r6(F.col("lo")).alias("wall_s_min"), C.r6(F.col("hi")).alias("wall_s_max"), C.r6(speed).alias("speedup"), C.r6(speed / F.col("workers")).alias("efficiency"), "candidate_totals")
@@ -237,7 +274,7 @@ def policy_routing(t: Tables) -> DataFrame:
     policy = F.explode(F.array(F.lit("photometry_only"), F.lit("joint_only"), F.lit("density_adaptive"))).alias("policy")
     method = F.when(F.col("policy") == "photometry_only", 2).when(F.col("policy") == "joint_only", 4).when(F.col("density_band") == "high", 4).otherwise(2)
     counts = X.recovery_aggregate(t.trials, ["method_no", "density_band"]).select("method_no", "density_band", "injected", "recovered")
-    times = t.trials.groupBy("method_no").agg(robust.median("runtime_s").alias("rt"))
+    times = robust.quantiles(t.trials, ["method_no"], {"rt": ("runtime_s", 0.5)})
     table = t.trials.select("density_band").distinct().select("density_band", policy).withColumn("method_no", method)
     s = table.join(counts, ["density_band", "method_no"]).join(times, "method_no").groupBy("policy").agg(F.sum("injected").alias("injected"), F.sum("recovered").alias("recovered"), (F.sum(F.col("injected") * F.col("rt")) / F.sum("injected")).alias("rt"))
     return X.interval(s.select("policy", "injected", "recovered", C.r6(F.col("recovered") / F.col("injected")).alias("recovery"), C.r6(F.col("rt")).alias("runtime_weighted")), "recovered", "injected")
@@ -247,8 +284,8 @@ def policy_routing(t: Tables) -> DataFrame:
 SELECT 'artificial_stars' AS tier, method_no, count(*) AS n, cast(NULL AS double) AS recovery_median, round(median(nearest_px), 6) AS nearest_median FROM trials GROUP BY method_no
 UNION ALL SELECT 'fields', method_no, count(*), round(median(recovery), 6), NULL FROM method_runs GROUP BY method_no""")
 def evidence_union(t: Tables) -> DataFrame:
-    stars = t.trials.groupBy("method_no").agg(F.count("*").alias("n"), C.r6(robust.median("nearest_px")).alias("nearest_median"))
-    fields = t.method_runs.groupBy("method_no").agg(F.count("*").alias("n"), C.r6(robust.median("recovery")).alias("recovery_median"))
+    stars = X.method_medians(t.trials, ["method_no"], ["nearest_px"]).select("method_no", "n", C.r6(F.col("nearest_px_median")).alias("nearest_median"))
+    fields = X.method_medians(t.method_runs, ["method_no"], ["recovery"]).select("method_no", "n", C.r6(F.col("recovery_median")).alias("recovery_median"))
     return X.union_tiers({"artificial_stars": stars, "fields": fields}).select("tier", "method_no", "n", "recovery_median", "nearest_median")
 
 
@@ -278,8 +315,8 @@ def fake_star_summary(t: Tables) -> DataFrame:
     r = f.withColumn("recovered", F.col("type").isin(1, 2) & (sep <= 2))
     counts = X.interval(r.groupBy(*keys).agg(F.count("*").alias("injected"), F.count_if("recovered").alias("recovered")), "recovered", "injected").withColumn("recovery", C.r6(F.col("recovered") / F.col("injected")))
     good = r.where("recovered")
-    bias = good.groupBy(*keys).agg(robust.median("dm").alias("bias"))
-    rms = robust.robust_rms(good, keys, "dm", 1e-6, name="mag_rms")
+    bias = robust.quantiles(good, keys, {"bias": ("dm", 0.5)})
+    rms = robust.robust_rms(good, keys, "dm", 1e-6, name="mag_rms", few=True)
     return counts.join(bias, keys).join(rms, keys).select(*keys, "injected", "recovered", "recovery", "ci_lo", "ci_hi", (C.r6(F.col("bias")) + 0.0).alias("mag_bias_median"), C.r6(F.col("mag_rms")).alias("mag_rms"), "inliers")
 
 

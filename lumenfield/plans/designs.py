@@ -159,6 +159,15 @@ def affine_fit(t: Tables) -> DataFrame:
     return f.select("field_id", "n", six(F.col("bx"), "bx"), six(F.col("cx"), "cx"), six(F.col("by"), "by"), six(F.col("cy"), "cy"), six(F.col("ax") - F.col("ox"), "dx"), six(F.col("ay") - F.col("oy"), "dy"))
 
 
+@query("refs", "dets", sql=f"WITH {_QUALITY}, {_MATCHED}, base AS (SELECT field_id, x, y, rx, ry FROM j WHERE NOT test), {_affine_sql('f0', 'base')} SELECT field_id, n, round(bx, 6) AS bx, round(cx, 6) + 0.0 AS cx, round(by_, 6) + 0.0 AS by, round(cy, 6) AS cy, round(mx - ox, 6) + 0.0 AS dx, round(my - oy, 6) + 0.0 AS dy FROM f0")
+def affine_plain(t: Tables) -> DataFrame:
+    """The affine map of all training matches without clipping; fewer than three keep their places."""
+    m = recovery.matched_catalogue(t.dets, t.refs).where("not test")
+    f = robust.fit_affine(m.select("field_id", "x", "y", "rx", "ry"), ["field_id"], rounds=0, least=3)
+    six = lambda c, n: (C.r6(c) + 0.0).alias(n)
+    return f.select("field_id", "n", six(F.col("bx"), "bx"), six(F.col("cx"), "cx"), six(F.col("by"), "by"), six(F.col("cy"), "cy"), six(F.col("ax") - F.col("ox"), "dx"), six(F.col("ay") - F.col("oy"), "dy"))
+
+
 _METRICS = f"""{_FIT}, tst AS (SELECT field_id, x, y, rx, ry, mag, inst FROM j WHERE test), {_clip_sql('t0', 'f3', 'tst')},
 pos AS (SELECT field_id, sqrt(avg(res * res) / 2.0) AS rms FROM t0 GROUP BY field_id), z AS (SELECT field_id, median(mag - inst) AS zp FROM j WHERE NOT test GROUP BY field_id), e AS (SELECT field_id, inst + zp - mag AS v FROM tst JOIN z USING (field_id)),
 em AS (SELECT field_id, median(v) AS mid FROM e GROUP BY field_id), ed AS (SELECT field_id, any_value(mid) AS mid, 1.4826 * median(abs(v - mid)) AS mad FROM e JOIN em USING (field_id) GROUP BY field_id),

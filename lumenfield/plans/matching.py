@@ -36,6 +36,14 @@ def match_one_to_one(t: Tables) -> DataFrame:
     return m.select("field_id", "det_id", "ref_id", C.r6(F.sqrt("d2")).alias("dist"))
 
 
+@query("refs", "dets", sql=f"""
+WITH {_near('dets', 'refs', '2')}, {_MATCH} SELECT d.field_id, 'detection' AS side, d.det_id AS id, m.det_id IS NOT NULL AS matched FROM dets d LEFT JOIN m USING (field_id, det_id)
+UNION ALL SELECT r.field_id, 'reference', r.ref_id, m.ref_id IS NOT NULL FROM refs r LEFT JOIN m USING (field_id, ref_id)""")
+def match_masks(t: Tables) -> DataFrame:
+    """Both sides of the one-to-one match with a flag for each row."""
+    return S.match_masks(t.dets, t.refs)
+
+
 @query("refs", "dets", sql="""
 SELECT a.field_id, a.ref_id, round(sqrt(min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))), 6) AS nearest_px FROM refs a JOIN dets b ON a.field_id = b.field_id GROUP BY ALL""")
 def nearest_distance(t: Tables) -> DataFrame:

@@ -77,6 +77,21 @@ def quality_phat(t: Tables) -> DataFrame:
     return scans.phat_quality(named).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
+@query(sql="""
+WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_partkey % 200) / 1e3 AS err1, (l_suppkey * 7 % 300) / 1e1 AS snr1, (l_orderkey % 900 - 450) / 1e3 AS sharp1, (l_partkey % 2000) / 1e3 AS crowd1, l_linenumber % 4 AS flag1,
+  (l_partkey * 3 % 200) / 1e3 AS err2, (l_suppkey * 11 % 300) / 1e1 AS snr2, (l_orderkey * 7 % 900 - 450) / 1e3 AS sharp2, (l_partkey * 7 % 2000) / 1e3 AS crowd2, (l_linenumber + l_partkey) % 4 AS flag2 FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(err1 <= 0.10 AND snr1 >= 10 AND abs(sharp1) <= 0.30 AND crowd1 <= 1 AND flag1 <= 2, false) AS first_filter,
+  coalesce(err2 <= 0.10 AND snr2 >= 10 AND abs(sharp2) <= 0.30 AND crowd2 <= 1 AND flag2 <= 2, false) AS second_filter FROM f""")
+def quality_filters(t: Tables) -> DataFrame:
+    """The survey cuts on the first and on the second filter of each source, as flags."""
+    named = t.lineitem.selectExpr(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "(l_partkey % 200) / 1e3 as err1", "(l_suppkey * 7 % 300) / 1e1 as snr1", "(l_orderkey % 900 - 450) / 1e3 as sharp1", "(l_partkey % 2000) / 1e3 as crowd1", "l_linenumber % 4 as flag1",
+        "(l_partkey * 3 % 200) / 1e3 as err2", "(l_suppkey * 11 % 300) / 1e1 as snr2", "(l_orderkey * 7 % 900 - 450) / 1e3 as sharp2", "(l_partkey * 7 % 2000) / 1e3 as crowd2", "(l_linenumber + l_partkey) % 4 as flag2",
+    )
+    flag = lambda k: F.coalesce(scans.phat_flag(f"err{k}", f"snr{k}", f"sharp{k}", f"crowd{k}", f"flag{k}"), F.lit(False))
+    return named.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", flag(1).alias("first_filter"), flag(2).alias("second_filter"))
+
+
 @query(sql="""
 SELECT rule, count(*) AS n FROM (
   SELECT 'science' AS rule, * FROM lineitem WHERE l_linenumber % 5 <= 2 AND (l_suppkey * 7 % 300) / 1e1 >= 5 AND (l_partkey % 400) / 1e2 <= 2.5 UNION ALL
