@@ -577,13 +577,26 @@ def test_toxicity_against_a_plain_twin():
     pick = lambda: " ".join(r.choice(("ÄRGER", "да", "нет", "漢字", "kar", "Mist", "x")) for _ in range(4))
     texts = [pick() + (" schön" if k % 3 else " grübel\tЗло") for k in range(60)]
     toxic = np.array([int(k % 3 == 0 and k % 7 != 0) for k in range(60)])
-    weights, intercept = toxicity.fit(texts, toxic, steps=4000)
+    text, bucket = toxicity.present(*toxicity.code_points(texts))
+    weights, intercept = toxicity.fit(bucket, np.searchsorted(text, np.arange(61)), toxic, steps=4000)
     unseen = [pick() + end for end in (" schön", " GRÜBEL злО", "") for _ in range(4)]
     text, bucket = toxicity.present(*toxicity.code_points(unseen))
     got = 1 / (1 + np.exp(-(np.bincount(text, weights[bucket].astype(float), len(unseen)) + intercept)))
     assert np.abs(got - plain_toxicity(texts, toxic, unseen)).max() < 0.01
 
 
+def test_toxicity_sample_is_bounded_in_characters(spark):
+    docs = frame(spark, [(i, "zzgrub " * 10 if i % 2 else "fine words here") for i in range(200)] + [(1000, "x" * 5000)])
+    labels = spark.createDataFrame([(i, i % 2) for i in [*range(200), 1000]], "doc_id bigint, toxic int")
+    bounds = {"doc_id": "doc_id", "text": "text", "label": "toxic", "sample_rows": 100}
+    whole = toxicity.sample(docs, labels, sample_chars=10**6, **bounds).collect()
+    some = toxicity.sample(docs, labels, sample_chars=2000, **bounds).collect()
+    assert len(whole) == 100 and 2000 - 70 <= sum(len(r["t"]) for r in some) <= 2000 and {r["key"] for r in some} <= {r["key"] for r in whole}
+    model = toxicity.train(docs, labels, sample_chars=2000)
+    assert all(r["predicted"] == r["doc_id"] % 2 for r in toxicity.scores(docs, model).collect() if r["doc_id"] < 200)
+    assert toxicity.train(docs, labels, sample_chars=0)[1] == 0.0
+
+
 def test_toxicity_of_repeated_ids(spark):
     rows = [(1, "bad zzgrub text")] * 500 + [(i, "zzgrub" if i % 2 else "fine words here") for i in range(2, 60)]
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, toxic int")
