@@ -111,11 +111,12 @@ class Presences:
         return out
 
 
-def fit(col: np.ndarray, at: np.ndarray, toxic: np.ndarray, *, steps: int = 300, penalty: float = 1.0, least_texts: int = LEAST_TEXTS, close: float = 1e-6) -> tuple[np.ndarray, float]:
+def fit(col: np.ndarray, at: np.ndarray, toxic: np.ndarray, *, steps: int = 60, penalty: float = 1.0, least_texts: int = LEAST_TEXTS, close: float = 1e-6) -> tuple[np.ndarray, float]:
     """A weight for each bucket, and the intercept, from the buckets of each text: those of ``col`` from one place in ``at`` to the next.
 
     Accelerated gradient steps whose length follows from the largest eigenvalue of the features, by power iteration, and is halved
-    wherever a step does not lower the loss as far as that length promises; they end when the gradient is below ``close``."""
+    wherever a step does not lower the loss as far as that length promises; they end after ``steps``, or when the gradient
+    is below ``close``.  On a validation fold of labelled rows 60 steps did as well as 150, which begin to overfit."""
     weights = np.zeros(1 << BITS, np.float32)
     n_bad, n = int(toxic.sum()), len(toxic)
     if not 0 < n_bad < n:
