@@ -54,34 +54,28 @@ def code_points(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(_lowered("".join(texts)).encode("utf-32-le", "surrogatepass"), np.uint32), offsets
 
 
-def buckets(codes: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bucket of each run of ``size`` characters, and which of them lie inside one text."""
-    n = len(codes) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, bool)
+def buckets(codes: np.ndarray, size: int) -> np.ndarray:
+    """The bucket of each run of ``size`` characters, those that cross into the next text included."""
+    n = max(0, len(codes) - size + 1)
     value = np.full(n, size, np.uint64)
     for k in range(size):
         value = value * np.uint64(0x9E3779B97F4A7C15) + codes[k : n + k]
     value ^= value >> np.uint64(29)
     value *= np.uint64(0xBF58476D1CE4E5B9)
-    inside = np.ones(n, bool)
-    cut = offsets[1:-1]
-    for k in range(1, size):  # runs that would cross into the next text
-        at = cut - k
-        inside[at[(at >= 0) & (at < n)]] = False
-    return (value >> np.uint64(64 - BITS)).astype(np.int64), inside
-
-
-def present(codes: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(text, bucket) pairs without repeats; of buckets with ``wanted`` only."""
-    pairs = []
-    for size in SIZES:
-        bucket, inside = buckets(codes, offsets, size)
-        at = np.flatnonzero(inside if wanted is None else inside & wanted[bucket])
-        text = np.searchsorted(offsets, at, "right") - 1
-        pairs.append(text << BITS | bucket[at])
-    both = np.unique(np.concatenate(pairs))
-    return both >> BITS, both & ((1 << BITS) - 1)
+    return (value >> np.uint64(64 - BITS)).astype(np.int32)
+
+
+def present(codes: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+    """The buckets of each text, without repeats.  Each run writes its number to its bucket's place; of runs that share a bucket
+    one finds its own number there again."""
+    every = [buckets(codes, size) for size in SIZES]
+    place = np.empty(1 << BITS, np.int32)
+    at = offsets.tolist()
+    for i, j in zip(at[:-1], at[1:], strict=True):
+        own = np.concatenate([b[i : max(i, j - size + 1)] for size, b in zip(SIZES, every, strict=True)])
+        number = np.arange(len(own), dtype=np.int32)
+        place[own] = number
+        yield own[place[own] == number]
 
 
 def _runs(sizes: Sequence[int]) -> Iterator[tuple[int, int]]:
@@ -175,11 +169,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _presences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, y, text) -> (key, y, the buckets of the text as 32-bit numbers in order)."""
+    """(key, y, text) -> (key, y, the buckets of the text as 32-bit numbers)."""
     for batch in batches:
         for i, j in _runs(np.diff(tokens.text_buffer(batch.column(2))[1])):
-            text, bucket = present(*code_points(batch.column(2).slice(i, j - i).to_pylist()))
-            ends = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=j - i))]) * 4
+            each = list(present(*code_points(batch.column(2).slice(i, j - i).to_pylist())))
+            ends, bucket = np.concatenate([[0], np.cumsum([len(x) for x in each])]) * 4, np.concatenate(each)
             lists = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(bucket.astype(np.uint32))])
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), lists.cast(pa.binary())], ["key", "y", "buckets"])
 
@@ -215,12 +209,11 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
 def _score(model):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, intercept = model.value
-        wanted = weights != 0
         for batch in batches:
             sizes = np.diff(tokens.text_buffer(batch.column(1))[1])
             for i, j in _runs(sizes):
-                text, bucket = present(*code_points(batch.column(1).slice(i, j - i).to_pylist()), wanted)
-                z = np.bincount(text, weights[bucket].astype(float), j - i) + intercept
+                texts = code_points(batch.column(1).slice(i, j - i).to_pylist())
+                z = np.array([weights[b].sum(dtype=float) for b in present(*texts)]) + intercept
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], ["doc_id", "score"])
 
     return score
