@@ -9,7 +9,7 @@ Those that pass the check of their kind (Luhn, octets, 8 to 15 digits) are score
 There are no labels for personal data, so the trees learn from evidence that is none of their features.  Positive rows are base
 spans and worn forms of them (without the plus sign, with other separators, with the at sign written out) in their own
 surroundings.  Negative rows are proposals that fail the check of their kind, are dates, or cut through or lie within a base
-span.  At most ``sample_rows`` rows are used, chosen by hash.  A fifth of them, by a hash of context, so that copies
+span.  All distinct ones are used.  A fifth of them, by a hash of context, so that copies
 stay together, is held back to calibrate: for each kind the lowest threshold with a precision of ``precision`` on the part
 held back selects, and a kind that reaches it nowhere adds nothing.
 
@@ -36,7 +36,6 @@ from .common import free_name, let, stash, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT = 24
-SAMPLE_ROWS = 20_000
 PRECISION = 0.95
 
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -285,12 +284,11 @@ class Judge:
     thresholds: dict[str, float]
 
 
-def learn(rows: DataFrame, *, sample_rows: int = SAMPLE_ROWS, precision: float = PRECISION, least: int = 20) -> Judge | None:
-    """Fit and calibrate on at most ``sample_rows`` rows; nothing if a class has fewer than ``least``."""
+def learn(rows: DataFrame, *, precision: float = PRECISION, least: int = 20) -> Judge | None:
+    """Fit and calibrate on all distinct rows; nothing if a class has fewer than ``least``."""
     content = ["kind", "match", "left", "right"]
-    picked = rows.select(*content, "label").distinct().orderBy(F.xxhash64(*content, "label"), *content).limit(sample_rows)
-    data, inputs = features(picked)
-    data = stash(data.withColumn("held", F.pmod(F.xxhash64("left", "right"), F.lit(5)) == 0).coalesce(2))
+    data, inputs = features(rows.select(*content, "label").distinct())
+    data = stash(data.withColumn("held", F.pmod(F.xxhash64("left", "right"), F.lit(5)) == 0))
     sizes = {(r["held"], r["label"]): r["count"] for r in data.groupBy("held", "label").count().collect()}
     if min(sizes.get((False, y), 0) for y in (0.0, 1.0)) < least:
         return None
@@ -313,12 +311,12 @@ def judged(free: DataFrame, judge: Judge) -> DataFrame:
     return scored.withColumn("score", vector_to_array("probability")[1]).where(F.col("score") >= bar).select(*free.columns, "score")
 
 
-def find(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS, precision: float = PRECISION) -> DataFrame:
+def find(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", precision: float = PRECISION) -> DataFrame:
     """Spans of each text that has any: rid and spans, an array of (rank of the kind, kind, start, end, base, score),
     sorted.  Of added spans that overlap the best one stays; none overlaps a base span."""
     found = stash(beside_base(candidates(docs, doc_id=doc_id, text=text)))
     free = found.where("not base and not meets").where(checked()).drop("meets", "same")
-    judge = learn(weak_labels(found), sample_rows=sample_rows, precision=precision)
+    judge = learn(weak_labels(found), precision=precision)
     spans = found.where("base").drop("meets", "same").withColumn("score", F.lit(1.0))
     if judge is not None:
         spans = spans.unionByName(apart(judged(free, judge)))

@@ -332,6 +332,13 @@ def test_pii_learns_and_redacts(spark, odd, none):
     assert pii.report(none).count() == pii.redact(none).count() == 0
 
 
+def test_pii_learns_from_all_proposals(spark, monkeypatch):
+    rows = spark.range(24_000).selectExpr("'phone' as kind", "concat('555-', id) as match", "concat(id, ' call ') as left", "'' as right", "cast(id % 2 as double) as label")
+    seen, features = [], pii.features
+    monkeypatch.setattr(pii, "features", lambda r: seen.append(r.count()) or features(r))
+    assert pii.learn(rows) is not None and seen == [24_000]
+
+
 def test_pii_proposals_overlap(spark):
     texts = ["555 123 4567 555 987 6543", "2024-05-01 555-123-4567", "4111.1111.1111.1111 555-123-4567", "10:0:0:1", "who (AT) mail (DOT) org", "x555-123-4567"]
     got = {}
