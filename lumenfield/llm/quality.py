@@ -1,9 +1,9 @@
 """Quality rules as a short-circuit cascade, in DataFrame expressions only.
 
-A rule is a predicate over named features of a text.  On a bounded sample (``sample_rows`` rows on average, drawn from
-the whole table) each rule is timed against an empty one, and rules are put in order greedily: next comes the rule that
-rejects most per second of the sample's rows that the rules before it let through, where features already at hand cost
-nothing.  The verdict is nested: each step works out the features that its rule is the first to need, and only
+A rule is a predicate over named features of a text.  Features are timed on a bounded number of rows (``sample_rows`` on
+average, drawn from the whole table), what each rule rejects is counted over the whole table, and rules are put in order
+greedily: next comes the rule that rejects most per second of the rows that the rules before it let through, where features
+already at hand cost nothing.  The verdict is nested: each step works out the features that its rule is the first to need, and only
 where no earlier rule has rejected.  The split into words is shared by all features that need it.  The order changes the
 work, and the rule that is named for a rejection, but never the verdict.
 
@@ -141,14 +141,14 @@ def first_failure(rules: Sequence[Rule], text: Column, known: Mapping[str, Colum
 REPEATS = 3
 
 
-def measure_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, *, text: str = "text", sample_rows: int = 2000, seed: int = 7) -> tuple[dict[str, float], list[dict[str, bool]]]:
-    """On about ``sample_rows`` rows: seconds of each feature and shared value, net of what any job costs; and for each row
-    of the sample which rules reject it."""
+def measure_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, *, text: str = "text", sample_rows: int = 2000, seed: int = 7) -> tuple[dict[str, float], list[dict[str, bool]], list[int]]:
+    """Seconds of each feature and shared value on about ``sample_rows`` rows, net of what any job costs; the sets of rules that
+    reject a row of ``docs`` together; and how many rows each set rejects."""
     names = [*dict.fromkeys(f for r in rules for f in r.features)]
     shared = [s for s in dict.fromkeys(FEATURES[n][0] for n in names) if s != "text"]
     total = docs.count()
     if not total:
-        return dict.fromkeys([*names, *shared], 1.0), []
+        return dict.fromkeys([*names, *shared], 1.0), [], []
     drawn = docs.select(text_or_empty(text).alias("t")).sample(fraction=min(1.0, sample_rows / total), seed=seed)
     sample = drawn.repartition(2).persist()  # the scan keeps its own tasks; only the sample moves
     try:
@@ -166,26 +166,28 @@ def measure_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, *, text: str =
         empty = spent.pop("")
         net = {k: max(v - empty, 1e-4) for k, v in spent.items()}
         cost = {n: max(net[n] - net.get(FEATURES[n][0], 0.0), 1e-4) for n in names} | {s: net[s] for s in shared}
-        verdicts = sample.select(*(_bind(r.features, t, {}, lambda v, r=r: _fails(r, v)).alias(r.name) for r in rules))
-        return cost, [row.asDict() for row in verdicts.collect()]  # a bounded sample of truth values
     finally:
         sample.unpersist()
+    fails = _bind(names, F.col("t"), {}, lambda v: F.struct(*(_fails(r, v).alias(r.name) for r in rules)))
+    sets = docs.select(text_or_empty(text).alias("t")).select(fails.alias("fails")).groupBy("fails").count().collect()  # a row for each set of rules
+    return cost, [row["fails"].asDict() for row in sets], [row["count"] for row in sets]
 
 
-def order_rules(rules: Sequence[Rule], cost: Mapping[str, float], verdicts: Sequence[Mapping[str, bool]]) -> list[RuleCost]:
-    """Greedily by rejections per second among the rows still there; equal ones by name."""
-    left, known, rows, out = list(rules), set(), list(verdicts), []
+def order_rules(rules: Sequence[Rule], cost: Mapping[str, float], verdicts: Sequence[Mapping[str, bool]], counts: Sequence[int] | None = None) -> list[RuleCost]:
+    """Greedily by rejections per second among the rows still there, of which each verdict stands for one or for its count;
+    equal ones by name."""
+    left, known, rows, out = list(rules), set(), list(zip(verdicts, counts or [1] * len(verdicts), strict=True)), []
     while left:
         ranked = []
         for r in left:
             new = {f for f in r.features} | {FEATURES[f][0] for f in r.features} - {"text"}
             seconds = sum(cost.get(x, 0.0) for x in new - known)
-            ranked.append(RuleCost(r, seconds, sum(v[r.name] for v in rows) / max(1, len(rows))))
+            ranked.append(RuleCost(r, seconds, sum(n for v, n in rows if v[r.name]) / max(1, sum(n for _, n in rows))))
         best = min(ranked, key=lambda c: (-c.rank, c.seconds, c.rule.name))
         out.append(best)
         left.remove(best.rule)
         known |= {f for f in best.rule.features} | {FEATURES[f][0] for f in best.rule.features}
-        rows = [v for v in rows if not v[best.rule.name]]
+        rows = [(v, n) for v, n in rows if not v[best.rule.name]]
     return out
 
 

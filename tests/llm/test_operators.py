@@ -82,6 +82,12 @@ def test_rule_order():
     assert abs(got[0].rejected - 0.3) < 1e-9 and abs(got[1].seconds - 4.1) < 1e-9 and abs(got[2].rejected - 10 / 50) < 1e-9
 
 
+def test_rejections_are_counted_over_all_rows(spark):
+    rows = [(i, prose(60, i) if i % 4 else "short") for i in range(400)]
+    _, verdicts, counts = quality.measure_rules(frame(spark, rows), sample_rows=5)
+    assert sum(counts) == 400 and sum(n for v, n in zip(verdicts, counts, strict=True) if v["too_short"]) == 100
+
+
 def test_quality_verdict_against_a_plain_one(spark):
     r = random.Random(8)
     pieces = (prose(60, 1), "!! !! !!", "# $ % #", "a b c d e f", "same line\nsame line\n", "x" * 90, prose(15, 2) + "\n", " ")
