@@ -10,6 +10,8 @@ Equal distances are settled by id, so results do not depend on the order of rows
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -28,9 +30,9 @@ def distance2(x: str | Column = "x", y: str | Column = "y", rx: str | Column = "
     return square(col(x) - col(rx)) + square(col(y) - col(ry))
 
 
-def pairs_within(left: DataFrame, right: DataFrame, radius: float, *, keys: Sequence[str] = FIELD) -> DataFrame:
+def pairs_within(left: DataFrame, right: DataFrame, radius: float, *, keys: Sequence[str] = FIELD, copy_left: bool = False) -> DataFrame:
     """All pairs at most ``radius`` apart: the columns of ``left``, those of ``right`` with x and y renamed to rx and
-    ry, and the squared distance d2.
+    ry, and the squared distance d2.  With ``copy_left`` the rows of ``left`` are those copied, for a left side of fewer rows.
 
     Defined results: a null or NaN coordinate or a null key pairs with nothing; repeated rows pair one by one; an empty side gives
     no rows; columns of ``left`` named rx, ry or d2 give way, and so do those of ``right`` that ``left`` or the result has."""
@@ -39,15 +41,35 @@ def pairs_within(left: DataFrame, right: DataFrame, radius: float, *, keys: Sequ
     b = right.drop(*(c for c in right.columns if c.lower() in taken - {"x", "y"})).withColumnsRenamed({"x": "rx", "y": "ry"})
     own = [free_name(a, n, b) for n in ("bucket_x", "bucket_y")]
     size = WIDTH * radius if radius > 0 else 1.0
-    a = a.where(~(F.isnan("x") | F.isnan("y"))).withColumns({n: cell(F.col(c), size) for n, c in zip(own, "xy", strict=True)})
-    b = b.where(~(F.isnan("rx") | F.isnan("ry")))
-    for n, c in zip(own, ("rx", "ry"), strict=True):
-        reach = radius + 1e-9 * (F.abs(c) + radius)  # rounding must not part a pair at just the radius
-        b = b.withColumn(n, F.explode(F.sequence(cell(F.col(c) - reach, size), cell(F.col(c) + reach, size))))
+    a, b = a.where(~(F.isnan("x") | F.isnan("y"))), b.where(~(F.isnan("rx") | F.isnan("ry")))
+    reach = lambda c: radius + 1e-9 * (F.abs(c) + radius)  # noqa: E731  rounding must not part a pair at just the radius
+    for n, c, rc in zip(own, "xy", ("rx", "ry"), strict=True):
+        one, many = (lambda c: cell(F.col(c), size)), (lambda c: F.explode(F.sequence(cell(F.col(c) - reach(c), size), cell(F.col(c) + reach(c), size))))
+        a, b = a.withColumn(n, (many if copy_left else one)(c)), b.withColumn(n, (one if copy_left else many)(rc))
     met = a.join(b.hint("merge"), [*keys, *own]).drop(*own)
     return met.withColumn("d2", distance2()).where(F.col("d2") <= radius * radius)
 
 
+def self_pairs(points: DataFrame, radius: float, *, keys: Sequence[str] = FIELD) -> DataFrame:
+    """All ordered pairs of rows of one table at most ``radius`` apart, those of a row with itself among them: keys, ``a`` and ``b``
+    (the other columns of either row, x and y among them) and d2.  Nulls and NaN as in ``pairs_within``.
+
+    A row goes to the buckets from its place less the radius up to its own, 1.56 on average, and a pair meets in the bucket
+    of its least x and y, which both have.  The two sides are the same rows, so they are shuffled once."""
+    size = WIDTH * radius if radius > 0 else 1.0
+    held = points.where(~(F.isnan("x") | F.isnan("y"))).select(*keys, F.struct(*(c for c in points.columns if c not in keys)).alias("row"))
+    for n, c in (("bucket_x", "row.x"), ("bucket_y", "row.y")):
+        reach = radius + 1e-9 * (F.abs(c) + radius)
+        held = held.withColumn(n, F.explode(F.sequence(cell(F.col(c) - reach, size), cell(F.col(c), size))))
+    on = [*keys, "bucket_x", "bucket_y"]
+    a, b = held.alias("a"), held.alias("b")
+    met = a.join(b.hint("merge"), reduce(and_, (F.col(f"a.{k}") == F.col(f"b.{k}") for k in on)))
+    met = met.select(*(F.col(f"a.{k}") for k in on), F.col("a.row").alias("a"), F.col("b.row").alias("b"))
+    least = {n: cell(F.least(F.col(f"a.{c}"), F.col(f"b.{c}")), size) for n, c in (("bucket_x", "x"), ("bucket_y", "y"))}
+    met = met.where(reduce(and_, (F.col(n) == e for n, e in least.items())))
+    return met.select(*keys, "a", "b", distance2("a.x", "a.y", "b.x", "b.y").alias("d2")).where(F.col("d2") <= radius * radius)
+
+
 def free_name(df: DataFrame, base: str, *others: DataFrame) -> str:
     """``base``, or the first of base_1, base_2, ... that no table has as a column."""
     taken, name, n = {c.lower() for t in (df, *others) for c in t.columns}, base, 0
@@ -140,22 +162,24 @@ def closest_pair(left: DataFrame, right: DataFrame, *, left_id: str, right_id: s
 
 def nearest_distance(left: DataFrame, right: DataFrame, *, left_id: str, start: float = 32.0, keys: Sequence[str] = FIELD, other_id: str | None = None) -> DataFrame:
     """``left`` with ``nearest_px``, the distance to the nearest row of ``right`` however far it is (null if the keys have
-    none, or the place is null or NaN).  Rings double until all are settled whose keys have a row: a ring twice the extent of
-    both tables reaches everything.  Each is written to the shared folder, so that no ring is worked out twice."""
+    none, or the place is null or NaN).  Rings widen fourfold until all are settled whose keys have a row: a ring twice the extent
+    of both tables reaches everything.  The right side and each ring are written to the shared folder, so that nothing is worked
+    out twice; rows still to settle are few after the first ring, and it is those that are copied to the buckets around."""
     right = right.select(*keys, "x", "y", *([F.col(other_id).alias("neighbour_id")] if other_id else []))
     own = F.col(left_id) != F.col("neighbour_id") if other_id else F.lit(True)
+    right = settle(right.where(~(F.isnan("x") | F.isnan("y"))))
     there = right.select(*keys).distinct()
     todo = left.select(*keys, left_id, "x", "y").where(~(F.isnan("x") | F.isnan("y"))).join(there, list(keys), "left_semi")
     span = left.select("x", "y").union(right.select("x", "y")).where(~(F.isnan("x") | F.isnan("y")))
     extent = span.agg(F.max("x") - F.min("x") + F.max("y") - F.min("y")).collect()[0][0] or 0.0
     found, radius = None, start
     while True:
-        ring = settle(pairs_within(todo, right, radius, keys=keys).where(own).groupBy(*keys, left_id).agg(F.min("d2").alias("d2")))
+        ring = settle(pairs_within(todo, right, radius, keys=keys, copy_left=True).where(own).groupBy(*keys, left_id).agg(F.min("d2").alias("d2")))
         found = ring if found is None else found.union(ring)
         if radius > extent:
             break
         todo = settle(todo.join(ring, [*keys, left_id], "left_anti"))
         if todo.isEmpty():
             break
-        radius *= 2
+        radius *= 4
     return left.join(found.select(*keys, left_id, F.sqrt("d2").alias("nearest_px")), [*keys, left_id], "left")

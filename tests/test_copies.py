@@ -21,6 +21,24 @@ def test_pairs_are_merged_not_broadcast(spark):
     assert sorted((r["i"], r["j"]) for r in met.collect()) == want
 
 
+def test_self_pairs_are_shuffled_once(spark):
+    rows = [(k, i, x / 4, y / 4) for k in (0, 1) for i, (x, y) in enumerate((a, b) for a in range(-30, 31, 3) for b in range(-12, 13, 3))]
+    rows += [(0, 900, 0.0, 0.0), (0, 901, 0.0, 0.0), (0, 902, None, 0.0), (0, 903, float("nan"), 0.0), (None, 904, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "field_id int, i int, x double, y double")
+    met = spatial.self_pairs(df, 1.5)
+    got = sorted((r["field_id"], r["a"]["i"], r["b"]["i"]) for r in met.collect())
+    places = [p for p in rows if None not in p and p[2] == p[2]]
+    assert got == sorted((p[0], p[1], q[1]) for p in places for q in places if p[0] == q[0] and (p[2] - q[2]) ** 2 + (p[3] - q[3]) ** 2 <= 1.5**2)
+    assert "ReusedExchange" in plan(met) and "Broadcast" not in plan(met)
+
+
+def test_copies_of_the_left_side(spark):
+    rows = [(0, i, x / 3, y / 3) for i, (x, y) in enumerate((a, b) for a in range(-20, 21, 5) for b in range(-20, 21, 5))]
+    df = spark.createDataFrame(rows, "field_id int, i int, x double, y double")
+    both = [sorted((r["i"], r["j"]) for r in spatial.pairs_within(df, df.withColumnRenamed("i", "j"), 2.5, copy_left=c).collect()) for c in (False, True)]
+    assert both[0] == both[1] and len(both[0]) > len(rows)
+
+
 def test_patches_over_tiles(spark):
     image = [(0, x, y, None if (x + y) % 5 == 0 else float(100 * x + y)) for x in range(-40, 41) for y in range(-40, 41)] + [(0, 3, 3, 7.0)]
     stars = [(0, 1, 0.5, 1.5), (0, 2, -31.6, 33.0), (0, 3, 40.0, -40.0), (None, 4, 0.0, 0.0)]
