@@ -17,26 +17,32 @@ def thin(points: DataFrame, separation: float, *, point_id: str, order: str, key
     """Keep points in the order of (``order``, id) that are at least ``separation`` (``inclusive``: more than that) away from all
     kept before them.
 
-    A point that precedes all its undecided neighbours is kept, and its neighbours go.  Each round decides every such
-    point at once; the number of rounds is the longest chain of neighbours in descending order, not the number of points.
+    Each point holds the neighbours before it.  It is kept once all of those are gone and goes once one is kept; a round tells
+    the undecided ones alone, and only of what the round before decided.  The number of rounds is the longest chain of neighbours
+    in descending order, not the number of points.
 
     Defined results: rows with a null key or id go; a null order comes last, NaN before it; a point with a null or NaN place
     has no neighbours and stays; rows that repeat an id stay or go together; an empty table stays empty; other columns stay."""
-    own = _known(points, *keys, point_id).select(*keys, F.col(point_id).alias("i"), F.col(order).alias("o"), "x", "y")
-    other = own.select(*keys, F.col("i").alias("j"), F.col("o").alias("p"), "x", "y")
+    own = settle(_known(points, *keys, point_id).select(*keys, F.col(point_id).alias("i"), F.col(order).alias("o"), "x", "y"))
     near = F.lit(True) if inclusive else F.col("d2") < separation * separation
-    met = S.pairs_within(own, other, separation, keys=keys).where((F.col("i") != F.col("j")) & near)
-    edges = settle(met.select(*keys, "i", "j", F.expr("coalesce(p < o, p is not null) or (p <=> o and j < i)").alias("after")))
-    alive = settle(own.select(*keys, "i"))
-    kept = None
-    while not alive.isEmpty():
-        held = edges.where("after").join(alive.select(*keys, F.col("i").alias("j")), [*keys, "j"], "left_semi").select(*keys, "i").distinct()
-        now = settle(alive.join(held, [*keys, "i"], "left_anti"))
-        kept = now if kept is None else kept.union(now)
-        gone = edges.join(now, [*keys, "i"], "left_semi").select(*keys, F.col("j").alias("i")).distinct().union(now)
-        alive = settle(alive.join(gone, [*keys, "i"], "left_anti"))
-    kept = own.select(*keys, "i").limit(0) if kept is None else kept
-    return points.join(kept.withColumnRenamed("i", point_id), [*keys, point_id], "left_semi")
+    met = S.self_pairs(own, separation, keys=keys).where(near).select(*keys, F.col("a.i").alias("i"), F.col("a.o").alias("o"), F.col("b.i").alias("j"), F.col("b.o").alias("p"))
+    before = met.where("i <> j and (coalesce(p < o, p is not null) or (p <=> o and j < i))")
+    waits = before.groupBy(*keys, "i").agg(F.collect_set("j").alias("before"))
+    ids = own.select(*keys, "i").distinct()
+    state = settle(ids.join(waits, [*keys, "i"], "left").select(*keys, "i", "before", F.col("before").isNull().alias("stays"), F.lit(False).alias("goes")))
+    kept = state.where("stays").select(*keys, "i")
+    while True:
+        open_ = state.where("not stays and not goes").select(*keys, "i", F.explode("before").alias("j"))
+        told = state.where("stays or goes").select(*keys, F.col("i").alias("j"), "stays")
+        met = open_.join(told, [*keys, "j"], "left")
+        state = settle(
+            met.groupBy(*keys, "i")
+            .agg(F.coalesce(F.bool_or("stays"), F.lit(False)).alias("goes"), F.collect_list(F.when(F.col("stays").isNull(), F.col("j"))).alias("before"))
+            .select(*keys, "i", "before", (~F.col("goes") & (F.size("before") == 0)).alias("stays"), "goes")
+        )
+        if state.isEmpty():
+            return points.join(kept.withColumnRenamed("i", point_id), [*keys, point_id], "left_semi")
+        kept = kept.union(state.where("stays").select(*keys, "i"))
 
 
 def greedy_edges(dets: DataFrame, refs: DataFrame, radius: float = 2.0, *, choices: int = 8, keys: Sequence[str] = S.FIELD) -> DataFrame:
