@@ -81,9 +81,9 @@ def groups(points: DataFrame, radius: float, *, point_id: str, keys: Sequence[st
     repeat an id are one point at all their places; a column ``group_id`` of the input gives way; an empty table stays empty."""
     points = points.drop("group_id")
     own = _known(points, *keys, point_id).select(*keys, F.col(point_id).alias("i"), "x", "y")
-    met = S.pairs_within(own, own.withColumnRenamed("i", "j"), radius, keys=keys).where("i <> j")
-    edges = settle(met.select(*keys, "i", "j"))
-    labels = settle(own.select(*keys, "i", F.col("i").alias("label")).distinct())
+    met = S.self_pairs(own, radius, keys=keys).where("a.i <> b.i")
+    edges = settle(met.select(*keys, F.col("a.i").alias("i"), F.col("b.i").alias("j")))
+    labels = settle(edges.select(*keys, "i").distinct().withColumn("label", F.col("i")))  # a point alone keeps its id
     while True:
         around = edges.join(labels.select(*keys, F.col("i").alias("j"), "label"), [*keys, "j"]).groupBy(*keys, "i").agg(F.min("label").alias("seen"))
         lower = labels.join(around, [*keys, "i"], "left").select(*keys, "i", "label", F.least("label", F.coalesce("seen", "label")).alias("low"))
@@ -92,4 +92,5 @@ def groups(points: DataFrame, radius: float, *, point_id: str, keys: Sequence[st
         changed = not new.where("old <> label").isEmpty()
         labels = new.drop("old")
         if not changed:
-            return points.join(labels.withColumnsRenamed({"i": point_id, "label": "group_id"}), [*keys, point_id], "left")
+            alone = F.when(reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys)), F.col(point_id))
+            return points.join(labels.withColumnsRenamed({"i": point_id, "label": "group_id"}), [*keys, point_id], "left").withColumn("group_id", F.coalesce("group_id", alone))
