@@ -24,13 +24,12 @@ def score_realigned(dets: DataFrame, refs: DataFrame, *, radius: float = 2.0, pi
     also below ``least`` training matches of positive flux or where no residual is under ``widest``."""
     marked = refs.select("field_id", "ref_id", "x", "y", "mag", (C.checkerboard(F.col("x"), F.col("y")) == 2).alias("test"))
     place = dets.select("field_id", "det_id", "x", "y", "flux")
-    told = lambda m, d: m.join(d, ["field_id", "det_id"]).join(marked.withColumnsRenamed({"x": "rx", "y": "ry"}), ["field_id", "ref_id"])
-    first = settle(told(rounds.greedy_edges(dets, refs, radius).select("field_id", "det_id", "ref_id"), place))
+    first = settle(rounds.greedy_edges(place, marked, radius, carry=("x", "y", "flux", "rx", "ry", "mag", "test")))
     train = first.where("not test")
     fit = robust.fit_affine(train.select("field_id", "x", "y", "rx", "ry"), ["field_id"], rounds=0)
     moved = robust.apply_affine(place, fit, ["field_id"]).select("field_id", "det_id", F.col("px").alias("x"), F.col("py").alias("y"), "flux")
-    moved = settle(moved.union(place.join(fit, "field_id", "left_anti").select(*moved.columns)))
-    again = told(rounds.greedy_edges(moved, marked.where("test"), radius).select("field_id", "det_id", "ref_id", "d2"), moved)
+    moved = moved.union(place.join(fit, "field_id", "left_anti").select(*moved.columns))
+    again = rounds.greedy_edges(moved, marked.where("test"), radius, carry=("flux", "mag"))
     lit = (F.col("flux") > 0) & ~F.isnan("flux")
     zero = train.where(lit).groupBy("field_id").agg(robust.median(F.col("mag") - C.instrumental_mag(F.col("flux"))).alias("zero"), F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
     off = C.instrumental_mag(F.col("flux")) + F.col("zero") - F.col("mag")

@@ -45,26 +45,31 @@ def thin(points: DataFrame, separation: float, *, point_id: str, order: str, key
         kept = kept.union(state.where("stays").select(*keys, "i"))
 
 
-def greedy_edges(dets: DataFrame, refs: DataFrame, radius: float = 2.0, *, choices: int = 8, keys: Sequence[str] = S.FIELD) -> DataFrame:
+def greedy_edges(dets: DataFrame, refs: DataFrame, radius: float = 2.0, *, choices: int = 8, keys: Sequence[str] = S.FIELD, carry: Sequence[str] = ()) -> DataFrame:
     """One-to-one matching with further choices: of the edges from each detection to its nearest ``choices`` references,
     the shortest goes first, both its ends are taken, and so on.  Each round takes every edge that is the shortest at
-    both ends, which is what the sequential rule would do with it.
+    both ends, which is what the sequential rule would do with it.  ``carry`` names columns of either table that come along (a
+    reference's place as rx and ry), so that a match need not look up its ends again.
 
     Defined results: rows with a null key, id or place match nothing; equal distances go by det_id, then ref_id; rows that repeat an id
     count as one at their nearest place; empty tables give no rows; other columns take no part."""
-    met = S.pairs_within(_known(dets, *keys, "det_id").select(*keys, "det_id", "x", "y"), _known(refs, *keys, "ref_id").select(*keys, "ref_id", "x", "y"), radius, keys=keys)
-    met = met.groupBy(*keys, "det_id", "ref_id").agg(F.min("d2").alias("d2"))
+    sides = [_known(t, *keys, i).select(*keys, i, "x", "y", *(c for c in carry if c in t.columns and c not in ("x", "y", "rx", "ry"))) for t, i in ((dets, "det_id"), (refs, "ref_id"))]
+    met = S.pairs_within(*sides, radius, keys=keys).repartition(*keys, "det_id")  # where the choices of a detection are ranked too
+    met = met.groupBy(*keys, "det_id", "ref_id").agg(F.min(F.struct("d2", *carry)).alias("met")).select(*keys, "det_id", "ref_id", "met.*")
     near = F.row_number().over(W.partitionBy(*keys, "det_id").orderBy("d2", "ref_id"))
-    edges = settle(met.withColumn("place", near).where(F.col("place") <= choices).select(*keys, "det_id", "ref_id", "d2"))
-    taken = None
+    whole = settle(met.withColumn("place", near).where(F.col("place") <= choices).select(*keys, "det_id", "ref_id", "d2", "place", *carry))
+    names = [*keys, "det_id", "ref_id", "d2"]
+    edges, taken, a = whole.select(*names, "place"), None, F.col("place")  # at first a detection's shortest edge is known
     while not edges.isEmpty():
-        a = F.row_number().over(W.partitionBy(*keys, "det_id").orderBy("d2", "det_id", "ref_id"))
         b = F.row_number().over(W.partitionBy(*keys, "ref_id").orderBy("d2", "det_id", "ref_id"))
-        now = settle(edges.withColumns({"a": a, "b": b}).where("a = 1 and b = 1").drop("a", "b"))
+        now = settle(edges.withColumns({"a": a, "b": b}).where("a = 1 and b = 1").select(*names))
         taken = now if taken is None else taken.union(now)
         left = edges.join(now.select(*keys, "det_id"), [*keys, "det_id"], "left_anti").join(now.select(*keys, "ref_id"), [*keys, "ref_id"], "left_anti")
-        edges = settle(left.select(*edges.columns))  # joins put their keys first
-    return edges if taken is None else taken
+        edges = settle(left.select(*names))  # joins put their keys first
+        a = F.row_number().over(W.partitionBy(*keys, "det_id").orderBy("d2", "det_id", "ref_id"))
+    if taken is None:
+        return whole.drop("place")
+    return taken if not carry else whole.drop("place").join(taken.select(*keys, "det_id", "ref_id"), [*keys, "det_id", "ref_id"], "left_semi").select(*names, *carry)
 
 
 def _known(rows: DataFrame, *columns: str) -> DataFrame:

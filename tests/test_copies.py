@@ -2,7 +2,7 @@
 
 import re
 
-from lumenfield.operators import photometry, pixels, spatial
+from lumenfield.operators import photometry, pixels, rounds, spatial
 from lumenfield.sources.derived import Tables
 
 DATA = "/root/testdata/sf0.001"
@@ -39,6 +39,20 @@ def test_copies_of_the_left_side(spark):
     assert both[0] == both[1] and len(both[0]) > len(rows)
 
 
+def test_greedy_edges_carry_columns(spark):
+    dets = spark.createDataFrame([(0, 1, 0.0, 0.0, 5.0), (0, 2, 0.4, 0.0, 6.0), (0, 3, 9.0, 9.0, 7.0), (0, 4, None, 0.0, 8.0)], "field_id int, det_id int, x double, y double, flux double")
+    refs = spark.createDataFrame([(0, 7, 0.1, 0.0, 20.0), (0, 8, 1.5, 0.0, 21.0)], "field_id int, ref_id int, x double, y double, mag double")
+    got = rounds.greedy_edges(dets, refs, carry=("x", "flux", "rx", "mag"))
+    assert sorted((r["det_id"], r["ref_id"], r["x"], r["flux"], r["rx"], r["mag"]) for r in got.collect()) == [(1, 7, 0.0, 5.0, 0.1, 20.0), (2, 8, 0.4, 6.0, 1.5, 21.0)]
+    assert rounds.greedy_edges(dets.where("false"), refs, carry=("flux",)).collect() == []
+
+
+def test_groups_leave_lone_points_out_of_rounds(spark):
+    rows = [(0, 1, 0.0, 0.0), (0, 2, 1.0, 0.0), (0, 3, 9.0, 0.0), (0, 4, None, 0.0), (None, 5, 0.0, 0.0), (0, None, 0.0, 0.0)]
+    got = rounds.groups(spark.createDataFrame(rows, "field_id int, ref_id int, x double, y double"), 1.0, point_id="ref_id")
+    assert {(r["field_id"], r["ref_id"]): r["group_id"] for r in got.collect()} == {(0, 1): 1, (0, 2): 1, (0, 3): 3, (0, 4): 4, (None, 5): None, (0, None): None}
+
+
 def test_patches_over_tiles(spark):
     image = [(0, x, y, None if (x + y) % 5 == 0 else float(100 * x + y)) for x in range(-40, 41) for y in range(-40, 41)] + [(0, 3, 3, 7.0)]
     stars = [(0, 1, 0.5, 1.5), (0, 2, -31.6, 33.0), (0, 3, 40.0, -40.0), (None, 4, 0.0, 0.0)]
