@@ -29,7 +29,7 @@ def thin(points: DataFrame, separation: float, *, point_id: str, order: str, key
     before = met.where("i <> j and (coalesce(p < o, p is not null) or (p <=> o and j < i))")
     waits = before.groupBy(*keys, "i").agg(F.collect_set("j").alias("before"))
     ids = own.select(*keys, "i").distinct()
-    state = settle(ids.join(waits, [*keys, "i"], "left").select(*keys, "i", "before", F.col("before").isNull().alias("stays"), F.lit(False).alias("goes")))
+    state = settle(ids.join(waits.hint("merge"), [*keys, "i"], "left").select(*keys, "i", "before", F.col("before").isNull().alias("stays"), F.lit(False).alias("goes")))
     kept = state.where("stays").select(*keys, "i")
     while True:
         open_ = state.where("not stays and not goes").select(*keys, "i", F.explode("before").alias("j"))
@@ -41,7 +41,7 @@ def thin(points: DataFrame, separation: float, *, point_id: str, order: str, key
             .select(*keys, "i", "before", (~F.col("goes") & (F.size("before") == 0)).alias("stays"), "goes")
         )
         if state.isEmpty():
-            return points.join(kept.withColumnRenamed("i", point_id), [*keys, point_id], "left_semi")
+            return points.join(kept.withColumnRenamed("i", point_id).hint("merge"), [*keys, point_id], "left_semi")
         kept = kept.union(state.where("stays").select(*keys, "i"))
 
 
@@ -98,4 +98,4 @@ def groups(points: DataFrame, radius: float, *, point_id: str, keys: Sequence[st
         labels = new.drop("old")
         if not changed:
             alone = F.when(reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys)), F.col(point_id))
-            return points.join(labels.withColumnsRenamed({"i": point_id, "label": "group_id"}), [*keys, point_id], "left").withColumn("group_id", F.coalesce("group_id", alone))
+            return points.join(labels.withColumnsRenamed({"i": point_id, "label": "group_id"}).hint("merge"), [*keys, point_id], "left").withColumn("group_id", F.coalesce("group_id", alone))

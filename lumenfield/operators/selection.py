@@ -16,7 +16,7 @@ from . import spatial as S
 def nearest_other(points: DataFrame, reach: float, *, point_id: str, keys: Sequence[str] = S.FIELD, name: str = "nearest_d2") -> DataFrame:
     """``points`` with ``name``, the squared distance to the nearest other point within ``reach`` (else null)."""
     met = S.pairs_within(points.select(*keys, point_id, "x", "y"), points.select(*keys, F.col(point_id).alias("other"), "x", "y"), reach, keys=keys).where(F.col(point_id) != F.col("other"))
-    return points.join(met.groupBy(*keys, point_id).agg(F.min("d2").alias(name)), [*keys, point_id], "left")
+    return points.join(met.groupBy(*keys, point_id).agg(F.min("d2").alias(name)).hint("merge"), [*keys, point_id], "left")
 
 
 def isolated_bright(points: DataFrame, *, separation: float, most: int, least: int = 5, brightness: str = "snr", point_id: str = "det_id", min_snr: float = 25.0) -> DataFrame:

@@ -3,7 +3,8 @@
 Both sides are cut into square buckets four times as wide as the search radius; the side named ``right`` is copied into all
 buckets that its reach touches, 2.25 on average, and pairs meet by (keys, bucket) with the distance as a residual predicate.  The
 work follows the number of neighbours, a bucket is a fine join key, and dense cores are spread over many of them.  The join is a
-merge: the planner knows no size of copied rows and would broadcast them.
+merge: the planner knows no size of copied rows and would broadcast them.  So are joins by row: it takes rows for as few as their
+compressed file is small, and the driver would hold millions.
 Equal distances are settled by id, so results do not depend on the order of rows.
 """
 
@@ -110,7 +111,7 @@ def match_masks(dets: DataFrame, refs: DataFrame, radius: float = 2.0, *, det_id
     sides = []
     for rows, name, side in ((dets, det_id, "detection"), (refs, ref_id, "reference")):
         hit = pairs.select(*keys, F.col(name).alias("id"), F.lit(True).alias("hit")).where("id is not null").distinct()
-        marked = rows.select(*keys, F.col(name).alias("id")).join(hit, [*keys, "id"], "left")
+        marked = rows.select(*keys, F.col(name).alias("id")).join(hit.hint("merge"), [*keys, "id"], "left")
         sides.append(marked.select(*keys, F.lit(side).alias("side"), "id", F.coalesce("hit", F.lit(False)).alias("matched")))
     return sides[0].unionByName(sides[1])
 
@@ -123,7 +124,7 @@ def neighbour_counts(points: DataFrame, others: DataFrame, radii: dict[str, floa
     if other_id:
         met = met.where(F.col(point_id) != F.col("neighbour_id"))
     counted = met.groupBy(*keys, point_id).agg(*(F.count_if(F.col("d2") <= r * r).alias(n) for n, r in radii.items()))
-    return points.join(counted, [*keys, point_id], "left").fillna(0, list(radii))
+    return points.join(counted.hint("merge"), [*keys, point_id], "left").fillna(0, list(radii))
 
 
 def local_density(refs: DataFrame, radius: float = 10.0, *, ref_id: str = "ref_id", keys: Sequence[str] = FIELD, name: str = "neighbours") -> DataFrame:
@@ -134,7 +135,7 @@ def local_density(refs: DataFrame, radius: float = 10.0, *, ref_id: str = "ref_i
 def has_neighbour(left: DataFrame, right: DataFrame, radius: float, *, left_id: str, keys: Sequence[str] = FIELD, negate: bool = False) -> DataFrame:
     """The rows of ``left`` with (or, negated, without) a row of ``right`` within the radius."""
     met = pairs_within(left.select(*keys, left_id, "x", "y"), right.select(*keys, "x", "y"), radius, keys=keys).select(*keys, left_id).distinct()
-    return left.join(met, [*keys, left_id], "left_anti" if negate else "left_semi")
+    return left.join(met.hint("merge"), [*keys, left_id], "left_anti" if negate else "left_semi")
 
 
 def closest_pair(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str, start: float = 32.0, keys: Sequence[str] = FIELD) -> DataFrame:
@@ -178,8 +179,8 @@ def nearest_distance(left: DataFrame, right: DataFrame, *, left_id: str, start:
         found = ring if found is None else found.union(ring)
         if radius > extent:
             break
-        todo = settle(todo.join(ring, [*keys, left_id], "left_anti"))
+        todo = settle(todo.join(ring.hint("merge"), [*keys, left_id], "left_anti"))
         if todo.isEmpty():
             break
         radius *= 4
-    return left.join(found.select(*keys, left_id, F.sqrt("d2").alias("nearest_px")), [*keys, left_id], "left")
+    return left.join(found.select(*keys, left_id, F.sqrt("d2").alias("nearest_px")).hint("merge"), [*keys, left_id], "left")

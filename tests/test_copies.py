@@ -2,7 +2,7 @@
 
 import re
 
-from lumenfield.operators import photometry, pixels, rounds, spatial
+from lumenfield.operators import photometry, pixels, rounds, selection, spatial
 from lumenfield.sources.derived import Tables
 
 DATA = "/root/testdata/sf0.001"
@@ -32,6 +32,12 @@ def test_self_pairs_are_shuffled_once(spark):
     assert "ReusedExchange" in plan(met) and "Broadcast" not in plan(met)
 
 
+def test_rows_are_not_broadcast_for_their_counts(spark):
+    refs = Tables(spark, DATA).refs
+    for df in (spatial.local_density(refs), spatial.has_neighbour(refs, refs, 5.0, left_id="ref_id"), selection.nearest_other(refs, 5.0, point_id="ref_id"), rounds.thin(refs, 5.0, point_id="ref_id", order="mag")):
+        assert "Broadcast" not in plan(df)
+
+
 def test_copies_of_the_left_side(spark):
     rows = [(0, i, x / 3, y / 3) for i, (x, y) in enumerate((a, b) for a in range(-20, 21, 5) for b in range(-20, 21, 5))]
     df = spark.createDataFrame(rows, "field_id int, i int, x double, y double")
