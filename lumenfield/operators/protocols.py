@@ -54,10 +54,10 @@ def injection_plan(refs: DataFrame, mags: Sequence[float], bands: dict[str, tupl
     while True:
         plan = settle(_places(groups, refs, bands, keys, each=each, attempts=attempts, size=size, margin=margin, reach=reach, separation=separation))
         full = plan.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= each).select(*keys)
-        short = settle(groups.join(full, keys, "left_anti"))
+        short = settle(groups.join(full.hint("merge"), keys, "left_anti"))
         if attempts >= most_attempts or short.isEmpty():
             return plan if done is None else done.union(plan)
-        met = plan.join(full, keys, "left_semi").select(*plan.columns)
+        met = plan.join(full.hint("merge"), keys, "left_semi").select(*plan.columns)
         done = met if done is None else done.union(met)
         groups, attempts = short, min(10 * attempts, most_attempts)
 

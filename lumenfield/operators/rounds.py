@@ -1,4 +1,6 @@
-"""Iterative operators: rounds of joins whose state is written to the shared folder after each round."""
+"""Iterative operators: rounds of joins whose state is written to the shared folder after each round.
+
+Joins of a round are merges: the planner takes state for as few rows as its compressed file is small, and would broadcast it."""
 
 from __future__ import annotations
 
@@ -34,7 +36,7 @@ def thin(points: DataFrame, separation: float, *, point_id: str, order: str, key
     while True:
         open_ = state.where("not stays and not goes").select(*keys, "i", F.explode("before").alias("j"))
         told = state.where("stays or goes").select(*keys, F.col("i").alias("j"), "stays")
-        met = open_.join(told, [*keys, "j"], "left")
+        met = open_.join(told.hint("merge"), [*keys, "j"], "left")
         state = settle(
             met.groupBy(*keys, "i")
             .agg(F.coalesce(F.bool_or("stays"), F.lit(False)).alias("goes"), F.collect_list(F.when(F.col("stays").isNull(), F.col("j"))).alias("before"))
@@ -64,12 +66,12 @@ def greedy_edges(dets: DataFrame, refs: DataFrame, radius: float = 2.0, *, choic
         b = F.row_number().over(W.partitionBy(*keys, "ref_id").orderBy("d2", "det_id", "ref_id"))
         now = settle(edges.withColumns({"a": a, "b": b}).where("a = 1 and b = 1").select(*names))
         taken = now if taken is None else taken.union(now)
-        left = edges.join(now.select(*keys, "det_id"), [*keys, "det_id"], "left_anti").join(now.select(*keys, "ref_id"), [*keys, "ref_id"], "left_anti")
+        left = edges.join(now.select(*keys, "det_id").hint("merge"), [*keys, "det_id"], "left_anti").join(now.select(*keys, "ref_id").hint("merge"), [*keys, "ref_id"], "left_anti")
         edges = settle(left.select(*names))  # joins put their keys first
         a = F.row_number().over(W.partitionBy(*keys, "det_id").orderBy("d2", "det_id", "ref_id"))
     if taken is None:
         return whole.drop("place")
-    return taken if not carry else whole.drop("place").join(taken.select(*keys, "det_id", "ref_id"), [*keys, "det_id", "ref_id"], "left_semi").select(*names, *carry)
+    return taken if not carry else whole.drop("place").join(taken.select(*keys, "det_id", "ref_id").hint("merge"), [*keys, "det_id", "ref_id"], "left_semi").select(*names, *carry)
 
 
 def _known(rows: DataFrame, *columns: str) -> DataFrame:
@@ -90,10 +92,10 @@ def groups(points: DataFrame, radius: float, *, point_id: str, keys: Sequence[st
     edges = settle(met.select(*keys, F.col("a.i").alias("i"), F.col("b.i").alias("j")))
     labels = settle(edges.select(*keys, "i").distinct().withColumn("label", F.col("i")))  # a point alone keeps its id
     while True:
-        around = edges.join(labels.select(*keys, F.col("i").alias("j"), "label"), [*keys, "j"]).groupBy(*keys, "i").agg(F.min("label").alias("seen"))
-        lower = labels.join(around, [*keys, "i"], "left").select(*keys, "i", "label", F.least("label", F.coalesce("seen", "label")).alias("low"))
+        around = edges.join(labels.select(*keys, F.col("i").alias("j"), "label").hint("merge"), [*keys, "j"]).groupBy(*keys, "i").agg(F.min("label").alias("seen"))
+        lower = labels.join(around.hint("merge"), [*keys, "i"], "left").select(*keys, "i", "label", F.least("label", F.coalesce("seen", "label")).alias("low"))
         jump = lower.select(*keys, F.col("i").alias("low"), F.col("low").alias("lower"))
-        new = settle(lower.join(jump, [*keys, "low"], "left").select(*keys, "i", F.col("label").alias("old"), F.least("low", F.coalesce("lower", "low")).alias("label")))
+        new = settle(lower.join(jump.hint("merge"), [*keys, "low"], "left").select(*keys, "i", F.col("label").alias("old"), F.least("low", F.coalesce("lower", "low")).alias("label")))
         changed = not new.where("old <> label").isEmpty()
         labels = new.drop("old")
         if not changed:
