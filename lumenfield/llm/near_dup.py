@@ -35,6 +35,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import tokens
@@ -457,10 +458,10 @@ def _blocks(similarity: float, forest: bool, backwards: bool):
             return ok
 
         if not forest:
-            data, at = tokens.text_buffer(column("marks"))
-            size = np.diff(at) // 4
+            listed = column("marks")
+            size = listed.value_lengths().to_numpy()
             marks = np.zeros((len(n), int(size.max())), np.uint32)
-            marks[np.repeat(np.arange(len(n)), size), tokens.ranges(np.zeros(len(n), np.int64), size)] = data.view(np.uint32)
+            marks[np.repeat(np.arange(len(n)), size), tokens.ranges(np.zeros(len(n), np.int64), size)] = listed.flatten().to_numpy().view(np.uint32)
             bucket = np.uint32(group.column("bucket")[0].as_py() & 0xFFFFFFFF)
         bags = [Bags(bag)] * 2 if sides[0] is sides[1] else [Bags(bag.take(pa.array(s))) for s in sides]
         out: list[list[np.ndarray]] = [[], []]
@@ -527,11 +528,14 @@ def _merged(links_: DataFrame) -> DataFrame:
 
 
 def links(nodes: DataFrame, docs: DataFrame, *, doc_id: str, text: str, similarity: float = SIMILARITY, block: int = BLOCK, forest_rounds: int = FOREST_ROUNDS) -> DataFrame:
-    """Links (a, b) among ``nodes`` (id, n, sketches, bag, marks)."""
-    keys = nodes.select("id", "n", "bag", F.xxhash64("id").alias("turn"), "marks")
-    rows = nodes.select(F.explode("sketches").alias("bucket"), F.col("id").alias("member"), F.xxhash64("id").alias("own"), F.col("n").alias("nm"))
-    # The center of a bucket is the member with the least hash.  Should two have one hash, both are centers.
-    met = stash(rows.join(rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("own").alias("turn")).where("size > 1"), "bucket"))
+    """Links (a, b) among ``nodes`` (id, n, sketches, bag)."""
+    marks = F.transform("sketches", lambda s: F.shiftright(F.shiftleft(s, 32), 32).cast("int"))
+    keys = nodes.select("id", "n", "bag", F.xxhash64("id").alias("turn"), marks.alias("marks"))
+    rows = nodes.select(F.explode("sketches").alias("bucket"), F.col("id").alias("member"), F.col("n").alias("nm"))
+    # The center of a bucket is the member with the least hash.  Should two have one hash, both are centers.  Sketches are shuffled
+    # once, and hashes, which do not compress, are worked out after that.
+    own, every = F.xxhash64("member"), W.partitionBy("bucket")
+    met = stash(rows.withColumns({"size": F.count("*").over(every), "turn": F.min(own).over(every)}).where("size > 1").select("bucket", "member", own.alias("own"), "nm", "size", "turn"))
     others = met.where("own <> turn")
     judged = stash(screen(others.select("turn", "member", "nm").distinct(), keys, similarity=similarity))
     # Texts are needed of those that may match their center or a text of the same bucket.
@@ -564,7 +568,10 @@ def links(nodes: DataFrame, docs: DataFrame, *, doc_id: str, text: str, similari
             break
         tried = tried.union(tested.select("center", "member"))
         renamed = _merged(tested.where("good").select("one", "two").distinct())
-        marked = rest.join(renamed, "part", "left").select("bucket", "size", "member", F.coalesce("label", "part").alias("part"), "good", "far")
+        # A part is a member's, whatever its buckets: a row for each member meets the new names.
+        held = rest.groupBy("member", "part").agg(F.collect_list(F.struct("bucket", "size", "good", "far")).alias("buckets"))
+        named = held.join(renamed, "part", "left").select("member", F.coalesce("label", "part").alias("part"), F.inline("buckets"))
+        marked = named.select("bucket", "size", "member", "part", "good", "far")
         hits, all_ = tested.agg(F.count_if("good"), F.count("*")).collect()[0]
         if hits <= FOREST_GAIN * all_:  # another forest would merge little
             rounds = rounds[-1:]
@@ -573,9 +580,9 @@ def links(nodes: DataFrame, docs: DataFrame, *, doc_id: str, text: str, similari
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row for each row of ``docs``: doc_id and class_id, the least doc_id of its class."""
-    sketched = stash(sketch(docs, doc_id=doc_id, text=text))
+    sketched = stash(sketch(docs, doc_id=doc_id, text=text).drop("marks"))  # they are the low bits of the sketches
     same = ["one", "two", "n"]
-    nodes = stash(sketched.groupBy(*same).agg(F.min("id").alias("id"), F.first("sketches").alias("sketches"), F.first("bag").alias("bag"), F.first("marks").alias("marks")).where("id is not null"))
+    nodes = stash(sketched.groupBy(*same).agg(F.min("id").alias("id"), F.first("sketches").alias("sketches"), F.first("bag").alias("bag")).where("id is not null"))
     joined = components(links(nodes, docs, doc_id=doc_id, text=text, similarity=similarity))
     named = nodes.select(*same, "id").join(joined.withColumnRenamed("node", "id"), "id", "left").select(*same, F.coalesce("label", "id").alias("class_id"))
     out = sketched.select("id", *same).join(named, same, "left")
