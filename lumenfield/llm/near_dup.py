@@ -9,7 +9,8 @@ more are linked.  Classes are the components of the links.
 
 Scale: equal texts collapse to one representative first, so a text with a million copies is one node.  The members of a
 bucket (texts with one sketch in common) are first held against one of them, its center, the same one in all buckets where
-it is: a row for each member.  A center has then met all others and leaves.  A bucket of which the rest is not known to be
+it is: a row for each member.  A center has then met all others and leaves.  The rest of all buckets with one center is one
+group, in which a member is one row, however many of its sketches led there.  A group that is not known to be
 of one class goes on to tasks that hold it in blocks of at most ``BLOCK`` members and look at the pairs of two classes that
 fit in length and are not told apart by the triangle inequality (one matches the center, the other is too far from it to
 match any text that does).  A lower bound on the edit distance, from counts of hashed words, turns pairs down there.  Of what
@@ -17,7 +18,8 @@ it leaves, a block gives in two rounds only the pairs of a forest, as if all of
 Members that match become one class, and after the rounds (one, if few match) all pairs of two classes
 that are still open are aligned, each once.  No
 bucket is cut and no pair of two classes that share a sketch is left out.  What is quadratic are the comparisons of counts
-within a bucket of texts that share a passage and little else, some 20 ns a pair.
+within a group of texts that share a passage and little else, some 20 ns a pair.  Texts and counts are shuffled only where
+a bitmap of the ids that are asked for has them.
 
 Recall: the sketches are the one place where links are lost, see the README for figures by edit similarity.
 
@@ -39,7 +41,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import free_name, stash, text_or_empty
+from .common import free_name, likely_among, stash, text_or_empty
 from .components import components
 
 SHINGLE = 5
@@ -433,9 +435,32 @@ def close_pairs(n_one: np.ndarray, one: Bags, n_two: np.ndarray, two: Bags, open
                 yield p[near] + i, q[near] + j
 
 
+def earlier(turns: pa.ListArray, turn: int) -> np.ndarray:
+    """For each row the numbers, from 1, of its ``turns`` that are less than ``turn`` and that another row has; 0 fills up."""
+    size = turns.value_lengths().to_numpy()
+    row, flat = np.repeat(np.arange(len(size)), size), turns.flatten().to_numpy()
+    row, flat = row[flat < turn], flat[flat < turn]
+    _, which, times = np.unique(flat, return_inverse=True, return_counts=True)
+    row, which = row[times[which] > 1], which[times[which] > 1]
+    count = np.bincount(row, minlength=len(size))
+    out = np.zeros((len(size), int(count.max(initial=0))), np.int64)
+    out[row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)] = which + 1
+    return out
+
+
+def share_any(sets: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether rows x and y of ``sets`` have a number other than 0 in common."""
+    out, step = np.zeros(len(x), bool), max(1, (1 << 22) // max(1, sets.shape[1] ** 2))
+    for k in range(0, len(x), step):
+        a, b = sets[x[k : k + step], :, None], sets[y[k : k + step], None, :]
+        out[k : k + step] = ((a == b) & (a != 0)).any((1, 2))
+    return out
+
+
 def _blocks(similarity: float, forest: bool, backwards: bool):
-    """Rows in order of (bucket, low, high): members of two blocks, or of one where these are equal -> pairs to align, with
-    ``forest`` no more than link their parts if all match, else each pair in the first bucket that it shares only."""
+    """Rows in order of (turn, low, high): members of two blocks, or of one where these are equal -> pairs to align, with
+    ``forest`` no more than link their parts if all match, else each pair with a sketch in common, in the
+    least group that it shares only."""
 
     def pairs(group: pa.Table) -> pa.RecordBatch:
         n = group.column("n").to_numpy()
@@ -458,11 +483,11 @@ def _blocks(similarity: float, forest: bool, backwards: bool):
             return ok
 
         if not forest:
+            before = earlier(column("turns"), group.column("turn")[0].as_py())
             listed = column("marks")
             size = listed.value_lengths().to_numpy()
-            marks = np.zeros((len(n), int(size.max())), np.uint32)
-            marks[np.repeat(np.arange(len(n)), size), tokens.ranges(np.zeros(len(n), np.int64), size)] = listed.flatten().to_numpy().view(np.uint32)
-            bucket = np.uint32(group.column("bucket")[0].as_py() & 0xFFFFFFFF)
+            marks = np.zeros((len(n), int(size.max())), np.int32)
+            marks[np.repeat(np.arange(len(n)), size), tokens.ranges(np.zeros(len(n), np.int64), size)] = listed.flatten().to_numpy()
         bags = [Bags(bag)] * 2 if sides[0] is sides[1] else [Bags(bag.take(pa.array(s))) for s in sides]
         out: list[list[np.ndarray]] = [[], []]
         for x, y in close_pairs(n[sides[0]], bags[0], n[sides[1]], bags[1], open_, similarity):
@@ -477,8 +502,8 @@ def _blocks(similarity: float, forest: bool, backwards: bool):
                     label[np.isin(label, values)] = label[i]
                 keep = np.concatenate(kept) if kept else np.zeros(0, np.int64)
             else:
-                both = (marks[x] == marks[y]) & (marks[x] != 0)
-                keep = marks[x, np.argmax(both, 1)] == bucket
+                keep = ((marks[x] == marks[y]) & (marks[x] != 0)).any(1)
+                keep[keep] = ~share_any(before, x[keep], y[keep])
             x, y = x[keep], y[keep]
             out[0].append(x)
             out[1].append(y)
@@ -505,17 +530,19 @@ def _blocks(similarity: float, forest: bool, backwards: bool):
     return blocks
 
 
-def _pairs(rest: DataFrame, keys: DataFrame, *, similarity: float, block: int, forest: bool, backwards: bool) -> DataFrame:
-    """Pairs (center, member, one, two) of texts of two parts that have a bucket in common and that their counts do not tell apart.
+def _pairs(held: DataFrame, counts: DataFrame, *, similarity: float, block: int, forest: bool, backwards: bool) -> DataFrame:
+    """Pairs (center, member, one, two) of texts of two parts that are in one group and that their counts do not tell apart.
 
-    ``rest``: bucket, size, member, part, good, far.  A bucket is dealt into blocks, and two of them at a time meet in a task."""
+    ``held``: member, part, groups (turn, size, good, far); ``counts``: member, n, bag, marks.  A row for each member meets its counts; a group is dealt into
+    blocks, and two of them at a time meet in a task."""
+    more = () if forest else ("marks", "turns")
+    dealt = held.withColumn("turns", F.col("groups")["turn"]).join(counts, "member").select("member", "part", "n", "bag", *more, F.inline("groups"))
     blocks = F.ceil(F.col("size") / block).cast("int")
-    dealt = rest.select("bucket", "member", "part", "good", "far", F.pmod(F.hash("member"), blocks).alias("own"), blocks.alias("blocks"))
-    dealt = dealt.join(keys.select(F.col("id").alias("member"), "n", "bag", *(() if forest else ("marks",))), "member")
+    dealt = dealt.select("turn", "member", "n", "part", "good", "far", "bag", *more, F.pmod(F.hash("member"), blocks).alias("own"), blocks.alias("blocks"))
     spread = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = spread.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "member", "n", "part", "good", "far", "bag", *(() if forest else ("marks",)))
-    met = rows.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
-    kind = dict(keys.dtypes)["id"]
+    rows = spread.select("turn", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "member", "n", "part", "good", "far", "bag", *more)
+    met = rows.repartition("turn", "low", "high").sortWithinPartitions("turn", "low", "high")
+    kind = dict(counts.dtypes)["member"]
     found = met.mapInArrow(_blocks(similarity, forest, backwards), f"center {kind}, member {kind}, one bigint, two bigint")
     return found.select(F.least("center", "member").alias("center"), F.greatest("center", "member").alias("member"), F.least("one", "two").alias("one"), F.greatest("one", "two").alias("two")).distinct()
 
@@ -539,7 +566,8 @@ def links(nodes: DataFrame, docs: DataFrame, *, doc_id: str, text: str, similari
     others = met.where("own <> turn")
     judged = stash(screen(others.select("turn", "member", "nm").distinct(), keys, similarity=similarity))
     # Texts are needed of those that may match their center or a text of the same bucket.
-    texts = stash(docs.select(F.col(doc_id).alias("id"), text_or_empty(text).alias("t")).join(met.select(F.col("member").alias("id")).distinct(), "id", "left_semi"))
+    members = met.select(F.col("member").alias("id")).distinct()
+    texts = stash(likely_among(docs.select(F.col(doc_id).alias("id"), text_or_empty(text).alias("t")), "id", members).join(members, "id"))  # a semi-join would be moved before the bitmap
     aligned = align(judged.where("likely").select("center", "member").distinct(), texts, similarity=similarity)
     seen = stash(judged.select("turn", "center", "member", "likely").join(aligned, ["center", "member"], "left").select("turn", "center", "member", F.coalesce("good", F.lit(False)).alias("good"), (F.coalesce("near", F.lit(False)) | ~F.col("likely")).alias("near")))
     found = seen.where("good").select("center", "member")
@@ -549,29 +577,30 @@ def links(nodes: DataFrame, docs: DataFrame, *, doc_id: str, text: str, similari
     part = once.join(further, "part", "left").select("member", F.coalesce("further", "part").alias("part"))
     state = seen.groupBy("turn", "member").agg(F.max("good").alias("good"), F.max("near").alias("near"))
     good = F.coalesce("good", F.lit(False))
-    marked = others.where("size > 2").join(state, ["turn", "member"], "left").join(part, "member", "left")
-    marked = marked.select("bucket", "size", "member", F.coalesce("part", "own").alias("part"), good.alias("good"), (~(good | F.coalesce("near", F.lit(False)))).alias("far"))
+    # Buckets of one center are one group: a member has one row in it, and all pairs of a bucket are pairs of its group.
+    marked = others.where("size > 2").select("turn", "member", "own").distinct().join(state, ["turn", "member"], "left").join(part, "member", "left")
+    marked = marked.select("turn", "member", F.coalesce("part", "own").alias("part"), good.alias("good"), (~(good | F.coalesce("near", F.lit(False)))).alias("far"))
     tried = seen.select(F.least("center", "member").alias("center"), F.greatest("center", "member").alias("member"))
     rounds = [k < forest_rounds for k in range(forest_rounds + 1)]
     marked = stash(marked)
+    counts = stash(likely_among(keys.select(F.col("id").alias("member"), "n", "bag", "marks"), "member", marked.select("member")))
     while rounds:
         forest = rounds.pop(0)
-        # Buckets of one class are done.
-        mixed = marked.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("bucket")
-        rest = stash(marked.join(mixed, "bucket", "left_semi"))
-        across = _pairs(rest, keys, similarity=similarity, block=block, forest=forest, backwards=len(rounds) % 2 == 1)
+        # Groups of one class are done.  A part is a member's, whatever its groups: a row for each member meets its counts and its new name.
+        mixed = marked.groupBy("turn").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("size")).where("p <> q").select("turn", "size")
+        held = stash(marked.join(mixed, "turn").groupBy("member", "part").agg(F.collect_list(F.struct("turn", "size", "good", "far")).alias("groups")))
+        across = _pairs(held, counts, similarity=similarity, block=block, forest=forest, backwards=len(rounds) % 2 == 1)
         across = stash(across.join(tried, ["center", "member"], "left_anti"))
-        judged = align(across.select("center", "member").distinct(), texts, similarity=similarity)
+        ends = across.select(F.col("center").alias("id")).union(across.select("member"))
+        judged = align(across.select("center", "member").distinct(), likely_among(texts, "id", ends), similarity=similarity)
         tested = stash(across.join(judged, ["center", "member"]).select("center", "member", "one", "two", "good"))
         found = found.union(tested.where("good").select("center", "member"))
         if not rounds:
             break
         tried = tried.union(tested.select("center", "member"))
         renamed = _merged(tested.where("good").select("one", "two").distinct())
-        # A part is a member's, whatever its buckets: a row for each member meets the new names.
-        held = rest.groupBy("member", "part").agg(F.collect_list(F.struct("bucket", "size", "good", "far")).alias("buckets"))
-        named = held.join(renamed, "part", "left").select("member", F.coalesce("label", "part").alias("part"), F.inline("buckets"))
-        marked = named.select("bucket", "size", "member", "part", "good", "far")
+        named = held.join(renamed, "part", "left").select("member", F.coalesce("label", "part").alias("part"), F.inline("groups"))
+        marked = named.select("turn", "member", "part", "good", "far")
         hits, all_ = tested.agg(F.count_if("good"), F.count("*")).collect()[0]
         if hits <= FOREST_GAIN * all_:  # another forest would merge little
             rounds = rounds[-1:]

@@ -8,10 +8,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lumenfield.llm import components, imatch, near_dup, packing, pii, quality, registry, segment, sharding, suffix, toxicity, warc
+from lumenfield.llm import common, components, imatch, near_dup, packing, pii, quality, registry, segment, sharding, suffix, toxicity, warc
 from lumenfield.llm.common import shared_folder
 
 WORDS = [a + b for a in ("ka", "lo", "mi", "ne", "ru", "sa", "te", "vo") for b in ("r", "nd", "sh", "ble", "ing", "x", "th", "a")]
@@ -234,6 +235,38 @@ def test_blocks_of_one_bucket(spark):
     assert got == {(2 * i, 2 * i + 1) for i in range(250)}
 
 
+def test_members_of_many_open_buckets_are_one_row(spark, monkeypatch):
+    # Texts that share a passage share many sketches: each meets its counts once a round, and a group has it once.
+    passage = prose(110, 80).split()
+    rows = [(i, " ".join(passage + rich(40, 7000 + i).split())) for i in range(60)]
+    met, found = [], near_dup._pairs
+
+    def counted(held, *args, **more):
+        met.append((held.count(), held.select("member").distinct().count()))
+        return found(held, *args, **more)
+
+    monkeypatch.setattr(near_dup, "_pairs", counted)
+    assert near_dup.near_duplicates(frame(spark, rows)).where("class_id <> doc_id").count() == 0
+    assert met and all(a == b > 40 for a, b in met)
+
+
+def test_pairs_of_shared_groups_are_told_from_others():
+    r = np.random.default_rng(4)
+    lists = [r.choice(40, r.integers(0, 9), replace=False) - 20 for _ in range(300)]
+    sets = near_dup.earlier(pa.array([x.tolist() for x in lists], pa.list_(pa.int64())), 5)
+    x, y = (v.ravel() for v in np.triu_indices(300, 1))
+    own = [{v for v in one.tolist() if v < 5} for one in lists]
+    assert near_dup.share_any(sets, x, y).tolist() == [bool(own[i] & own[j]) for i, j in zip(x, y, strict=True)]
+
+
+def test_likely_among_keeps_all_that_are_asked_for(spark):
+    rows = spark.range(-3000, 3000).withColumn("t", F.col("id").cast("string"))
+    kept = {v["id"] for v in common.likely_among(rows, "id", spark.range(0, 3000, 7).select(F.col("id").alias("k"))).collect()}
+    assert kept >= set(range(0, 3000, 7)) and len(kept) < 500
+    assert common.likely_among(rows, "t", rows.select("t")).count() == 6000
+    assert common.likely_among(rows, "id", rows.where("id is null").select("id")).count() == 0
+
+
 def test_recall_by_edit_similarity(spark):
     # 1,000 planted pairs: substitutions, omissions and insertions in random places.  Links by brute force over all pairs.
     r = random.Random(12)
