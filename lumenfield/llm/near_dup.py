@@ -395,15 +395,15 @@ def _screener(similarity: float):
 
 
 def screen(pairs: DataFrame, keys: DataFrame, *, similarity: float) -> DataFrame:
-    """``pairs`` (turn, member, nm: its words) of a text and the center of the hash ``turn`` that are ``likely`` to match, or else
-    ``near`` (see ``align``), with the center; the others go, those of unlike lengths before their counts are fetched."""
-    member = keys.select(F.col("id").alias("member"), F.col("bag").alias("bm"))
+    """``pairs`` (turn, member; they may repeat) of a text and the center of the hash ``turn`` that are ``likely`` to match, or else
+    ``near`` (see ``align``), with the center; the others go.  A member fetches its counts once for all of its centers."""
+    member = keys.select(F.col("id").alias("member"), F.col("n").alias("nm"), F.col("bag").alias("bm"))
     center = keys.select("turn", F.col("id").alias("center"), F.col("bag").alias("bc"), F.col("n").alias("nc"))
     kind = dict(keys.dtypes)["id"]
     least = F.least("nm", "nc") / similarity
     reach = (1 - similarity) * (F.greatest(F.col("nm"), least) + F.greatest(F.col("nc"), least)) + 1e-6  # as in ``too_far``
-    met = pairs.join(center, "turn").where(F.abs(F.col("nm") - F.col("nc")) <= reach)
-    both = met.join(member, "member").select("turn", "center", "member", "bc", "bm", "nc", "nm")
+    told = pairs.groupBy("member").agg(F.collect_set("turn").alias("turns")).join(member, "member").select("member", "nm", "bm", F.explode("turns").alias("turn"))
+    both = told.join(center, "turn").where(F.abs(F.col("nm") - F.col("nc")) <= reach).select("turn", "center", "member", "bc", "bm", "nc", "nm")
     return both.mapInArrow(_screener(similarity), f"turn bigint, center {kind}, member {kind}, likely boolean, near boolean")
 
 
@@ -558,13 +558,13 @@ def links(nodes: DataFrame, docs: DataFrame, *, doc_id: str, text: str, similari
     """Links (a, b) among ``nodes`` (id, n, sketches, bag)."""
     marks = F.transform("sketches", lambda s: F.shiftright(F.shiftleft(s, 32), 32).cast("int"))
     keys = nodes.select("id", "n", "bag", F.xxhash64("id").alias("turn"), marks.alias("marks"))
-    rows = nodes.select(F.explode("sketches").alias("bucket"), F.col("id").alias("member"), F.col("n").alias("nm"))
+    rows = nodes.select(F.explode("sketches").alias("bucket"), F.col("id").alias("member"))
     # The center of a bucket is the member with the least hash.  Should two have one hash, both are centers.  Sketches are shuffled
     # once, and hashes, which do not compress, are worked out after that.
     own, every = F.xxhash64("member"), W.partitionBy("bucket")
-    met = stash(rows.withColumns({"size": F.count("*").over(every), "turn": F.min(own).over(every)}).where("size > 1").select("bucket", "member", own.alias("own"), "nm", "size", "turn"))
+    met = stash(rows.withColumns({"size": F.count("*").over(every), "turn": F.min(own).over(every)}).where("size > 1").select("bucket", "member", own.alias("own"), "size", "turn"))
     others = met.where("own <> turn")
-    judged = stash(screen(others.select("turn", "member", "nm").distinct(), keys, similarity=similarity))
+    judged = stash(screen(others.select("turn", "member"), keys, similarity=similarity))
     # Texts are needed of those that may match their center or a text of the same bucket.
     members = met.select(F.col("member").alias("id")).distinct()
     texts = stash(likely_among(docs.select(F.col(doc_id).alias("id"), text_or_empty(text).alias("t")), "id", members).join(members, "id"))  # a semi-join would be moved before the bitmap

@@ -250,6 +250,16 @@ def test_members_of_many_open_buckets_are_one_row(spark, monkeypatch):
     assert met and all(a == b > 40 for a, b in met)
 
 
+def test_screen_meets_each_pair_once(spark):
+    docs = frame(spark, [(i, prose(40 + i % 3, 3)) for i in range(20)])
+    keys = near_dup.sketch(docs).select("id", "n", "bag", F.xxhash64("id").alias("turn"))
+    centers = keys.where("id < 4").select("turn")
+    pairs = keys.where("id >= 4").select(F.col("id").alias("member")).crossJoin(centers).crossJoin(spark.range(5)).select("turn", "member")
+    got = near_dup.screen(pairs, keys, similarity=0.8).collect()
+    assert all(r["likely"] for r in got)
+    assert sorted((r["center"], r["member"]) for r in got) == [(c, m) for c in range(4) for m in range(4, 20)]
+
+
 def test_pairs_of_shared_groups_are_told_from_others():
     r = np.random.default_rng(4)
     lists = [r.choice(40, r.integers(0, 9), replace=False) - 20 for _ in range(300)]
