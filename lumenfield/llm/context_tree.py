@@ -150,15 +150,17 @@ def tree(runs: DataFrame, depth: int) -> list[DataFrame]:
 
 
 def log_probabilities(runs: DataFrame, depth: int) -> DataFrame:
-    """(run, value): ln of the probability of the run's last byte after the others; ``runs``: run, n (zero if never learned)."""
+    """(run, value): ln of the probability of the run's last byte after the others; ``runs``: run, n (zero if never learned).
+
+    Joins are merges: a level's files are small for its rows, and the planner would broadcast it through the driver."""
     levels = tree(runs, depth)
     estimate = (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1.0)
     path = levels[0].select("context", "node", (F.col("leaf") * estimate).alias("p"), F.col("inner").alias("rest"))
     for d in range(1, depth + 1):
         down = levels[d].select("context", "node", F.col("context").bitwiseAND(F.lit((1 << 8 * (d - 1)) - 1)).alias("above"), "leaf", "inner", estimate.alias("own"))
-        path = stash(down.join(path.select(F.col("context").alias("above"), "node", "p", "rest"), ["above", "node"]).select("context", "node", (F.col("p") + F.col("rest") * F.col("leaf") * F.col("own")).alias("p"), (F.col("rest") * F.col("inner")).alias("rest")))
+        path = stash(down.join(path.select(F.col("context").alias("above"), "node", "p", "rest").hint("merge"), ["above", "node"]).select("context", "node", (F.col("p") + F.col("rest") * F.col("leaf") * F.col("own")).alias("p"), (F.col("rest") * F.col("inner")).alias("rest")))
     chosen = F.log(F.when(F.col("bit") == 1, F.col("p")).otherwise(1 - F.col("p")))
-    return _bits(runs).join(path.select("context", "node", "p"), ["context", "node"]).groupBy("run").agg(F.sum(chosen).alias("value"))
+    return _bits(runs).join(path.select("context", "node", "p").hint("merge"), ["context", "node"]).groupBy("run").agg(F.sum(chosen).alias("value"))
 
 
 def _score(depth: int, learned: int, known_words: int, model) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -217,7 +219,7 @@ def scores(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", held:
     counted = stash(listed("words", "word_counts").selectExpr("chunk", "at", "n", "sum(n) over (partition by words) as c", "row_number() over (partition by words order by chunk) = 1 as first"))
     learned, distinct = counted.where("first and c > 0").agg(F.sum("c"), F.count("*")).collect()[0]
     elsewhere = counted.where("c <> n").select("chunk", -1 - F.col("at"), F.col("c").cast("double"))
-    values = elsewhere if model else elsewhere.union(runs.join(known, "run").select("chunk", "at", "value"))
+    values = elsewhere if model else elsewhere.union(runs.join(known.hint("merge"), "run").select("chunk", "at", "value"))
     values = values.toDF("of", "key", "value")
     rows = chunks.select("chunk", "texts", "ids", "held", "sizes")
     return rows.groupBy("chunk").cogroup(values.groupBy("of")).applyInArrow(_score(depth, learned or 0, distinct or 0, model), f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_bytes bigint, bits_per_byte double")
