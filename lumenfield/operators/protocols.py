@@ -82,11 +82,16 @@ def blind_quality_catalogue(fitted: DataFrame, initial: DataFrame, pixels: DataF
     whether a bright core of the image is near, the ``probability`` of the nearest initial one within 1.5 px, and the six
     quality bits.  A source without a place, or with a null key, has no neighbours and counts as added by deblending."""
     keys = ["field_id", "det_id"]
+    fitted = settle(fitted.select(*keys, "x", "y", "flux", "psf_fit_quality"))  # read four times
     place = fitted.select(*keys, "x", "y")
-    near = S.nearest(place, initial.select("field_id", "ref_id", "x", "y", probability.alias("p")), 1.5, left_id="det_id", right_id="ref_id").select(*keys, F.sqrt("d2").alias("gap"), "p")
-    crowd = S.neighbour_counts(place, place, {"neighbours": 10.0}, point_id="det_id", other_id="det_id").select(*keys, "neighbours")
+    # in the buckets of the bright cores, so that both joins meet one shuffle of the places
+    near = S.nearest(place, initial.select("field_id", "ref_id", "x", "y", probability.alias("p")), 1.5, left_id="det_id", right_id="ref_id", width=S.WIDTH * 10.0).select(*keys, F.sqrt("d2").alias("gap"), "p")
     core = P.near_bright_core(place, pixels, 1.0, source_id="det_id").select(*keys, F.lit(True).alias("core"))
-    rows = fitted.select(*keys, "flux", "psf_fit_quality").join(near, keys, "left").join(crowd, keys, "left").join(core, keys, "left")
+    # sources take their own columns through the shuffle in which they meet their counts; those that repeat an id come as often as they would meet it
+    crowd = S.neighbour_counts(fitted, fitted, {"neighbours": 10.0}, point_id="det_id", other_id="det_id").drop("x", "y")
+    copies = F.when(F.col("field_id").isNotNull() & F.col("det_id").isNotNull(), F.count("*").over(W.partitionBy(*keys))).otherwise(1)
+    crowd = crowd.withColumn("copies", copies).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).drop("copies", "copy")
+    rows = crowd.join(near.hint("merge"), keys, "left").join(core.hint("merge"), keys, "left")
     rows = rows.withColumns({"snr": C.source_snr(F.col("flux"), rms), "deblend": F.col("gap").isNull() | (F.col("gap") > 1.0), "core": F.coalesce("core", F.lit(False)), "neighbours": F.coalesce("neighbours", F.lit(0))})
     mask = C.quality_bitmask(F.col("snr"), F.col("psf_fit_quality"), F.col("neighbours"), F.col("core"), F.col("deblend"), F.col("p"))
     return rows.select(*keys, "snr", "neighbours", F.col("deblend").alias("deblend_flag"), F.col("core").alias("saturation_neighbour_flag"), F.col("p").alias("classifier_probability"), mask.alias("quality_bitmask"))

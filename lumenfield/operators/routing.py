@@ -29,16 +29,22 @@ def merge(proposals: DataFrame, fits: DataFrame, conservative: DataFrame, *, rea
     route; other columns take no part."""
     spots = proposals.where("field_id is not null and det_id is not null").groupBy("field_id", "det_id").agg(F.min(F.struct("x", "y")).alias("at")).select("field_id", "det_id", "at.x", "at.y")
     fitted = fits.where(measured() & F.col("field_id").isNotNull() & F.col("det_id").isNotNull()).groupBy("field_id", "det_id").agg(F.max(F.struct("flux", "x", "y")).alias("f")).select("field_id", "det_id", "f.x", "f.y", "f.flux")
-    counted = settle(S.neighbour_counts(spots, spots, {"around": reach}, point_id="det_id", other_id="det_id").join(fitted.select("field_id", "det_id", F.lit(True).alias("has_fit")), ["field_id", "det_id"], "left"))
-    joint = fitted.join(counted.where(F.col("around") >= dense).select("field_id", "det_id"), ["field_id", "det_id"], "left_semi")
-
-    usable = conservative.where(measured() & F.col("field_id").isNotNull() & F.col("det_id").isNotNull()).select("field_id", "det_id", "x", "y", "flux")
-    near = S.nearest(usable.select("field_id", "det_id", "x", "y"), counted.select("field_id", F.col("det_id").alias("spot"), "x", "y", "around", "has_fit"), radius, left_id="det_id", right_id="spot").select("field_id", "det_id", "around", F.coalesce("has_fit", F.lit(False)).alias("has_fit"))
-    direct = S.neighbour_counts(usable, spots, {"direct": reach}, point_id="det_id")
-    routed = direct.join(near, ["field_id", "det_id"], "left").withColumn("crowded", F.coalesce("around", "direct") >= dense)
+    keys = ["field_id", "det_id"]
+    counted = settle(S.neighbour_counts(spots, spots, {"around": reach}, point_id="det_id", other_id="det_id").join(fitted.select(*keys, F.lit(True).alias("has_fit")).hint("merge"), keys, "left"))
+    joint = fitted.join(counted.where(F.col("around") >= dense).select(*keys).hint("merge"), keys, "left_semi")
+
+    usable = conservative.where(measured() & F.col("field_id").isNotNull() & F.col("det_id").isNotNull()).select(*keys, "x", "y", "flux")
+    # one pass over pairs tells the nearest proposal as well as how many are around
+    spot = counted.select("field_id", F.col("det_id").alias("spot"), "x", "y", "around", F.coalesce("has_fit", F.lit(False)).alias("has_fit"))
+    met = S.pairs_within(usable.select(*keys, "x", "y"), spot, max(reach, radius))
+    close = F.when(F.col("d2") <= radius * radius, F.struct("d2", "spot", "around", "has_fit"))
+    told = met.groupBy(*keys).agg(F.min(close).alias("near"), F.count_if(F.col("d2") <= reach * reach).alias("direct"))
+    routed = usable.join(told.hint("merge"), keys, "left")
+    routed = routed.withColumns({"crowded": F.coalesce("near.around", "direct", F.lit(0)) >= dense, "has_fit": F.col("near.has_fit")})  # no proposal near, no fallback
 
     names = ("field_id", "det_id", "x", "y", "flux")
-    entries = joint.select(*names, F.lit(0).alias("branch")).union(routed.where("crowded and not has_fit").select(*names, F.lit(1))).union(routed.where("not crowded").select(*names, F.lit(2)))
+    branch = F.when(F.col("crowded") & ~F.col("has_fit"), 1).when(~F.col("crowded"), 2)
+    entries = joint.select(*names, F.lit(0).alias("branch")).union(routed.withColumn("branch", branch).where("branch is not null").select(*names, "branch"))
     # Ids of the two tables may be the same, so that an entry is named by both.
     entries = settle(entries.withColumn("entry", F.struct("branch", "det_id")))
     kept = rounds.thin(entries, duplicate, point_id="entry", order="branch", inclusive=True)

@@ -31,9 +31,10 @@ def distance2(x: str | Column = "x", y: str | Column = "y", rx: str | Column = "
     return square(col(x) - col(rx)) + square(col(y) - col(ry))
 
 
-def pairs_within(left: DataFrame, right: DataFrame, radius: float, *, keys: Sequence[str] = FIELD, copy_left: bool = False) -> DataFrame:
+def pairs_within(left: DataFrame, right: DataFrame, radius: float, *, keys: Sequence[str] = FIELD, copy_left: bool = False, width: float | None = None) -> DataFrame:
     """All pairs at most ``radius`` apart: the columns of ``left``, those of ``right`` with x and y renamed to rx and
     ry, and the squared distance d2.  With ``copy_left`` the rows of ``left`` are those copied, for a left side of fewer rows.
+    Joins of equal bucket ``width`` shuffle one left side once.
 
     Defined results: a null or NaN coordinate or a null key pairs with nothing; repeated rows pair one by one; an empty side gives
     no rows; columns of ``left`` named rx, ry or d2 give way, and so do those of ``right`` that ``left`` or the result has."""
@@ -41,7 +42,7 @@ def pairs_within(left: DataFrame, right: DataFrame, radius: float, *, keys: Sequ
     taken = {c.lower() for c in (*a.columns, "rx", "ry", "d2")} - {k.lower() for k in keys}
     b = right.drop(*(c for c in right.columns if c.lower() in taken - {"x", "y"})).withColumnsRenamed({"x": "rx", "y": "ry"})
     own = [free_name(a, n, b) for n in ("bucket_x", "bucket_y")]
-    size = WIDTH * radius if radius > 0 else 1.0
+    size = width or (WIDTH * radius if radius > 0 else 1.0)
     a, b = a.where(~(F.isnan("x") | F.isnan("y"))), b.where(~(F.isnan("rx") | F.isnan("ry")))
     reach = lambda c: radius + 1e-9 * (F.abs(c) + radius)  # noqa: E731  rounding must not part a pair at just the radius
     for n, c, rc in zip(own, "xy", ("rx", "ry"), strict=True):
@@ -80,12 +81,12 @@ def free_name(df: DataFrame, base: str, *others: DataFrame) -> str:
     return name
 
 
-def nearest(left: DataFrame, right: DataFrame, radius: float, *, left_id: str, right_id: str, keys: Sequence[str] = FIELD, within: Sequence[str] = ()) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, radius: float, *, left_id: str, right_id: str, keys: Sequence[str] = FIELD, within: Sequence[str] = (), width: float | None = None) -> DataFrame:
     """For each row of ``left`` its nearest row of ``right`` within the radius; with ``within``, the nearest in each
     group of those columns of ``right``.
 
     Defined results: rows with a null id are one row to choose for; ties go to the least right id; else as ``pairs_within``."""
-    return _first(pairs_within(left, right, radius, keys=keys), [*keys, *within, left_id], "d2", right_id)
+    return _first(pairs_within(left, right, radius, keys=keys, width=width), [*keys, *within, left_id], "d2", right_id)
 
 
 def _first(rows: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
@@ -119,10 +120,13 @@ def match_masks(dets: DataFrame, refs: DataFrame, radius: float = 2.0, *, det_id
 def neighbour_counts(points: DataFrame, others: DataFrame, radii: dict[str, float], *, point_id: str, other_id: str | None = None, keys: Sequence[str] = FIELD) -> DataFrame:
     """``points`` with one count for each name in ``radii``.  With ``other_id``, rows of equal id do not count."""
     most = max(radii.values())
-    right = others.select(*keys, F.col("x"), F.col("y"), *([F.col(other_id).alias("neighbour_id")] if other_id else []))
-    met = pairs_within(points.select(*keys, point_id, "x", "y"), right, most, keys=keys)
-    if other_id:
-        met = met.where(F.col(point_id) != F.col("neighbour_id"))
+    if others is points and other_id == point_id:  # the same rows on both sides are shuffled once
+        met = self_pairs(points.select(*keys, point_id, "x", "y"), most, keys=keys).where(F.col(f"a.{point_id}") != F.col(f"b.{point_id}")).select(*keys, F.col(f"a.{point_id}").alias(point_id), "d2")
+    else:
+        right = others.select(*keys, F.col("x"), F.col("y"), *([F.col(other_id).alias("neighbour_id")] if other_id else []))
+        met = pairs_within(points.select(*keys, point_id, "x", "y"), right, most, keys=keys)
+        if other_id:
+            met = met.where(F.col(point_id) != F.col("neighbour_id"))
     counted = met.groupBy(*keys, point_id).agg(*(F.count_if(F.col("d2") <= r * r).alias(n) for n, r in radii.items()))
     return points.join(counted.hint("merge"), [*keys, point_id], "left").fillna(0, list(radii))
 
